@@ -29,7 +29,8 @@ def _c(x: Column | str) -> Column:
 def compression_ratio(base: Column | str, comp: Column | str) -> Column:
     """baseline / compressed to four digits; null when either side is null or zero."""
     a, b = _c(base), _c(comp)
-    return F.when((a != 0) & (b != 0), F.round(a / F.nullif(b, F.lit(0)), 4))
+    scaled = F.floor(a.cast("double") * 10000 / F.nullif(b, F.lit(0)) + 0.5)
+    return F.when((a != 0) & (b != 0), scaled / 10000)
 
 
 def log_token_ratio(base: Column | str, comp: Column | str) -> Column:

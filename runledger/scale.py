@@ -113,3 +113,22 @@ def running_totals(df: DataFrame, keys: Sequence[str], position: str, sums: Mapp
         *[F.col(c) for c in df.columns],
         *[(F.col(f"_p_{n}") + F.coalesce(F.col(f"_r_{n}"), F.lit(0))).alias(n) for n in sums],
         *[F.greatest(F.col(f"_p_{n}"), F.col(f"_r_{n}")).alias(n) for n in maxima])
+
+
+def positions(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str | Column],
+              name: str) -> DataFrame:
+    """1-based position of each row within ``keys`` under ``order``.
+
+    Same numbers as ``row_number()``, but rows are only sorted against rows
+    of the same ``bucket``; ``bucket`` must be non-decreasing along
+    ``order`` (an hour of the timestamp, say). A hot key is thus spread over
+    as many tasks as it has buckets.
+    """
+    tagged = df.withColumn("_bucket", bucket)
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n")).select(
+        *keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    local = tagged.withColumn("_local", F.row_number().over(
+        Window.partitionBy(*keys, "_bucket").orderBy(*order)))
+    return local.join(offsets, [*keys, "_bucket"]).select(
+        *[F.col(c) for c in df.columns], (F.col("_offset") + F.col("_local")).alias(name))
