@@ -15,7 +15,7 @@ def run_scores(v):
 
 
 def task_cells(v):
-    return pairs.task_cells(run_scores(v))
+    return pairs.scored_cells(v.tasks, v.runs, v.validations, v.entrants)
 
 
 def baselines(v):

@@ -76,56 +76,107 @@ def baseline_summary(runs: DataFrame, validations: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("tokens_used") > 0, F.col("tokens_used"))).alias("baseline_token_sum"))
 
 
-def _log_ratio_sums(values: DataFrame, cells: DataFrame) -> DataFrame:
-    """For every (task, token count) cell the limited log ratios summed over the baselines.
+def _judged_entrant_runs(runs: DataFrame, validations: DataFrame, entrants: DataFrame, exclude_banned: bool) -> DataFrame:
+    """Entrant runs with their latest verdict and the number of verdict rows of each kind."""
+    if exclude_banned:
+        entrants = entrants.where(~F.col("banned"))
+    judged = runs.where(~F.col("baseline_run")).join(
+        validations.select("run_id", "validation_id", "resolved"), "run_id", "left")
+    return (
+        judged.groupBy("run_id", "task_id", "entrant_id", "attempt_no", "tokens_used")
+        .agg(F.max_by("resolved", "validation_id").alias("run_resolved"),
+             F.count_if(F.col("resolved")).alias("v_pass"), F.count_if(~F.col("resolved")).alias("v_fail"))
+        .join(entrants.select("entrant_id", "hotkey", "banned"), "entrant_id"))
+
+
+def _baseline_points(runs: DataFrame, validations: DataFrame) -> DataFrame:
+    """Baselines of a task by token count: how many verdicts of each kind, and where they lie on the log axis."""
+    judged = runs.where("baseline_run").join(validations.select("run_id", "resolved"), "run_id", "left")
+    x = F.ln(F.col("tokens").cast("double"))
+    return judged.groupBy("task_id", F.when(F.col("tokens_used") > 0, F.col("tokens_used")).alias("tokens")).agg(
+        F.count_if(F.col("resolved")).alias("n_pass"), F.count_if(~F.col("resolved")).alias("n_fail")).select(
+        "task_id", x.alias("x"), F.floor(x * BUCKETS_PER_LOG).alias("bucket"), "n_pass", "n_fail")
 
-    ``values``: task_id, tokens, n_pass, n_fail (baselines with that token count by verdict).
-    ``cells``: task_id, tokens (distinct). Returns cells plus sum_pass and sum_fail.
 
-    A baseline at log distance <= -2 or >= 2 contributes the limit itself;
-    in between it contributes its own log minus the cell's. So the sum follows from
-    running counts and running log sums read at the two edges of the cell.
-    Edges are ordered together with the baseline values inside log buckets,
-    and bucket totals carry the running state from bucket to bucket.
+def _against_baselines(points: DataFrame, groups: DataFrame) -> DataFrame:
+    """Score of every group of equal runs against all baselines of its task.
+
+    ``groups``: task_id, tokens_used, v_pass, v_fail and any payload; runs in
+    a group are interchangeable. Adds run_score; tasks without baselines drop out.
+
+    With x the log token count, a baseline at distance <= -2 or >= 2 from the
+    run contributes the limit itself, one in between contributes the
+    distance. So the sum over baselines follows from running counts and
+    running sums of x read at the two edges x - 2 and x + 2 of the run. Edges
+    are merged with the baseline points inside log buckets; bucket totals
+    carry the running state. Cost is linear in rows, never baselines x runs.
     """
     limit = LOG_RATIO_LIMIT
-    ln_tokens = F.ln(F.col("tokens").cast("double"))
-    zero_l, zero_d = F.lit(0).cast("long"), F.lit(0.0)
-    points = values.select(
-        "task_id", ln_tokens.alias("x"), F.lit(0).alias("edge"), F.lit(None).cast("long").alias("tokens"),
-        "n_pass", "n_fail")
-    edges = cells.select(
-        "task_id",
-        F.explode(F.array(F.struct((ln_tokens - limit).alias("x"), F.lit(1).alias("edge")),
-                          F.struct((ln_tokens + limit).alias("x"), F.lit(2).alias("edge")))).alias("e"), "tokens")
-    edges = edges.select("task_id", "e.x", "e.edge", "tokens", zero_l.alias("n_pass"), zero_l.alias("n_fail"))
-    line = points.unionByName(edges).withColumn("bucket", F.floor(F.col("x") * BUCKETS_PER_LOG))
-    line = line.select("*", (F.col("n_pass") * F.col("x")).alias("s_pass"), (F.col("n_fail") * F.col("x")).alias("s_fail"))
-    measures = ["n_pass", "n_fail", "s_pass", "s_fail"]
+    zero = F.lit(0).cast("long")
+    usable = F.col("x").isNotNull()
+    per_task = points.groupBy("task_id").agg(
+        F.sum("n_pass").alias("base_pass"), F.sum("n_fail").alias("base_fail"),
+        F.sum(F.when(usable, F.col("n_pass")).otherwise(zero)).alias("with_pass"),
+        F.sum(F.when(usable, F.col("n_fail")).otherwise(zero)).alias("with_fail"),
+        (F.coalesce(F.min("bucket"), zero) - 1).alias("first_bucket"),
+        (F.coalesce(F.max("bucket"), zero) + 1).alias("last_bucket"))
+    measures = {"n_pass": F.col("n_pass"), "n_fail": F.col("n_fail"),
+                "s_pass": F.col("n_pass") * F.col("x"), "s_fail": F.col("n_fail") * F.col("x")}
+
+    # running state at the start of every bucket of a task's span
+    totals = points.groupBy("task_id", "bucket").agg(*[F.sum(m).alias(f"b_{n}") for n, m in measures.items()])
+    spine = per_task.select("task_id", F.explode(F.sequence("first_bucket", "last_bucket")).alias("bucket"))
+    before = Window.partitionBy("task_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spine.join(totals, ["task_id", "bucket"], "left").select(
+        "task_id", "bucket", *[F.coalesce(F.sum(f"b_{n}").over(before), zero).alias(f"p_{n}") for n in measures])
+
+    payload = F.struct(*[F.col(c) for c in groups.columns])
+    run_x = F.ln(F.when(F.col("tokens_used") > 0, F.col("tokens_used")).cast("double"))
+    placed = groups.join(per_task, "task_id").withColumn("run", payload)
+    edges = placed.select(
+        "task_id", "run", "base_pass", "base_fail", "with_pass", "with_fail", "first_bucket", "last_bucket",
+        F.explode(F.array(F.struct((run_x - limit).alias("x"), F.lit(1).alias("edge")),
+                          F.struct((run_x + limit).alias("x"), F.lit(2).alias("edge")))).alias("e"))
+    # an edge outside the span of the baselines reads the state at the end of the span
+    at = F.greatest(F.col("first_bucket"), F.least(F.col("last_bucket"), F.floor(F.col("e.x") * BUCKETS_PER_LOG)))
+    edges = edges.select("task_id", "e.x", at.alias("bucket"), "e.edge", "run", "base_pass", "base_fail", "with_pass",
+                         "with_fail", *[zero.alias(n) for n in ("n_pass", "n_fail")])
+    line = edges.unionByName(points.withColumn("edge", F.lit(0)), allowMissingColumns=True)
     inside = Window.partitionBy("task_id", "bucket").orderBy("x", "edge").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy("task_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per_task = Window.partitionBy("task_id")
-    carried = line.groupBy("task_id", "bucket").agg(*[F.sum(m).alias(f"b_{m}") for m in measures])
-    carried = carried.select(
-        "task_id", "bucket",
-        *[F.coalesce(F.sum(f"b_{m}").over(before), zero_d).alias(f"p_{m}") for m in measures],
-        F.sum("b_n_pass").over(per_task).alias("all_pass"), F.sum("b_n_fail").over(per_task).alias("all_fail"))
-    local = line.select("task_id", "bucket", "edge", "tokens", *[F.sum(m).over(inside).alias(f"r_{m}") for m in measures])
-    at_edges = local.where("edge > 0").join(carried, ["task_id", "bucket"]).select(
-        "task_id", "tokens", "edge", "all_pass", "all_fail",
-        *[(F.col(f"r_{m}") + F.col(f"p_{m}")).alias(m) for m in measures])
-    low = lambda m: F.max(F.when(F.col("edge") == 1, F.col(m)))
-    high = lambda m: F.max(F.when(F.col("edge") == 2, F.col(m)))
-    ln_cell = F.ln(F.col("tokens").cast("double"))
-
-    def total(side: str):
-        below, upto = low(f"n_{side}"), high(f"n_{side}")
-        middle = high(f"s_{side}") - low(f"s_{side}") - (upto - below) * ln_cell
-        return limit * (F.max(f"all_{side}") - upto) - limit * below + middle
-
-    return at_edges.groupBy("task_id", "tokens").agg(
-        total("pass").alias("sum_pass"), total("fail").alias("sum_fail"))
+    running = line.select(
+        "task_id", "bucket", "edge", "run", "base_pass", "base_fail", "with_pass", "with_fail",
+        *[F.coalesce(F.sum(m).over(inside), zero).alias(f"r_{n}") for n, m in measures.items()]).where("edge > 0")
+    state = running.join(carried, ["task_id", "bucket"]).select(
+        "run", "edge", "base_pass", "base_fail", "with_pass", "with_fail",
+        *[(F.col(f"r_{n}") + F.col(f"p_{n}")).alias(n) for n in measures])
+
+    def pick(edge: int, name: str) -> Column:
+        return F.max(F.when(F.col("edge") == edge, F.col(name)))
+
+    def limited_sum(side: str) -> Column:
+        below, upto = pick(1, f"n_{side}"), pick(2, f"n_{side}")
+        middle = pick(2, f"s_{side}") - pick(1, f"s_{side}")
+        return F.struct((F.max(f"with_{side}") - upto - below).alias("at_limit"), (upto - below).alias("n"),
+                        middle.alias("s"))
+
+    joined = state.groupBy("run").agg(
+        F.max("base_pass").alias("base_pass"), F.max("base_fail").alias("base_fail"),
+        limited_sum("pass").alias("p"), limited_sum("fail").alias("f"))
+    x = F.ln(F.col("run.tokens_used").cast("double"))
+
+    def log_sum(side: str) -> Column:
+        # unusable token counts on the run side make every log ratio 0
+        value = limit * F.col(f"{side}.at_limit") + F.col(f"{side}.s") - F.col(f"{side}.n") * x
+        return F.when(F.col("run.tokens_used") > 0, value).otherwise(0.0)
+
+    def against(passed: bool) -> Column:
+        up, down = OUTCOMES[(True, passed)], OUTCOMES[(False, passed)]
+        return (up[0] * F.col("base_pass") + down[0] * F.col("base_fail") + up[1] * log_sum("p") + down[1] * log_sum("f"))
+
+    weight = (F.col("run.v_pass") + F.col("run.v_fail")) * (F.col("base_pass") + F.col("base_fail"))
+    score = (F.col("run.v_pass") * against(True) + F.col("run.v_fail") * against(False)) / F.nullif(weight, zero)
+    return joined.select("run.*", score.alias("run_score"))
 
 
 def run_scores(tasks: DataFrame, runs: DataFrame, validations: DataFrame, entrants: DataFrame,
@@ -136,40 +187,39 @@ def run_scores(tasks: DataFrame, runs: DataFrame, validations: DataFrame, entran
     no pair has both verdicts. Several verdict rows of one run average over
     all pairs they form, and the verdict shown is the latest.
     """
-    judged = runs.join(validations.select("run_id", "validation_id", "resolved"), "run_id", "left")
-    base = judged.where("baseline_run").groupBy("task_id", F.when(F.col("tokens_used") > 0, F.col("tokens_used"))
-                                                .alias("tokens")).agg(
-        F.count_if(F.col("resolved")).alias("n_pass"), F.count_if(~F.col("resolved")).alias("n_fail"))
-    totals = base.groupBy("task_id").agg(F.sum("n_pass").alias("base_pass"), F.sum("n_fail").alias("base_fail"))
-    if exclude_banned:
-        entrants = entrants.where(~F.col("banned"))
-    mine = (
-        judged.where(~F.col("baseline_run"))
-        .groupBy("run_id", "task_id", "entrant_id", "attempt_no", "tokens_used")
-        .agg(F.max_by("resolved", "validation_id").alias("run_resolved"),
-             F.count_if(F.col("resolved")).alias("v_pass"), F.count_if(~F.col("resolved")).alias("v_fail"))
-        .join(entrants.select("entrant_id", "hotkey", "banned"), "entrant_id")
-        .withColumn("tokens", F.when(F.col("tokens_used") > 0, F.col("tokens_used"))))
-    cells = mine.where("tokens IS NOT NULL").groupBy("task_id", "tokens").agg(F.count(F.lit(1)).alias("n_runs"))
-    sums = _log_ratio_sums(base.where("tokens IS NOT NULL AND n_pass + n_fail > 0"), cells.select("task_id", "tokens"))
-    facts = cells.join(sums, ["task_id", "tokens"])
-    scored = attach_facts(mine, facts, ["task_id", "tokens"], "n_runs").join(totals, "task_id")
-    sum_pass, sum_fail = F.coalesce("sum_pass", F.lit(0.0)), F.coalesce("sum_fail", F.lit(0.0))
-
-    def against(passed: bool):
-        up, down = OUTCOMES[(True, passed)], OUTCOMES[(False, passed)]
-        return (up[0] * F.col("base_pass") + down[0] * F.col("base_fail") + up[1] * sum_pass + down[1] * sum_fail)
-
-    weight = (F.col("v_pass") + F.col("v_fail")) * (F.col("base_pass") + F.col("base_fail"))
-    score = (F.col("v_pass") * against(True) + F.col("v_fail") * against(False)) / F.nullif(weight, F.lit(0))
-    return scored.withColumn("run_score", score).join(
-        tasks.select("task_id", "task_name", "competition_id", "is_screener"), "task_id").select(
+    mine = _judged_entrant_runs(runs, validations, entrants, exclude_banned)
+    kinds = ["task_id", "tokens_used", "v_pass", "v_fail"]
+    groups = mine.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n_runs"))
+    facts = _against_baselines(_baseline_points(runs, validations), groups)
+    scored = attach_facts(mine, facts, kinds, "n_runs", how="inner")
+    return scored.join(tasks.select("task_id", "task_name", "competition_id", "is_screener"), "task_id").select(
         "entrant_id", "hotkey", "banned", "task_id", "task_name", "competition_id", "is_screener", "run_id",
         "attempt_no", "run_resolved", F.col("tokens_used").alias("run_tokens"), "run_score")
 
 
+def scored_cells(tasks: DataFrame, runs: DataFrame, validations: DataFrame, entrants: DataFrame,
+                 exclude_banned: bool = False) -> DataFrame:
+    """`task_cells` straight from the run table: equal runs are counted first, so no run is ever scored twice."""
+    mine = _judged_entrant_runs(runs, validations, entrants, exclude_banned)
+    groups = mine.groupBy("entrant_id", "hotkey", "task_id", "tokens_used", "run_resolved", "v_pass", "v_fail").agg(
+        F.count(F.lit(1)).alias("n_runs"))
+    scored = _against_baselines(_baseline_points(runs, validations), groups)
+    n = F.col("n_runs")
+    known = F.col("run_score").isNotNull()
+    tokens = F.col("tokens_used")
+    return (
+        scored.groupBy("entrant_id", "hotkey", "task_id").agg(
+            F.sum(n).alias("n_runs"), F.sum(F.when(F.col("run_resolved"), n).otherwise(0)).alias("n_pass"),
+            F.sum(F.col("run_score") * n).alias("score_sum"), F.sum(F.when(known, n).otherwise(0)).alias("n_scored"),
+            (F.sum(tokens * n) / F.nullif(F.sum(F.when(tokens.isNotNull(), n)), F.lit(0))).alias("run_tokens"),
+            F.sum(F.when(tokens > 0, tokens * n)).alias("run_token_sum"))
+        .join(tasks.select("task_id", "task_name", "is_screener"), "task_id")
+        .select("entrant_id", "hotkey", "task_id", "task_name", "is_screener", "n_runs", "n_pass", "score_sum",
+                "n_scored", "run_tokens", "run_token_sum"))
+
+
 def task_cells(scores: DataFrame) -> DataFrame:
-    """Everything later stages need per (entrant, task): one map-side combined pass over the runs."""
+    """Everything later stages need per (entrant, task), from a table of run scores."""
     return scores.groupBy("entrant_id", "hotkey", "task_id", "task_name", "is_screener").agg(
         F.count(F.lit(1)).alias("n_runs"), F.count_if(F.col("run_resolved")).alias("n_pass"),
         F.sum("run_score").alias("score_sum"), F.count("run_score").alias("n_scored"),

@@ -11,7 +11,7 @@ from runledger.operators import boards, difficulty, pairs, screening
 
 def build(tasks: DataFrame, runs: DataFrame, validations: DataFrame, entrants: DataFrame,
           min_resolved: int = 4, number: int = 1, size: int = 100) -> DataFrame:
-    cells = pairs.task_cells(pairs.run_scores(tasks, runs, validations, entrants))
+    cells = pairs.scored_cells(tasks, runs, validations, entrants)
     classes = difficulty.task_difficulty(tasks, runs, validations).select("task_id", "category")
     facts = pairs.baseline_summary(runs, validations).select("task_id", "baseline_token_sum").join(
         classes, "task_id", "left")

@@ -13,7 +13,7 @@ def build(tasks: DataFrame, runs: DataFrame, validations: DataFrame, entrants: D
     """Candidate weights of a round under the current burn ratio."""
     if competition_id is not None:
         tasks = tasks.where(F.col("competition_id") == competition_id)
-    cells = pairs.task_cells(pairs.run_scores(tasks, runs, validations, entrants, exclude_banned))
+    cells = pairs.scored_cells(tasks, runs, validations, entrants, exclude_banned)
     classes = difficulty.task_difficulty(tasks, runs, validations)
     scores = rewards.subset_scores(difficulty.category_scores(cells, classes))
     weights = rewards.reward_weights(scores, 0.0)
