@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from runledger.catalog.registry import query, rounded
 from runledger.catalog.scoring import CATEGORY_SQL, category_scores
 from runledger.catalog.views import NOW
-from runledger.operators import pairs, difficulty, queues, rewards
+from runledger.operators import queues, rewards
 from runledger.plans import reward_round
+from runledger.session import through_parquet
 
 NOW_COL = F.lit(NOW).cast("timestamp")
 
@@ -44,7 +45,7 @@ def agg7(v):
 @query("win6_winners", f"""
     SELECT hotkey, element, round(winning_score, 6) AS winning_score, round(share, 6) AS share FROM ({WINNER_SQL})""")
 def win6(v):
-    w = rewards.winners(rewards.subset_scores(category_scores(v)))
+    w = rewards.winners(rewards.subset_scores(through_parquet(category_scores(v), "category-scores")))
     return rounded(w.select("hotkey", "element", "winning_score", "share"), "winning_score", "share")
 
 

@@ -153,6 +153,27 @@ VIEW_SQL: dict[str, str] = {
                CASE WHEN s.is_screener THEN 'screener' ELSE d.category END AS category, s.attempt_no, s.run_id,
                s.run_resolved AS run_pass, CAST(s.run_tokens AS DOUBLE) AS run_tokens, s.run_score
         FROM fx_run_scores s LEFT JOIN fx_difficulty d ON d.task_id = s.task_id""",
+    # Text question rounds: items of batches, their scores and assignments.
+    "fx_items": """
+        SELECT l_orderkey * 10 + l_linenumber AS item_id, l_orderkey AS batch_id, l_partkey AS challenge_id,
+               l_orderkey % 24 AS script_id, l_orderkey % 8 AS entrant_id,
+               CASE CAST(l_linenumber AS INTEGER) % 3 WHEN 0 THEN 0.2::DOUBLE WHEN 1 THEN 0.4::DOUBLE ELSE 0.6::DOUBLE END AS compression_ratio
+        FROM fx_li""",
+    "fx_item_scores": """
+        SELECT l_orderkey * 10 + l_linenumber AS item_id, l_suppkey % 5 AS validator_id,
+               l_extendedprice / 100000 AS score, l_shipdate AS scored_at,
+               '{"n": ' || l_linenumber || '}' AS details
+        FROM fx_li WHERE l_returnflag <> 'N'""",
+    "fx_assignments": """
+        SELECT o_orderkey AS batch_id, o_custkey % 5 AS validator_id, o_orderdate AS assigned_at,
+               CASE WHEN o_totalprice > 200000 THEN o_orderdate + to_hours(6) END AS done_at
+        FROM orders WHERE o_orderstatus = 'P'""",
+    "fx_links": """
+        SELECT p_partkey AS link_id, p_partkey AS challenge_id, p_partkey % 2 AS competition_id, p_size < 25 AS is_active,
+               TIMESTAMP '1996-01-01 00:00:00' + to_hours(CAST(p_partkey * 31 % 5000 AS INTEGER)) AS generated_at
+        FROM part""",
+    "fx_screeners": """
+        SELECT p_partkey AS challenge_id, p_partkey % 2 AS competition_id FROM part WHERE p_size % 10 = 0""",
     "fx_messages": """
         SELECT conv_id AS session_id, CAST(turn AS BIGINT) AS msg_idx, role, text FROM conversations""",
     "fx_pairs_trace": r"""
@@ -296,6 +317,38 @@ class Views:
             "timestamp'1996-01-01 00:00:00' + make_dt_interval(0, cast(c_custkey * 7919 % 20000 AS int)) AS created_at",
             "c_custkey % 3 <> 1 AS is_active", "c_acctbal / 12000.0D AS burn_ratio")
 
+    @cached_property
+    def items(self) -> DataFrame:
+        return self.lineitems.selectExpr(
+            "l_orderkey * 10 + l_linenumber AS item_id", "l_orderkey AS batch_id", "l_partkey AS challenge_id",
+            "l_orderkey % 24 AS script_id", "l_orderkey % 8 AS entrant_id",
+            "CASE l_linenumber % 3 WHEN 0 THEN 0.2D WHEN 1 THEN 0.4D ELSE 0.6D END AS compression_ratio")
+
+    @cached_property
+    def item_scores(self) -> DataFrame:
+        return self.lineitems.where("l_returnflag <> 'N'").selectExpr(
+            "l_orderkey * 10 + l_linenumber AS item_id", "l_suppkey % 5 AS validator_id",
+            "l_extendedprice / 100000 AS score", "l_shipdate AS scored_at",
+            "concat('{\"n\": ', l_linenumber, '}') AS details")
+
+    @cached_property
+    def assignments(self) -> DataFrame:
+        return self.table("orders").where("o_orderstatus = 'P'").selectExpr(
+            "o_orderkey AS batch_id", "o_custkey % 5 AS validator_id", "o_orderdate AS assigned_at",
+            "CASE WHEN o_totalprice > 200000 THEN o_orderdate + make_dt_interval(0, 6) END AS done_at")
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return self.table("part").selectExpr(
+            "p_partkey AS link_id", "p_partkey AS challenge_id", "p_partkey % 2 AS competition_id",
+            "p_size < 25 AS is_active",
+            "timestamp'1996-01-01 00:00:00' + make_dt_interval(0, cast(p_partkey * 31 % 5000 AS int)) AS generated_at")
+
+    @cached_property
+    def screeners(self) -> DataFrame:
+        return self.table("part").where("p_size % 10 = 0").selectExpr(
+            "p_partkey AS challenge_id", "p_partkey % 2 AS competition_id")
+
     @cached_property
     def messages(self) -> DataFrame:
         return self.table("conversations").selectExpr(

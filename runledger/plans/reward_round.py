@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.operators import difficulty, pairs, rewards
+from runledger.session import through_parquet
 
 
 def build(tasks: DataFrame, runs: DataFrame, validations: DataFrame, entrants: DataFrame, burns: DataFrame,
@@ -15,7 +16,9 @@ def build(tasks: DataFrame, runs: DataFrame, validations: DataFrame, entrants: D
         tasks = tasks.where(F.col("competition_id") == competition_id)
     cells = pairs.scored_cells(tasks, runs, validations, entrants, exclude_banned)
     classes = difficulty.task_difficulty(tasks, runs, validations)
-    scores = rewards.subset_scores(difficulty.category_scores(cells, classes))
+    # one row per entrant and class; read several times below, so written once
+    category = through_parquet(difficulty.category_scores(cells, classes), "category-scores")
+    scores = rewards.subset_scores(category)
     weights = rewards.reward_weights(scores, 0.0)
     burn = rewards.burn_state(burns).select("burn_ratio")
     # with no pool left there are no final weights
