@@ -14,15 +14,15 @@ ITEM_SCORE_SQL = """
 
 
 @query("agg19_item_scores", f"""
-    SELECT item_id, challenge_id, compression_ratio, round(score, 6) AS score, last_scored_at FROM ({ITEM_SCORE_SQL})""")
+    SELECT item_id, challenge_id, compression_ratio, round(score, 7) AS score, last_scored_at FROM ({ITEM_SCORE_SQL})""")
 def agg19(v):
     return rounded(qa.item_scores(v.items, v.item_scores).select(
-        "item_id", "challenge_id", "compression_ratio", "score", "last_scored_at"), "score")
+        "item_id", "challenge_id", "compression_ratio", "score", "last_scored_at"), "score", digits=7)
 
 
 CHALLENGE_SQL = f"""
     SELECT i.item_id, i.batch_id, i.script_id, e.hotkey, i.challenge_id, l.competition_id, i.compression_ratio,
-           round(i.score, 6) AS score
+           round(i.score, 7) AS score
     FROM ({ITEM_SCORE_SQL}) i JOIN fx_links l ON l.challenge_id = i.challenge_id AND l.is_active
     JOIN fx_entrants e ON e.entrant_id = i.entrant_id"""
 CHALLENGE_COLS = ["item_id", "batch_id", "script_id", "hotkey", "challenge_id", "competition_id", "compression_ratio", "score"]
@@ -30,14 +30,14 @@ CHALLENGE_COLS = ["item_id", "batch_id", "script_id", "hotkey", "challenge_id",
 
 @query("joi4_challenge_scores", CHALLENGE_SQL)
 def joi4(v):
-    return rounded(qa.challenge_scores(v.items, v.item_scores, v.links, v.entrants).select(*CHALLENGE_COLS), "score")
+    return rounded(qa.challenge_scores(v.items, v.item_scores, v.links, v.entrants).select(*CHALLENGE_COLS), "score", digits=7)
 
 
 @query("joi6_screener_challenge_scores",
        f"SELECT * FROM ({CHALLENGE_SQL}) WHERE challenge_id IN (SELECT challenge_id FROM fx_screeners)")
 def joi6(v):
     return rounded(qa.screener_challenge_scores(v.items, v.item_scores, v.links, v.entrants, v.screeners).select(
-        *CHALLENGE_COLS), "score")
+        *CHALLENGE_COLS), "score", digits=7)
 
 
 # A question per part and order line: produced answer, truth and scores come from the line items.
@@ -74,10 +74,10 @@ def agg20(v):
 
 
 @query("agg35_multi_level_score", f"""
-    SELECT batch_id, round(sum(score / sqrt(compression_ratio)) / sum(CASE WHEN score IS NOT NULL THEN 1 / sqrt(compression_ratio) END), 6) AS score
+    SELECT batch_id, round(sum(score / sqrt(compression_ratio)) / sum(CASE WHEN score IS NOT NULL THEN 1 / sqrt(compression_ratio) END), 8) AS score
     FROM ({ITEM_SCORE_SQL}) GROUP BY batch_id""")
 def agg35(v):
-    return rounded(qa.multi_level_score(qa.item_scores(v.items, v.item_scores), ["batch_id"]), "score")
+    return rounded(qa.multi_level_score(qa.item_scores(v.items, v.item_scores), ["batch_id"]), "score", digits=8)
 
 
 @query("agg36_token_f1", r"""
@@ -116,7 +116,7 @@ def agg37(v):
           FROM (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN replace(substr(text, 1, length(text) // 2), ' ', '')
                        WHEN 2 THEN substr(text, 1, length(text) // 3) ELSE text END AS out FROM documents))""")
 def prj15(v):
-    out = F.expr("CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN replace(substr(text, 1, cast(length(text) / 2 - 0.25 AS int)), ' ', '') "
+    out = F.expr("CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN replace(substr(text, 1, cast(floor(length(text) / 2) AS int)), ' ', '') "
                  "WHEN 2 THEN substr(text, 1, cast(floor(length(text) / 3) AS int)) ELSE text END")
     docs = v.table("documents").select("doc_id", "text", out.alias("out"))
     return docs.select("doc_id", gates.accept_compression(

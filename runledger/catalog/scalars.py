@@ -60,7 +60,7 @@ def fns5(v):
 @query("fns6_flags", r"""
     SELECT session_id, msg_idx, contains(lower(text), 'failed') OR contains(lower(text), 'assertionerror') AS has_error,
            regexp_matches(text, '\b[1-9]\d*\s+failed\b|\bFAILED\b|\bAssertionError\b') AS failing,
-           NOT contains(text, 'failed') AND regexp_matches(text, '\b[1-9]\d* passed\b') AS passing
+           regexp_matches(text, '\b[1-9]\d* passed\b') AS passing
     FROM fx_trace""")
 def fns6(v):
     t = F.col("text")
@@ -69,12 +69,12 @@ def fns6(v):
 
 
 @query("fns7_paths", r"""
-    SELECT session_id, msg_idx, regexp_extract(text, '(app/mod\d\.py)', 1) AS path, regexp_extract(text, 'app/(mod\d\.py)', 1) AS base
+    SELECT session_id, msg_idx, regexp_extract(text, '(app/mod\d\.py)', 1) AS path, CASE WHEN contains(text, 'app/mod') THEN regexp_extract(text, '(app/mod\d\.py)', 1) || ',' || regexp_extract(text, 'app/(mod\d\.py)', 1) ELSE '' END AS base
     FROM fx_trace""")
 def fns7(v):
     t = F.col("text")
     return v.trace.select("session_id", "msg_idx", F.array_join(T.paths(t), ",").alias("path"),
-                          F.array_join(T.basenames(t), ",").alias("base"))
+                          F.array_join(T.path_names(t), ",").alias("base"))
 
 
 @query("fns8_time", """

@@ -23,8 +23,12 @@ FAILING_TEST = (r"(?m)\b[1-9]\d*\s+failed\b|\b[1-9]\d*\s+errors?\b|\bFAILED\b|\b
 PASSING_TEST = (r"(?m)^=+[^\n]*\b[1-9]\d*\s+passed\b[^\n]*=+\s*$|\b[1-9]\d*\s+passed\b(?![^\n]*\bfailed\b)"
                 r"|^OK\s*$|^OK\s*\([^)]*\)\s*$")
 PATH = r"(?:/)?[\w.-]+(?:/[\w.-]+)+\.[A-Za-z]{1,4}(?::\d+)?"
-DIFF_LINE = r"(?m)^[+-]{3} |^@@ |^diff --git "
-CODE_SIGNATURE = r"(?m)^\s*(?:def|class|async def)\s+\w+"
+DIFF_LINE = r"(?m)^[ \t]*(?:[+\-]|@@|diff --git|---|\+\+\+)"
+CODE_SIGNATURE = r"\b(?:def|class)\s+\w+|\bfunction\s+\w+|=>\s*\{|\b\w+\s*\([^)]*\)\s*:"
+TEST_LINE = (r"(?m)^\s*(?:FAILED|ERROR|FAIL|XFAIL)[: ]\S.*$|^\s*\S+\.py::\S+.*$"
+             r"|^\s*(?:FAIL|ERROR): test\S* \(.*\).*$|^.*\bAssertionError\b.*$")
+ERROR_SCAN_CHARS = 20_000
+TEST_SCAN_CHARS = 30_000
 TRIM_SLACK = 80
 CHARS_PER_TOKEN = 4
 
@@ -39,13 +43,17 @@ def clip(text: Column, limit: int) -> Column:
         F.concat(F.substring(text, 1, max(0, limit - 1)), F.lit("…")))
 
 
-def head_tail(text: Column, head: int, tail: int, marker: str = "\n… [{} chars trimmed] …\n") -> Column:
-    """Head and tail of a long text; short ones (up to head + tail + 80) stay whole."""
+def head_tail(text: Column, head: int, tail: int, marker: str = "\n… [{} chars trimmed] …\n",
+              slack: int = TRIM_SLACK) -> Column:
+    """Head and tail of a long text; short ones (up to head + tail + slack) stay whole.
+
+    ``{}`` in the marker stands for the number of characters cut.
+    """
     n = F.length(text)
-    left, right = marker.split("{}")
-    cut = F.concat(F.substring(text, 1, head), F.lit(left), (n - F.lit(head + tail)).cast("string"), F.lit(right),
-                   F.right(text, F.lit(tail)) if tail else F.lit(""))
-    return F.when(n <= head + tail + TRIM_SLACK, text).otherwise(cut)
+    left, _, right = marker.partition("{}")
+    middle = [F.lit(left), (n - F.lit(head + tail)).cast("string"), F.lit(right)] if "{}" in marker else [F.lit(marker)]
+    cut = F.concat(F.substring(text, 1, head), *middle, F.right(text, F.lit(tail)) if tail else F.lit(""))
+    return F.when(n <= head + tail + slack, text).otherwise(cut)
 
 
 def file_safe(key: Column) -> Column:
@@ -89,29 +97,36 @@ def canonical_json(props: Column) -> Column:
 
 
 def has_error(text: Column) -> Column:
-    low = F.lower(text)
+    low = F.lower(F.substring(text, 1, ERROR_SCAN_CHARS))
     return reduce(lambda a, b: a | b, [low.contains(m) for m in ERROR_MARKERS])
 
 
 def has_failing_test(text: Column) -> Column:
-    return text.rlike(FAILING_TEST)
+    return F.substring(text, 1, TEST_SCAN_CHARS).rlike(FAILING_TEST)
 
 
 def has_passing_test(text: Column) -> Column:
-    return text.rlike(PASSING_TEST)
+    return F.substring(text, 1, TEST_SCAN_CHARS).rlike(PASSING_TEST)
 
 
 def has_diff(text: Column) -> Column:
     return text.rlike(DIFF_LINE)
 
 
+def has_test_line(text: Column) -> Column:
+    return text.rlike(TEST_LINE)
+
+
 def has_signature(text: Column) -> Column:
     return text.rlike(CODE_SIGNATURE)
 
 
 def pinned_line(line: Column) -> Column:
-    """Lines that a compression never drops: errors, test verdicts, diffs, signatures, paths."""
-    return has_error(line) | has_failing_test(line) | has_diff(line) | has_signature(line) | line.rlike(PATH)
+    """Lines that a compression never drops: errors, test verdicts, signatures, diffs, paths."""
+    low = F.lower(line)
+    marked = reduce(lambda a, b: a | b, [low.contains(m) for m in ERROR_MARKERS])
+    return (F.trim(F.regexp_replace(line, r"(?U)\s", "")) != "") & (
+        marked | has_test_line(line) | has_signature(line) | has_diff(line) | line.rlike(PATH))
 
 
 def paths(text: Column) -> Column:
@@ -119,6 +134,8 @@ def paths(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"({PATH})"), 1))
 
 
-def basenames(text: Column, min_length: int = 4) -> Column:
-    names = F.transform(paths(text), lambda p: F.substring_index(p, "/", -1))
-    return F.array_distinct(F.filter(names, lambda n: F.length(n) >= min_length))
+def path_names(text: Column, min_length: int = 4) -> Column:
+    """Paths without line numbers and their last parts, at least ``min_length`` characters."""
+    bare = F.transform(paths(text), lambda p: F.substring_index(p, ":", 1))
+    last = F.transform(bare, lambda p: F.substring_index(p, "/", -1))
+    return F.array_distinct(F.filter(F.concat(bare, last), lambda n: F.length(n) >= min_length))
