@@ -212,7 +212,7 @@ ACTION_SQL = rf"""
     SELECT session_id, msg_idx, text, CASE WHEN role <> 'toolresult' OR msg_idx > last - 6 THEN 'keep'
              WHEN rn > 1 THEN 'duplicate' WHEN long AND near_rn > 1 AND NOT bearing THEN 'near-duplicate'
              WHEN bearing THEN 'protected' ELSE 'stale' END AS action
-    FROM (SELECT t.*, contains(t.text, 'FAILED') OR coalesce(list_bool_or(list_transform(a.active, x -> contains(t.text, x))), FALSE)
+    FROM (SELECT t.*, contains(t.text, 'FAILED') OR coalesce(list_bool_or(list_transform(a.active, lambda x: contains(t.text, x))), FALSE)
                  AS bearing, length(form) >= 400 AS long,
                  row_number() OVER (PARTITION BY t.session_id, t.role, {KEY.replace("text", "t.text")} ORDER BY t.msg_idx DESC) AS rn,
                  row_number() OVER (PARTITION BY t.session_id, t.role, form ORDER BY t.msg_idx DESC) AS near_rn,
@@ -233,7 +233,7 @@ def txt5(v):
 
 @query("txt6_load_bearing", f"""
     SELECT t.session_id, t.msg_idx, contains(t.text, 'FAILED')
-           OR coalesce(list_bool_or(list_transform(a.active, x -> contains(t.text, x))), FALSE) AS load_bearing
+           OR coalesce(list_bool_or(list_transform(a.active, lambda x: contains(t.text, x))), FALSE) AS load_bearing
     FROM fx_trace t LEFT JOIN ({ACTIVE_SQL}) a ON a.session_id = t.session_id WHERE t.role = 'toolresult'""")
 def txt6(v):
     return X.load_bearing(v.trace).select("session_id", "msg_idx", "load_bearing")
@@ -278,11 +278,11 @@ def txt8(v):
     counts AS (SELECT doc_id, line_no, term, count(*) AS tf FROM words GROUP BY ALL),
     nl AS (SELECT doc_id, count(*) AS n FROM fx_lines GROUP BY 1),
     vocab AS (SELECT * FROM (SELECT doc_id, term, count(*) AS df, row_number() OVER (PARTITION BY doc_id ORDER BY sum(tf) DESC, term) AS r
-                             FROM counts GROUP BY ALL) WHERE r <= 4000),
+                             FROM counts GROUP BY doc_id, term) WHERE r <= 4000),
     w AS (SELECT c.doc_id, c.line_no, c.tf * (ln((1 + nl.n) / (1 + v.df)) + 1) AS w
           FROM counts c JOIN vocab v ON v.doc_id = c.doc_id AND v.term = c.term JOIN nl ON nl.doc_id = c.doc_id)
     SELECT l.doc_id, l.line_no, round(coalesce(s.score, 0.0), 6) AS score FROM fx_lines l
-    LEFT JOIN (SELECT doc_id, line_no, sum(w) / sqrt(sum(w * w)) AS score FROM w GROUP BY ALL) s
+    LEFT JOIN (SELECT doc_id, line_no, sum(w) / sqrt(sum(w * w)) AS score FROM w GROUP BY doc_id, line_no) s
       ON s.doc_id = l.doc_id AND s.line_no = l.line_no""")
 def txt8b(v):
     return rounded(L.tfidf_scores(v.lines), "score")

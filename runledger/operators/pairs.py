@@ -191,7 +191,7 @@ def run_scores(tasks: DataFrame, runs: DataFrame, validations: DataFrame, entran
     kinds = ["task_id", "tokens_used", "v_pass", "v_fail"]
     groups = mine.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n_runs"))
     facts = _against_baselines(_baseline_points(runs, validations), groups)
-    scored = attach_facts(mine, facts, kinds, "n_runs", how="inner")
+    scored = attach_facts(mine, facts, kinds, "n_runs", sizes=groups, how="inner")
     return scored.join(tasks.select("task_id", "task_name", "competition_id", "is_screener"), "task_id").select(
         "entrant_id", "hotkey", "banned", "task_id", "task_name", "competition_id", "is_screener", "run_id",
         "attempt_no", "run_resolved", F.col("tokens_used").alias("run_tokens"), "run_score")

@@ -3,7 +3,7 @@
 Messages: session_id, msg_idx (dense from 0), role, text, call_id, tool,
 args. An assistant row makes the call ``call_id``; a toolresult row answers
 it. Sessions may be arbitrarily long: per-session facts are combined
-map-side and joined back with `attach_facts`, running values go through
+map-side and joined back per block of positions, running values go through
 `running_totals`.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions import text as T
-from runledger.scale import attach_facts, keep_first, running_totals
+from runledger.scale import attach_by_block, keep_first, running_totals
 
 RESULT = "toolresult"
 LOOP_WINDOW = 12
@@ -27,12 +27,6 @@ def is_result() -> Column:
     return F.col("role") == RESULT
 
 
-def with_session_facts(messages: DataFrame, *aggs: Column) -> DataFrame:
-    """Messages with per-session aggregates attached."""
-    facts = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("_size"), *aggs)
-    return attach_facts(messages, facts, ["session_id"], "_size")
-
-
 def newest_floor(messages: DataFrame, n: int, condition: Column | None = None, name: str = "floor") -> DataFrame:
     """Per session the position of its ``n``-th newest (matching) message, or of the oldest if fewer."""
     rows = messages if condition is None else messages.where(condition)
@@ -40,16 +34,18 @@ def newest_floor(messages: DataFrame, n: int, condition: Column | None = None, n
     return top.groupBy("session_id").agg(F.min("msg_idx").alias(name), F.count(F.lit(1)).alias(f"{name}_n"))
 
 
-def attach_session(messages: DataFrame, facts: DataFrame) -> DataFrame:
-    """Left join of one-row-per-session facts; hot sessions do not meet in one task."""
-    sizes = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("_size"))
-    return attach_facts(messages, sizes.join(facts, "session_id", "left"), ["session_id"], "_size")
+def attach_session(messages: DataFrame, *facts: DataFrame) -> DataFrame:
+    """Left join of one-row-per-session facts; long sessions are spread over tasks."""
+    joined = messages.groupBy("session_id").agg(F.max("msg_idx").alias("_last_idx"))
+    for f in facts:
+        joined = joined.join(f, "session_id", "left")
+    return attach_by_block(messages, joined, ["session_id"], "msg_idx", "_last_idx")
 
 
 def recent_window(messages: DataFrame, n: int) -> DataFrame:
     """Flag on the newest ``n`` messages of a session."""
-    facts = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("_size"), F.max("msg_idx").alias("_last"))
-    flagged = attach_facts(messages, facts, ["session_id"], "_size")
+    last = messages.groupBy("session_id").agg(F.max("msg_idx").alias("_last"), F.max("msg_idx").alias("_upto"))
+    flagged = attach_by_block(messages, last, ["session_id"], "msg_idx", "_upto")
     return flagged.withColumn("recent", F.col("msg_idx") > F.col("_last") - n).drop("_last")
 
 
@@ -66,17 +62,22 @@ def content_key(text: Column) -> Column:
     return F.sha2(T.collapse_whitespace(F.coalesce(text, F.lit(""))), 256)
 
 
-def newest_by_key(rows: DataFrame, key: str) -> DataFrame:
-    """Rows with the newest position of their (session, key); rows with a null key get null."""
-    facts = rows.where(F.col(key).isNotNull()).groupBy("session_id", key).agg(
-        F.max("msg_idx").alias("newest_idx"), F.count(F.lit(1)).alias("_size"))
-    return attach_facts(rows, facts, ["session_id", key], "_size")
+def newest_of_key(keyed: DataFrame, key: str, flag: str) -> DataFrame:
+    """(session_id, msg_idx) of the newest row of every (session, key).
+
+    Joined back on the position itself, so that a key with very many copies
+    never meets in one task.
+    """
+    return keyed.where(F.col(key).isNotNull()).groupBy("session_id", key).agg(F.max("msg_idx").alias("msg_idx")).select(
+        "session_id", "msg_idx", F.lit(True).alias(flag))
 
 
 def duplicate_results(messages: DataFrame) -> DataFrame:
     """Tool results with a flag: is a later result of the session identical?"""
     results = messages.where(is_result()).withColumn("content_key", content_key(F.col("text")))
-    return newest_by_key(results, "content_key").withColumn("duplicate", F.col("msg_idx") < F.col("newest_idx"))
+    newest = newest_of_key(results.select("session_id", "msg_idx", "content_key"), "content_key", "_newest")
+    return results.join(newest, ["session_id", "msg_idx"], "left").withColumn(
+        "duplicate", F.col("_newest").isNull()).drop("_newest")
 
 
 def pair_calls(messages: DataFrame) -> DataFrame:
@@ -236,11 +237,10 @@ def budget_drop(items: DataFrame, relief: str, target: str, max_entries: int = 4
     summed = running_totals(items, ["session_id"], "pos", {"saved": F.col("saving").cast("long")})
     listed = F.least(F.col("pre_dropped") + F.col("pos"), F.lit(max_entries)) - F.least(
         F.col("pre_dropped"), F.lit(max_entries))
-    after = F.col("planned") - F.col("saved") + listed * entry_chars
-    sized = summed.withColumn("planned_after", after)
+    sized = summed.withColumn("planned_after", F.col("planned") - F.col("saved") + listed * entry_chars)
     cut = sized.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("_size"),
+        F.max("pos").alias("_last_pos"),
         F.min(F.when(F.col("planned_after") <= F.col(relief), F.col("pos"))).alias("_cut"))
-    tagged = attach_facts(sized, cut, ["session_id"], "_size")
+    tagged = attach_by_block(sized, cut, ["session_id"], "pos", "_last_pos")
     over = (F.col("planned") > F.col(target)) & (F.col("planned") > F.col(relief))
     return tagged.withColumn("dropped", over & (F.col("pos") <= F.coalesce("_cut", "pos"))).drop("_cut", "saved")

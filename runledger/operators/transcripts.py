@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from runledger.functions import text as T
 from runledger.operators import sessions as S
 from runledger.operators.lines import extractive_compress
-from runledger.scale import attach_facts, keep_first, positions
+from runledger.scale import keep_first, positions
+from runledger.session import through_parquet
 
 # Fixed values of the compression rules.
 NEAR_DUPLICATE_MIN_CHARS = 400
@@ -99,23 +100,22 @@ def classify_results(messages: DataFrame, intact: int, near: bool = True) -> Dat
     Only keys and flags travel through the grouping shuffles, texts stay put
     until the final join back.
     """
-    facts = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("_size"), F.max("msg_idx").alias("_last"))
-    active = active_paths(messages)
-    tagged = attach_facts(messages, facts.join(active, "session_id", "left"), ["session_id"], "_size")
+    last = messages.groupBy("session_id").agg(F.max("msg_idx").alias("_last"))
     form = T.normal_form(F.coalesce("text", F.lit("")))
-    tagged = tagged.withColumns({
-        "_intact": F.col("msg_idx") > F.col("_last") - intact,
-        "_exact": F.when(S.is_result(), S.content_key(F.col("text"))),
-        "_near": F.when(S.is_result() & (F.length(form) >= NEAR_DUPLICATE_MIN_CHARS), F.sha2(form, 256)),
-        "_bearing": F.when(S.is_result(), load_bearing_flag(F.col("text"), F.col("active")))})
-    tagged = S.newest_by_key(tagged, "_exact").withColumnRenamed("newest_idx", "_exact_newest")
-    tagged = S.newest_by_key(tagged, "_near").withColumnRenamed("newest_idx", "_near_newest")
-    old = S.is_result() & ~F.col("_intact")
+    keys = messages.where(S.is_result()).select(
+        "session_id", "msg_idx", S.content_key(F.col("text")).alias("_exact"),
+        F.when(F.length(form) >= NEAR_DUPLICATE_MIN_CHARS, F.sha2(form, 256)).alias("_near"))
+    newest_exact = S.newest_of_key(keys, "_exact", "_newest_exact")
+    newest_near = S.newest_of_key(keys, "_near", "_newest_near")
+    flags = keys.select("session_id", "msg_idx", F.col("_near").isNotNull().alias("_long"))
+    flags = flags.join(newest_exact, ["session_id", "msg_idx"], "left").join(newest_near, ["session_id", "msg_idx"], "left")
+    tagged = S.attach_session(messages, last, active_paths(messages)).join(flags, ["session_id", "msg_idx"], "left")
+    bearing = load_bearing_flag(F.col("text"), F.col("active"))
     action = (
-        F.when(~old, "keep")
-        .when(F.col("msg_idx") < F.col("_exact_newest"), "duplicate")
-        .when(F.lit(near) & (F.col("msg_idx") < F.col("_near_newest")) & ~F.col("_bearing"), "near-duplicate")
-        .when(F.col("_bearing"), "protected")
+        F.when(~S.is_result() | (F.col("msg_idx") > F.col("_last") - intact), "keep")
+        .when(F.col("_newest_exact").isNull(), "duplicate")
+        .when(F.lit(near) & F.col("_long") & F.col("_newest_near").isNull() & ~bearing, "near-duplicate")
+        .when(bearing, "protected")
         .otherwise("stale"))
     return tagged.select(*messages.columns, action.alias("action"))
 
@@ -188,83 +188,86 @@ def trim_reasoning(messages: DataFrame, intact: int = 12, head: int = 300, tail:
 
 
 def structural_plan(messages: DataFrame, target_tokens: int = 8_000) -> DataFrame:
-    """Every message with what structural compression does to it.
+    """What structural compression does to every message, without its text.
 
-    Adds: zone (tail / interaction / other), duplicate, protected, call_idx,
-    dropped, trunc2 / assist_cap / tail_cap (session levers), planned size.
+    Columns: session_id, msg_idx, role, call_id, call_idx, item (an older
+    interaction), duplicate, protected, dropped, the session levers trunc2 /
+    assist_cap / tail_cap, the zones, planned_chars. The steps depend on each
+    other, so the slim table is written to the scratch folder between them;
+    texts are read once here and never shuffled.
     """
     target = target_tokens * T.CHARS_PER_TOKEN
     relief = int(target * PRESSURE_RELIEF)
-    cost = F.coalesce(F.length("text"), F.lit(0)).cast("long")
-    paired = S.pair_calls(messages).select("session_id", F.col("result_idx").alias("msg_idx"), "call_idx")
-    rows = messages.join(paired, ["session_id", "msg_idx"], "left").withColumn("cost", cost)
+    slim = through_parquet(messages.select(
+        "session_id", "msg_idx", "role", "call_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("cost"),
+        F.when(S.is_result(), S.content_key(F.col("text"))).alias("_key"),
+        (S.is_result() & T.has_error(F.col("text"))).alias("_error")), "structural-messages")
 
+    paired = S.pair_calls(slim).select("session_id", F.col("result_idx").alias("msg_idx"), "call_idx")
+    rows = slim.join(paired, ["session_id", "msg_idx"], "left")
     newest = keep_first(rows.where(S.is_result()).select("session_id", "msg_idx", "call_idx"),
                         ["session_id"], [F.col("msg_idx").desc()], KEEP_RECENT, rank_col="_r")
     tail = newest.groupBy("session_id").agg(
         F.min(F.least("msg_idx", "call_idx")).alias("tail_from"),
         F.min("msg_idx").alias("tail_results_from"),
         F.min(F.when(F.col("_r") <= UNTOUCHABLE, F.col("msg_idx"))).alias("untouchable_from"))
-    facts = messages.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("_size"), F.max("msg_idx").alias("last_idx"),
-        F.min(F.when(F.col("role") == "user", F.col("msg_idx"))).alias("first_user"))
+    facts = slim.groupBy("session_id").agg(
+        F.max("msg_idx").alias("last_idx"), F.min(F.when(F.col("role") == "user", F.col("msg_idx"))).alias("first_user"))
     facts = facts.join(tail, "session_id", "left").withColumn(
         "tail_from", F.coalesce("tail_from", F.greatest(F.col("first_user") + 1, F.col("last_idx") - 7)))
-    rows = attach_facts(rows, facts, ["session_id"], "_size")
-
+    rows = S.attach_session(rows, facts)
     item = S.is_result() & (F.col("msg_idx") < F.col("tail_from"))
-    rows = rows.withColumns({
-        "item": item, "_key": F.when(item, S.content_key(F.col("text"))),
-        "protected": item & T.has_error(F.col("text")),
-        "droppable": item & F.col("call_id").isNotNull() & F.col("call_idx").isNotNull()})
-    rows = S.newest_by_key(rows, "_key").withColumn(
-        "duplicate", F.coalesce(F.col("msg_idx") < F.col("newest_idx"), F.lit(False))).drop("newest_idx", "_key")
-    pre = F.col("duplicate") & F.col("droppable")
+    rows = through_parquet(rows.withColumns({"item": item, "protected": item & F.col("_error")}), "structural-items")
+
+    keys = rows.where("item").select("session_id", "msg_idx", "_key")
+    rows = rows.join(S.newest_of_key(keys, "_key", "_newest"), ["session_id", "msg_idx"], "left")
+    droppable = F.col("item") & F.col("call_id").isNotNull() & F.col("call_idx").isNotNull()
+    duplicate = F.col("item") & F.col("_newest").isNull()
     capped = F.when(F.col("protected"), F.least(F.col("cost"), F.lit(PROTECTED_CAP + 80))).otherwise(
         F.least(F.col("cost"), F.lit(sum(MID) + 80)))
     plain = F.when(F.col("item"), capped).when(S.is_result(), F.least(F.col("cost"), F.lit(ABSOLUTE_CAP))).otherwise(F.col("cost"))
-    rows = rows.withColumns({"_pre": pre, "_plain": plain})
+    rows = rows.withColumns({"duplicate": duplicate, "droppable": droppable, "_pre": duplicate & droppable, "_plain": plain})
 
     # planned size before any budget drop, and what is already gone
+    pre = F.count_if(F.col("_pre"))
     base = rows.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("_size"), F.count_if(F.col("_pre")).alias("pre_dropped"),
-        (F.sum(F.when(F.col("_pre"), 0).otherwise(F.col("_plain")))
-         + F.least(F.count_if(F.col("_pre")), F.lit(DIGEST_ENTRIES)) * DIGEST_ENTRY_CHARS).alias("planned"))
-    rows = attach_facts(rows, base, ["session_id"], "_size")
-    candidates = rows.where("droppable AND NOT _pre").select(
+        pre.alias("pre_dropped"),
+        (F.sum(F.when(F.col("_pre"), 0).otherwise(F.col("_plain"))) + F.least(pre, F.lit(DIGEST_ENTRIES)) * DIGEST_ENTRY_CHARS)
+        .alias("planned"))
+    # only sessions over the target give up more than their duplicates
+    candidates = S.attach_session(rows.where("droppable AND NOT _pre").select("session_id", "msg_idx", "protected", "_plain"),
+                                  base.where(F.col("planned") > target)).where("planned IS NOT NULL").select(
         "session_id", "msg_idx", F.col("protected").cast("long").alias("_p"), F.col("_plain").alias("saving"), "planned",
         "pre_dropped", F.lit(relief).alias("relief"), F.lit(target).alias("target"))
     ordered = positions(candidates, ["session_id"], F.struct("_p", F.floor(F.col("msg_idx") / 65_536)), ["_p", "msg_idx"], "pos")
     dropped = S.budget_drop(ordered, "relief", "target", DIGEST_ENTRIES, DIGEST_ENTRY_CHARS).where("dropped").select(
         "session_id", "msg_idx", F.lit(True).alias("_drop"))
     rows = rows.join(dropped, ["session_id", "msg_idx"], "left").withColumn(
-        "dropped", F.col("_pre") | F.coalesce("_drop", F.lit(False))).drop("_drop")
+        "dropped", F.col("_pre") | F.coalesce("_drop", F.lit(False))).drop("_drop", "_newest", "_key", "_error")
+    rows = through_parquet(rows, "structural-drops")
 
     # three further levers, each tried only while the plan is still over the target
     free = F.col("item") & ~F.col("protected") & ~F.col("dropped")
-    early_assistant = (F.col("role") == "assistant") & (F.col("msg_idx") < F.col("tail_from"))
-    late_assistant = (F.col("role") == "assistant") & ~early_assistant & (F.col("msg_idx") <= F.col("last_idx") - UNTOUCHABLE)
+    early = (F.col("role") == "assistant") & (F.col("msg_idx") < F.col("tail_from"))
+    late = (F.col("role") == "assistant") & ~early & (F.col("msg_idx") <= F.col("last_idx") - UNTOUCHABLE)
     tail_result = S.is_result() & ~F.col("item") & (F.col("msg_idx") >= F.col("tail_results_from")) & (
         F.col("msg_idx") < F.col("untouchable_from"))
-    over = {
+    short_assistant = F.col("cost") - F.least(F.col("cost"), F.lit(sum(ASSISTANT_CAP) + 80))
+    gains = {
         "trunc2": F.when(free, F.col("_plain") - F.least(F.col("cost"), F.lit(sum(MID_SMALL) + 80))),
-        "assist": F.when(early_assistant, F.col("cost") - F.least(F.col("cost"), F.lit(sum(ASSISTANT_CAP) + 80))),
-        "tail": F.when(late_assistant, F.col("cost") - F.least(F.col("cost"), F.lit(sum(ASSISTANT_CAP) + 80)))
-                .when(tail_result, F.col("_plain") - F.least(F.col("cost"), F.lit(TAIL_CAP)))}
+        "assist": F.when(early, short_assistant),
+        "tail": F.when(late, short_assistant).when(
+            tail_result, F.col("_plain") - F.least(F.col("cost"), F.lit(TAIL_CAP)))}
+    n_dropped = F.count_if(F.col("dropped"))
     sums = rows.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("_size"),
         (F.sum(F.when(F.col("dropped"), 0).otherwise(F.col("_plain")))
-         + F.least(F.count_if(F.col("dropped")), F.lit(DIGEST_ENTRIES)) * DIGEST_ENTRY_CHARS).alias("_p0"),
-        *[F.coalesce(F.sum(e), F.lit(0)).alias(f"_g_{n}") for n, e in over.items()])
-    p1 = F.col("_p0") - F.when(F.col("_p0") > target, F.col("_g_trunc2")).otherwise(0)
-    sums = sums.withColumn("trunc2", F.col("_p0") > target).withColumn("_p1", p1)
-    sums = sums.withColumn("assist_cap", F.col("_p1") > target).withColumn(
-        "_p2", F.col("_p1") - F.when(F.col("_p1") > target, F.col("_g_assist")).otherwise(0))
-    sums = sums.withColumn("tail_cap", F.col("_p2") > target).withColumn(
-        "planned_chars", F.col("_p2") - F.when(F.col("_p2") > target, F.col("_g_tail")).otherwise(0))
-    sums = sums.select("session_id", "_size", "trunc2", "assist_cap", "tail_cap", "planned_chars")
-    final = attach_facts(rows, sums, ["session_id"], "_size")
-    return final.withColumns({"_early": early_assistant, "_late": late_assistant, "_tail_result": tail_result})
+         + F.least(n_dropped, F.lit(DIGEST_ENTRIES)) * DIGEST_ENTRY_CHARS).alias("planned_chars"),
+        *[F.coalesce(F.sum(e), F.lit(0)).alias(f"_g_{n}") for n, e in gains.items()])
+    for lever, gain in (("trunc2", "_g_trunc2"), ("assist_cap", "_g_assist"), ("tail_cap", "_g_tail")):
+        sums = sums.withColumn(lever, F.col("planned_chars") > target).withColumn(
+            "planned_chars", F.col("planned_chars") - F.when(F.col(lever), F.col(gain)).otherwise(0))
+    sums = sums.select("session_id", "trunc2", "assist_cap", "tail_cap", "planned_chars")
+    return S.attach_session(rows, sums).withColumns({"early": early, "late": late, "tail_result": tail_result})
 
 
 def digest_entries(dropped: DataFrame, calls: DataFrame) -> DataFrame:
@@ -308,34 +311,42 @@ def merge_digest(text: Column, entries: Column) -> Column:
 
 def compress_structural(messages: DataFrame, target_tokens: int = 8_000) -> DataFrame:
     """Recent tail kept, older interactions dropped or truncated to the target, digest in the first user message."""
-    plan = structural_plan(messages, target_tokens)
+    plan = through_parquet(structural_plan(messages, target_tokens).select(
+        "session_id", "msg_idx", "call_idx", "item", "duplicate", "protected", "dropped", "trunc2", "assist_cap",
+        "tail_cap", "early", "late", "tail_result", "untouchable_from", "first_user"), "structural-plan")
     calls = messages.where((F.col("role") == "assistant") & F.col("call_id").isNotNull()).select(
         "session_id", "call_id", "tool", "args").dropDuplicates(["session_id", "call_id"])
-    gone = plan.where("dropped")
-    digest = session_digest(digest_entries(gone.select("session_id", "msg_idx", "text", "call_id", "duplicate"), calls))
-    stripped = gone.select("session_id", F.col("call_idx").alias("msg_idx")).distinct().withColumn("_strip", F.lit(True))
-    kept = plan.where("NOT dropped").join(stripped, ["session_id", "msg_idx"], "left")
+    # the digest shows the newest forty, so only their texts are fetched
+    shown = keep_first(plan.where("dropped").select("session_id", "msg_idx", "duplicate"), ["session_id"],
+                       [F.col("msg_idx").desc()], DIGEST_ENTRIES)
+    texts = shown.join(messages.select("session_id", "msg_idx", "text", "call_id"), ["session_id", "msg_idx"])
+    digest = session_digest(digest_entries(texts, calls))
+    stripped = plan.where("dropped").select("session_id", F.col("call_idx").alias("msg_idx")).distinct().withColumn(
+        "_strip", F.lit(True))
+    kept = (plan.where("NOT dropped").join(stripped, ["session_id", "msg_idx"], "left")
+            .join(messages, ["session_id", "msg_idx"]))
     strip = F.coalesce("_strip", F.lit(False)) & (F.col("role") == "assistant")
     # an assistant message whose only content was the stripped call disappears
     kept = kept.where(~(strip & (F.trim(F.coalesce("text", F.lit(""))) == "")))
     t = F.col("text")
-    small, mid = T.head_tail(t, *MID_SMALL), T.head_tail(t, *MID)
     share = lambda cap: T.head_tail(t, int(cap * 0.75), int(cap * 0.25))
     assistant = T.head_tail(t, *ASSISTANT_CAP)
     text = (
         F.when(F.col("item") & F.col("protected"), share(PROTECTED_CAP))
-        .when(F.col("item") & F.col("trunc2"), small).when(F.col("item"), mid)
-        .when(F.col("_tail_result") & F.col("tail_cap"), share(TAIL_CAP))
+        .when(F.col("item") & F.col("trunc2"), T.head_tail(t, *MID_SMALL)).when(F.col("item"), T.head_tail(t, *MID))
+        .when(F.col("tail_result") & F.col("tail_cap"), share(TAIL_CAP))
         .when(S.is_result() & (F.col("msg_idx") < F.col("untouchable_from")), share(ABSOLUTE_CAP))
-        .when(F.col("_early") & (F.col("assist_cap") | F.col("tail_cap")), assistant)
-        .when(F.col("_late") & F.col("tail_cap"), assistant)
+        .when(F.col("early") & (F.col("assist_cap") | F.col("tail_cap")), assistant)
+        .when(F.col("late") & F.col("tail_cap"), assistant)
         .otherwise(t))
     shaped = kept.select("session_id", "msg_idx", "role", text.alias("text"),
                          *[F.when(~strip, F.col(c)).alias(c) for c in ("call_id", "tool", "args")], "first_user")
-    opening = shaped.where("msg_idx = first_user").join(digest, "session_id", "left").withColumn(
-        "text", merge_digest(F.col("text"), F.col("entries"))).drop("entries")
-    others = shaped.where("first_user IS NULL OR msg_idx <> first_user")
-    return others.unionByName(opening).drop("first_user")
+    # the digest is keyed by the position of the first user message, one row per session
+    homes = plan.where("msg_idx = first_user").select("session_id", "msg_idx").join(digest, "session_id", "left").withColumn(
+        "_home", F.lit(True))
+    out = shaped.join(homes, ["session_id", "msg_idx"], "left")
+    merged = F.when(F.col("_home"), merge_digest(F.col("text"), F.col("entries"))).otherwise(F.col("text"))
+    return out.withColumn("text", merged).drop("entries", "_home", "first_user")
 
 
 def compress(messages: DataFrame, modes: DataFrame, target_tokens: int = 8_000) -> DataFrame:
@@ -372,22 +383,19 @@ def audit(before: DataFrame, after: DataFrame) -> DataFrame:
 def sweep(messages: DataFrame, profiles: DataFrame) -> DataFrame:
     """Gentle compression of every session under every profile.
 
-    ``profiles``: profile, stale_cap, protected_cap, intact. Profiles are a
-    knob table; the messages are classified once per distinct intact value
-    by giving each (profile, session) its own session key.
+    ``profiles``: profile, stale_cap, protected_cap, intact (a small knob
+    table). Copies and session ends are found once and shared by all profiles.
     """
-    widened = messages.crossJoin(F.broadcast(profiles.select("profile", "stale_cap", "protected_cap", "intact")))
-    keyed = widened.withColumn("session_id", F.struct("profile", "session_id"))
-    facts = keyed.groupBy("session_id").agg(F.count(F.lit(1)).alias("_size"), F.max("msg_idx").alias("_last"))
-    tagged = attach_facts(keyed, facts, ["session_id"], "_size").withColumn(
-        "_exact", F.when(S.is_result(), S.content_key(F.col("text"))))
-    tagged = S.newest_by_key(tagged, "_exact")
+    results = messages.where(S.is_result()).select("session_id", "msg_idx", S.content_key(F.col("text")).alias("_exact"))
+    newest = S.newest_of_key(results, "_exact", "_newest")
+    last = messages.groupBy("session_id").agg(F.max("msg_idx").alias("_last"))
+    tagged = S.attach_session(messages, last).join(newest, ["session_id", "msg_idx"], "left")
+    widened = tagged.crossJoin(F.broadcast(profiles.select("profile", "stale_cap", "protected_cap", "intact")))
     old = S.is_result() & (F.col("msg_idx") <= F.col("_last") - F.col("intact"))
     cap = F.when(T.has_error(F.col("text")), F.col("protected_cap")).otherwise(F.col("stale_cap"))
-    text = (F.when(~old, F.col("text")).when(F.col("msg_idx") < F.col("newest_idx"), DUPLICATE_MARK)
+    text = (F.when(~old, F.col("text")).when(F.col("_newest").isNull(), DUPLICATE_MARK)
             .when(F.length("text") <= cap, F.col("text")).otherwise(extractive_compress(F.col("text"), cap)))
-    return tagged.select("session_id.profile", "session_id.session_id", "msg_idx", "role", text.alias("text"),
-                         F.col("text").alias("text_in"))
+    return widened.select("profile", "session_id", "msg_idx", "role", text.alias("text"), F.col("text").alias("text_in"))
 
 
 def savings_by_mode(audited: DataFrame) -> DataFrame:

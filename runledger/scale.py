@@ -48,34 +48,46 @@ def keep_first(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Colu
 
 
 def attach_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], size_col: str,
-                 how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
+                 sizes: DataFrame | None = None, how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join per-group ``facts`` back to the rows of the group, whatever the skew.
 
     ``facts`` holds one row per key and ``size_col`` says how many rows that
-    key has. Facts of hot groups are broadcast (their number is bounded by
-    total/hot_rows); rows of hot groups leave the shuffle join by taking a
-    random negative bucket, so they spread evenly instead of meeting in one
-    task. ``how`` is ``left`` or ``inner``. ``size_col`` is consumed.
+    key has; a group of n rows is split into ceil(n / hot_rows) salts and its
+    facts are repeated once per salt. Rows learn the salt count of hot groups
+    from a broadcast list, whose length is at most total_rows / hot_rows.
+    ``sizes`` (keys and ``size_col``) can supply that list more cheaply than
+    ``facts``. ``size_col`` is consumed.
     """
     values = [c for c in facts.columns if c not in keys and c != size_col]
-    packed = F.struct(*[F.col(v) for v in values])
-    hot = facts.where(F.col(size_col) > hot_rows).select(
-        *[F.col(k).alias(f"_h_{k}") for k in keys], packed.alias("_hot"))
-    cold = facts.where(F.col(size_col) <= hot_rows).select(
-        *[F.col(k).alias(f"_c_{k}") for k in keys], F.lit(0).alias("_c_spread"), packed.alias("_cold"))
+    hot = (sizes if sizes is not None else facts).where(F.col(size_col) > hot_rows).select(
+        *[F.col(k).alias(f"_h_{k}") for k in keys], F.ceil(F.col(size_col) / hot_rows).cast("int").alias("_salts"))
     tagged = rows.join(
         F.broadcast(hot), same([F.col(k) for k in keys], [F.col(f"_h_{k}") for k in keys]), "left")
     tagged = tagged.drop(*[f"_h_{k}" for k in keys]).withColumn(
-        "_spread", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise((-1 - F.rand(7) * 4096).cast("int")))
+        "_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise((F.rand(7) * F.col("_salts")).cast("int")))
+    salts = F.greatest(F.lit(1), F.ceil(F.col(size_col) / hot_rows).cast("int"))
+    repeated = facts.select(
+        *[F.col(k).alias(f"_c_{k}") for k in keys], F.explode(F.sequence(F.lit(0), salts - 1)).alias("_c_salt"),
+        *values)
     joined = tagged.join(
-        cold,
-        same([F.col(k) for k in keys], [F.col(f"_c_{k}") for k in keys])
-        & (F.col("_spread") == F.col("_c_spread")),
-        "left")
-    picked = F.coalesce(F.col("_hot"), F.col("_cold"))
-    if how == "inner":
-        joined = joined.where(picked.isNotNull())
-    return joined.select(*[F.col(c) for c in rows.columns], *[picked[v].alias(v) for v in values])
+        repeated, same([F.col(k) for k in keys], [F.col(f"_c_{k}") for k in keys])
+        & (F.col("_salt") == F.col("_c_salt")), how)
+    return joined.select(*[F.col(c) for c in rows.columns], *values)
+
+
+def attach_by_block(rows: DataFrame, facts: DataFrame, keys: Sequence[str], position: str, last: str,
+                    block: int = BLOCK_ROWS) -> DataFrame:
+    """Left join of one-row-per-key facts to rows that know their position inside the key.
+
+    ``last`` (consumed) is the largest position of the key. The facts are
+    repeated once per block of positions, about rows / block copies in all,
+    and the join runs on (key, block), so a long group is spread over tasks.
+    """
+    values = [c for c in facts.columns if c not in keys and c != last]
+    repeated = facts.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col(last) / block))).alias("_block"),
+                            *values)
+    tagged = rows.withColumn("_block", F.floor(F.col(position) / block))
+    return tagged.join(repeated, [*keys, "_block"], "left").select(*[F.col(c) for c in rows.columns], *values)
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], position: str, sums: Mapping[str, Column],
