@@ -11,10 +11,12 @@ from runledger.plans import leaderboard
 
 
 def run_scores(v):
+    v = v.settled()
     return pairs.run_scores(v.tasks, v.runs, v.validations, v.entrants)
 
 
 def task_cells(v):
+    v = v.settled()
     return pairs.scored_cells(v.tasks, v.runs, v.validations, v.entrants)
 
 
@@ -269,6 +271,7 @@ ELIGIBLE_SQL = """
                      FROM ({CATEGORY_SQL}) GROUP BY hotkey) c ON c.hotkey = t.hotkey
           LEFT JOIN ({ELIGIBLE_SQL}) e ON e.hotkey = t.hotkey)""")
 def top1(v):
+    v = v.settled()
     board = leaderboard.build(v.tasks, v.runs, v.validations, v.entrants)
     return rounded(board.select("position", "hotkey", "total_score", "screener_score", "easy", "medium", "hard",
                                 "screener_passed", "total_rows"),

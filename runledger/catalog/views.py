@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.scale import keep_first, positions
+from runledger.session import through_parquet
 
 NOW = "1998-06-01 00:00:00"
 
@@ -252,6 +253,13 @@ class Views:
         return keep_first(self.table("lineitem"), ["l_orderkey", "l_linenumber"],
                           [F.col(c).asc_nulls_last() for c in order])
 
+    def settled(self) -> "Views":
+        """Write the deduplicated line items once, for queries that read runs and verdicts several times."""
+        if not getattr(self, "_settled", False):
+            self.__dict__["lineitems"] = through_parquet(self.lineitems, "line-items")
+            self._settled = True
+        return self
+
     @cached_property
     def runs(self) -> DataFrame:
         return self.lineitems.selectExpr(

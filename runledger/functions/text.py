@@ -33,6 +33,15 @@ TRIM_SLACK = 80
 CHARS_PER_TOKEN = 4
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``.
+
+    A lambda over a one-element array binds the value; without it an array
+    expression used inside another lambda is evaluated per element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def collapse_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 

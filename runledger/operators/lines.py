@@ -22,55 +22,70 @@ def distinct_words(line: Column) -> Column:
     return F.size(F.array_distinct(F.regexp_extract_all(line, F.lit(r"(?U)(\w+)"), 1)))
 
 
-def kept_lines(text: Column, target_chars: int | Column) -> Column:
-    """Zero-based numbers of the lines that stay: pinned ones, then the richest until the budget is used."""
-    target = target_chars if isinstance(target_chars, Column) else F.lit(target_chars)
-    lines = F.split(text, "\n", -1)
+def _kept(lines: Column, target: Column) -> Column:
     described = F.transform(lines, lambda line, i: F.struct(
-        i.alias("i"), line.alias("line"), (F.length(line) + 1).alias("cost"), T.pinned_line(line).alias("pin"),
+        i.alias("i"), (F.length(line) + 1).alias("cost"), T.pinned_line(line).alias("pin"),
         distinct_words(line).alias("score"), (F.trim(F.regexp_replace(line, r"(?U)\s", "")) == "").alias("blank")))
-    pinned = F.filter(described, lambda d: d["pin"])
-    pinned_cost = F.aggregate(pinned, F.lit(0).cast("long"), lambda acc, d: acc + d["cost"])
-    rest = F.array_sort(F.transform(
-        F.filter(described, lambda d: ~d["pin"] & ~d["blank"]),
-        lambda d: F.struct((-d["score"]).alias("neg"), d["i"].alias("i"), d["cost"].alias("cost"))))
-    # a line is taken while the budget is not yet used up before it
-    taken = F.aggregate(
-        rest, F.struct(pinned_cost.alias("used"), F.lit(0).alias("n")),
-        lambda acc, d: F.when(acc["used"] < target, F.struct(
-            (acc["used"] + d["cost"]).alias("used"), (acc["n"] + 1).alias("n"))).otherwise(acc))["n"]
-    return F.array_sort(F.concat(F.transform(pinned, lambda d: d["i"]),
-                                 F.transform(F.slice(rest, F.lit(1), taken), lambda d: d["i"])))
 
+    def choose(d: Column) -> Column:
+        pinned = F.filter(d, lambda x: x["pin"])
+        rest = F.array_sort(F.transform(
+            F.filter(d, lambda x: ~x["pin"] & ~x["blank"]),
+            lambda x: F.struct((-x["score"]).alias("neg"), x["i"].alias("i"), x["cost"].alias("cost"))))
+        used = F.aggregate(pinned, F.lit(0).cast("long"), lambda acc, x: acc + x["cost"])
+        return T.let(F.struct(pinned.alias("pinned"), rest.alias("rest"), used.alias("used")), fill)
 
-def extractive_compress(text: Column, target_chars: int | Column) -> Column:
-    """Keep pinned lines, then the lines richest in distinct words until the budget is used.
+    def fill(s: Column) -> Column:
+        # a line is taken while the budget is not yet used up before it
+        taken = F.aggregate(
+            s["rest"], F.struct(s["used"].alias("used"), F.lit(0).alias("n")),
+            lambda acc, x: F.when(acc["used"] < target, F.struct(
+                (acc["used"] + x["cost"]).alias("used"), (acc["n"] + 1).alias("n"))).otherwise(acc))["n"]
+        return F.array_sort(F.concat(F.transform(s["pinned"], lambda x: x["i"]),
+                                     F.transform(F.slice(s["rest"], F.lit(1), taken), lambda x: x["i"])))
 
-    Order is kept and gaps are marked. If that does not shorten the text it is
-    cut to head and tail. Texts within the budget stay as they are.
-    """
+    return T.let(described, choose)
+
+
+def kept_lines(text: Column, target_chars: int | Column) -> Column:
+    """Zero-based numbers of the lines that stay: pinned ones, then the richest until the budget is used."""
     target = target_chars if isinstance(target_chars, Column) else F.lit(target_chars)
-    lines = F.split(text, "\n", -1)
-    kept = kept_lines(text, target)
-    n_lines, n_kept = F.size(lines), F.size(kept)
+    return _kept(F.split(text, "\n", -1), target)
+
+
+def _render(lines: Column, kept: Column) -> Column:
+    """Kept lines in order, an ellipsis line for every gap."""
 
     def emit(i: Column, position: Column) -> Column:
-        # try_element_at yields null before the first kept line
         previous = F.when(position > 0, F.try_element_at(kept, F.greatest(position, F.lit(1)))).otherwise(F.lit(-1))
         line = F.try_element_at(lines, i + 1)
         return F.when(i > previous + 1, F.concat(F.lit(GAP + "\n"), line)).otherwise(line)
 
-    body = F.array_join(F.transform(kept, emit), "\n")
     last = F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit(-1))
-    tail_gap = F.when(last < n_lines - 1, F.when(n_kept > 0, F.lit("\n" + GAP)).otherwise(F.lit(GAP))).otherwise(F.lit(""))
-    joined = F.concat(body, tail_gap)
-    head, tail = F.floor(target * 0.75).cast("int"), F.floor(target * 0.25).cast("int")
+    closing = F.when(last < F.size(lines) - 1, F.when(F.size(kept) > 0, F.lit("\n" + GAP)).otherwise(F.lit(GAP)))
+    return F.concat(F.array_join(F.transform(kept, emit), "\n"), F.coalesce(closing, F.lit("")))
+
+
+def extractive_compress(text: Column, target_chars: int | Column) -> Column:
+    """Keep pinned lines, then the lines richest in distinct words until the budget is used.
+
+    Order is kept and gaps are marked. If that does not shorten the text it is
+    cut to head and tail. Texts within the budget stay as they are.
+    """
+    target = target_chars if isinstance(target_chars, Column) else F.lit(target_chars)
     n = F.length(text)
+    head, tail = F.floor(target * 0.75).cast("int"), F.floor(target * 0.25).cast("int")
     cut = F.when(n <= head + tail + T.TRIM_SLACK, text).otherwise(F.concat(
         F.substring(text, F.lit(1), head), F.lit("\n… ["), (n - head - tail).cast("string"),
         F.lit(" chars trimmed] …\n"), F.right(text, tail)))
-    return (F.when(n <= target, text).when(n_kept >= n_lines, text)
-            .when(F.length(joined) >= n, cut).otherwise(joined))
+
+    def finish(s: Column) -> Column:
+        return F.when(F.size(s["kept"]) >= F.size(s["lines"]), text).otherwise(T.let(
+            _render(s["lines"], s["kept"]), lambda out: F.when(F.length(out) >= n, cut).otherwise(out)))
+
+    chosen = T.let(F.split(text, "\n", -1), lambda lines: T.let(
+        F.struct(lines.alias("lines"), _kept(lines, target).alias("kept")), finish))
+    return F.when(n <= target, text).otherwise(chosen)
 
 
 def line_scores(lines: DataFrame) -> DataFrame:
@@ -109,13 +124,19 @@ def downsample_text(text: Column, ratio: float) -> Column:
     tokens = T.token_estimate(text)
     target = F.greatest(F.lit(1).cast("long"), F.floor(tokens * F.lit(ratio)))
     share = F.greatest(F.lit(0.01), F.least(F.lit(1.0), target / F.nullif(tokens, F.lit(0))))
-    pieces = F.regexp_extract_all(text, F.lit(r"(?U)(\S+\s*)"), 1)
 
-    def shorten(piece: Column) -> Column:
-        word = F.regexp_replace(piece, r"(?U)\s+$", "")
-        keep = F.greatest(F.lit(1), F.least(F.length(word), F.rint(F.length(word) * share).cast("int")))
-        return F.concat(F.substring(word, F.lit(1), keep), F.substring(piece, F.length(word) + 1, F.length(piece)))
+    def shorten(piece: Column, share: Column) -> Column:
+        def cut(word: Column) -> Column:
+            keep = F.greatest(F.lit(1), F.least(F.length(word), F.rint(F.length(word) * share).cast("int")))
+            return F.concat(F.substring(word, F.lit(1), keep), F.substring(piece, F.length(word) + 1, F.length(piece)))
+
+        return T.let(F.regexp_replace(piece, r"(?U)\s+$", ""), cut)
+
+    def all_words(s: Column) -> Column:
+        pieces = F.regexp_extract_all(text, F.lit(r"(?U)(\S+\s*)"), 1)
+        out = F.array_join(F.transform(pieces, lambda p: shorten(p, s["share"])), "")
+        trimmed = F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
+        return F.regexp_replace(F.substring(trimmed, F.lit(1), s["chars"]), r"(?U)\s+$", "")
 
-    out = F.regexp_replace(F.array_join(F.transform(pieces, shorten), ""), r"(?U)^\s+|\s+$", "")
-    capped = F.regexp_replace(F.substring(out, F.lit(1), (target * T.CHARS_PER_TOKEN).cast("int")), r"(?U)\s+$", "")
-    return F.when(tokens <= target, text).when(F.coalesce(tokens, F.lit(0)) == 0, F.lit("")).otherwise(capped)
+    shortened = T.let(F.struct(share.alias("share"), (target * T.CHARS_PER_TOKEN).cast("int").alias("chars")), all_words)
+    return F.when(tokens <= target, text).when(F.coalesce(tokens, F.lit(0)) == 0, F.lit("")).otherwise(shortened)

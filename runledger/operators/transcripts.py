@@ -130,9 +130,9 @@ def _collapse(messages: DataFrame, intact: int, near: bool) -> DataFrame:
 def compress_gentle(messages: DataFrame, stale_cap: int = 6_000, protected_cap: int = 30_000, intact: int = 10) -> DataFrame:
     """No message is dropped: copies collapse, old results are trimmed line-wise to a cap by class."""
     marked = _collapse(messages, intact, near=True)
-    text = (F.when(F.col("action") == "protected", extractive_compress(F.col("text"), protected_cap))
-            .when(F.col("action") == "stale", extractive_compress(F.col("text"), stale_cap)).otherwise(F.col("text")))
-    return marked.withColumn("text", text)
+    trimmed = F.col("action").isin("protected", "stale")
+    cap = F.when(F.col("action") == "protected", F.lit(protected_cap)).otherwise(F.lit(stale_cap))
+    return marked.withColumn("text", F.when(trimmed, extractive_compress(F.col("text"), cap)).otherwise(F.col("text")))
 
 
 def issue_text(messages: DataFrame) -> DataFrame:
@@ -306,7 +306,8 @@ def merge_digest(text: Column, entries: Column) -> Column:
                       F.coalesce(entries, F.array().cast("array<string>")))
     newest = F.slice(listed, F.greatest(F.lit(1), F.size(listed) - DIGEST_ENTRIES + 1), F.lit(DIGEST_ENTRIES))
     block = F.concat_ws("\n", F.lit(DIGEST_HEADER), F.array_join(newest, "\n"), F.lit(DIGEST_END))
-    return F.when(F.size(listed) > 0, F.concat(F.rtrim(bare), F.lit("\n\n"), block)).otherwise(bare)
+    body = F.regexp_replace(bare, r"(?U)\s+$", "")
+    return F.when(F.size(listed) > 0, F.concat(body, F.lit("\n\n"), block)).otherwise(bare)
 
 
 def compress_structural(messages: DataFrame, target_tokens: int = 8_000) -> DataFrame:
@@ -363,6 +364,8 @@ def compress(messages: DataFrame, modes: DataFrame, target_tokens: int = 8_000)
 
 def audit(before: DataFrame, after: DataFrame) -> DataFrame:
     """Per session: tokens in and out, ratio, user messages kept, newest result kept, orphan guard."""
+    # the compressed side is read by every check, so it is computed once
+    after = through_parquet(after.select("session_id", "msg_idx", "role", "text", "call_id"), "audited")
     size = lambda df, name: df.groupBy("session_id").agg(
         F.greatest(F.lit(1).cast("long"), F.ceil(F.sum(F.coalesce(F.length("text"), F.lit(0))) / T.CHARS_PER_TOKEN)).alias(name))
     users = before.where("role = 'user'").select("session_id", "msg_idx", F.substring("text", 1, 60).alias("_snip"))
