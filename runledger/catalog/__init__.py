@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from runledger.catalog.registry import ORACLE, QUERIES
 from runledger.catalog.views import Views, compose
 
-MODULES = ("scoring", "rewards", "screening", "rounds", "scalars", "transcripts", "research", "ingest")
+MODULES = ("scoring", "rewards", "screening", "rounds", "scalars", "transcripts", "research", "ingest", "streams")
 
 
 def load() -> None:
