@@ -11,7 +11,8 @@ from runledger.operators import queues, rewards
 from runledger.plans import reward_round
 from runledger.session import through_parquet
 
-NOW_COL = F.lit(NOW).cast("timestamp")
+def now_col():
+    return F.lit(NOW).cast("timestamp")
 
 SUBSETS_SQL = """
     SELECT * FROM (VALUES ('Easy+Medium+Hard', 'Easy', 3, 1.0), ('Easy+Medium+Hard', 'Medium', 3, 1.0),
@@ -115,7 +116,7 @@ def agg9b(v):
     SELECT reward_id, hotkey, weight FROM fx_reward_rows
     WHERE approved AND starts_at <= TIMESTAMP '{NOW}' AND ends_at >= TIMESTAMP '{NOW}'""")
 def joi12(v):
-    return queues.active_at(v.reward_rows.where("approved"), NOW_COL).select("reward_id", "hotkey", "weight")
+    return queues.active_at(v.reward_rows.where("approved"), now_col()).select("reward_id", "hotkey", "weight")
 
 
 @query("joi12_valid_at_many", """
@@ -159,13 +160,13 @@ def _payout_sql(scale: str) -> str:
 
 @query("agg11_payout", _payout_sql("100"))
 def agg11(v):
-    active = queues.active_at(v.reward_rows.where("approved"), NOW_COL).withColumn("weight", F.col("weight") / 100)
+    active = queues.active_at(v.reward_rows.where("approved"), now_col()).withColumn("weight", F.col("weight") / 100)
     return rounded(rewards.payout(registry(v).select("uid"), 0.002, active, registry(v)), "weight")
 
 
 @query("agg11_payout_overflow", _payout_sql("0.001"))
 def agg11b(v):
-    active = queues.active_at(v.reward_rows.where("approved"), NOW_COL).withColumn("weight", F.col("weight") / 0.001)
+    active = queues.active_at(v.reward_rows.where("approved"), now_col()).withColumn("weight", F.col("weight") / 0.001)
     return rounded(rewards.payout(registry(v).select("uid"), 0.002, active, registry(v)), "weight")
 
 
@@ -194,7 +195,7 @@ def agg12(v):
 def str10(v):
     changes = v.reward_rows.where("reward_id % 10 = 3").select("reward_id", F.lit(False).alias("approved"))
     candidates = v.reward_rows.select("hotkey", "competition_id").distinct().withColumn("weight", F.lit(0.125))
-    out = reward_round.apply_approval(v.reward_rows, changes, candidates, NOW_COL)
+    out = reward_round.apply_approval(v.reward_rows, changes, candidates, now_col())
     return rounded(out.groupBy("hotkey", "competition_id", "starts_at", "ends_at").agg(
         F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n_rows"), F.bool_or("approved").alias("approved")),
         "weight")

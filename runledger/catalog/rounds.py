@@ -93,7 +93,7 @@ def agg35(v):
 def agg36(v):
     bench = v.table("benchmark")
     n = bench.agg(F.count(F.lit(1)).alias("n_items"))
-    pairs = (v.table("documents").select("doc_id", "text").crossJoin(F.broadcast(n))
+    pairs = (v.documents.select("doc_id", "text").crossJoin(F.broadcast(n))
              .withColumn("item_id", F.col("doc_id") % F.col("n_items"))
              .join(bench.select("item_id", F.col("text").alias("truth")), "item_id")
              .select(F.col("doc_id").alias("question_id"), F.col("text").alias("answer"), "truth"))
@@ -118,7 +118,7 @@ def agg37(v):
 def prj15(v):
     out = F.expr("CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN replace(substr(text, 1, cast(floor(length(text) / 2) AS int)), ' ', '') "
                  "WHEN 2 THEN substr(text, 1, cast(floor(length(text) / 3) AS int)) ELSE text END")
-    docs = v.table("documents").select("doc_id", "text", out.alias("out"))
+    docs = v.documents.select("doc_id", "text", out.alias("out"))
     return docs.select("doc_id", gates.accept_compression(
         F.col("text"), F.col("out"), F.lit(0.5), F.size(F.split("text", " ", -1)).cast("long"),
         F.size(F.split("out", " ", -1)).cast("long")).alias("accepted"))
@@ -185,7 +185,7 @@ DIFF_SQL = """
 def prj18(v):
     patch = F.expr(r"""CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN concat('diff --git a/x b/x\n', text)
         WHEN 2 THEN concat('--- a/x\n+++ b/x\n', text) WHEN 3 THEN concat('--- a/x\n', text) ELSE '' END""")
-    return v.table("documents").select("doc_id", gates.is_unified_diff(patch).alias("is_diff"))
+    return v.documents.select("doc_id", gates.is_unified_diff(patch).alias("is_diff"))
 
 
 @query("prj19_extract_test_log", """
@@ -202,4 +202,4 @@ def prj19(v):
         WHEN 1 THEN concat('boot\n{gates.TEST_OUTPUT_START}\n', text, '\n')
         WHEN 2 THEN concat('no markers\n{gates.TEST_SESSION_BANNER}\n', text)
         ELSE concat('  ', text) END""")
-    return v.table("documents").select("doc_id", gates.extract_test_log(raw).alias("log"))
+    return v.documents.select("doc_id", gates.extract_test_log(raw).alias("log"))

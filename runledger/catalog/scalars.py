@@ -20,7 +20,7 @@ from runledger.operators.screening import required_passes
     FROM documents""")
 def fns1(v):
     t = F.col("text")
-    return v.table("documents").select(
+    return v.documents.select(
         "doc_id", T.collapse_whitespace(t).alias("collapsed"), T.clip(t, 60).alias("clipped"),
         T.head_tail(t, 200, 100).alias("head_tail"), T.file_safe(F.concat_ws("/", "source", "lang")).alias("file_key"))
 
@@ -39,13 +39,13 @@ def fns2(v):
 @query("fns3_token_estimate", """
     SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(ceil(length(text) / 4.0) AS BIGINT)) END AS tokens FROM documents""")
 def fns3(v):
-    return v.table("documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+    return v.documents.select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
 @query("fns4_normal_form", """
     SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '', 'g'), '[^a-z]+', ' ', 'g'))) AS form FROM documents""")
 def fns4(v):
-    return v.table("documents").select("doc_id", F.md5(T.normal_form(F.col("text"))).alias("form"))
+    return v.documents.select("doc_id", F.md5(T.normal_form(F.col("text"))).alias("form"))
 
 
 @query("fns5_fingerprints", """

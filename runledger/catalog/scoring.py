@@ -287,3 +287,11 @@ def top2(v):
     submits = v.table("orders").groupBy(F.concat(F.lit("C"), "o_custkey").alias("hotkey")).agg(
         F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))).alias("last_submit"))
     return boards.entrant_page(submits, 2, 50).select("position", "hotkey", "last_submit", "total_rows")
+
+
+@query("set5_required_set", """
+    SELECT s.hotkey, count(DISTINCT s.task_id) AS n_scored_tasks, (SELECT count(*) FROM fx_difficulty) AS n_required,
+           count(DISTINCT s.task_id) = (SELECT count(*) FROM fx_difficulty) AS complete
+    FROM fx_run_scores s JOIN fx_difficulty d ON d.task_id = s.task_id WHERE run_score IS NOT NULL GROUP BY s.hotkey""")
+def set5(v):
+    return difficulty.complete_entrants(task_cells(v), classes(v)).drop("entrant_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runledger.catalog.registry import query, rounded
-from runledger.catalog.rewards import NOW_COL
+from runledger.catalog.rewards import now_col
 from runledger.catalog.scoring import ELIGIBLE_SQL
 from runledger.catalog.views import NOW
 from runledger.operators import gates, queues, screening
@@ -202,7 +202,7 @@ def set1(v):
     current = ranked.where("c_nationkey % 2 = 0 OR id % 3 = 0")
     previous = ranked.where("c_nationkey % 2 = 1")
     start = F.lit("1998-05-31 22:00:00").cast("timestamp")
-    return screening.screeners_with_grace(current, previous, NOW_COL, start)
+    return screening.screeners_with_grace(current, previous, now_col(), start)
 
 
 @query("win1_latest_scripts", """
@@ -357,7 +357,7 @@ def joi13(v):
       SELECT *, CASE WHEN upload_starts_at <= TIMESTAMP '{NOW}' AND eval_ends_at >= TIMESTAMP '{NOW}' THEN 0 ELSE 1 END AS priority
       FROM fx_competitions WHERE is_active) ORDER BY priority, upload_starts_at DESC, competition_id DESC LIMIT 1""")
 def joi14(v):
-    return queues.active_competition(v.competitions, NOW_COL).select("competition_id", "name", "priority")
+    return queues.active_competition(v.competitions, now_col()).select("competition_id", "name", "priority")
 
 
 @query("prj13_status_overrides", f"""
@@ -474,7 +474,7 @@ def prj22(v):
         "reward_id AS request_id", "reward_id % 150 AS competition_id",
         "CASE WHEN reward_id % 11 IN (0, 1) THEN NULL ELSE starts_at END AS starts_at",
         "CASE WHEN reward_id % 11 IN (1, 2) THEN NULL WHEN reward_id % 13 = 0 THEN starts_at ELSE ends_at END AS ends_at")
-    return gates.validate_windows(requests, v.competitions, NOW_COL)
+    return gates.validate_windows(requests, v.competitions, now_col())
 
 
 @query("prj11_mask_until", f"""
@@ -482,4 +482,30 @@ def prj22(v):
            eval_starts_at FROM fx_competitions""")
 def prj11(v):
     return gates.mask_until(v.competitions.select("competition_id", "name", "eval_starts_at"), ["name"],
-                            F.col("eval_starts_at"), NOW_COL)
+                            F.col("eval_starts_at"), now_col())
+
+
+PAGE_STATUS_SQL = """
+    SELECT c_nationkey AS competition_id, 'C' || c_custkey AS hotkey, c_mktsegment AS status, max(o_orderdate) AS last_submit
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_nationkey, c_custkey, c_mktsegment"""
+
+
+@query("joi3_leaderboard_page", f"""
+    SELECT CAST(rn AS INTEGER) AS position, competition_id, hotkey, status, last_submit, score, screener_score, total_rows FROM (
+      SELECT s.*, c.score, q.screener_score, row_number() OVER (ORDER BY s.last_submit DESC NULLS LAST, s.hotkey, s.competition_id) AS rn,
+             count(*) OVER () AS total_rows
+      FROM ({PAGE_STATUS_SQL}) s
+      LEFT JOIN (SELECT c_nationkey AS competition_id, 'C' || c_custkey AS hotkey, c_acctbal AS score FROM customer WHERE c_custkey % 3 <> 0) c
+        ON c.competition_id = s.competition_id AND c.hotkey = s.hotkey
+      LEFT JOIN (SELECT c_nationkey AS competition_id, 'C' || c_custkey AS hotkey, -c_acctbal AS screener_score FROM customer WHERE c_custkey % 4 <> 0) q
+        ON q.competition_id = s.competition_id AND q.hotkey = s.hotkey) WHERE rn <= 100""")
+def joi3(v):
+    from runledger.operators import boards
+
+    c = v.table("customer")
+    submits = v.table("orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_submit"))
+    key = ["c_nationkey AS competition_id", "concat('C', c_custkey) AS hotkey"]
+    status_rows = c.join(submits, F.col("c_custkey") == F.col("o_custkey"), "left").selectExpr(*key, "c_mktsegment AS status", "last_submit")
+    out = boards.board_page(status_rows, c.where("c_custkey % 3 <> 0").selectExpr(*key, "c_acctbal AS score"),
+                            c.where("c_custkey % 4 <> 0").selectExpr(*key, "-c_acctbal AS screener_score"), 1, 100)
+    return out.select("position", "competition_id", "hotkey", "status", "last_submit", "score", "screener_score", "total_rows")

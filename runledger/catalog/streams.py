@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runledger.catalog.registry import query, rounded
-from runledger.catalog.rewards import NOW_COL
+from runledger.catalog.rewards import now_col
 from runledger.catalog.views import NOW
 from runledger.session import scratch_path
 from runledger.streaming import leases, live
@@ -43,13 +43,13 @@ def str1b(v):
     SELECT run_id, s AS requeued, CASE WHEN s THEN 'pending' ELSE status END AS status
     FROM (SELECT *, status = 'dispatched' AND updated_at < TIMESTAMP '{NOW}' - INTERVAL 2400 SECOND AS s FROM fx_runs)""")
 def str2(v):
-    return leases.requeue_stale(v.runs, NOW_COL).select("run_id", "requeued", "status")
+    return leases.requeue_stale(v.runs, now_col()).select("run_id", "requeued", "status")
 
 
 @query("str3_expire_assignments", f"""
     SELECT batch_id, validator_id FROM fx_assignments WHERE done_at IS NOT NULL OR assigned_at >= TIMESTAMP '{NOW}' - INTERVAL 48 HOUR""")
 def str3(v):
-    kept, _ = leases.expire_assignments(v.assignments, v.items, v.item_scores, NOW_COL, 48)
+    kept, _ = leases.expire_assignments(v.assignments, v.items, v.item_scores, now_col(), 48)
     return kept.select("batch_id", "validator_id")
 
 
@@ -57,7 +57,7 @@ def str3(v):
     SELECT item_id, validator_id FROM fx_item_scores WHERE item_id NOT IN (SELECT item_id FROM fx_items WHERE batch_id IN (
       SELECT batch_id FROM fx_assignments WHERE done_at IS NULL AND assigned_at < TIMESTAMP '{NOW}' - INTERVAL 48 HOUR))""")
 def str3b(v):
-    _, derived = leases.expire_assignments(v.assignments, v.items, v.item_scores, NOW_COL, 48)
+    _, derived = leases.expire_assignments(v.assignments, v.items, v.item_scores, now_col(), 48)
     return derived.select("item_id", "validator_id")
 
 
@@ -69,7 +69,7 @@ def str3b(v):
 def str4(v):
     runs = v.runs.withColumn("status", F.when(F.col("run_id") % 7 == 0, "failed").otherwise(F.col("status")))
     verdicts = v.validations.withColumn("validator_id", F.when(F.col("validator_id") != 4, F.col("validator_id")))
-    return leases.claimable(verdicts, runs, NOW_COL, 900).select("validation_id", "run_id", "action")
+    return leases.claimable(verdicts, runs, now_col(), 900).select("validation_id", "run_id", "action")
 
 
 RATE_SQL = """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runledger.catalog.registry import query, rounded
+from runledger.functions import text as T
 from runledger.operators import lines as L
 from runledger.operators import sessions as S
 from runledger.operators import transcripts as X
@@ -259,12 +260,12 @@ def txt6(v):
         ON k2.doc_id = l.doc_id AND k2.line_no = l.line_no GROUP BY l.doc_id) WHERE kept >= n)
     GROUP BY d.doc_id""")
 def txt7(v):
-    docs = v.table("documents").where(F.length("text") > 600).select("doc_id", "text")
-    kept = L.kept_lines(F.col("text"), 600)
-    return docs.select("doc_id", F.size(F.split("text", "\n", -1)).alias("n_lines"), kept.alias("k")).where(
-        F.size("k") < F.col("n_lines")).select(
-        "doc_id", F.size("k").cast("long").alias("n_kept"),
-        F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + x).alias("line_sum"))
+    docs = v.documents.where(F.length("text") > 600).select("doc_id", "text")
+    n_lines = F.size(F.split("text", "\n", -1))
+    # a generator over at most one struct evaluates the selection once
+    row = lambda k: F.when(F.size(k) < n_lines, F.array(F.struct(
+        F.size(k).cast("long").alias("n_kept"), F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a + x).alias("line_sum"))))
+    return docs.select("doc_id", F.inline(T.let(L.kept_lines(F.col("text"), 600), row)))
 
 
 @query("txt8_line_scores", r"""
@@ -423,7 +424,7 @@ def txt17(v):
 
 @query("txt18_downsample_text")
 def txt18(v):
-    return v.table("documents").select("doc_id", L.downsample_text(F.col("text"), 0.4).alias("text"))
+    return v.documents.select("doc_id", L.downsample_text(F.col("text"), 0.4).alias("text"))
 
 
 @query("txt10_compress_structural", rf"""

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.scale import keep_first, positions
-from runledger.session import through_parquet
+from runledger.session import spread, through_parquet
 
 NOW = "1998-06-01 00:00:00"
 
@@ -250,13 +250,21 @@ class Views:
     def lineitems(self) -> DataFrame:
         order = ["l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_tax",
                  "l_discount", "l_returnflag", "l_linestatus"]
-        return keep_first(self.table("lineitem"), ["l_orderkey", "l_linenumber"],
+        source = spread(self.table("lineitem"), "l_orderkey", "l_linenumber")
+        return keep_first(source, ["l_orderkey", "l_linenumber"],
                           [F.col(c).asc_nulls_last() for c in order])
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """Documents for row-heavy text work."""
+        return spread(self.table("documents"))
+
     def settled(self) -> "Views":
         """Write the deduplicated line items once, for queries that read runs and verdicts several times."""
         if not getattr(self, "_settled", False):
-            self.__dict__["lineitems"] = through_parquet(self.lineitems, "line-items")
+            self.__dict__["lineitems"] = through_parquet(self.lineitems.select(
+                "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity",
+                "l_tax", "l_returnflag", "l_linestatus"), "line-items")
             self._settled = True
         return self
 
@@ -395,6 +403,6 @@ class Views:
 
     @cached_property
     def lines(self) -> DataFrame:
-        return self.table("documents").select(
+        return self.documents.select(
             "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(
             "doc_id", F.col("line_no").cast("long").alias("line_no"), "line")

@@ -30,3 +30,11 @@ def entrant_page(entrants: DataFrame, number: int = 1, size: int = 50) -> DataFr
     """Most recent submitters first, entrants without a submission last."""
     order = [F.col("last_submit").desc_nulls_last(), F.col("hotkey").asc()]
     return page(entrants, order, number, size)
+
+
+def board_page(status: DataFrame, competition_stats: DataFrame, screener_stats: DataFrame, number: int = 1,
+               size: int = 50) -> DataFrame:
+    """Entrant list page: status with both score tables joined on (competition, hotkey), latest submitters first."""
+    on = ["competition_id", "hotkey"]
+    joined = status.join(competition_stats, on, "left").join(screener_stats, on, "left")
+    return page(joined, [F.col("last_submit").desc_nulls_last(), F.col("hotkey").asc(), F.col("competition_id").asc()], number, size)

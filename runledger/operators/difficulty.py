@@ -68,3 +68,14 @@ def category_scores(cells: DataFrame, difficulty: DataFrame) -> DataFrame:
         per_class.withColumn("_have", F.sum("n_tasks").over(have))
         .crossJoin(F.broadcast(needed)).where(F.col("_have") == F.col("n_required"))
         .select("entrant_id", "hotkey", "category", "category_score", "n_tasks"))
+
+
+def complete_entrants(cells: DataFrame, difficulty: DataFrame) -> DataFrame:
+    """Entrants whose set of scored tasks equals the required set.
+
+    Cells are unique per (entrant, task), so comparing counts compares sets.
+    """
+    needed = difficulty.agg(F.count(F.lit(1)).alias("n_required"))
+    have = cells.where("n_scored > 0").join(difficulty.select("task_id"), "task_id", "left_semi").groupBy(
+        "entrant_id", "hotkey").agg(F.count(F.lit(1)).alias("n_scored_tasks"))
+    return have.crossJoin(F.broadcast(needed)).withColumn("complete", F.col("n_scored_tasks") == F.col("n_required"))

@@ -97,9 +97,10 @@ def tfidf_scores(lines: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
     """Sum of L2-normalised TF-IDF weights per line, lines of a document being its corpus.
 
     Smooth idf; the ``max_terms`` most frequent terms of a document count
-    (term order decides ties). Words are combined map-side into
-    (doc, line, term) counts before anything moves.
+    (term order decides ties). Lines move once, by document; every count,
+    rank and join below is keyed by the document and reuses that layout.
     """
+    lines = lines.repartition("doc_id")
     words = lines.select("doc_id", "line_no", F.explode(
         F.regexp_extract_all(F.lower("line"), F.lit(r"(?U)(\w+)"), 1)).alias("term"))
     counts = words.groupBy("doc_id", "line_no", "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -2,8 +2,8 @@
 
 The pair table grows with baselines x runs per task. It is available
 (`run_pairs`) because people want to look at it, but nothing downstream
-needs it: `run_scores` gets the same means from a prefix sum over the
-sorted baseline token counts, so its cost is linear in the rows.
+needs it: `run_scores` gets the same means from prefix sums over the
+baselines' token counts, so its cost is linear in the rows.
 """
 
 from __future__ import annotations
@@ -98,6 +98,36 @@ def _baseline_points(runs: DataFrame, validations: DataFrame) -> DataFrame:
         "task_id", x.alias("x"), F.floor(x * BUCKETS_PER_LOG).alias("bucket"), "n_pass", "n_fail")
 
 
+def _profile(points: DataFrame, per_task: DataFrame) -> DataFrame:
+    """State of every log bucket of a task: totals of all earlier buckets, and the bucket's own points.
+
+    Points are distinct token counts, so a bucket holds at most the integers
+    of 1 / BUCKETS_PER_LOG of a log unit, however many baselines there are.
+    """
+    zero = F.lit(0).cast("long")
+    per_bucket = points.groupBy("task_id", "bucket").agg(
+        F.sum("n_pass").alias("b_n_pass"), F.sum("n_fail").alias("b_n_fail"),
+        F.sum(F.col("n_pass") * F.col("x")).alias("b_s_pass"), F.sum(F.col("n_fail") * F.col("x")).alias("b_s_fail"),
+        F.collect_list(F.struct("x", "n_pass", "n_fail")).alias("points"))
+    spine = per_task.select("task_id", F.explode(F.sequence("first_bucket", "last_bucket")).alias("bucket"))
+    before = Window.partitionBy("task_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.struct(*[F.coalesce(F.sum(f"b_{m}").over(before), zero.cast("double") if m[0] == "s" else zero).alias(m)
+                       for m in ("n_pass", "n_fail", "s_pass", "s_fail")])
+    return spine.join(per_bucket, ["task_id", "bucket"], "left").select(
+        "task_id", "bucket", start.alias("start"), "points")
+
+
+def _state_at(edge: Column, start: Column, points: Column) -> Column:
+    """Counts and log sums of all baselines at or below the edge."""
+    def add(acc: Column, p: Column) -> Column:
+        more = F.struct(
+            (acc["n_pass"] + p["n_pass"]).alias("n_pass"), (acc["n_fail"] + p["n_fail"]).alias("n_fail"),
+            (acc["s_pass"] + p["n_pass"] * p["x"]).alias("s_pass"), (acc["s_fail"] + p["n_fail"] * p["x"]).alias("s_fail"))
+        return F.when(p["x"] <= edge, more).otherwise(acc)
+
+    return F.when(points.isNull(), start).otherwise(F.aggregate(points, start, add))
+
+
 def _against_baselines(points: DataFrame, groups: DataFrame) -> DataFrame:
     """Score of every group of equal runs against all baselines of its task.
 
@@ -106,10 +136,10 @@ def _against_baselines(points: DataFrame, groups: DataFrame) -> DataFrame:
 
     With x the log token count, a baseline at distance <= -2 or >= 2 from the
     run contributes the limit itself, one in between contributes the
-    distance. So the sum over baselines follows from running counts and
-    running sums of x read at the two edges x - 2 and x + 2 of the run. Edges
-    are merged with the baseline points inside log buckets; bucket totals
-    carry the running state. Cost is linear in rows, never baselines x runs.
+    distance. So the sum over baselines follows from the state (counts and
+    sums of x) at the two edges x - 2 and x + 2, read from the log-bucket
+    profile of the task by two equi joins. Cost is linear in runs plus
+    baselines, never their product; a small profile broadcasts.
     """
     limit = LOG_RATIO_LIMIT
     zero = F.lit(0).cast("long")
@@ -120,63 +150,40 @@ def _against_baselines(points: DataFrame, groups: DataFrame) -> DataFrame:
         F.sum(F.when(usable, F.col("n_fail")).otherwise(zero)).alias("with_fail"),
         (F.coalesce(F.min("bucket"), zero) - 1).alias("first_bucket"),
         (F.coalesce(F.max("bucket"), zero) + 1).alias("last_bucket"))
-    measures = {"n_pass": F.col("n_pass"), "n_fail": F.col("n_fail"),
-                "s_pass": F.col("n_pass") * F.col("x"), "s_fail": F.col("n_fail") * F.col("x")}
-
-    # running state at the start of every bucket of a task's span
-    totals = points.groupBy("task_id", "bucket").agg(*[F.sum(m).alias(f"b_{n}") for n, m in measures.items()])
-    spine = per_task.select("task_id", F.explode(F.sequence("first_bucket", "last_bucket")).alias("bucket"))
-    before = Window.partitionBy("task_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = spine.join(totals, ["task_id", "bucket"], "left").select(
-        "task_id", "bucket", *[F.coalesce(F.sum(f"b_{n}").over(before), zero).alias(f"p_{n}") for n in measures])
-
-    payload = F.struct(*[F.col(c) for c in groups.columns])
-    run_x = F.ln(F.when(F.col("tokens_used") > 0, F.col("tokens_used")).cast("double"))
-    placed = groups.join(per_task, "task_id").withColumn("run", payload)
-    edges = placed.select(
-        "task_id", "run", "base_pass", "base_fail", "with_pass", "with_fail", "first_bucket", "last_bucket",
-        F.explode(F.array(F.struct((run_x - limit).alias("x"), F.lit(1).alias("edge")),
-                          F.struct((run_x + limit).alias("x"), F.lit(2).alias("edge")))).alias("e"))
-    # an edge outside the span of the baselines reads the state at the end of the span
-    at = F.greatest(F.col("first_bucket"), F.least(F.col("last_bucket"), F.floor(F.col("e.x") * BUCKETS_PER_LOG)))
-    edges = edges.select("task_id", "e.x", at.alias("bucket"), "e.edge", "run", "base_pass", "base_fail", "with_pass",
-                         "with_fail", *[zero.alias(n) for n in ("n_pass", "n_fail")])
-    line = edges.unionByName(points.withColumn("edge", F.lit(0)), allowMissingColumns=True)
-    inside = Window.partitionBy("task_id", "bucket").orderBy("x", "edge").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    running = line.select(
-        "task_id", "bucket", "edge", "run", "base_pass", "base_fail", "with_pass", "with_fail",
-        *[F.coalesce(F.sum(m).over(inside), zero).alias(f"r_{n}") for n, m in measures.items()]).where("edge > 0")
-    state = running.join(carried, ["task_id", "bucket"]).select(
-        "run", "edge", "base_pass", "base_fail", "with_pass", "with_fail",
-        *[(F.col(f"r_{n}") + F.col(f"p_{n}")).alias(n) for n in measures])
-
-    def pick(edge: int, name: str) -> Column:
-        return F.max(F.when(F.col("edge") == edge, F.col(name)))
-
-    def limited_sum(side: str) -> Column:
-        below, upto = pick(1, f"n_{side}"), pick(2, f"n_{side}")
-        middle = pick(2, f"s_{side}") - pick(1, f"s_{side}")
-        return F.struct((F.max(f"with_{side}") - upto - below).alias("at_limit"), (upto - below).alias("n"),
-                        middle.alias("s"))
-
-    joined = state.groupBy("run").agg(
-        F.max("base_pass").alias("base_pass"), F.max("base_fail").alias("base_fail"),
-        limited_sum("pass").alias("p"), limited_sum("fail").alias("f"))
-    x = F.ln(F.col("run.tokens_used").cast("double"))
-
-    def log_sum(side: str) -> Column:
+    profile = _profile(points, per_task)
+
+    def at(edge: Column) -> Column:
+        # an edge outside the span of the baselines reads the state at the end of the span
+        return F.greatest(F.col("first_bucket"), F.least(F.col("last_bucket"), F.floor(edge * BUCKETS_PER_LOG)))
+
+    x = F.ln(F.when(F.col("tokens_used") > 0, F.col("tokens_used")).cast("double"))
+    placed = groups.join(per_task, "task_id").withColumn("x", x)
+    placed = placed.withColumns({
+        "low": F.when(F.col("x").isNotNull(), at(F.col("x") - limit)),
+        "high": F.when(F.col("x").isNotNull(), at(F.col("x") + limit))})
+    for side in ("low", "high"):
+        placed = placed.join(profile.select(
+            "task_id", F.col("bucket").alias(side), F.col("start").alias(f"{side}_start"), F.col("points").alias(f"{side}_points")),
+            ["task_id", side], "left")
+    placed = placed.withColumns({
+        "below": _state_at(F.col("x") - limit, F.col("low_start"), F.col("low_points")),
+        "upto": _state_at(F.col("x") + limit, F.col("high_start"), F.col("high_points"))})
+
+    def log_sum(verdict: str) -> Column:
+        n_below, n_upto = F.col("below")[f"n_{verdict}"], F.col("upto")[f"n_{verdict}"]
+        middle = F.col("upto")[f"s_{verdict}"] - F.col("below")[f"s_{verdict}"] - (n_upto - n_below) * F.col("x")
+        value = limit * (F.col(f"with_{verdict}") - n_upto - n_below) + middle
         # unusable token counts on the run side make every log ratio 0
-        value = limit * F.col(f"{side}.at_limit") + F.col(f"{side}.s") - F.col(f"{side}.n") * x
-        return F.when(F.col("run.tokens_used") > 0, value).otherwise(0.0)
+        return F.when(F.col("x").isNotNull(), value).otherwise(0.0)
 
     def against(passed: bool) -> Column:
         up, down = OUTCOMES[(True, passed)], OUTCOMES[(False, passed)]
-        return (up[0] * F.col("base_pass") + down[0] * F.col("base_fail") + up[1] * log_sum("p") + down[1] * log_sum("f"))
+        return (up[0] * F.col("base_pass") + down[0] * F.col("base_fail")
+                + up[1] * log_sum("pass") + down[1] * log_sum("fail"))
 
-    weight = (F.col("run.v_pass") + F.col("run.v_fail")) * (F.col("base_pass") + F.col("base_fail"))
-    score = (F.col("run.v_pass") * against(True) + F.col("run.v_fail") * against(False)) / F.nullif(weight, zero)
-    return joined.select("run.*", score.alias("run_score"))
+    weight = (F.col("v_pass") + F.col("v_fail")) * (F.col("base_pass") + F.col("base_fail"))
+    score = (F.col("v_pass") * against(True) + F.col("v_fail") * against(False)) / F.nullif(weight, zero)
+    return placed.select(*groups.columns, score.alias("run_score"))
 
 
 def run_scores(tasks: DataFrame, runs: DataFrame, validations: DataFrame, entrants: DataFrame,

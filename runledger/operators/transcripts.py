@@ -101,10 +101,11 @@ def classify_results(messages: DataFrame, intact: int, near: bool = True) -> Dat
     until the final join back.
     """
     last = messages.groupBy("session_id").agg(F.max("msg_idx").alias("_last"))
-    form = T.normal_form(F.coalesce("text", F.lit("")))
-    keys = messages.where(S.is_result()).select(
-        "session_id", "msg_idx", S.content_key(F.col("text")).alias("_exact"),
-        F.when(F.length(form) >= NEAR_DUPLICATE_MIN_CHARS, F.sha2(form, 256)).alias("_near"))
+    # hashes are the costly part and are read three times: written once, without the texts
+    near_key = T.let(T.normal_form(F.coalesce("text", F.lit(""))), lambda form: F.when(
+        F.length(form) >= NEAR_DUPLICATE_MIN_CHARS, F.sha2(form, 256)))
+    keys = through_parquet(messages.where(S.is_result()).select(
+        "session_id", "msg_idx", S.content_key(F.col("text")).alias("_exact"), near_key.alias("_near")), "result-keys")
     newest_exact = S.newest_of_key(keys, "_exact", "_newest_exact")
     newest_near = S.newest_of_key(keys, "_near", "_newest_near")
     flags = keys.select("session_id", "msg_idx", F.col("_near").isNotNull().alias("_long"))
