@@ -26,9 +26,9 @@ def snap_rows(v):
 
 
 def board_files(v):
-    """One JSON document per snapshot part, written by Spark. Documents stay small: a salt splits large days."""
+    """One JSON document per snapshot part, written by Spark. Documents stay small: large days are split by id range."""
     path = scratch_path(v.spark, "boards")
-    docs = snap_rows(v).groupBy("observed_at", (F.col("ident") % 64).alias("part")).agg(F.array_sort(F.collect_list(F.struct(
+    docs = snap_rows(v).groupBy("observed_at", F.floor(F.col("ident") / 50_000).alias("part")).agg(F.array_sort(F.collect_list(F.struct(
         "ident", "hotkey", F.col("overall").alias("total"), "easy", "medium", "hard", "review_status"))).alias("miners"))
     docs.select("observed_at", "miners").write.json(path)
     return path

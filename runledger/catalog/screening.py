@@ -9,6 +9,7 @@ from runledger.catalog.rewards import now_col
 from runledger.catalog.scoring import ELIGIBLE_SQL
 from runledger.catalog.views import NOW
 from runledger.operators import gates, queues, screening
+from runledger.scale import ranked
 
 STATS_SQL = """
     SELECT t.competition_id, r.entrant_id, r.task_id, count(*) FILTER (WHERE v.scored_at IS NOT NULL) AS total_scored,
@@ -194,13 +195,11 @@ def top5(v):
     SELECT id, CAST(f.list_no AS INTEGER) AS list_no, CAST(f.pos AS INTEGER) AS pos
     FROM (SELECT id, min(struct_pack(list_no, pos)) AS f FROM both_lists GROUP BY id)""")
 def set1(v):
-    from pyspark.sql import Window
-    ranked = v.table("customer").select(
-        F.col("c_custkey").alias("id"), "c_nationkey",
-        F.row_number().over(Window.partitionBy(F.col("c_nationkey") % 2).orderBy(F.col("c_acctbal").desc(), "c_custkey"))
-        .alias("pos"))
-    current = ranked.where("c_nationkey % 2 = 0 OR id % 3 = 0")
-    previous = ranked.where("c_nationkey % 2 = 1")
+    placed = ranked(v.table("customer").select(
+        F.col("c_custkey").alias("id"), "c_nationkey", (F.col("c_nationkey") % 2).alias("half"), "c_acctbal"),
+        ["half"], "c_acctbal", ["id"], "pos", 1)
+    current = placed.where("c_nationkey % 2 = 0 OR id % 3 = 0")
+    previous = placed.where("c_nationkey % 2 = 1")
     start = F.lit("1998-05-31 22:00:00").cast("timestamp")
     return screening.screeners_with_grace(current, previous, now_col(), start)
 

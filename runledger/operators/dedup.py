@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runledger.scale import keep_first
+from runledger.scale import keep_first, ranked
 
 
 def newest(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str | Column]) -> DataFrame:
@@ -28,8 +28,8 @@ def latest_snapshot(df: DataFrame, ts: str = "observed_at") -> DataFrame:
 
 def snapshot_rank(board: DataFrame) -> DataFrame:
     """Rank inside each snapshot by overall score; entrants without one have no rank. Position breaks ties."""
-    w = Window.partitionBy("observed_at").orderBy(F.col("overall").desc_nulls_last(), F.col("pos"))
-    return board.withColumn("rank", F.when(F.col("overall").isNotNull(), F.row_number().over(w)))
+    placed = ranked(board, ["observed_at"], "overall", ["pos"])
+    return placed.withColumn("rank", F.when(F.col("overall").isNotNull(), F.col("rank")))
 
 
 def repair_names(runs: DataFrame, dim: DataFrame, marker: str = "available after uploads") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions.text import token_estimate
+from runledger.scale import positions
 
 # Fixed values of the acceptance and log rules.
 HIDDEN = "[hidden]"
@@ -160,11 +161,14 @@ def upload_gate(requests: DataFrame, entrants: DataFrame, windows: DataFrame, mi
     ``windows``: competition_id, upload_starts_at, upload_ends_at. Every
     earlier request counts as an upload.
     """
-    # distinct request times per entrant; the previous one comes from a bounded lag
-    per_entrant = Window.partitionBy("entrant_id").orderBy("requested_at", "request_id")
+    # numbered per entrant by day; the predecessor is an equality on the number
+    numbered = positions(requests.select("entrant_id", "request_id", "requested_at"), ["entrant_id"],
+                         F.date_trunc("day", "requested_at"), ["requested_at", "request_id"], "_pos")
+    earlier = numbered.select("entrant_id", (F.col("_pos") + 1).alias("_pos"), F.col("requested_at").alias("_prev"))
+    previous = numbered.join(earlier, ["entrant_id", "_pos"]).select("entrant_id", "request_id", "_prev")
     first_in_round = requests.groupBy("entrant_id", "competition_id").agg(
         F.min(F.struct("requested_at", "request_id")).alias("_first"))
-    timed = requests.withColumn("_prev", F.lag("requested_at").over(per_entrant))
+    timed = requests.join(previous, ["entrant_id", "request_id"], "left")
     joined = (timed.join(first_in_round, ["entrant_id", "competition_id"])
               .join(entrants.select("entrant_id", "banned"), "entrant_id", "left")
               .join(windows.select("competition_id", "upload_starts_at", "upload_ends_at"), "competition_id", "left"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runledger.scale import keep_first
+from runledger.scale import keep_first, positions
 
 
 def latest_scripts(uploads: DataFrame, keys: tuple[str, ...] = ("entrant_id",)) -> DataFrame:
@@ -142,14 +142,15 @@ def valid_at(instants: DataFrame, intervals: DataFrame, ts: str, start: str = "s
 
 
 def previous_competition(comps: DataFrame) -> DataFrame:
-    """For each competition the latest other one that starts strictly earlier (catalogue-sized window).
+    """For each competition the latest other one that starts strictly earlier.
 
-    Starts are grouped first, so equal starts share their predecessor.
+    Starts are grouped first, so equal starts share their predecessor; the
+    predecessor of a start is the one numbered just before it.
     """
-    starts = comps.groupBy("upload_starts_at").agg(F.max("competition_id").alias("_id"))
-    w = Window.orderBy("upload_starts_at")
-    prev = starts.select("upload_starts_at", F.lag("_id").over(w).alias("previous_id"),
-                         F.lag("upload_starts_at").over(w).alias("previous_start"))
+    starts = comps.groupBy("upload_starts_at").agg(F.max("competition_id").alias("previous_id"))
+    numbered = positions(starts, [], F.date_trunc("day", "upload_starts_at"), ["upload_starts_at"], "_pos")
+    earlier = numbered.select((F.col("_pos") + 1).alias("_pos"), "previous_id", F.col("upload_starts_at").alias("previous_start"))
+    prev = numbered.select("upload_starts_at", "_pos").join(earlier, "_pos", "left").drop("_pos")
     return comps.select("competition_id", "upload_starts_at").join(prev, "upload_starts_at")
 
 

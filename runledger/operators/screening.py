@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runledger.scale import keep_first
+from runledger.scale import keep_first, ranked
 
 
 def required_passes(n: Column, ratio: float, minimum: int) -> Column:
@@ -146,22 +146,17 @@ def screener_rank(scores: DataFrame) -> DataFrame:
     The ranking rule of the source system lives outside its repository; this
     order is our definition.
     """
-    w = Window.partitionBy("competition_id").orderBy(
-        F.col("avg_score").desc_nulls_last(), F.col("first_upload").asc_nulls_last(), F.col("hotkey"))
-    return scores.withColumn("rank", F.rank().over(w))
+    return ranked(scores, ["competition_id"], "avg_score", [F.col("first_upload").asc_nulls_last(), "hotkey"])
 
 
 def competition_rank(scores: DataFrame) -> DataFrame:
     """Rank per competition by score (own definition, see `screener_rank`)."""
-    w = Window.partitionBy("competition_id").orderBy(F.col("score").desc_nulls_last(), F.col("hotkey"))
-    return scores.withColumn("rank", F.rank().over(w))
+    return ranked(scores, ["competition_id"], "score", ["hotkey"])
 
 
 def ratio_rank(scores: DataFrame) -> DataFrame:
     """Rank per (competition, compression ratio) by score (own definition)."""
-    w = Window.partitionBy("competition_id", "compression_ratio").orderBy(
-        F.col("score").desc_nulls_last(), F.col("hotkey"))
-    return scores.withColumn("rank", F.rank().over(w))
+    return ranked(scores, ["competition_id", "compression_ratio"], "score", ["hotkey"])
 
 
 def choose_screeners(tasks: DataFrame, runs: DataFrame, validations: DataFrame, k: int, seed: int = 0) -> DataFrame:

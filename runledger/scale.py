@@ -127,6 +127,19 @@ def running_totals(df: DataFrame, keys: Sequence[str], position: str, sums: Mapp
         *[F.greatest(F.col(f"_p_{n}"), F.col(f"_r_{n}")).alias(n) for n in maxima])
 
 
+def ranked(df: DataFrame, keys: Sequence[str], score: str, ties: Sequence[str | Column], name: str = "rank",
+           buckets_per_unit: int = 1024) -> DataFrame:
+    """Rank by descending score, missing scores last; ``ties`` make the order total.
+
+    Equal to ``row_number()`` per key, with the score cut into buckets so
+    that one crowded key is sorted by many tasks.
+    """
+    bucket = F.when(F.col(score).isNull(), F.lit(1)).otherwise(F.lit(0))
+    spread = F.struct(bucket.alias("missing"), F.floor(-F.col(score) * buckets_per_unit).alias("level"))
+    out = positions(df, keys, spread, [F.col(score).desc_nulls_last(), *ties], name)
+    return out.withColumn(name, F.col(name).cast("int"))
+
+
 def positions(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str | Column],
               name: str) -> DataFrame:
     """1-based position of each row within ``keys`` under ``order``.

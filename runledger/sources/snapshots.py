@@ -129,7 +129,7 @@ def parse_registry(lines: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 def scan_registry(spark: SparkSession, path: str, section: str, fields: Sequence[str]) -> DataFrame:
     """Records of one section of a registry file (a file is one small document, read whole)."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     block = F.regexp_extract("value", rf"(?ms)^{section}:[ \t]*\n((?:[ \t]+[^\n]*\n?|[ \t]*\n)*)", 1)
     return parse_registry(text.select(F.explode(F.split(block, "\n")).alias("value")), fields)
 
