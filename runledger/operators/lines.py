@@ -83,8 +83,9 @@ def extractive_compress(text: Column, target_chars: int | Column) -> Column:
         return F.when(F.size(s["kept"]) >= F.size(s["lines"]), text).otherwise(T.let(
             _render(s["lines"], s["kept"]), lambda out: F.when(F.length(out) >= n, cut).otherwise(out)))
 
-    chosen = T.let(F.split(text, "\n", -1), lambda lines: T.let(
-        F.struct(lines.alias("lines"), _kept(lines, target).alias("kept")), finish))
+    # the target is bound with the lines: it may be an expression over the text
+    chosen = T.let(F.struct(F.split(text, "\n", -1).alias("lines"), target.alias("target")), lambda b: T.let(
+        F.struct(b["lines"].alias("lines"), _kept(b["lines"], b["target"]).alias("kept")), finish))
     return F.when(n <= target, text).otherwise(chosen)
 
 
