@@ -7,10 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import langid, pieces, secrets, topk
+from runledger.llm import decontaminate, langid, pieces, preferences, secrets, simhash, topk, toxicity
 from runledger.llm.common import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# words, windows, occurrences, and the words that they cover
+OP1_SQL = r"""
+with d as (select row_number() over () as rid, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+     b as (select item_id::varchar as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+     bw as (select item, len(w) as n, w, unnest(range(1, greatest(len(w) - 10 + 1, 1) + 1)) as beg from b where len(w) > 0),
+     win as (select distinct item, least(n, 10) as len, array_to_string(w[beg:beg + 9], ' ') as key from bw),
+     lens as (select distinct len from win),
+     dp as (select rid, w, len, unnest(range(1, len(w) - len + 2)) as beg from d, lens where len(w) >= len),
+     occ as (select dp.rid, dp.beg, win.len, win.item from dp join win on win.len = dp.len and array_to_string(dp.w[dp.beg:dp.beg + dp.len - 1], ' ') = win.key),
+     pos as (select rid, count(distinct p) as n_hit from (select distinct rid, unnest(range(beg, beg + len)) as p from (select distinct rid, beg, len from occ)) group by rid),
+     its as (select rid, count(distinct item) as n_items, string_agg(item, ',' order by item) as items from (select distinct rid, item from occ where item is not null) group by rid)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(pos.n_hit, 0)::bigint as n_hit, coalesce(its.n_items, 0)::bigint as n_items,
+       sha256(coalesce(its.items, '')) as items_sha256, coalesce(pos.n_hit, 0) > 0 as contaminated
+from d left join pos using (rid) left join its using (rid)
+"""
+
+
 def op2_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.contract(table(spark, sf_dir, "documents"))
 
@@ -33,13 +55,26 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.contract(table(spark, sf_dir, "documents"))
 
 
+def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.contract(table(spark, sf_dir, "conversations"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.contract(table(spark, sf_dir, "documents"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_spans, op3_exact_topk, op5_language, op8_pieces)}
+    return {f.__name__: f for f in (
+        op1_decontaminate, op2_secret_spans, op3_exact_topk, op5_language, op6_preferences, op7_simhash, op8_pieces, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": OP3_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_exact_topk": OP3_SQL, "op6_preferences": preferences.ORACLE_SQL}
