@@ -56,3 +56,8 @@ def bounded_sample(docs: DataFrame, group: str, per_group: int, max_groups: int,
 def columns_of(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Only the named columns, so that extra ones cannot clash with working columns."""
     return df.select(*names)
+
+
+def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row; a generator keeps the optimizer from repeating its expression."""
+    return df.select("*", F.explode(F.array(value)).alias(name))

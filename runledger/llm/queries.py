@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import decontaminate, langid, pieces, preferences, secrets, simhash, topk, toxicity
+from runledger.llm import decontaminate, langid, linededup, pieces, preferences, secrets, simhash, topk, toxicity
 from runledger.llm.common import table
 
 
@@ -51,6 +51,10 @@ select query_id, rank, vec_id, score from r where rank <= 10
 """
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.contract(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.contract(table(spark, sf_dir, "documents"))
 
@@ -73,8 +77,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_decontaminate, op2_secret_spans, op3_exact_topk, op5_language, op6_preferences, op7_simhash, op8_pieces, op10_toxicity)}
+        op1_decontaminate, op2_secret_spans, op3_exact_topk, op4_line_dedup, op5_language, op6_preferences, op7_simhash, op8_pieces, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op3_exact_topk": OP3_SQL, "op6_preferences": preferences.ORACLE_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_exact_topk": OP3_SQL, "op4_line_dedup": linededup.ORACLE_SQL, "op6_preferences": preferences.ORACLE_SQL}
