@@ -201,6 +201,24 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", key: str
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """The rows that the model does not reject, all columns kept. Map-only."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for part in slices(batch):
+                keep = []
+                for group in slices(part, 100):
+                    best, score = m.predict([t or "" for t in group.column(at).to_pylist()])
+                    keep.extend(bool(b >= 0 and s >= m.reject_below) for b, s in zip(best, score))
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def contract(docs: DataFrame) -> DataFrame:
     """The op5 contract."""
     out = predict(docs, fit_on(docs))

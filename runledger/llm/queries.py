@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import decontaminate, langid, linededup, pieces, preferences, secrets, simhash, topk, toxicity
+from runledger.llm import decontaminate, langid, linededup, pieces, preferences, secrets, simhash, suffixes, topk, toxicity
 from runledger.llm.common import table
 
 
@@ -71,13 +71,17 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.contract(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_decontaminate, op2_secret_spans, op3_exact_topk, op4_line_dedup, op5_language, op6_preferences, op7_simhash, op8_pieces, op10_toxicity)}
+        op1_decontaminate, op2_secret_spans, op3_exact_topk, op4_line_dedup, op5_language, op6_preferences, op7_simhash, op8_pieces, op9_suffix_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
