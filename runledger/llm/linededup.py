@@ -1,7 +1,7 @@
 """Line deduplication by an exact set-similarity join.
 
-A line's tokens are its distinct shingles of ``SHINGLE`` words (a line with
-fewer words, but not none, is one shingle). Lines match at Jaccard 4/5 or more;
+A line's words are what single spaces part after trimming; its tokens are its
+distinct shingles of ``SHINGLE`` words (a line with fewer words is one shingle). Lines match at Jaccard 4/5 or more;
 a line that matches an earlier one (by doc_id, then line number) is removed,
 whether or not the earlier one stays.
 
@@ -17,8 +17,7 @@ large group of near copies yields one row per line, not its pairs.
 Texts stay where they are but for the documents that hold a line in need of
 verification. All of it is DataFrame code.
 
-Defined results: null and empty texts and blank lines have no words and are
-kept as they are; documents that repeat id and text count as one document and
+Defined results: null and empty texts and blank lines are kept as they are; documents that repeat id and text count as one document and
 lose the same lines; null ids come first in the order; an empty table gives an
 empty one. Shingles are compared by 48-bit hashes, equal lines by 96 bits.
 """
@@ -37,25 +36,21 @@ LEAST_SHINGLES = 4
 # entries of the rarity table, a power of two
 RARITY_SLOTS = 1 << 14
 HASH_BITS = 48
-GAP = r"[ \t\r\f\x0B]+"
 
 
 def line_words(line: Column) -> Column:
-    parts = F.split(line, GAP)
-    first = F.when(F.element_at(parts, 1) == "", 2).otherwise(1)
-    last = F.when(F.element_at(parts, -1) == "", F.size(parts) - 1).otherwise(F.size(parts))
-    return F.slice(parts, first, F.greatest(last - first + 1, F.lit(0)))
+    return F.split(line, " ")
 
 
 def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, h, line_no, line); a document is known by its id and the hash of its text."""
-    named = docs.select("doc_id", F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    return named.where(F.col("t").isNotNull()).select("doc_id", "h", F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
+    """(doc_id, h, line_no, line) of the lines that are not blank, trimmed; a document is known by its id and the hash of its text."""
+    named = docs.select("doc_id", F.xxhash64(text).alias("h"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    lines = named.select("doc_id", "h", F.posexplode(F.split("t", "\n")).alias("line_no", "raw"))
+    return lines.select("doc_id", "h", "line_no", F.trim("raw").alias("line")).where(F.col("line") != "")
 
 
-def class_keys(words: Column) -> list[Column]:
-    joined = F.array_join(words, " ")
-    return [F.xxhash64(joined).alias("c1"), F.hash(joined).alias("c2")]
+def class_keys(line: Column) -> list[Column]:
+    return [F.xxhash64(line).alias("c1"), F.hash(line).alias("c2")]
 
 
 def shingle_hash(words: Column, at: Column) -> Column:
@@ -101,23 +96,28 @@ def later_matches(docs: DataFrame, first: DataFrame, text: str = "text") -> Data
     frequent = rarity(docs, text)
     lines = bound(lines_of(docs, text).select("line"), "w", line_words(F.col("line"))).where(
         F.size("w") >= SHINGLE + LEAST_SHINGLES - 1)
-    placed = bound(lines.select(*class_keys(F.col("w")), "w"), "keys", ordered_shingles(F.col("w"), frequent)).where(
+    placed = bound(lines.select(*class_keys(F.col("line")), "w"), "keys", ordered_shingles(F.col("w"), frequent)).where(
         F.size("keys") >= LEAST_SHINGLES)
     s = F.size("keys")
     prefix = F.slice("keys", 1, s - F.floor((4 * s + 4) / 5).cast("int") + 1)
     rows = placed.select("c1", "c2", s.alias("s"), F.posexplode(prefix).alias("pos", "key"))
     per_key = Window.partitionBy("key")
     shared = rows.withColumns({"low": F.min("c1").over(per_key), "high": F.max("c1").over(per_key)}).where("low <> high")
-    shared = through_parquet(shared.select("key", "pos", "s", "c1", "c2").distinct(), "shared-shingles")
+    shared = shared.select("key", "pos", "s", "c1", "c2").distinct()
+    # shingles that the same classes have bring the same pairs together; the rarest of them is enough
+    owners = F.bit_xor(F.xxhash64("c1", "c2")).over(per_key)
+    shared = shared.withColumns({"owners": owners, "n": F.count(F.lit(1)).over(per_key)}).groupBy("c1", "c2", "s", "owners", "n").agg(
+        F.min(F.struct("key", "pos")).alias("least")).select("least.key", "least.pos", "s", "c1", "c2")
+    shared = through_parquet(shared, "shared-shingles")
     # whole shingle sets of the lines that share one, from their first occurrences
     wanted = shared.select("c1", "c2").distinct().join(first, ["c1", "c2"]).groupBy(
         F.col("f.doc_id").alias("_id"), F.col("f.h").alias("_h")).agg(
         F.collect_list(F.struct("c1", "c2", F.col("f.line_no").alias("line_no"))).alias("wanted"))
     held = docs.select("doc_id", F.xxhash64(text).alias("h"), F.col(text).alias("t")).join(
         wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
-    each = held.select("doc_id", "h", "wanted", F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
+    each = held.select("doc_id", "h", "wanted", F.posexplode(F.split("t", "\n")).alias("line_no", "raw"))
     each = bound(each, "x", F.get(F.filter("wanted", lambda x: x["line_no"] == F.col("line_no")), F.lit(0))).where(F.col("x").isNotNull())
-    each = bound(each.select("x.c1", "x.c2", F.struct("doc_id", "h", "line_no").alias("f"), "line"), "w", line_words(F.col("line")))
+    each = bound(each.select("x.c1", "x.c2", F.struct("doc_id", "h", "line_no").alias("f"), F.trim("raw").alias("line")), "w", line_words(F.col("line")))
     sets = each.select("c1", "c2", "f", ordered_shingles(F.col("w"), frequent).alias("keys")).dropDuplicates(["c1", "c2"])
     meet = through_parquet(shared.join(sets, ["c1", "c2"]), "meeting-lines")
     x, y = meet.alias("x"), meet.alias("y")
@@ -132,8 +132,7 @@ def later_matches(docs: DataFrame, first: DataFrame, text: str = "text") -> Data
 
 def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, h, removed): sorted numbers of the removed lines of each document that loses any."""
-    lines = bound(lines_of(docs, text), "w", line_words(F.col("line"))).where(F.size("w") > 0).select(
-        "doc_id", "h", "line_no", *class_keys(F.col("w")))
+    lines = lines_of(docs, text).select("doc_id", "h", "line_no", *class_keys(F.col("line")))
     lines = through_parquet(lines, "lines")
     first = through_parquet(lines.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "h", "line_no")).alias("f")), "first-lines")
     late = later_matches(docs, first, text).withColumn("late", F.lit(True))
@@ -165,9 +164,9 @@ def contract(docs: DataFrame) -> DataFrame:
 # token sets as sorted lists of shingle texts
 ORACLE_SQL = r"""
 with l as (select doc_id, generate_subscripts(p, 1) - 1 as line_no, unnest(p) as line from (select doc_id, string_split(text, chr(10)) as p from documents where text is not null)),
-     w as (select doc_id, line_no, [x for x in string_split_regex(line, '[ \t\r\f\x0B]+') if x <> ''] as w from l),
+     w as (select doc_id, line_no, string_split(trim(line), ' ') as w from l where trim(line) <> ''),
      k as (select doc_id, line_no, array_to_string(w, ' ') as k, case when len(w) < 5 then [array_to_string(w, ' ')]
-              else list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) end as t from w where len(w) > 0),
+              else list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) end as t from w),
      f as (select k, any_value(t) as t, min({'d': doc_id, 'l': line_no}) as f from k group by k),
      tok as (select k, f, len(t) as n, unnest(t) as tok from f),
      pairs as (select y.k, x.k as xk, x.n as xn, y.n as yn, count(*) as o from tok x join tok y on x.tok = y.tok and x.f < y.f
