@@ -144,11 +144,11 @@ def emit(splitters: np.ndarray):
 
 
 SUFFIX = "bucket int, lead bigint, rest bigint, zone bigint, d bigint, ref bigint"
-JUDGED = "d bigint, ref bigint, class bigint, zones bigint, whole boolean, partner boolean, lead bigint, rest bigint, zone bigint, edge boolean"
+JUDGED = "d bigint, ref bigint, class bigint, zones bigint, whole boolean, partner boolean, lead bigint, rest bigint, zone bigint, n bigint, edge boolean"
 
 
 def judge(rows: np.ndarray, edge: np.ndarray) -> pa.RecordBatch | None:
-    """Sorted suffixes (lead, rest, zone, d, ref) of complete classes to those that need a say; edge rows are passed on."""
+    """Sorted suffixes (lead, rest, zone, d, ref) of complete classes to those that repeat; of an edge class one row per zone is left open."""
     lead, rest, zone, d, ref = rows
     new_class = np.concatenate([[True], (lead[1:] != lead[:-1]) | (rest[1:] != rest[:-1])])
     new_zone = new_class | np.concatenate([[True], zone[1:] != zone[:-1]])
@@ -156,13 +156,14 @@ def judge(rows: np.ndarray, edge: np.ndarray) -> pa.RecordBatch | None:
     size, zone_size = np.bincount(cls)[cls], np.bincount(zn)[zn]
     zones = np.bincount(cls[new_zone])[cls]
     whole, partner = zone_size >= 2, new_zone & (zone_size >= 2) & (zones >= 2)
-    keep = np.flatnonzero((size >= 2) | edge)
+    # at a boundary one row speaks for its zone, the others repeat it anyway
+    keep, open_ = np.flatnonzero((size >= 2) | edge), edge & new_zone
     if len(keep) == 0:
         return None
     ident = mix(rest.view(np.uint64) ^ mix(lead.view(np.uint64))).view(np.int64)
     return pa.RecordBatch.from_arrays([
-        pa.array(d[keep]), pa.array(ref[keep]), pa.array(ident[keep]), pa.array(zones[keep]), pa.array(whole[keep]), pa.array(partner[keep]),
-        *[pa.array(x[keep], mask=~edge[keep]) for x in (lead, rest, zone)], pa.array(edge[keep])],
+        pa.array(d[keep]), pa.array(ref[keep]), pa.array(ident[keep]), pa.array(zones[keep]), pa.array(whole[keep]), pa.array((partner & ~edge)[keep]),
+        *[pa.array(x[keep], mask=~open_[keep]) for x in (lead, rest, zone, zone_size)], pa.array(open_[keep])],
         names=[c.split()[0] for c in JUDGED.split(", ")])
 
 
@@ -188,8 +189,8 @@ def judge_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def across_boundaries(edges: DataFrame) -> DataFrame:
-    """Judge the classes at bucket ends by counts over all buckets."""
-    per_zone = edges.groupBy("lead", "rest", "zone").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "ref")).alias("least"))
+    """Judge the open rows of classes at bucket ends by counts over all buckets."""
+    per_zone = edges.groupBy("lead", "rest", "zone").agg(F.sum("n").alias("n"), F.min(F.struct("d", "ref")).alias("least"))
     per_class = per_zone.groupBy("lead", "rest").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("zones"))
     facts = per_zone.join(per_class.where("rows >= 2"), ["lead", "rest"])
     joined = edges.select("d", "ref", "class", "lead", "rest", "zone").join(facts, ["lead", "rest", "zone"])
