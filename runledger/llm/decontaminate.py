@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.common import ascii_lower
+from runledger.llm.common import ascii_lower, bound
 
 # fixed by the contract: what parts words
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -36,19 +36,21 @@ SHINGLE = 3
 BLOCK_WINDOWS = 50_000
 
 
-def words_of(text: Column) -> Column:
-    """Words of the lower-cased text; lower() is the same as A-Z only where all characters are ASCII."""
-    low = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(ascii_lower(text))
-    parts = F.split(low, GAP)
-    first = F.when(F.element_at(parts, 1) == "", 2).otherwise(1)
-    last = F.when(F.element_at(parts, -1) == "", F.size(parts) - 1).otherwise(F.size(parts))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(
-        F.slice(parts, first, F.greatest(last - first + 1, F.lit(0))))
+def with_words(df: DataFrame, text: str) -> DataFrame:
+    """Add ``w``, the words of the lower-cased ``text``; every step is bound once per row.
+
+    lower() is the same as A-Z only where all characters are ASCII.
+    """
+    low = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(ascii_lower(F.col(text)))
+    split = bound(df, "_parts", F.split(F.coalesce(low, F.lit("")), GAP))
+    first = F.when(F.get("_parts", F.lit(0)) == "", 2).otherwise(1)
+    last = F.size("_parts") - F.when(F.element_at("_parts", -1) == "", 1).otherwise(0)
+    return bound(split, "w", F.slice("_parts", first, F.greatest(last - first + 1, F.lit(0)))).drop("_parts")
 
 
 def item_windows(benchmark: DataFrame, size: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """Distinct windows: (words, n, k, items) with the shingle size k and the ids of the items that hold them."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
+    items = with_words(benchmark.select(F.col("item_id").cast("string").alias("item"), "text"), "text").where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     cut = items.select("item", "w", F.explode(starts).alias("at")).select("item", F.slice("w", F.col("at"), size).alias("words"))
     return cut.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items")).select(
@@ -64,7 +66,7 @@ def positions(docs: DataFrame, ks: list[int]) -> DataFrame:
 
     The document is known by its id and the hash of its text.
     """
-    named = docs.select(F.col("doc_id"), F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("w"))
+    named = with_words(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), "text")
     each = named.select("doc_id", "h", "w", F.size("w").alias("n"), F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "_w"))
 
     def token(k: int) -> Column:
@@ -104,7 +106,7 @@ def document_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shi
     shape = windows.groupBy("k").count().collect()  # at most ``shingle`` rows
     ks, total = sorted(r["k"] for r in shape), sum(r["count"] for r in shape)
     if not ks:
-        plain = docs.select("doc_id", F.xxhash64("text").alias("h"), F.size(words_of(F.col("text"))).alias("n"))
+        plain = with_words(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), "text").select("doc_id", "h", F.size("w").alias("n"))
         return plain.select("*", F.array().cast("array<struct<start:int,len:int>>").alias("hits"), F.array().cast("array<string>").alias("items"))
     blocks = -(-total // block_windows)
     if blocks == 1:
