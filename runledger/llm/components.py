@@ -11,7 +11,7 @@ MAX_ROUNDS = 60
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """(node, root) for every node of ``edges`` (u, v bigint): root is the least node it can reach.
+    """(node, root) for every node of ``edges`` (u, v bigint) but the roots: root is the least node it can reach.
 
     Alternates two star steps: hang larger neighbours on the least neighbour,
     then do so among smaller ones, until every node hangs on its root. Each
