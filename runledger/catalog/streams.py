@@ -36,7 +36,8 @@ def str1(v):
 @query("str1_heartbeat_stream", HEARTBEAT_SQL)
 def str1b(v):
     table = live.VersionedTable(v.spark, scratch_path(v.spark, "heartbeats"), live.STATE)
-    return live.run_to_end(beats(stream_table(v, "events")), table, live.merge_heartbeats, scratch_path(v.spark, "cp"))
+    return live.heartbeat_view(live.run_to_end(
+        beats(stream_table(v, "events")), table, live.merge_heartbeats, scratch_path(v.spark, "cp")))
 
 
 @query("str2_requeue_stale", f"""

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -32,41 +33,67 @@ class VersionedTable:
     def commit(self, n: int, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/v{n:012d}")
 
+    def newest(self) -> int:
+        """Number of the newest version in the folder, -1 if there is none; even an empty version has a file."""
+        try:
+            files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{self.root}/v*")
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return -1
+            raise
+        found = files.agg(F.max(F.regexp_extract("path", r"/v(\d{12,})/[^/]*$", 1).cast("long"))).first()[0]
+        return -1 if found is None else found
+
 
 def run_to_end(stream: DataFrame, table: VersionedTable, merge: Callable[[DataFrame, DataFrame], DataFrame],
                checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drain the source, folding every micro-batch into the table; returns the last version."""
-    last = {"n": -1}
+    """Drain the source, folding every micro-batch into the table.
+
+    Returns the newest version in storage, so a restart that finds no new data gives what earlier runs committed.
+    """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         table.commit(batch_id, merge(table.version(batch_id - 1), batch))
-        last["n"] = batch_id
 
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).foreachBatch(fold).start())
     query.awaitTermination()
-    return table.version(last["n"])
+    return table.version(table.newest())
 
 
-STATE = "entity bigint, status string, last_seen timestamp, version string, n_beats bigint"
+STATE = ("entity bigint, status string, seen_at timestamp, seen_beat bigint, "
+         "version string, version_at timestamp, version_beat bigint, n_beats bigint")
 
 
-def heartbeat_state(beats: DataFrame) -> DataFrame:
-    """Latest status per entity; version keeps its last known value. Beats: entity, status, version, ts, beat_id."""
+def heartbeat_parts(beats: DataFrame) -> DataFrame:
+    """State of a batch: status and version, each with the beat that carried it. Beats: entity, status, version, ts, beat_id."""
     at = F.struct("ts", "beat_id")
+    versioned = F.when(F.col("version").isNotNull(), at)
     return beats.groupBy("entity").agg(
-        F.max_by("status", at).alias("status"), F.max("ts").alias("last_seen"),
-        F.max_by("version", F.when(F.col("version").isNotNull(), at)).alias("version"), F.count(F.lit(1)).alias("n_beats"))
+        F.max_by("status", at).alias("status"), F.max(at).alias("seen"), F.max_by("version", versioned).alias("version"),
+        F.max(versioned).alias("versioned"), F.count(F.lit(1)).alias("n_beats")).select(
+        "entity", "status", F.col("seen.ts").alias("seen_at"), F.col("seen.beat_id").alias("seen_beat"), "version",
+        F.col("versioned.ts").alias("version_at"), F.col("versioned.beat_id").alias("version_beat"), "n_beats")
+
+
+def heartbeat_view(state: DataFrame) -> DataFrame:
+    return state.select("entity", "status", F.col("seen_at").alias("last_seen"), "version", "n_beats")
+
+
+def heartbeat_state(beats: DataFrame) -> DataFrame:
+    """Latest status per entity; version keeps its last known value."""
+    return heartbeat_view(heartbeat_parts(beats))
 
 
 def merge_heartbeats(old: DataFrame, beats: DataFrame) -> DataFrame:
-    """State folded with a batch: a newer status wins, unknown versions never overwrite, counts add up."""
-    fresh = heartbeat_state(beats)
-    both = old.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
-    order = F.struct("last_seen", "_new")
+    """State folded with a batch, late beats included: the newest status and the newest known version win, counts add up."""
+    both = old.unionByName(heartbeat_parts(beats))
+    seen = F.struct("seen_at", "seen_beat")
+    versioned = F.when(F.col("version").isNotNull(), F.struct("version_at", "version_beat"))
     return both.groupBy("entity").agg(
-        F.max_by("status", order).alias("status"), F.max("last_seen").alias("last_seen"),
-        F.max_by("version", F.when(F.col("version").isNotNull(), order)).alias("version"), F.sum("n_beats").alias("n_beats"))
+        F.max_by("status", seen).alias("status"), F.max(seen).alias("seen"), F.max_by("version", versioned).alias("version"),
+        F.max(versioned).alias("versioned"), F.sum("n_beats").alias("n_beats")).select(
+        "entity", "status", "seen.*", "version", "versioned.*", "n_beats")
 
 
 def rate_windows(requests: DataFrame, per_minute: int, per_day: int) -> DataFrame:

@@ -77,10 +77,12 @@ def test_streams_over_many_batches_equal_batch(spark, sf_dir, tmp_path):
     events.repartition(4).write.parquet(src)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
     as_beats = lambda e: e.selectExpr(
-        "user_id AS entity", "event_type AS status", "CASE WHEN value > 15 THEN 'v' END AS version", "cast(ts AS timestamp) AS ts", "event_id AS beat_id")
+        "user_id AS entity", "event_type AS status", "CASE WHEN value > 15 THEN concat('v', cast(value AS int)) END AS version", "cast(ts AS timestamp) AS ts", "event_id AS beat_id")
     table = live.VersionedTable(spark, str(tmp_path / "state"), live.STATE)
-    got = live.run_to_end(as_beats(stream), table, live.merge_heartbeats, str(tmp_path / "cp"))
+    drain = lambda: live.heartbeat_view(live.run_to_end(as_beats(stream), table, live.merge_heartbeats, str(tmp_path / "cp")))
     want = live.heartbeat_state(as_beats(events))
+    assert drain().count() == want.count()
+    got = drain()  # a restart without new files
     assert got.exceptAll(want.select(*got.columns)).count() == 0 and got.count() == want.count()
     board = live.VersionedTable(spark, str(tmp_path / "board"), live.BOARD)
     parts = live.run_to_end(stream.selectExpr("user_id AS entity", "value"), board, live.merge_board, str(tmp_path / "cp2"))
@@ -93,3 +95,15 @@ def test_replayed_batch_counts_once(spark, tmp_path):
     for _ in range(2):
         table.commit(0, live.merge_board(table.version(-1), batch))
     assert table.version(0).first()["n"] == 2
+
+
+def test_late_version_beats_an_earlier_one(spark, tmp_path):
+    row = "entity long, status string, version string, ts timestamp, beat_id long"
+    first = spark.sql("SELECT 1L AS entity, 'a' AS status, 'v1' AS version, timestamp'2024-01-01 00:01:00' AS ts, 1L AS beat_id"
+                      " UNION ALL SELECT 1L, 'c', NULL, timestamp'2024-01-01 00:05:00', 3L")
+    late = spark.sql("SELECT 1L AS entity, 'b' AS status, 'v2' AS version, timestamp'2024-01-01 00:04:00' AS ts, 2L AS beat_id")
+    state = live.merge_heartbeats(live.merge_heartbeats(spark.createDataFrame([], live.STATE), first), late)
+    assert state.columns == spark.createDataFrame([], live.STATE).columns
+    assert live.heartbeat_view(state).collect() == live.heartbeat_state(first.unionByName(late)).collect()
+    assert state.first()["version"] == "v2" and state.first()["status"] == "c"
+    assert live.VersionedTable(spark, str(tmp_path / "none"), row).newest() == -1
