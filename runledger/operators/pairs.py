@@ -50,7 +50,7 @@ def run_pairs(tasks: DataFrame, runs: DataFrame, validations: DataFrame, entrant
         .join(entrants.select("entrant_id", "hotkey", "banned"), "entrant_id")
         .select("task_id", "entrant_id", "hotkey", "banned", "run_id", "attempt_no",
                 F.col("tokens_used").alias("run_tokens"), F.col("resolved").alias("run_resolved"),
-                F.floor(F.rand(11) * salts).cast("int").alias("_salt")))
+                F.pmod(F.xxhash64("run_id"), F.lit(salts)).cast("int").alias("_salt")))
     return (base.join(task_cols, "task_id")
             .join(mine, ["task_id", "_salt"])
             .drop("_salt"))

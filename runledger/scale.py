@@ -63,8 +63,10 @@ def attach_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], size_co
         *[F.col(k).alias(f"_h_{k}") for k in keys], F.ceil(F.col(size_col) / hot_rows).cast("int").alias("_salts"))
     tagged = rows.join(
         F.broadcast(hot), same([F.col(k) for k in keys], [F.col(f"_h_{k}") for k in keys]), "left")
+    # a salt hangs on the row and its partition alone, so that a rerun of a lost task gives the same one
+    spot = F.xxhash64(*[F.col(f.name) for f in rows.schema.fields if "map<" not in f.dataType.simpleString()], F.spark_partition_id())
     tagged = tagged.drop(*[f"_h_{k}" for k in keys]).withColumn(
-        "_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise((F.rand(7) * F.col("_salts")).cast("int")))
+        "_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(spot, F.col("_salts")).cast("int")))
     salts = F.greatest(F.lit(1), F.ceil(F.col(size_col) / hot_rows).cast("int"))
     repeated = facts.select(
         *[F.col(k).alias(f"_c_{k}") for k in keys], F.explode(F.sequence(F.lit(0), salts - 1)).alias("_c_salt"),

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runledger.scale import keep_first
+
 
 def write_snapshot(df: DataFrame, path: str, day: str = "day") -> None:
     """Write once, never over an existing snapshot, never an empty one."""
@@ -15,9 +17,15 @@ def write_snapshot(df: DataFrame, path: str, day: str = "day") -> None:
     df.write.mode("errorifexists").partitionBy(day).parquet(path)
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The smallest row of every key by its other columns, the same one on every run."""
+    rest = [F.col(c).asc_nulls_last() for c in df.columns if c not in keys]
+    return keep_first(df, list(keys), rest) if rest else df.dropDuplicates(list(keys))
+
+
 def new_rows(df: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key the target does not have yet, one per key."""
-    return df.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
+    return one_per_key(df, keys).join(existing.select(*keys), list(keys), "left_anti")
 
 
 def append_new(df: DataFrame, target: str, keys: Sequence[str]) -> DataFrame:
@@ -29,7 +37,7 @@ def append_new(df: DataFrame, target: str, keys: Sequence[str]) -> DataFrame:
     except Exception as exc:  # the first append has no target yet
         if "PATH_NOT_FOUND" not in str(exc):
             raise
-        fresh = df.dropDuplicates(list(keys))
+        fresh = one_per_key(df, keys)
     fresh.write.mode("append").parquet(target)
     return fresh
 
