@@ -100,14 +100,14 @@ def later_matches(docs: DataFrame, first: DataFrame, text: str = "text") -> Data
         F.size("keys") >= LEAST_SHINGLES)
     s = F.size("keys")
     prefix = F.slice("keys", 1, s - F.floor((4 * s + 4) / 5).cast("int") + 1)
-    rows = placed.select("c1", "c2", s.alias("s"), F.posexplode(prefix).alias("pos", "key"))
+    rows = placed.select("c1", "c2", F.explode(prefix).alias("key"))
     per_key = Window.partitionBy("key")
     shared = rows.withColumns({"low": F.min("c1").over(per_key), "high": F.max("c1").over(per_key)}).where("low <> high")
-    shared = shared.select("key", "pos", "s", "c1", "c2").distinct()
+    shared = shared.select("key", "c1", "c2").distinct()
     # shingles that the same classes have bring the same pairs together; the rarest of them is enough
     owners = F.bit_xor(F.xxhash64("c1", "c2")).over(per_key)
-    shared = shared.withColumns({"owners": owners, "n": F.count(F.lit(1)).over(per_key)}).groupBy("c1", "c2", "s", "owners", "n").agg(
-        F.min(F.struct("key", "pos")).alias("least")).select("least.key", "least.pos", "s", "c1", "c2")
+    shared = shared.withColumns({"owners": owners, "n": F.count(F.lit(1)).over(per_key)}).groupBy("c1", "c2", "owners", "n").agg(
+        F.min("key").alias("key")).select("key", "c1", "c2")
     shared = through_parquet(shared, "shared-shingles")
     # whole shingle sets of the lines that share one, from their first occurrences
     wanted = shared.select("c1", "c2").distinct().join(first, ["c1", "c2"]).groupBy(
@@ -119,7 +119,8 @@ def later_matches(docs: DataFrame, first: DataFrame, text: str = "text") -> Data
     each = bound(each, "x", F.get(F.filter("wanted", lambda x: x["line_no"] == F.col("line_no")), F.lit(0))).where(F.col("x").isNotNull())
     each = bound(each.select("x.c1", "x.c2", F.struct("doc_id", "h", "line_no").alias("f"), F.trim("raw").alias("line")), "w", line_words(F.col("line")))
     sets = each.select("c1", "c2", "f", ordered_shingles(F.col("w"), frequent).alias("keys")).dropDuplicates(["c1", "c2"])
-    meet = through_parquet(shared.join(sets, ["c1", "c2"]), "meeting-lines")
+    place = (F.array_position("keys", F.col("key")) - 1).cast("int")
+    meet = through_parquet(shared.join(sets, ["c1", "c2"]).withColumns({"s": F.size("keys"), "pos": place}), "meeting-lines")
     x, y = meet.alias("x"), meet.alias("y")
     sizes = F.col("x.s") + F.col("y.s")
     room = F.least(F.col("x.s") - F.col("x.pos"), F.col("y.s") - F.col("y.pos"))
