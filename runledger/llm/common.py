@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # rows of one batch handed back to Spark; bounds what a Python worker holds besides its input batch
 OUT_ROWS = 2000
+# parts that a large group is ranked in before its sample is taken
+SPREAD = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +48,12 @@ def bounded_sample(docs: DataFrame, group: str, per_group: int, max_groups: int,
     top = slim.groupBy(group).count().orderBy(F.desc("count"), group).limit(max_groups).select(F.col(group).alias("_g"))
     from pyspark.sql import Window
 
-    order = Window.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.lit(7)), key)
+    # first within SPREAD parts of a group, so that the last step sees at most SPREAD * per_group rows of it, however many tasks there were
+    part = F.pmod(F.xxhash64(F.col(key), F.lit(8)), F.lit(SPREAD))
+    by_hash = [F.xxhash64(F.col(key), F.lit(7)), F.col(key)]
+    order = Window.partitionBy(group).orderBy(*by_hash)
     chosen = (slim.join(F.broadcast(top), F.col(group) == F.col("_g"), "left_semi")
+              .withColumn("_rn", F.row_number().over(Window.partitionBy(group, part).orderBy(*by_hash))).where(F.col("_rn") <= per_group)
               .withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= per_group)
               .select(F.col(key).alias("_k")).distinct())
     return docs.join(F.broadcast(chosen), F.col(key) == F.col("_k"), "left_semi")
