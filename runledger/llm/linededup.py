@@ -1,6 +1,6 @@
 """Line deduplication by an exact set-similarity join.
 
-A line's words are what single spaces part after trimming; its tokens are its
+A line's words are what runs of white space (``ODD_GAP`` or one space) part; its tokens are its
 distinct shingles of ``SHINGLE`` words (a line with fewer words is one shingle). Lines match at Jaccard 4/5 or more;
 a line that matches an earlier one (by doc_id, then line number) is removed,
 whether or not the earlier one stays.
@@ -36,6 +36,13 @@ LEAST_SHINGLES = 4
 # entries of the rarity table, a power of two
 RARITY_SLOTS = 1 << 14
 HASH_BITS = 48
+# runs of white space that are not one space already
+ODD_GAP = r"[\t\r\f\x0B][ \t\r\f\x0B]*| [ \t\r\f\x0B]+"
+
+
+def spaced(text: Column) -> Column:
+    """The text with one space for every run of white space inside its lines."""
+    return F.regexp_replace(text, ODD_GAP, " ")
 
 
 def line_words(line: Column) -> Column:
@@ -43,8 +50,8 @@ def line_words(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, h, line_no, line) of the lines that are not blank, trimmed; a document is known by its id and the hash of its text."""
-    named = docs.select("doc_id", F.xxhash64(text).alias("h"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    """(doc_id, h, line_no, line) of the lines that are not blank, their words joined by single spaces; a document is known by its id and the hash of its text."""
+    named = docs.select("doc_id", F.xxhash64(text).alias("h"), spaced(F.col(text)).alias("t")).where(F.col("t").isNotNull())
     lines = named.select("doc_id", "h", F.posexplode(F.split("t", "\n")).alias("line_no", "raw"))
     return lines.select("doc_id", "h", "line_no", F.trim("raw").alias("line")).where(F.col("line") != "")
 
@@ -113,7 +120,7 @@ def later_matches(docs: DataFrame, first: DataFrame, text: str = "text") -> Data
     wanted = shared.select("c1", "c2").distinct().join(first, ["c1", "c2"]).groupBy(
         F.col("f.doc_id").alias("_id"), F.col("f.h").alias("_h")).agg(
         F.collect_list(F.struct("c1", "c2", F.col("f.line_no").alias("line_no"))).alias("wanted"))
-    held = docs.select("doc_id", F.xxhash64(text).alias("h"), F.col(text).alias("t")).join(
+    held = docs.select("doc_id", F.xxhash64(text).alias("h"), spaced(F.col(text)).alias("t")).join(
         wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
     each = held.select("doc_id", "h", "wanted", F.posexplode(F.split("t", "\n")).alias("line_no", "raw"))
     each = bound(each, "x", F.get(F.filter("wanted", lambda x: x["line_no"] == F.col("line_no")), F.lit(0))).where(F.col("x").isNotNull())
