@@ -15,7 +15,8 @@ and the hash of its zone, i.e. of all bytes of all its strings.
    a suffix class that fills several buckets is spread over them. Buckets are
    sorted by token, rest and zone (multikey: a later key decides among equals of
    the earlier ones). Neighbours that agree on token and rest are one class.
-   Classes at the ends of buckets are compared across boundaries by counts.
+   Classes at splitters may have rows in several buckets, whatever their place
+   in them, and are compared across buckets by counts.
 2. Suffixes with an equal zone elsewhere repeat as a whole. Those of a class with
    several zones are compared string by string: their zones' bytes meet by class
    and all strings of a class are hashed and sorted. Classes of more than
@@ -118,6 +119,11 @@ def unpacked(ref):
     return ref // (PACK * PACK), ref // PACK % PACK, ref % PACK
 
 
+def leading_of(lead: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """What splitters are compared with: token and the top half of the rest, unsigned."""
+    return (lead.view(np.uint64) << np.uint64(32)) | (rest.view(np.uint64) >> np.uint64(32))
+
+
 def emit(splitters: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +137,7 @@ def emit(splitters: np.ndarray):
                 rest = text.stretch(anchor + 4, anchor + REACH)
                 zone = text.stretch(first, last + SPAN) ^ mix(packed(anchor, first, last).astype(np.uint64) % np.uint64(PACK * PACK))
                 doc = keys[at + owner]
-                leading = (lead << np.uint64(32)) | (rest >> np.uint64(32))
+                leading = leading_of(lead, rest)
                 low = np.searchsorted(splitters, leading, side="left")
                 ways = np.searchsorted(splitters, leading, side="right") - low + 1
                 tie = mix(zone ^ doc.view(np.uint64)) >> np.uint64(8)
@@ -167,29 +173,32 @@ def judge(rows: np.ndarray, edge: np.ndarray) -> pa.RecordBatch | None:
         names=[c.split()[0] for c in JUDGED.split(", ")])
 
 
-def judge_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes of one sorted bucket; its first and last class go on as edges."""
-    rest, first = None, True
-    for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6)])
-        rows = rows if rest is None else np.concatenate([rest, rows], axis=1)
-        if rows.shape[1] == 0:
-            continue
-        fresh = np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)])
-        cut = np.flatnonzero(fresh)[-1]
-        rest = rows[:, cut:]
-        if cut:
-            edge = (np.cumsum(fresh[:cut]) == 1) & first
-            first = False
-            out = judge(np.ascontiguousarray(rows[:, :cut]), edge)
+def judge_bucket(splitters: np.ndarray):
+    """Classes of one sorted bucket; those at a splitter, which other buckets may share, go on as edges."""
+    def judged(rows: np.ndarray) -> pa.RecordBatch | None:
+        rows = np.ascontiguousarray(rows)
+        return judge(rows, np.isin(leading_of(rows[0], rows[1]), splitters))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6)])
+            rows = rows if rest is None else np.concatenate([rest, rows], axis=1)
+            if rows.shape[1] == 0:
+                continue
+            cut = np.flatnonzero(np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)]))[-1]
+            rest = rows[:, cut:]
+            out = judged(rows[:, :cut]) if cut else None
             if out is not None:
                 yield out
-    if rest is not None and rest.shape[1]:
-        yield judge(np.ascontiguousarray(rest), np.ones(rest.shape[1], dtype=bool))
+        out = judged(rest) if rest is not None and rest.shape[1] else None
+        if out is not None:
+            yield out
+    return run
 
 
 def across_boundaries(edges: DataFrame) -> DataFrame:
-    """Judge the open rows of classes at bucket ends by counts over all buckets."""
+    """Judge the open rows of classes at splitters by counts over all buckets."""
     per_zone = edges.groupBy("lead", "rest", "zone").agg(F.sum("n").alias("n"), F.min(F.struct("d", "ref")).alias("least"))
     per_class = per_zone.groupBy("lead", "rest").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("zones"))
     facts = per_zone.join(per_class.where("rows >= 2"), ["lead", "rest"])
@@ -310,7 +319,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     seen = np.sort(np.array([((r["lead"] & 0xFFFFFFFF) << 32) | (r["rest"] & (1 << 64) - 1) >> 32 for r in sample.select("lead", "rest").collect()], dtype=np.uint64))
     splitters = seen[np.linspace(0, len(seen) - 1, parts + 1).astype(int)[1:-1]] if len(seen) else seen
     dealt = texts.mapInArrow(emit(splitters), SUFFIX).repartitionById(parts, "bucket").sortWithinPartitions("lead", "rest", "zone", "d", "ref")
-    judged = through_parquet(dealt.mapInArrow(judge_bucket, JUDGED), "suffixes")
+    judged = through_parquet(dealt.mapInArrow(judge_bucket(splitters), JUDGED), "suffixes")
     rows = judged.where("not edge").select("d", "ref", "class", "zones", "whole", "partner").unionByName(across_boundaries(judged.where("edge")))
     rows = through_parquet(rows, "suffix-classes")
     wanted = rows.where("partner or (not whole and zones >= 2)").groupBy("d").agg(F.collect_set(F.struct("ref", "class", "zones")).alias("wanted"))

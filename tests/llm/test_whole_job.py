@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from runledger.llm import linededup
+from runledger.llm import linededup, suffixes
 
 
 def plain_removed(docs):
@@ -39,3 +39,17 @@ def test_line_dedup_parts_words_by_any_white_space(spark):
     want = plain_removed(docs)
     assert all(want[d][:3] == [0, 1, 2] for d in range(2, 12))
     assert removed(spark, docs) == want
+
+
+def test_suffix_classes_at_splitters_are_whole(spark):
+    """Every text twice over many buckets and few leading tokens: all of it goes."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab") for _ in range(240)) for _ in range(200)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts)], "doc_id bigint, text string").repartition(8)
+        left = [r["doc_id"] for r in suffixes.remove_repeats(df).collect() if len(r["kept"])]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert left == []
