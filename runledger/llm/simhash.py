@@ -171,12 +171,12 @@ def links(fps: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 
 def classes(marked: DataFrame) -> DataFrame:
-    """(fp, component_id) of written (doc_id, fp) rows."""
+    """(fp, component_id, root) of written (doc_id, fp) rows; root, a fingerprint, tells components of null ids apart."""
     fps = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(fps), "simhash")
     rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(named, "root").select("fp", "component_id")
+    return rooted.join(named, "root").select("fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -192,13 +192,13 @@ def contract(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that stay: of each component the one with the smallest doc_id, all columns kept."""
+    """The documents that stay: of each component the one with the smallest doc_id (null ids last), all columns kept."""
     from pyspark.sql import Window
 
     marked = through_parquet(fingerprints(docs, text, keep=docs.columns, name="_fp"), "fingerprints")
     slim = marked.select("doc_id", F.col("_fp").alias("fp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp"))
-    winners = slim.join(classes(slim), "fp").groupBy("component_id").agg(first.alias("w")).select(
+    winners = slim.join(classes(slim), "fp").groupBy("root").agg(first.alias("w")).select(
         F.col("w.doc_id").alias("_w_id"), F.col("w.fp").alias("_w_fp"))
     kept = marked.join(winners, F.col("doc_id").eqNullSafe(F.col("_w_id")) & (F.col("_fp") == F.col("_w_fp")), "left_semi")
     copies = Window.partitionBy("doc_id", "_fp").orderBy(F.xxhash64(text))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from runledger.llm import linededup, suffixes
+from runledger.llm import linededup, simhash, suffixes
 
 
 def plain_removed(docs):
@@ -53,3 +53,11 @@ def test_suffix_classes_at_splitters_are_whole(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert left == []
+
+
+def test_simhash_keeps_unlike_documents_without_ids(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(80)) for _ in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (7, texts[2]), (8, texts[3])]
+    kept = simhash.one_per_group(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (8, texts[3])], key=repr)
