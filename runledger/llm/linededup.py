@@ -1,6 +1,6 @@
 """Line deduplication by an exact set-similarity join.
 
-A line's words are what runs of white space (``ODD_GAP`` or one space) part; its tokens are its
+A line's words are what runs of white space part; its tokens are its
 distinct shingles of ``SHINGLE`` words (a line with fewer words is one shingle). Lines match at Jaccard 4/5 or more;
 a line that matches an earlier one (by doc_id, then line number) is removed,
 whether or not the earlier one stays.
@@ -11,7 +11,8 @@ fixed size. A line's prefix are its rarest shingles, as many as a match cannot
 miss altogether; lines meet on prefix shingles that more than one class has,
 subject to the length filter (sizes within 4/5) and the positional filter (what
 is left behind the shingle suffices), and meeting lines are verified on their
-whole shingle sets. The join asks for the existence of an earlier match, so a
+whole shingle sets. Lines of repeated words may have few shingles, or the same
+ones, however long they are, so only lines of one shorter shingle stay out. The join asks for the existence of an earlier match, so a
 large group of near copies yields one row per line, not its pairs.
 
 Texts stay where they are but for the documents that hold a line in need of
@@ -31,8 +32,6 @@ from runledger.llm.common import bound
 from runledger.session import through_parquet
 
 SHINGLE = 5
-# a line with fewer shingles has no different line within 4/5
-LEAST_SHINGLES = 4
 # entries of the rarity table, a power of two
 RARITY_SLOTS = 1 << 14
 HASH_BITS = 48
@@ -102,9 +101,8 @@ def later_matches(docs: DataFrame, first: DataFrame, text: str = "text") -> Data
     """(c1, c2) of the classes of which an earlier, different class is a match; ``first`` holds (c1, c2, f)."""
     frequent = rarity(docs, text)
     lines = bound(lines_of(docs, text).select("line"), "w", line_words(F.col("line"))).where(
-        F.size("w") >= SHINGLE + LEAST_SHINGLES - 1)
-    placed = bound(lines.select(*class_keys(F.col("line")), "w"), "keys", ordered_shingles(F.col("w"), frequent)).where(
-        F.size("keys") >= LEAST_SHINGLES)
+        F.size("w") >= SHINGLE)
+    placed = bound(lines.select(*class_keys(F.col("line")), "w"), "keys", ordered_shingles(F.col("w"), frequent))
     s = F.size("keys")
     prefix = F.slice("keys", 1, s - F.floor((4 * s + 4) / 5).cast("int") + 1)
     rows = placed.select("c1", "c2", F.explode(prefix).alias("key"))

@@ -61,3 +61,12 @@ def test_simhash_keeps_unlike_documents_without_ids(spark):
     rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (7, texts[2]), (8, texts[3])]
     kept = simhash.one_per_group(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted(map(tuple, kept), key=repr) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (8, texts[3])], key=repr)
+
+
+def test_line_dedup_meets_lines_of_repeated_words(spark):
+    docs = [(1, "\n".join([" ".join("-" * 6), " ".join("ab" * 5), "a a a a a b", "a b c a b c a", "p q r s t"])),
+            (2, "\n".join([" ".join("-" * 9), " ".join("ab" * 8), "a a a a a a b", "b c a b c a b", "p q r s u", " ".join("-" * 4)])),
+            (3, "\n".join([" ".join("0" * 5), " ".join("-" * 12), "p q r s t u", " ".join("0" * 7)]))]
+    want = plain_removed(docs)
+    assert want == {2: [0, 1, 2, 3], 3: [1, 3]}
+    assert removed(spark, docs) == want
