@@ -15,10 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runledger.llm.common import hash_partitions
+from runledger.session import through_parquet
+
 # template of a rendered turn: open, role, middle, text, close
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "\n<|end|>\n"
-# conversations of one opening turn are paired among ids of one block, so that a very common opening is no single group
-BLOCK_IDS = 1000
 
 
 def rendered(turns: Column) -> Column:
@@ -68,42 +69,79 @@ def conversations(turns: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
-def opening_pairs(turns: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Each conversation with the next one of its block of ids and opening role, ordered by opening text, then id.
+def next_of_opening(convs: DataFrame) -> DataFrame:
+    """(conv_id, other_id): each conversation and the one with the next id among those of an equal opening turn.
 
-    Conversations with the same opening turn are neighbours in that order and
-    so become rivals; every conversation but the last of its kind in a block
-    is the first of a pair. The one with more assistant text is chosen, the
-    smaller id among equals.
+    Rows are dealt out by ranges of (opening, id), so an opening that very many
+    conversations have is split like any other stretch of the order; the last
+    row of a range looks at the first one of the next.
+    """
+    opening = F.get("turns", F.lit(0))
+    slim = convs.select(F.xxhash64(opening).alias("o1"), F.hash(opening).alias("o2"), "conv_id")
+    dealt = through_parquet(slim.repartitionByRange(hash_partitions(convs.sparkSession), "o1", "o2", "conv_id").withColumn(
+        "part", F.spark_partition_id()), "openings")
+    row = F.struct("o1", "o2", "conv_id")
+    # one row per range, so the window over all of them is short
+    heads = dealt.groupBy("part").agg(F.min(row).alias("head")).select(
+        F.col("part").alias("_part"), F.lead("head").over(Window.orderBy("part")).alias("after"))
+    inside = F.lead(row).over(Window.partitionBy("part").orderBy("o1", "o2", "conv_id"))
+    seen = dealt.withColumn("inside", inside).join(F.broadcast(heads), F.col("part") == F.col("_part"))
+    nxt = seen.select("o1", "o2", "conv_id", F.coalesce("inside", "after").alias("n"))
+    return nxt.where((F.col("o1") == F.col("n.o1")) & (F.col("o2") == F.col("n.o2"))).select("conv_id", F.col("n.conv_id").alias("other_id"))
+
+
+def opening_pairs(convs: DataFrame) -> DataFrame:
+    """Conversations with an equal opening turn as rivals, each with the one of the next id, over the whole table.
+
+    The one with more assistant text is chosen, the smaller id among equals.
     """
-    convs = conversations(turns).withColumns({
-        "block": F.floor(F.col("conv_id") / block_ids),
-        "answered": F.aggregate("turns", F.lit(0), lambda n, t: n + F.when(t["role"] == "assistant", F.length(t["text"])).otherwise(0)),
-        "role": F.get("turns", F.lit(0))["role"], "text": F.get("turns", F.lit(0))["text"]})
-    order = Window.partitionBy("block", "role").orderBy("text", "conv_id")
-    nxt = F.lead(F.struct("conv_id", "turns", "answered")).over(order)
-    pairs = convs.withColumn("other", nxt).where(F.col("other").isNotNull())
-    first = (F.col("answered") > F.col("other.answered")) | (
-        (F.col("answered") == F.col("other.answered")) & (F.col("conv_id") < F.col("other.conv_id")))
+    answered = F.aggregate("turns", F.lit(0), lambda n, t: n + F.when(t["role"] == "assistant", F.length(t["text"])).otherwise(0))
+    known = convs.withColumn("answered", answered)
+    other = known.select(F.col("conv_id").alias("other_id"), F.col("turns").alias("other_turns"), F.col("answered").alias("other_answered"))
+    pairs = known.join(next_of_opening(convs), "conv_id").join(other, "other_id")
+    first = F.col("answered") >= F.col("other_answered")
     return pairs.select(
-        F.when(first, F.col("conv_id")).otherwise(F.col("other.conv_id")).alias("chosen_id"),
-        F.when(first, F.col("other.conv_id")).otherwise(F.col("conv_id")).alias("rejected_id"),
-        F.when(first, F.col("turns")).otherwise(F.col("other.turns")).alias("chosen"),
-        F.when(first, F.col("other.turns")).otherwise(F.col("turns")).alias("rejected"))
+        F.when(first, F.col("conv_id")).otherwise(F.col("other_id")).alias("chosen_id"),
+        F.when(first, F.col("other_id")).otherwise(F.col("conv_id")).alias("rejected_id"),
+        F.when(first, F.col("turns")).otherwise(F.col("other_turns")).alias("chosen"),
+        F.when(first, F.col("other_turns")).otherwise(F.col("turns")).alias("rejected"))
+
+
+def answer_pairs(convs: DataFrame) -> DataFrame:
+    """Two answers to the same turns of one conversation, for each conversation with two different answers.
+
+    Chosen is the conversation up to its last answer; rejected has in the place
+    of that answer the latest earlier one with another text. Both ids are the
+    conversation's own.
+    """
+    places = F.sequence(F.lit(0), F.size("turns") - 1)
+    last = F.element_at(F.filter(places, lambda i: F.get("turns", i)["role"] == "assistant"), -1)
+    rivals = F.filter("turns", lambda t, i: (i < F.col("last")) & (t["role"] == "assistant") & (t["text"] != F.get("turns", F.col("last"))["text"]))
+    found = convs.where(F.exists("turns", lambda t: t["role"] == "assistant")).withColumn("last", last).withColumn("rivals", rivals)
+    own = found.where(F.size("rivals") > 0)
+    return own.select(F.col("conv_id").alias("chosen_id"), F.col("conv_id").alias("rejected_id"),
+                      F.slice("turns", 1, F.col("last") + 1).alias("chosen"),
+                      F.concat(F.slice("turns", 1, F.col("last")), F.slice("rivals", -1, 1)).alias("rejected"))
+
+
+def rival_pairs(turns: DataFrame) -> DataFrame:
+    """All pairs that the rows give: between conversations of one opening, and between answers of one conversation."""
+    convs = through_parquet(conversations(turns), "conversations")
+    return opening_pairs(convs).unionByName(answer_pairs(convs))
 
 
 def contract(turns: DataFrame) -> DataFrame:
-    """Pairs of the whole table, formatted; texts as digests, masks as span lists."""
+    """Rival pairs of the whole table, formatted; texts as digests, masks as span lists."""
     def spans(name):
         return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    out = format_pairs(opening_pairs(turns), keys=["chosen_id", "rejected_id"])
+    out = format_pairs(rival_pairs(turns), keys=["chosen_id", "rejected_id"])
     return out.select("chosen_id", "rejected_id", F.col("n_common").cast("long").alias("n_common"), F.sha2("prompt", 256).alias("prompt_sha256"),
                       F.sha2("chosen_text", 256).alias("chosen_sha256"), spans(F.col("chosen_mask")).alias("chosen_mask"),
                       F.sha2("rejected_text", 256).alias("rejected_sha256"), spans(F.col("rejected_mask")).alias("rejected_mask"))
 
 
-# same template and pairing as above
+# same template as above, but still the former pairing: neighbours of any opening within blocks of 1000 ids, no answer pairs
 ORACLE_SQL = """
 with t as (select distinct conv_id, turn, coalesce(role, 'user') as role, coalesce(text, '') as text from conversations where conv_id is not null),
  c as (select conv_id, list({'role': role, 'text': text} order by turn nulls first, role, text) as turns,

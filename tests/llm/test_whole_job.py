@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from runledger.llm import linededup, simhash, suffixes
+from runledger.llm import linededup, preferences, simhash, suffixes
 
 
 def plain_removed(docs):
@@ -70,3 +70,40 @@ def test_line_dedup_meets_lines_of_repeated_words(spark):
     want = plain_removed(docs)
     assert want == {2: [0, 1, 2, 3], 3: [1, 3]}
     assert removed(spark, docs) == want
+
+
+def plain_pairs(turns):
+    """(chosen id, rejected id, common turns) of all rivals."""
+    convs = {}
+    for c, n, role, text in sorted(turns):
+        convs.setdefault(c, []).append((role, text))
+    said = {c: sum(len(t) for r, t in ts if r == "assistant") for c, ts in convs.items()}
+    out, latest = [], {}
+
+    def common(a, b):
+        return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    for c in sorted(convs):
+        ts = convs[c]
+        if ts[0] in latest:
+            o = latest[ts[0]]
+            pair = (o, c) if said[o] >= said[c] else (c, o)
+            out.append((*pair, common(ts, convs[o])))
+        latest[ts[0]] = c
+        at = [i for i, (r, _) in enumerate(ts) if r == "assistant"]
+        if any(ts[i][1] != ts[at[-1]][1] for i in at):
+            out.append((c, c, at[-1]))
+    return sorted(out)
+
+
+def test_preferences_pair_equal_openings_of_the_whole_table(spark):
+    rng = random.Random(3)
+    turns = []
+    for c in [*range(40), 999, 1000, 5003, 10 ** 9, 10 ** 9 + 7, 10 ** 12]:
+        opening = "hot" if c % 3 or c > 900 else f"q{c % 12}"
+        rest = [(1, "assistant", rng.choice(["yes", "no", "maybe so"])), (2, "user", rng.choice(["why", "how"])), (3, "assistant", rng.choice(["yes", "because"]))]
+        turns += [(c, 0, "user", opening)] + [(c, *t) for t in rest[:rng.randint(0, 3)]]
+    out = preferences.contract(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"))
+    got = sorted((r["chosen_id"], r["rejected_id"], r["n_common"]) for r in out.collect())
+    assert got == plain_pairs(turns)
+    assert all(n >= 1 for _, _, n in got) and any(a == b for a, b, _ in got)
