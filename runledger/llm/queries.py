@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import decontaminate, langid, linededup, pieces, preferences, secrets, simhash, suffixes, topk, toxicity
+from runledger.llm import (decontaminate, htmltext, langid, linededup, pieces, preferences, ranked, secrets, simhash, spelling, suffixes,
+                           topk, toxicity)
 from runledger.llm.common import table
 
 
@@ -79,10 +80,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.contract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_decontaminate, op2_secret_spans, op3_exact_topk, op4_line_dedup, op5_language, op6_preferences, op7_simhash, op8_pieces, op9_suffix_dedup, op10_toxicity)}
+        op1_decontaminate, op2_secret_spans, op3_exact_topk, op4_line_dedup, op5_language, op6_preferences, op7_simhash, op8_pieces, op9_suffix_dedup, op10_toxicity,
+        op11_ranked_search, op12_spelling_variants, op13_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op3_exact_topk": OP3_SQL, "op4_line_dedup": linededup.ORACLE_SQL, "op6_preferences": preferences.ORACLE_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_exact_topk": OP3_SQL, "op4_line_dedup": linededup.ORACLE_SQL, "op6_preferences": preferences.ORACLE_SQL,
+            "op11_ranked_search": ranked.ORACLE_SQL, "op13_html_text": htmltext.ORACLE_SQL}
