@@ -109,7 +109,6 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
         self.depth = 0
-        self.ending = self.cut_off = False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("html", "body") and self.at is self.root and tag == "html":
@@ -143,13 +142,12 @@ class Tree(HTMLParser):
             self._up()
 
     def handle_data(self, data: str) -> None:
-        # at the end of the page the parser hands out unfinished markup as text
-        self.cut_off = self.cut_off or (self.ending and _UNFINISHED.match(data) is not None)
-        if not self.cut_off:
-            self.at.kids.append(data)
+        self.at.kids.append(data)
 
     def close(self) -> None:
-        self.ending = True
+        # what is left to read begins with unfinished markup, which the parser would hand out as text
+        if _UNFINISHED.match(self.rawdata):
+            self.rawdata = ""
         super().close()
 
     def _up(self) -> None:
