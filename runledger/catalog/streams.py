@@ -7,24 +7,53 @@ from pyspark.sql import functions as F
 from runledger.catalog.registry import query, rounded
 from runledger.catalog.rewards import now_col
 from runledger.catalog.views import NOW
-from runledger.session import scratch_path
-from runledger.streaming import leases, live
+from runledger.session import scratch_path, through_parquet
+from runledger.streaming import leases, live, timers
+from runledger.streaming.tables import AppendTable, FoldedTable, drain
 
 
-def stream_table(v, name: str):
-    """The table's file as a stream source."""
-    schema = v.table(name).schema
-    return v.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(v.dir)
+PARTS = 3
+# rows arrive up to a day early or late; streams wait for three days
+JITTER_DAYS, LATE = 1, "3 days"
+
+
+def arrivals(rows, ts: str, tie: str):
+    """The rows in three parts by time, out of order at the seams: each row is shifted by a hash of ``tie`` within the jitter."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    if low is None:
+        return [rows]
+    shift = (F.pmod(F.xxhash64(tie), F.lit(2001)) / 1000 - 1) * JITTER_DAYS * 86_400_000_000
+    part = F.greatest(F.lit(0), F.least(F.lit(PARTS - 1), F.floor((at - low + shift) * PARTS / (high - low + 1))))
+    return [rows.where(part == i) for i in range(PARTS)]
+
+
+def drain_parts(v, parts, run) -> None:
+    """Deliver the parts one after the other; the stream is started anew for each, from its checkpoint."""
+    path = scratch_path(v.spark, "arrivals")
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        run(v.spark.readStream.schema(part.schema).parquet(path))
+
+
+def folded(v, label: str, schema: str, fold) -> FoldedTable:
+    return FoldedTable(v.spark, scratch_path(v.spark, label), schema, fold)
+
+
+def timed(df, *cols: str):
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in cols})
 
 
 def beats(events):
-    return events.selectExpr("user_id AS entity", "event_type AS status",
-                             "CASE WHEN value > 15 THEN concat('v', cast(value AS int)) END AS version", "ts", "event_id AS beat_id")
+    return timed(events.selectExpr(
+        "user_id AS entity", "event_type AS status", "CASE WHEN value > 15 THEN concat('v', cast(value AS int)) END AS version",
+        "CASE WHEN event_type = 'signup' THEN concat('m', event_id % 5) END AS model", "ts", "event_id AS beat_id"), "ts")
 
 
 HEARTBEAT_SQL = """
     SELECT user_id AS entity, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS last_seen,
-           arg_max('v' || CAST(trunc(value) AS INTEGER), (ts, event_id)) FILTER (WHERE value > 15) AS version, count(*) AS n_beats
+           arg_max('v' || CAST(trunc(value) AS INTEGER), (ts, event_id)) FILTER (WHERE value > 15) AS version,
+           arg_max('m' || (event_id % 5), (ts, event_id)) FILTER (WHERE event_type = 'signup') AS model, count(*) AS n_beats
     FROM events GROUP BY user_id"""
 
 
@@ -33,11 +62,21 @@ def str1(v):
     return live.heartbeat_state(beats(v.table("events")))
 
 
+def followed_beats(v):
+    state, checkpoint = folded(v, "heartbeats", live.STATE, live.fold_heartbeats), scratch_path(v.spark, "cp")
+    history = AppendTable(v.spark, scratch_path(v.spark, "history"), live.HISTORY)
+    drain_parts(v, arrivals(beats(v.table("events")), "ts", "beat_id"), lambda stream: live.follow_heartbeats(stream, state, history, checkpoint))
+    return state, history
+
+
 @query("str1_heartbeat_stream", HEARTBEAT_SQL)
 def str1b(v):
-    table = live.VersionedTable(v.spark, scratch_path(v.spark, "heartbeats"), live.STATE)
-    return live.heartbeat_view(live.run_to_end(
-        beats(stream_table(v, "events")), table, live.merge_heartbeats, scratch_path(v.spark, "cp")))
+    return live.heartbeat_view(followed_beats(v)[0].current())
+
+
+@query("str1_heartbeat_history", "SELECT user_id AS entity, event_type AS status, ts, event_id AS beat_id FROM events")
+def str1c(v):
+    return followed_beats(v)[1].current()
 
 
 @query("str2_requeue_stale", f"""
@@ -47,6 +86,29 @@ def str2(v):
     return leases.requeue_stale(v.runs, now_col()).select("run_id", "requeued", "status")
 
 
+REQUEUE_TTL = 6 * 3600
+# one run per user and day
+REQUEUE_SQL = f"""
+    WITH b AS (SELECT user_id * 100 + day(ts) AS run_id, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'pending' ELSE 'dispatched' END AS status,
+                      ts, event_id FROM events),
+    n AS (SELECT run_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS t_at FROM b GROUP BY run_id),
+    w AS (SELECT *, status = 'dispatched' AND date_trunc('millisecond', t_at) + INTERVAL {REQUEUE_TTL} SECOND
+             < (SELECT date_trunc('millisecond', max(ts)) FROM b) - INTERVAL 3 DAY AS stale FROM n)
+    SELECT run_id, stale AS requeued, CASE WHEN stale THEN 'pending' ELSE status END AS status,
+           CASE WHEN stale THEN t_at + INTERVAL {REQUEUE_TTL} SECOND ELSE t_at END AS updated_at FROM w"""
+
+
+@query("str2_requeue_stream", REQUEUE_SQL)
+def str2b(v):
+    rows = timed(v.table("events").selectExpr(
+        "user_id * 100 + day(ts) AS run_id", "CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'pending' ELSE 'dispatched' END AS status",
+        "ts", "event_id AS beat_id"), "ts")
+    state, checkpoint = folded(v, "dispatches", timers.DISPATCHES, timers.fold_dispatches), scratch_path(v.spark, "cp")
+    drain_parts(v, arrivals(rows, "ts", "beat_id"), lambda stream: drain(
+        timers.requeue_stream(stream, REQUEUE_TTL, LATE), lambda batch, n: state.commit(n, batch), checkpoint, "update"))
+    return timers.dispatch_view(state.current(), REQUEUE_TTL).select("run_id", "requeued", "status", "updated_at")
+
+
 @query("str3_expire_assignments", f"""
     SELECT batch_id, validator_id FROM fx_assignments WHERE done_at IS NOT NULL OR assigned_at >= TIMESTAMP '{NOW}' - INTERVAL 48 HOUR""")
 def str3(v):
@@ -62,6 +124,33 @@ def str3b(v):
     return derived.select("item_id", "validator_id")
 
 
+LEASE_SQL = """
+    WITH a AS (SELECT o_orderkey AS batch_id, o_custkey % 5 AS validator_id, o_orderdate AS t_at, o_totalprice > 200000 AS done FROM orders),
+    d AS (SELECT l_orderkey AS batch_id, l_suppkey % 5 AS validator_id, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS item_id,
+                 min(o_orderdate + to_hours(CAST(l_linenumber * 13 AS INTEGER))) AS t_at FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
+    w AS (SELECT max(t_at) - INTERVAL 3 DAY AS w FROM (SELECT CASE WHEN done THEN t_at + INTERVAL 6 HOUR ELSE t_at END AS t_at FROM a UNION ALL SELECT t_at FROM d)),
+    gone AS (SELECT batch_id, t_at + INTERVAL 48 HOUR AS until FROM a, w WHERE NOT done AND t_at + INTERVAL 48 HOUR < w)
+    SELECT batch_id, validator_id, CAST(NULL AS BIGINT) AS item_id FROM a WHERE batch_id NOT IN (SELECT batch_id FROM gone)
+    UNION ALL
+    SELECT d.batch_id, validator_id, item_id FROM d LEFT JOIN gone g ON g.batch_id = d.batch_id AND d.t_at <= g.until WHERE g.batch_id IS NULL"""
+
+
+@query("str3_lease_stream", LEASE_SQL)
+def str3c(v):
+    orders = v.table("orders")
+    assigned = orders.selectExpr("o_orderkey AS batch_id", "'assigned' AS kind", "o_custkey % 5 AS validator_id", "cast(NULL AS bigint) AS item_id", "o_orderdate AS ts")
+    done = orders.where("o_totalprice > 200000").selectExpr(
+        "o_orderkey", "'done'", "o_custkey % 5", "cast(NULL AS bigint)", "o_orderdate + make_dt_interval(0, 6)")
+    derived = v.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
+        "l_orderkey AS batch_id", "l_suppkey % 5 AS validator_id", "l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS item_id",
+        "o_orderdate + make_dt_interval(0, l_linenumber * 13) AS ts").groupBy("batch_id", "validator_id", "item_id").agg(F.min("ts").alias("ts"))
+    rows = timed(assigned.unionAll(done).unionAll(derived.selectExpr("batch_id", "'derived'", "validator_id", "item_id", "ts")), "ts")
+    state, checkpoint = folded(v, "leases", timers.LEASES, timers.fold_leases), scratch_path(v.spark, "cp")
+    drain_parts(v, arrivals(rows, "ts", "batch_id"), lambda stream: drain(
+        timers.lease_stream(stream, 48 * 3600, LATE), lambda batch, n: state.commit(n, batch), checkpoint, "update"))
+    return state.current().where("live").select("batch_id", "validator_id", "item_id")
+
+
 @query("str4_claimable", f"""
     SELECT v.validation_id, v.run_id, CASE WHEN r.status = 'failed' THEN 'score false' ELSE 'claim' END AS action
     FROM fx_validations v JOIN (SELECT run_id, CASE WHEN run_id % 7 = 0 THEN 'failed' ELSE status END AS status FROM fx_runs) r ON r.run_id = v.run_id
@@ -92,10 +181,11 @@ def str5(v):
 
 @query("str5_rate_windows_stream", RATE_SQL)
 def str5b(v):
-    table = live.VersionedTable(v.spark, scratch_path(v.spark, "windows"), live.WINDOWS)
-    source = requests(stream_table(v, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
-    return live.over_limit(live.run_to_end(
-        live.stream_rate_windows(source, 1, 30), table, live.merge_windows, scratch_path(v.spark, "cp"), "update"))
+    windows, checkpoint = folded(v, "windows", live.WINDOWS, live.fold_windows), scratch_path(v.spark, "cp")
+    late = AppendTable(v.spark, scratch_path(v.spark, "late"), live.LATE)
+    rows = timed(requests(v.table("events")), "ts")
+    drain_parts(v, arrivals(rows, "ts", "ts"), lambda stream: live.follow_requests(stream, windows, late, checkpoint, 3 * 86_400))
+    return live.over_limit(windows.current(), 1, 30)
 
 
 BOARD_SQL = "SELECT user_id AS entity, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS best FROM events GROUP BY user_id"
@@ -103,9 +193,10 @@ BOARD_SQL = "SELECT user_id AS entity, count(*) AS n, round(avg(value), 6) AS me
 
 @query("str6_refresh_views", BOARD_SQL)
 def str6(v):
-    table = live.VersionedTable(v.spark, scratch_path(v.spark, "board"), live.BOARD)
-    events = stream_table(v, "events").selectExpr("user_id AS entity", "value")
-    return rounded(live.board_view(live.run_to_end(events, table, live.merge_board, scratch_path(v.spark, "cp"))), "mean")
+    board, checkpoint = folded(v, "board", live.BOARD, live.fold_board), scratch_path(v.spark, "cp")
+    rows = v.table("events").selectExpr("user_id AS entity", "value", "ts", "event_id")
+    drain_parts(v, arrivals(rows, "ts", "event_id"), lambda stream: live.follow_board(stream, board, checkpoint))
+    return rounded(live.board_view(board.current()), "mean")
 
 
 FOLLOW_SQL = """
@@ -132,16 +223,52 @@ def str7(v):
     return live.follow_sessions(call_rows(v.table("conversations")))
 
 
-@query("str7_stateful_stream", FOLLOW_SQL)
+# inputs go on from the previous output (session % 3 = 0), from the previous input (1) or from neither (2); one session in seven is silent for 40 days
+SESSION_TTL = 30 * 86_400
+CALLS_SQL = f"""
+    WITH sz AS (SELECT conv_id AS s, c, count(*) AS n FROM conversations, (SELECT unnest([1, 2, 3]) AS c) WHERE turn <= c + 1 GROUP BY ALL),
+    i AS (SELECT conv_id AS s, sz.c, turn AS t, role, CASE WHEN conv_id % 3 = 0 AND turn < p.n - 1 THEN 'kept ' || turn WHEN conv_id % 3 = 2 THEN text || sz.c ELSE text END AS x
+          FROM conversations m JOIN sz ON sz.s = conv_id AND turn <= sz.c + 1 LEFT JOIN sz p ON p.s = conv_id AND p.c = sz.c - 1),
+    o AS (SELECT conv_id AS s, c, turn AS t, role, 'kept ' || turn AS x FROM conversations JOIN sz ON sz.s = conv_id AND turn < n - 1),
+    so AS (SELECT i.s, i.c, count(*) AS k FROM i JOIN o ON o.s = i.s AND o.c = i.c - 1 AND o.t = i.t AND o.role = i.role AND o.x = i.x GROUP BY ALL),
+    si AS (SELECT i.s, i.c, count(*) AS k FROM i JOIN i j ON j.s = i.s AND j.c = i.c - 1 AND j.t = i.t AND j.role = i.role AND j.x = i.x GROUP BY ALL),
+    f AS (SELECT sz.s, sz.c, sz.n, p.n AS pn, CASE WHEN p.n IS NULL OR (sz.c = 3 AND sz.s % 7 = 6) THEN 'reset'
+            WHEN coalesce(so.k, 0) = p.n - 1 THEN 'output' WHEN coalesce(si.k, 0) = p.n THEN 'input' ELSE 'reset' END AS matched
+          FROM sz LEFT JOIN sz p ON p.s = sz.s AND p.c = sz.c - 1 LEFT JOIN so ON so.s = sz.s AND so.c = sz.c LEFT JOIN si ON si.s = sz.s AND si.c = sz.c)
+    SELECT s AS session_id, CAST(c AS BIGINT) AS call_no, matched, n AS n_messages,
+           CASE matched WHEN 'output' THEN n - (pn - 1) WHEN 'input' THEN n - pn ELSE n END AS new_messages,
+           CASE matched WHEN 'input' THEN pn - 1 + n - pn ELSE n END AS n_working FROM f"""
+
+
+def stateful_calls(conversations):
+    """One row per call: the keys of its messages and of those that were made of them."""
+    turns = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    calls = turns.select("conv_id", "m", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("c"))
+    size = lambda c: F.size(F.filter("m", lambda x: x["turn"] <= c + 1))
+    kept = lambda x: F.concat(F.lit("kept "), x["turn"])
+    text = lambda x: (F.when((F.col("conv_id") % 3 == 0) & (F.col("c") > 1) & (x["turn"] < size(F.col("c") - 1) - 1), kept(x))
+                      .when(F.col("conv_id") % 3 == 2, F.concat(x["text"], F.col("c"))).otherwise(x["text"]))
+    key = lambda role, t: F.sha2(F.concat_ws("|", role, t), 256)
+    silent = F.when((F.col("c") == 3) & (F.col("conv_id") % 7 == 6), 40 * 24).otherwise(0)
+    return calls.select(
+        F.col("conv_id").alias("session_id"), F.col("c").cast("long").alias("call_no"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(F.lit(0), F.col("c") + silent)).alias("ts"),
+        F.transform(F.filter("m", lambda x: x["turn"] <= F.col("c") + 1), lambda x: key(x["role"], text(x))).alias("input_keys"),
+        F.transform(F.filter("m", lambda x: x["turn"] < size(F.col("c")) - 1), lambda x: key(x["role"], kept(x))).alias("output_keys"))
+
+
+@query("str7_calls", CALLS_SQL)
+def str7c(v):
+    return timers.follow_calls(stateful_calls(v.table("conversations")), SESSION_TTL).drop("ts")
+
+
+@query("str7_stateful_stream", CALLS_SQL)
 def str7b(v):
-    # calls as they arrive: one row per call with the hash of every message
-    path = scratch_path(v.spark, "calls")
-    rows = call_rows(v.table("conversations")).withColumn("h", F.sha2(F.concat_ws("|", "role", "text"), 256))
-    rows.groupBy("session_id", "call_no").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("msg_idx", "h"))), lambda m: m["h"]).alias("message_keys")).write.parquet(path)
-    source = v.spark.readStream.schema("session_id bigint, call_no bigint, message_keys array<string>").parquet(path)
-    table = live.VersionedTable(v.spark, scratch_path(v.spark, "sessions"), live.CALLS_OUT)
-    return live.run_to_end(live.stateful_compress(source), table, lambda old, new: old.unionByName(new), scratch_path(v.spark, "cp"))
+    calls = through_parquet(stateful_calls(v.table("conversations")), "calls")
+    out, checkpoint = AppendTable(v.spark, scratch_path(v.spark, "sessions"), timers.CALLS), scratch_path(v.spark, "cp")
+    drain_parts(v, [calls.where(F.col("call_no") == i) for i in (1, 2, 3)], lambda stream: drain(
+        timers.session_stream(stream, SESSION_TTL, "60 days"), lambda batch, n: out.commit(n, batch), checkpoint, "update"))
+    return out.current().drop("ts")
 
 
 INGEST_SQL = """
@@ -151,19 +278,20 @@ INGEST_SQL = """
 
 @query("str8_ingest_newest_stream", INGEST_SQL)
 def str8(v):
-    table = live.VersionedTable(v.spark, scratch_path(v.spark, "ingest"), "user_id bigint, props string, ts timestamp_ntz, event_id bigint")
-    rows = stream_table(v, "events").select("user_id", "props", "ts", "event_id")
-    return live.run_to_end(rows, table, live.merge_newest(["user_id", "props"], "ts", "event_id"), scratch_path(v.spark, "cp"))
+    table = folded(v, "ingest", "user_id bigint, props string, ts timestamp, event_id bigint", live.keep_newest(["user_id", "props"], "ts", "event_id"))
+    checkpoint, rows = scratch_path(v.spark, "cp"), timed(v.table("events").select("user_id", "props", "ts", "event_id"), "ts")
+    drain_parts(v, arrivals(rows, "ts", "event_id"), lambda stream: live.follow_newest(stream, table, checkpoint))
+    return table.current()
 
 
 @query("str8_ingest_distinct_stream", "SELECT DISTINCT event_id FROM events")
 def str8b(v):
     # every event is delivered twice; the second copy falls inside the watermark
-    table = live.VersionedTable(v.spark, scratch_path(v.spark, "distinct"), "event_id bigint")
-    events = stream_table(v, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    clean = live.ingest_stream(twice, ["event_id"], "ts").select("event_id")
-    return live.run_to_end(clean, table, lambda old, new: old.unionByName(new), scratch_path(v.spark, "cp"))
+    table, checkpoint = AppendTable(v.spark, scratch_path(v.spark, "distinct"), "event_id bigint"), scratch_path(v.spark, "cp")
+    twice = timed(v.table("events").select("event_id", "ts"), "ts").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    drain_parts(v, arrivals(twice, "ts", "event_id"), lambda stream: drain(
+        live.ingest_stream(stream, ["event_id"], "ts", LATE).select("event_id"), lambda batch, n: table.commit(n, batch), checkpoint))
+    return table.current()
 
 
 QUEUE_SQL = """

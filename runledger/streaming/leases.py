@@ -36,8 +36,10 @@ def expire_assignments(assignments: DataFrame, items: DataFrame, derived: DataFr
     return assignments.where(F.coalesce(still, F.lit(True))), derived.join(gone_items, "item_id", "left_anti")
 
 
-def claimable(validations: DataFrame, runs: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
-    """Open verdicts that may be claimed, by id; verdicts of failed runs are scored false instead.
+def claimable(validations: DataFrame, runs: DataFrame, now: Column, ttl_seconds: int, limit: int | None = None) -> DataFrame:
+    """Open verdicts that may be claimed; verdicts of failed runs are scored false instead.
+
+    With a ``limit`` the first ones by id, picked per task before they are merged; without, in no order.
 
     Free when nobody claimed, when the claim ran out, or when an old-style
     claim without expiry was never dated or is older than the TTL.
@@ -46,10 +48,10 @@ def claimable(validations: DataFrame, runs: DataFrame, now: Column, ttl_seconds:
     free = (F.col("validator_id").isNull() | (F.col("claim_expires_at") < now)
             | (F.col("claim_expires_at").isNull() & (F.col("claimed_at").isNull() | (F.col("claimed_at") < now - seconds(ttl)))))
     ready = runs.where("status IN ('completed', 'failed')").select("run_id", "status")
-    return (validations.where("scored_at IS NULL AND resolved IS NULL").where(F.coalesce(free, F.lit(False))).join(ready, "run_id")
-            .select("validation_id", "run_id", F.when(F.col("status") == "failed", "score false").otherwise("claim").alias("action"),
-                    F.when(F.col("status") != "failed", now + seconds(ttl)).alias("claim_until"))
-            .orderBy("validation_id"))
+    found = (validations.where("scored_at IS NULL AND resolved IS NULL").where(F.coalesce(free, F.lit(False))).join(ready, "run_id")
+             .select("validation_id", "run_id", F.when(F.col("status") == "failed", "score false").otherwise("claim").alias("action"),
+                     F.when(F.col("status") != "failed", now + seconds(ttl)).alias("claim_until")))
+    return found if limit is None else found.orderBy("validation_id").limit(limit)
 
 
 def retry_due(queue: DataFrame, now: Column, limit: int) -> DataFrame:

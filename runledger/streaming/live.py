@@ -1,138 +1,111 @@
-"""Structured Streaming jobs: latest state, rate windows, leaderboards, idempotent ingest, session state.
+"""Structured Streaming jobs: latest state, rate windows, leaderboards, idempotent ingest.
 
-Every job has a batch twin that gives the same result on the whole table.
-Results that must survive restarts live in a `VersionedTable`: micro-batch
-``n`` writes version ``n`` from version ``n - 1``, so a replayed batch
-overwrites its own version and nothing is counted twice.
+Every job has a batch twin that gives the same result on the whole table. A
+micro-batch is reduced to its own partial state, which a `FoldedTable` keeps;
+rows that are results as they stand go to an `AppendTable`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runledger.functions.values import seconds_to_next_day, seconds_to_next_minute
+from runledger.streaming.tables import AppendTable, FoldedTable, drain
 
 
-class VersionedTable:
-    """A table of numbered parquet versions below a shared folder."""
+# what an entity last reported, each with the beat that carried it
+KEPT = ("version", "model")
+STATE = ("entity bigint, status string, seen_at timestamp, seen_beat bigint, "
+         + "".join(f"{c} string, {c}_at timestamp, {c}_beat bigint, " for c in KEPT) + "n_beats bigint")
+HISTORY = "entity bigint, status string, ts timestamp, beat_id bigint"
 
-    def __init__(self, spark: SparkSession, root: str, schema: str):
-        self.spark, self.root, self.schema = spark, root, schema
 
-    def version(self, n: int) -> DataFrame:
-        if n < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{n:012d}")
+def heartbeat_parts(beats: DataFrame) -> DataFrame:
+    """State of a batch: status, version and model, each with the beat that carried it.
 
-    def commit(self, n: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/v{n:012d}")
+    Beats: entity, status, version, model, ts, beat_id.
+    """
+    at = F.struct("ts", "beat_id")
+    given = {c: F.when(F.col(c).isNotNull(), at) for c in KEPT}
+    return beats.groupBy("entity").agg(
+        F.max_by("status", at).alias("status"), F.max(at).alias("seen"), F.count(F.lit(1)).alias("n_beats"),
+        *[F.max_by(c, given[c]).alias(c) for c in KEPT], *[F.max(given[c]).alias(f"_{c}") for c in KEPT]).select(
+        "entity", "status", F.col("seen.ts").alias("seen_at"), F.col("seen.beat_id").alias("seen_beat"),
+        *[x for c in KEPT for x in (F.col(c), F.col(f"_{c}.ts").alias(f"{c}_at"), F.col(f"_{c}.beat_id").alias(f"{c}_beat"))], "n_beats")
 
-    def newest(self) -> int:
-        """Number of the newest version in the folder, -1 if there is none; even an empty version has a file."""
-        try:
-            files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{self.root}/v*")
-        except AnalysisException as e:
-            if e.getCondition() == "PATH_NOT_FOUND":
-                return -1
-            raise
-        found = files.agg(F.max(F.regexp_extract("path", r"/v(\d{12,})/[^/]*$", 1).cast("long"))).first()[0]
-        return -1 if found is None else found
 
+def heartbeat_view(state: DataFrame) -> DataFrame:
+    return state.select("entity", "status", F.col("seen_at").alias("last_seen"), *KEPT, "n_beats")
 
-def run_to_end(stream: DataFrame, table: VersionedTable, merge: Callable[[DataFrame, DataFrame], DataFrame],
-               checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drain the source, folding every micro-batch into the table.
 
-    Returns the newest version in storage, so a restart that finds no new data gives what earlier runs committed.
-    """
+def heartbeat_state(beats: DataFrame) -> DataFrame:
+    """Latest status per entity; version and model keep their last known value."""
+    return heartbeat_view(heartbeat_parts(beats))
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        table.commit(batch_id, merge(table.version(batch_id - 1), batch))
 
-    query = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).foreachBatch(fold).start())
-    query.awaitTermination()
-    return table.version(table.newest())
+def fold_heartbeats(states: DataFrame) -> DataFrame:
+    """States of several batches as one, late beats included: the newest status and known values win, counts add up."""
+    seen = F.struct("seen_at", "seen_beat")
+    given = {c: F.when(F.col(c).isNotNull(), F.struct(f"{c}_at", f"{c}_beat")) for c in KEPT}
+    return states.groupBy("entity").agg(
+        F.max_by("status", seen).alias("status"), F.max(seen).alias("seen"), F.sum("n_beats").alias("n_beats"),
+        *[F.max_by(c, given[c]).alias(c) for c in KEPT], *[F.max(given[c]).alias(f"_{c}") for c in KEPT]).select(
+        "entity", "status", "seen.*", *[x for c in KEPT for x in (c, f"_{c}.*")], "n_beats")
 
 
-STATE = ("entity bigint, status string, seen_at timestamp, seen_beat bigint, "
-         "version string, version_at timestamp, version_beat bigint, n_beats bigint")
+def follow_heartbeats(beats: DataFrame, state: FoldedTable, history: AppendTable, checkpoint: str) -> None:
+    """Drain a stream of beats: latest state per entity, and every beat into the history."""
 
+    def commit(batch: DataFrame, n: int) -> None:
+        state.commit(n, heartbeat_parts(batch))
+        history.commit(n, batch.select("entity", "status", F.col("ts").cast("timestamp").alias("ts"), "beat_id"))
 
-def heartbeat_parts(beats: DataFrame) -> DataFrame:
-    """State of a batch: status and version, each with the beat that carried it. Beats: entity, status, version, ts, beat_id."""
-    at = F.struct("ts", "beat_id")
-    versioned = F.when(F.col("version").isNotNull(), at)
-    return beats.groupBy("entity").agg(
-        F.max_by("status", at).alias("status"), F.max(at).alias("seen"), F.max_by("version", versioned).alias("version"),
-        F.max(versioned).alias("versioned"), F.count(F.lit(1)).alias("n_beats")).select(
-        "entity", "status", F.col("seen.ts").alias("seen_at"), F.col("seen.beat_id").alias("seen_beat"), "version",
-        F.col("versioned.ts").alias("version_at"), F.col("versioned.beat_id").alias("version_beat"), "n_beats")
+    drain(beats, commit, checkpoint)
 
 
-def heartbeat_view(state: DataFrame) -> DataFrame:
-    return state.select("entity", "status", F.col("seen_at").alias("last_seen"), "version", "n_beats")
+WINDOWS = "key_id bigint, unit string, bucket timestamp, n bigint, last_ts timestamp"
+LATE = "key_id bigint, ts timestamp"
 
 
-def heartbeat_state(beats: DataFrame) -> DataFrame:
-    """Latest status per entity; version keeps its last known value."""
-    return heartbeat_view(heartbeat_parts(beats))
-
-
-def merge_heartbeats(old: DataFrame, beats: DataFrame) -> DataFrame:
-    """State folded with a batch, late beats included: the newest status and the newest known version win, counts add up."""
-    both = old.unionByName(heartbeat_parts(beats))
-    seen = F.struct("seen_at", "seen_beat")
-    versioned = F.when(F.col("version").isNotNull(), F.struct("version_at", "version_beat"))
-    return both.groupBy("entity").agg(
-        F.max_by("status", seen).alias("status"), F.max(seen).alias("seen"), F.max_by("version", versioned).alias("version"),
-        F.max(versioned).alias("versioned"), F.sum("n_beats").alias("n_beats")).select(
-        "entity", "status", "seen.*", "version", "versioned.*", "n_beats")
+def window_counts(requests: DataFrame) -> DataFrame:
+    """Requests (key_id, ts) counted per key by minute and by day, in one pass (two window rows per request, combined map-side)."""
+    sized = requests.select("key_id", "ts", F.explode(F.array(*[
+        F.struct(F.lit(unit).alias("unit"), F.date_trunc(unit, "ts").alias("bucket")) for unit in ("minute", "day")])).alias("w"))
+    return sized.groupBy("key_id", "w.unit", "w.bucket").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"))
 
 
 def rate_windows(requests: DataFrame, per_minute: int, per_day: int) -> DataFrame:
-    """Requests over the limit per key: count, limit and retry-after by minute and day window.
+    """Windows over the limit: count and retry-after per key, by minute and by day."""
+    return over_limit(window_counts(requests), per_minute, per_day)
 
-    Requests: key_id, ts. Both granularities come from one pass (two window
-    rows per request, combined map-side).
-    """
-    sized = requests.select("key_id", "ts", F.explode(F.array(
-        F.struct(F.lit("minute").alias("unit"), F.date_trunc("minute", "ts").alias("bucket"), F.lit(per_minute).alias("cap")),
-        F.struct(F.lit("day").alias("unit"), F.date_trunc("day", "ts").alias("bucket"), F.lit(per_day).alias("cap")))).alias("w"))
-    counted = sized.groupBy("key_id", "w.unit", "w.bucket", "w.cap").agg(
-        F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"))
-    return over_limit(counted)
 
-
-def over_limit(counted: DataFrame) -> DataFrame:
+def over_limit(counted: DataFrame, per_minute: int, per_day: int) -> DataFrame:
     wait = F.when(F.col("unit") == "minute", seconds_to_next_minute(F.col("last_ts"))).otherwise(seconds_to_next_day(F.col("last_ts")))
-    return counted.where(F.col("n") > F.col("cap")).select("key_id", "unit", "bucket", "n", wait.alias("retry_after"))
+    cap = F.when(F.col("unit") == "minute", per_minute).otherwise(per_day)
+    return counted.where(F.col("n") > cap).select("key_id", "unit", "bucket", "n", wait.alias("retry_after"))
 
 
-WINDOWS = "key_id bigint, unit string, bucket timestamp, cap int, n bigint, last_ts timestamp"
+def fold_windows(states: DataFrame) -> DataFrame:
+    return states.groupBy("key_id", "unit", "bucket").agg(F.sum("n").alias("n"), F.max("last_ts").alias("last_ts"))
 
 
-def stream_rate_windows(requests: DataFrame, per_minute: int, per_day: int, late: str = "2 days") -> DataFrame:
-    """Streaming counts per tumbling window; the watermark bounds the state kept for late requests."""
-    marked = requests.withWatermark("ts", late)
-    tall = marked.select("key_id", "ts", F.explode(F.array(
-        F.struct(F.lit("minute").alias("unit"), F.date_trunc("minute", "ts").alias("bucket"), F.lit(per_minute).alias("cap")),
-        F.struct(F.lit("day").alias("unit"), F.date_trunc("day", "ts").alias("bucket"), F.lit(per_day).alias("cap")))).alias("w"))
-    # grouping by the daily window as well lets the watermark retire old state
-    return tall.groupBy(F.window("ts", "1 day"), "key_id", "w.unit", "w.bucket", "w.cap").agg(
-        F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts")).drop("window")
+def follow_requests(requests: DataFrame, windows: FoldedTable, late: AppendTable, checkpoint: str, lateness_seconds: int) -> None:
+    """Drain a stream of requests into window counts.
 
+    A request that is older than the newest one of earlier batches by more
+    than the lateness is kept aside, as it stands, and counts nowhere.
+    """
 
-def merge_windows(old: DataFrame, updates: DataFrame) -> DataFrame:
-    """Updated counts replace older ones of the same window (counts only grow)."""
-    return old.unionByName(updates).groupBy("key_id", "unit", "bucket", "cap").agg(
-        F.max("n").alias("n"), F.max("last_ts").alias("last_ts"))
+    def commit(batch: DataFrame, n: int) -> None:
+        newest = windows.current(before=n).agg(F.max("last_ts")).first()[0]
+        old = F.lit(False) if newest is None else F.unix_micros("ts") < F.unix_micros(F.lit(newest)) - lateness_seconds * 1_000_000
+        late.commit(n, batch.where(old).select("key_id", "ts"))
+        windows.commit(n, window_counts(batch.where(~old)))
+
+    drain(requests, commit, checkpoint)
 
 
 BOARD = "entity bigint, n bigint, total double, best double"
@@ -143,10 +116,13 @@ def board_partials(events: DataFrame) -> DataFrame:
     return events.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("value").alias("best"))
 
 
-def merge_board(old: DataFrame, events: DataFrame) -> DataFrame:
-    """Refresh with a batch: only the batch and the small table are touched, never the history."""
-    return old.unionByName(board_partials(events)).groupBy("entity").agg(
-        F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("best").alias("best"))
+def fold_board(states: DataFrame) -> DataFrame:
+    return states.groupBy("entity").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("best").alias("best"))
+
+
+def follow_board(events: DataFrame, board: FoldedTable, checkpoint: str) -> None:
+    """Refresh with every batch: only the batch is touched, never the history."""
+    drain(events, lambda batch, n: board.commit(n, board_partials(batch)), checkpoint)
 
 
 def board_view(parts: DataFrame) -> DataFrame:
@@ -158,47 +134,17 @@ def ingest_stream(rows: DataFrame, keys: list[str], ts: str, late: str = "1 day"
     return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def merge_newest(keys: list[str], ts: str, tie: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """Fold for keyed ingest: newest wins, earlier scan on equal timestamps."""
+def keep_newest(keys: list[str], ts: str, tie: str) -> Callable[[DataFrame], DataFrame]:
+    """Newest row per key, earlier scan on equal timestamps; of a batch and of several batches alike."""
     from runledger.operators.dedup import newest
 
-    def merge(old: DataFrame, batch: DataFrame) -> DataFrame:
-        return newest(old.unionByName(batch.select(*old.columns)), keys, ts, [tie])
-
-    return merge
+    return lambda rows: newest(rows, keys, ts, [tie])
 
 
-CALLS_OUT = "session_id bigint, call_no bigint, continued boolean, n_messages bigint, new_messages bigint"
-CALLS_STATE = "n bigint, fingerprint string"
-
-
-def _follow_session(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    import hashlib
-
-    def digest(hashes) -> str:
-        return hashlib.sha256("|".join(hashes).encode()).hexdigest()
-
-    calls = pd.concat(list(batches)).sort_values("call_no")
-    seen, fingerprint = state.get if state.exists else (-1, "")
-    rows = []
-    for call_no, hashes in zip(calls["call_no"], calls["message_keys"]):
-        hashes = list(hashes)
-        follows = 0 <= seen <= len(hashes) and digest(hashes[:seen]) == fingerprint
-        rows.append((key[0], call_no, follows, len(hashes), len(hashes) - (seen if follows else 0)))
-        seen, fingerprint = len(hashes), digest(hashes)
-    state.update((seen, fingerprint))
-    yield pd.DataFrame(rows, columns=["session_id", "call_no", "continued", "n_messages", "new_messages"])
-
-
-def stateful_compress(calls: DataFrame) -> DataFrame:
-    """Per session: does a call extend the previous one, and how many of its messages are new?
-
-    Calls: session_id, call_no, message_keys (hash per message). The state
-    is a count and one fingerprint, whatever the session length; a call
-    that does not extend it resets the session.
-    """
-    return calls.groupBy("session_id").applyInPandasWithState(
-        _follow_session, CALLS_OUT, CALLS_STATE, "append", GroupStateTimeout.NoTimeout)
+def follow_newest(rows: DataFrame, table: FoldedTable, checkpoint: str) -> None:
+    """Drain a stream of keyed rows; a batch keeps its own newest ones."""
+    names = [f.name for f in table.spark.createDataFrame([], table.schema).schema]
+    drain(rows, lambda batch, n: table.commit(n, table.fold(batch.select(*names))), checkpoint)
 
 
 def follow_sessions(outputs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from runledger import catalog
 from runledger.operators import research as R
 from runledger.sources import sinks, snapshots
 from runledger.streaming import live
+from runledger.streaming.tables import AppendTable, FoldedTable
 
 
 def test_registry_contract():
@@ -77,33 +78,41 @@ def test_streams_over_many_batches_equal_batch(spark, sf_dir, tmp_path):
     events.repartition(4).write.parquet(src)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
     as_beats = lambda e: e.selectExpr(
-        "user_id AS entity", "event_type AS status", "CASE WHEN value > 15 THEN concat('v', cast(value AS int)) END AS version", "cast(ts AS timestamp) AS ts", "event_id AS beat_id")
-    table = live.VersionedTable(spark, str(tmp_path / "state"), live.STATE)
-    drain = lambda: live.heartbeat_view(live.run_to_end(as_beats(stream), table, live.merge_heartbeats, str(tmp_path / "cp")))
+        "user_id AS entity", "event_type AS status", "CASE WHEN value > 15 THEN concat('v', cast(value AS int)) END AS version", "event_type AS model", "cast(ts AS timestamp) AS ts", "event_id AS beat_id")
+    table = FoldedTable(spark, str(tmp_path / "state"), live.STATE, live.fold_heartbeats)
+    history = AppendTable(spark, str(tmp_path / "history"), live.HISTORY)
+
+    def drained():
+        live.follow_heartbeats(as_beats(stream), table, history, str(tmp_path / "cp"))
+        return live.heartbeat_view(table.current())
+
     want = live.heartbeat_state(as_beats(events))
-    assert drain().count() == want.count()
-    got = drain()  # a restart without new files
+    assert drained().count() == want.count()
+    got = drained()  # a restart without new files
     assert got.exceptAll(want.select(*got.columns)).count() == 0 and got.count() == want.count()
-    board = live.VersionedTable(spark, str(tmp_path / "board"), live.BOARD)
-    parts = live.run_to_end(stream.selectExpr("user_id AS entity", "value"), board, live.merge_board, str(tmp_path / "cp2"))
-    assert parts.agg(F.sum("n")).first()[0] == events.count()
+    assert history.current().count() == events.count()
+    board = FoldedTable(spark, str(tmp_path / "board"), live.BOARD, live.fold_board)
+    live.follow_board(stream.selectExpr("user_id AS entity", "value"), board, str(tmp_path / "cp2"))
+    assert board.current().agg(F.sum("n")).first()[0] == events.count()
 
 
 def test_replayed_batch_counts_once(spark, tmp_path):
-    table = live.VersionedTable(spark, str(tmp_path / "t"), live.BOARD)
+    table = FoldedTable(spark, str(tmp_path / "t"), live.BOARD, live.fold_board)
     batch = spark.createDataFrame([(1, 2.0), (1, 3.0)], "entity long, value double")
     for _ in range(2):
-        table.commit(0, live.merge_board(table.version(-1), batch))
-    assert table.version(0).first()["n"] == 2
+        table.commit(0, live.board_partials(batch))
+    assert table.current().first()["n"] == 2
 
 
 def test_late_version_beats_an_earlier_one(spark, tmp_path):
-    row = "entity long, status string, version string, ts timestamp, beat_id long"
-    first = spark.sql("SELECT 1L AS entity, 'a' AS status, 'v1' AS version, timestamp'2024-01-01 00:01:00' AS ts, 1L AS beat_id"
-                      " UNION ALL SELECT 1L, 'c', NULL, timestamp'2024-01-01 00:05:00', 3L")
-    late = spark.sql("SELECT 1L AS entity, 'b' AS status, 'v2' AS version, timestamp'2024-01-01 00:04:00' AS ts, 2L AS beat_id")
-    state = live.merge_heartbeats(live.merge_heartbeats(spark.createDataFrame([], live.STATE), first), late)
+    first = spark.sql("SELECT 1L AS entity, 'a' AS status, 'v1' AS version, 'm1' AS model, timestamp'2024-01-01 00:01:00' AS ts, 1L AS beat_id"
+                      " UNION ALL SELECT 1L, 'c', NULL, NULL, timestamp'2024-01-01 00:05:00', 3L")
+    late = spark.sql("SELECT 1L AS entity, 'b' AS status, 'v2' AS version, NULL AS model, timestamp'2024-01-01 00:04:00' AS ts, 2L AS beat_id")
+    table = FoldedTable(spark, str(tmp_path / "t"), live.STATE, live.fold_heartbeats)
+    for i, batch in enumerate((first, late)):
+        table.commit(i, live.heartbeat_parts(batch))
+    state = table.current()
     assert state.columns == spark.createDataFrame([], live.STATE).columns
     assert live.heartbeat_view(state).collect() == live.heartbeat_state(first.unionByName(late)).collect()
-    assert state.first()["version"] == "v2" and state.first()["status"] == "c"
-    assert live.VersionedTable(spark, str(tmp_path / "none"), row).newest() == -1
+    assert state.first()["version"] == "v2" and state.first()["model"] == "m1" and state.first()["status"] == "c"
+    assert FoldedTable(spark, str(tmp_path / "none"), live.STATE, live.fold_heartbeats).current().count() == 0
