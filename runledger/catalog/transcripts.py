@@ -9,6 +9,7 @@ from runledger.functions import text as T
 from runledger.operators import lines as L
 from runledger.operators import sessions as S
 from runledger.operators import transcripts as X
+from runledger.sources import pages as P
 
 KEY = r"md5(trim(regexp_replace(text, '\s+', ' ', 'g')))"
 
@@ -43,6 +44,43 @@ def joi21(v):
     return S.pair_calls(broken).select("session_id", "result_idx", "call_idx", "matched_by_id")
 
 
+# Tagged transcripts whose assistant turns make two calls; ids come back every fourth turn.
+STEPS_SQL = "SELECT session_id, (i - 1) // 2 AS j, (i - 1) % 2 AS slot, 'c' || (i - 1) // 2 % 4 || (i - 1) % 2 AS id, event_type, props, k FROM fx_pairs_trace"
+
+
+def multi_call_messages(v):
+    steps = v.trace_pairs.select("session_id", F.floor((F.col("i") - 1) / 2).alias("j"), F.struct(
+        ((F.col("i") - 1) % 2).alias("slot"), "event_type", "props", "k").alias("c")).groupBy("session_id", "j").agg(F.array_sort(F.collect_list("c")).alias("calls"))
+    ident = lambda c: F.concat(F.lit("c"), F.col("j") % 4, c["slot"])
+    called = F.transform("calls", lambda c: F.concat(F.lit('<tool_call name="'), c["event_type"], F.lit('" id="'), ident(c), F.lit('">'), c["props"], F.lit("</tool_call>")))
+    answered = F.transform("calls", lambda c: F.concat(
+        F.lit('<tool_result tool="'), c["event_type"], F.lit('" tool_call_id="'), ident(c), F.lit('">result '), c["k"], F.lit("</tool_result>")))
+    turn = F.concat(F.lit('<message role="assistant"><thinking>so</thinking><text>Step '), "j", F.lit("</text>"), F.array_join(called, "\n"),
+                    F.lit("</message>\n"), F.array_join(answered, "\n"))
+    docs = steps.groupBy(F.col("session_id").alias("doc_id")).agg(F.concat(
+        F.lit('<message role="user"><text>Fix it</text></message>\n<message role="assistant"></message>\n'),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", turn.alias("t")))), lambda x: x["t"]), "\n")).alias("text"))
+    return P.transcript_messages(P.parse_transcripts(docs))
+
+
+@query("src10_transcript_messages", f"""
+    WITH s AS ({STEPS_SQL})
+    SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS msg_idx, 'user' AS role, 'Fix it' AS text, CAST(NULL AS VARCHAR) AS call_id, '' AS calls FROM s
+    UNION ALL SELECT session_id, 1 + 3 * j, 'assistant', 'Step ' || j, NULL, string_agg(id || ' ' || event_type || ' ' || props, ';' ORDER BY slot) FROM s GROUP BY session_id, j
+    UNION ALL SELECT session_id, 2 + 3 * j + slot, 'toolresult', 'result ' || k, id, '' FROM s""")
+def src10b(v):
+    listed = F.array_join(F.transform("calls", lambda c: F.concat_ws(" ", c["id"], c["tool"], c["args"])), ";")
+    return multi_call_messages(v).select("session_id", "msg_idx", "role", "text", "call_id", listed.alias("calls"))
+
+
+@query("joi21_pair_reused_ids", f"""
+    SELECT session_id, 2 + 3 * j + slot AS result_idx, 1 + 3 * j AS call_idx, k % 10 <> 3 AS matched_by_id FROM ({STEPS_SQL})""")
+def joi21b(v):
+    lost = (F.col("role") == "toolresult") & F.endswith("text", F.lit("3"))
+    return S.pair_calls(multi_call_messages(v).withColumn("call_id", F.when(~lost, F.col("call_id")))).select(
+        "session_id", "result_idx", "call_idx", "matched_by_id")
+
+
 CUT_TRACE = "SELECT * FROM fx_trace WHERE NOT (role = 'toolresult' AND call_id % 11 = 0) AND NOT (role = 'assistant' AND call_id % 13 = 0)"
 
 
@@ -81,8 +119,9 @@ RATCHET_SQL = r"""
     SELECT session_id, msg_idx, role, tokens, max(tokens) FILTER (WHERE role = 'toolresult') OVER w AS largest,
            CAST(sum(CASE WHEN role = 'toolresult' THEN tokens ELSE 0 END) OVER w AS BIGINT) AS cumulative,
            CAST(sum(CAST(fail AS INTEGER)) OVER w AS BIGINT) AS fail_rounds,
-           bool_or(clean) OVER w AS ever_passed
-    FROM (SELECT session_id, msg_idx, role,
+           bool_or(clean) OVER w AS ever_passed, error, round_no
+    FROM (SELECT session_id, msg_idx, role, role = 'toolresult' AND contains(text, 'FAILED') AS error,
+                 CASE WHEN role = 'toolresult' THEN row_number() OVER (PARTITION BY session_id, role ORDER BY msg_idx) END AS round_no,
                  greatest(1, CAST(ceil(sum(length(text)) OVER (PARTITION BY session_id ORDER BY msg_idx) / 4.0) AS BIGINT)) AS tokens,
                  role = 'toolresult' AND regexp_matches(text, '\b[1-9]\d*\s+failed\b|\bFAILED\b|\bAssertionError\b') AS fail,
                  role = 'toolresult' AND regexp_matches(text, '\b[1-9]\d* passed\b')
@@ -91,22 +130,45 @@ RATCHET_SQL = r"""
     WINDOW w AS (PARTITION BY session_id ORDER BY msg_idx)"""
 
 
+ROUND_SQL = f"""
+    SELECT *, bool_or(recent_errors >= 4 AND msg_idx + 1 >= 40) OVER (PARTITION BY session_id ORDER BY msg_idx) AS still_failing FROM (
+      SELECT *, CAST(sum(CAST(error AS INTEGER)) OVER (PARTITION BY session_id ORDER BY round_no ROWS 3 PRECEDING) AS BIGINT) AS recent_errors
+      FROM ({RATCHET_SQL}) WHERE role = 'toolresult')"""
+
+
 @query("win15_session_ratchets", f"""
-    SELECT session_id, msg_idx, tokens, largest, cumulative, fail_rounds, ever_passed FROM ({RATCHET_SQL}) WHERE role = 'toolresult'""")
+    SELECT session_id, msg_idx, tokens, largest, cumulative, fail_rounds, ever_passed, recent_errors, still_failing FROM ({ROUND_SQL})""")
 def win15(v):
     return S.session_ratchets(v.trace)
 
 
-@query("win16_route_modes", f"""
+def mode_sql(rounds: str, flip: str) -> str:
+    return f"""
     SELECT session_id, msg_idx, CASE
-        WHEN NOT ever_passed AND (fail_rounds >= 3 OR (fail_rounds >= 2 AND (largest >= 60000 OR cumulative >= 300000 OR msg_idx + 1 >= 60))) THEN 'flip'
+        WHEN NOT ever_passed AND ({flip} OR still_failing) THEN 'flip'
         WHEN msg_idx + 1 >= 120 OR largest >= 9000 OR cumulative >= 400000 THEN 'rich'
         WHEN largest >= 3000 THEN 'harvest' ELSE 'passthrough' END AS mode
-    FROM ({RATCHET_SQL}) WHERE role = 'toolresult'""")
+    FROM ({rounds})"""
+
+
+FLIP = "fail_rounds >= 3 OR (fail_rounds >= 2 AND (largest >= 60000 OR cumulative >= 300000 OR msg_idx + 1 >= 60))"
+
+
+@query("win16_route_modes", mode_sql(ROUND_SQL, FLIP))
 def win16(v):
     return S.route_modes(S.session_ratchets(v.trace), 9_000, 400_000, 120).select("session_id", "msg_idx", "mode")
 
 
+# every result from position 33 on bears an error that is no failed test: rounds flip from 39 on, by the guard alone
+@query("win16_guarded_modes", mode_sql(ROUND_SQL.replace("fx_trace", """(SELECT session_id, msg_idx, role,
+      CASE WHEN role = 'toolresult' THEN CASE WHEN msg_idx >= 33 AND session_id % 3 <> 0 THEN 'fatal: no such file' ELSE 'done ' || msg_idx END ELSE text END AS text
+      FROM fx_trace)""").replace("contains(text, 'FAILED')", "contains(text, 'fatal:')"), FLIP))
+def win16b(v):
+    failing = F.when((F.col("msg_idx") >= 33) & (F.col("session_id") % 3 != 0), "fatal: no such file").otherwise(F.concat(F.lit("done "), "msg_idx"))
+    rows = v.trace.withColumn("text", F.when(F.col("role") == "toolresult", failing).otherwise(F.col("text")))
+    return S.route_modes(S.session_ratchets(rows), 9_000, 400_000, 120).select("session_id", "msg_idx", "mode")
+
+
 @query("win17_detect_loops", f"""
     SELECT session_id, tool, args, count(*) AS repeats, min(msg_idx) AS first_idx FROM (
       SELECT c.session_id, c.msg_idx, c.tool, c.args || '' AS args, r.k,
@@ -193,6 +255,16 @@ def txt2(v):
     return X.prune_recent(v.trace).select("session_id", "msg_idx", "role")
 
 
+@query("txt2_prune_several_calls", f"""
+    WITH s AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY j DESC, slot DESC) AS rn FROM ({STEPS_SQL})),
+    w AS (SELECT DISTINCT session_id, id FROM s WHERE rn <= 4), n AS (SELECT session_id FROM s GROUP BY 1 HAVING count(*) >= 4)
+    SELECT session_id, CAST(0 AS BIGINT) AS msg_idx, 'user' AS role, 0 AS n_calls FROM n
+    UNION ALL SELECT session_id, 2 + 3 * j + slot, 'toolresult', 0 FROM s WHERE rn <= 4
+    UNION ALL SELECT s.session_id, 1 + 3 * j, 'assistant', CAST(count(*) AS INTEGER) FROM s JOIN w ON w.session_id = s.session_id AND w.id = s.id GROUP BY s.session_id, j""")
+def txt2b(v):
+    return X.prune_recent(multi_call_messages(v)).select("session_id", "msg_idx", "role", F.size("calls").alias("n_calls"))
+
+
 @query("txt3_collapse_duplicates", f"""
     SELECT session_id, msg_idx, CASE WHEN role = 'toolresult' AND msg_idx <= last - 6 AND rn > 1
            THEN '[identical to a later tool result in this session]' ELSE text END AS text

@@ -2,7 +2,9 @@
 
 Messages: session_id, msg_idx (dense from 0), role, text, call_id, tool,
 args. An assistant row makes the call ``call_id``; a toolresult row answers
-it. Sessions may be arbitrarily long: per-session facts are combined
+it. Where messages make several calls, a column ``calls`` (array of id, tool,
+args) lists those of an assistant row instead, and ids may be used again
+later on. Sessions may be arbitrarily long: per-session facts are combined
 map-side and joined back per block of positions, running values go through
 `running_totals`.
 """
@@ -20,6 +22,8 @@ LOOP_WINDOW = 12
 LOOP_THRESHOLD = 3
 LOOP_ARGS_CHARS = 120
 PASSTHROUGH_TOKENS = 3_000
+# still failing: this many of the newest results bear errors, from this depth on
+GUARD_WINDOW, GUARD_HITS, GUARD_MSGS = 4, 4, 40
 MODES = ("passthrough", "harvest", "rich")
 
 
@@ -27,6 +31,39 @@ def is_result() -> Column:
     return F.col("role") == RESULT
 
 
+def makes_calls(messages: DataFrame) -> Column:
+    """Condition on rows of these messages: an assistant row with at least one call."""
+    if "calls" in messages.columns:
+        called = F.exists(F.coalesce("calls", F.array().cast(messages.schema["calls"].dataType)), lambda c: c["id"].isNotNull())
+    else:
+        called = F.col("call_id").isNotNull()
+    return (F.col("role") == "assistant") & called
+
+
+def calls_of(messages: DataFrame) -> DataFrame:
+    """(session_id, msg_idx, call_no, call_id, tool, args): every call of every assistant message."""
+    made = messages.where(makes_calls(messages))
+    if "calls" in messages.columns:
+        each = made.select("session_id", "msg_idx", F.posexplode("calls").alias("call_no", "c"))
+        return each.select("session_id", "msg_idx", "call_no", F.col("c.id").alias("call_id"), F.col("c.tool").alias("tool"),
+                           F.col("c.args").alias("args")).where("call_id IS NOT NULL")
+    described = [F.col(c) if c in messages.columns else F.lit(None).cast("string").alias(c) for c in ("tool", "args")]
+    return made.select("session_id", "msg_idx", F.lit(0).alias("call_no"), "call_id", *described)
+
+
+def keep_calls(messages: DataFrame, kept: DataFrame, where: Column) -> DataFrame:
+    """The messages, those at ``where`` with no other calls than ``kept`` (session_id, msg_idx, call_id, unique)."""
+    marked = kept.select("session_id", "msg_idx", "call_id").groupBy("session_id", "msg_idx").agg(F.collect_set("call_id").alias("_kept"))
+    joined = messages.join(marked, ["session_id", "msg_idx"], "left")
+    ids = F.coalesce("_kept", F.array().cast(marked.schema["_kept"].dataType))
+    if "calls" in messages.columns:
+        new = {"calls": F.filter("calls", lambda c: F.array_contains(ids, c["id"]))}
+    else:
+        new = {c: F.when(F.coalesce(F.array_contains(ids, F.col("call_id")), F.lit(False)), F.col(c)) for c in ("call_id", "tool", "args") if c in messages.columns}
+    change = where & (F.col("role") == "assistant")
+    return joined.select(*[F.when(change, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in messages.columns])
+
+
 def newest_floor(messages: DataFrame, n: int, condition: Column | None = None, name: str = "floor") -> DataFrame:
     """Per session the position of its ``n``-th newest (matching) message, or of the oldest if fewer."""
     rows = messages if condition is None else messages.where(condition)
@@ -81,23 +118,28 @@ def duplicate_results(messages: DataFrame) -> DataFrame:
 
 
 def pair_calls(messages: DataFrame) -> DataFrame:
-    """Every tool result with the position of its call: by id, else the nearest earlier calling message."""
-    calls = messages.where((F.col("role") == "assistant") & F.col("call_id").isNotNull()).groupBy(
-        "session_id", "call_id").agg(F.min("msg_idx").alias("by_id"))
-    marked = running_totals(
-        messages.select("session_id", "msg_idx", "role", "call_id"), ["session_id"], "msg_idx", {},
-        {"nearest": F.when((F.col("role") == "assistant") & F.col("call_id").isNotNull(), F.col("msg_idx"))})
-    results = marked.where(is_result())
-    paired = results.join(calls, ["session_id", "call_id"], "left")
-    earlier = F.when(F.col("by_id") < F.col("msg_idx"), F.col("by_id"))
+    """Every tool result with the position of its call: the nearest earlier one of its id, else the nearest earlier calling message.
+
+    Both are last known values along the session: of calls of one id, and of
+    calling messages; block totals carry them, so neither a long session nor
+    an id used over and over is one task.
+    """
+    calls = calls_of(messages).select("session_id", "call_id", "msg_idx").distinct().withColumn("_call", F.lit(True))
+    answers = messages.where(is_result() & F.col("call_id").isNotNull()).select("session_id", "call_id", "msg_idx", F.lit(False).alias("_call"))
+    by_id = running_totals(calls.unionByName(answers), ["session_id", "call_id"], "msg_idx", {}, {"by_id": F.when(F.col("_call"), F.col("msg_idx"))})
+    slim = messages.select("session_id", "msg_idx", "role", "call_id", makes_calls(messages).alias("_calls"))
+    results = running_totals(slim, ["session_id"], "msg_idx", {}, {"nearest": F.when(F.col("_calls"), F.col("msg_idx"))}).where(is_result())
+    paired = results.join(by_id.where("NOT _call").select("session_id", "msg_idx", "by_id"), ["session_id", "msg_idx"], "left")
     return paired.select("session_id", F.col("msg_idx").alias("result_idx"), "call_id",
-                         F.coalesce(earlier, "nearest").alias("call_idx"), earlier.isNotNull().alias("matched_by_id"))
+                         F.coalesce("by_id", "nearest").alias("call_idx"), F.col("by_id").isNotNull().alias("matched_by_id"))
 
 
 def orphans(messages: DataFrame) -> DataFrame:
     """Results without a call and calls without a result, per session."""
-    ids = messages.where("call_id IS NOT NULL").groupBy("session_id", "call_id").agg(
-        F.bool_or(F.col("role") == "assistant").alias("called"), F.bool_or(is_result()).alias("answered"))
+    calls = calls_of(messages).select("session_id", "call_id", F.lit(True).alias("call"))
+    answers = messages.where(is_result() & F.col("call_id").isNotNull()).select("session_id", "call_id", F.lit(False).alias("call"))
+    ids = calls.unionByName(answers).groupBy("session_id", "call_id").agg(
+        F.bool_or("call").alias("called"), F.bool_or(~F.col("call")).alias("answered"))
     return ids.where(~(F.col("called") & F.col("answered"))).select(
         "session_id", "call_id", F.when(F.col("called"), "call").otherwise("result").alias("kind"))
 
@@ -122,10 +164,14 @@ def with_guard(before: DataFrame, after: DataFrame) -> DataFrame:
     return good.unionByName(bad.select(*after.columns))
 
 
-def session_ratchets(messages: DataFrame) -> DataFrame:
-    """State after every tool result (one round each): largest size, cumulated size, failing rounds, ever passed.
+def session_ratchets(messages: DataFrame, window: int = GUARD_WINDOW, min_hits: int = GUARD_HITS, min_msgs: int = GUARD_MSGS) -> DataFrame:
+    """State after every tool result (one round each): largest size, cumulated size, failing rounds, ever passed, ever still failing.
 
-    The context of a round is everything up to its position.
+    The context of a round is everything up to its position. A round is still
+    failing if at least ``min_hits`` of its newest ``window`` results bear
+    errors and the session is ``min_msgs`` messages deep. The errors of a
+    window are the difference of two running counts, that of the round and
+    that of the round ``window`` results before, met by an equi join.
     """
     grown = running_totals(messages, ["session_id"], "msg_idx",
                            {"chars": F.coalesce(F.length("text"), F.lit(0)).cast("long")})
@@ -133,13 +179,22 @@ def session_ratchets(messages: DataFrame) -> DataFrame:
     passing = is_result() & T.has_passing_test(F.col("text")) & ~failing
     tokens = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("chars") / T.CHARS_PER_TOKEN))
     rounds = grown.select("session_id", "msg_idx", "role", F.when(is_result(), tokens).alias("tokens"),
-                          failing.cast("long").alias("fail"), passing.cast("long").alias("clean"))
+                          failing.cast("long").alias("fail"), passing.cast("long").alias("clean"),
+                          is_result().cast("long").alias("round"), (is_result() & T.has_error(F.col("text"))).cast("long").alias("error"))
     state = running_totals(
         rounds, ["session_id"], "msg_idx",
-        {"cumulative": F.coalesce("tokens", F.lit(0)).cast("long"), "fail_rounds": F.col("fail"), "passes": F.col("clean")},
-        {"largest": F.col("tokens")})
-    return state.where(is_result()).select(
-        "session_id", "msg_idx", "tokens", "largest", "cumulative", "fail_rounds", (F.col("passes") > 0).alias("ever_passed"))
+        {"cumulative": F.coalesce("tokens", F.lit(0)).cast("long"), "fail_rounds": F.col("fail"), "passes": F.col("clean"),
+         "round_no": F.coalesce("round", F.lit(0)).cast("long"), "errors": F.coalesce("error", F.lit(0)).cast("long")},
+        {"largest": F.col("tokens")}).where(is_result())
+    before = state.select("session_id", (F.col("round_no") + window).alias("round_no"), F.col("errors").alias("_before"))
+    recent = F.col("errors") - F.coalesce("_before", F.lit(0))
+    rounds = state.join(before, ["session_id", "round_no"], "left").select(
+        "session_id", "msg_idx", "round_no", "tokens", "largest", "cumulative", "fail_rounds", (F.col("passes") > 0).alias("ever_passed"),
+        recent.alias("recent_errors"), (F.col("msg_idx") + 1 >= min_msgs).alias("_deep"))
+    failing_still = (F.col("_deep") & (F.col("recent_errors") >= min_hits)).cast("long")
+    latched = running_totals(rounds, ["session_id"], "round_no", {"_still": failing_still})
+    return latched.select("session_id", "msg_idx", "tokens", "largest", "cumulative", "fail_rounds", "ever_passed", "recent_errors",
+                          (F.col("_still") > 0).alias("still_failing"))
 
 
 def route_modes(state: DataFrame, large_tokens: int, large_cumulative: int, large_msgs: int, fail_rounds: int = 3,
@@ -150,11 +205,12 @@ def route_modes(state: DataFrame, large_tokens: int, large_cumulative: int, larg
     All inputs only grow, so sticky switches are thresholds on them. Flip
     holds from the first trigger until tests pass; it needs fewer failing
     rounds once the session is deep. A round counts as triggered when
-    failures reached the lower threshold while deep or the higher one at all.
+    failures reached the lower threshold while deep or the higher one at all,
+    or when the session was still failing at any round so far.
     """
     depth = F.col("msg_idx") + 1
     deep = (F.col("largest") >= deep_tokens) | (F.col("cumulative") >= deep_cumulative) | (depth >= deep_msgs)
-    flip = (F.col("fail_rounds") >= fail_rounds) | (deep & (F.col("fail_rounds") >= deep_fail_rounds))
+    flip = (F.col("fail_rounds") >= fail_rounds) | (deep & (F.col("fail_rounds") >= deep_fail_rounds)) | F.col("still_failing")
     rich = (depth >= large_msgs) | (F.col("largest") >= large_tokens) | (F.col("cumulative") >= large_cumulative)
     mode = (F.when(flip & ~F.col("ever_passed"), "flip").when(rich, "rich")
             .when(F.col("largest") >= PASSTHROUGH_TOKENS, "harvest").otherwise("passthrough"))
@@ -165,7 +221,7 @@ def detect_loops(messages: DataFrame) -> DataFrame:
     """Same call with the identical result three or more times among the newest twelve answered calls."""
     answers = messages.where(is_result() & F.col("call_id").isNotNull()).groupBy("session_id", "call_id").agg(
         F.max_by(content_key(F.col("text")), "msg_idx").alias("result_key"))
-    calls = messages.where((F.col("role") == "assistant") & F.col("call_id").isNotNull()).select(
+    calls = calls_of(messages).select(
         "session_id", "call_id", "msg_idx", F.coalesce("tool", F.lit("tool")).alias("tool"),
         T.clip(T.collapse_whitespace(F.coalesce("args", F.lit(""))), LOOP_ARGS_CHARS).alias("args"))
     answered = calls.join(answers, ["session_id", "call_id"])
@@ -188,8 +244,7 @@ def stale_snapshots(messages: DataFrame, intact: int, min_reads: int = 2) -> Dat
     A call reads a file when its arguments name exactly one path.
     """
     bare = F.array_distinct(F.transform(T.paths(F.coalesce("args", F.lit(""))), lambda p: F.substring_index(p, ":", 1)))
-    reads = messages.where((F.col("role") == "assistant") & F.col("call_id").isNotNull()).select(
-        "session_id", "call_id", bare.alias("p")).where(F.size("p") == 1).select(
+    reads = calls_of(messages).select("session_id", "call_id", bare.alias("p")).where(F.size("p") == 1).select(
         "session_id", "call_id", F.col("p")[0].alias("path"))
     results = messages.where(is_result()).select("session_id", "call_id", "msg_idx").join(reads, ["session_id", "call_id"])
     last = messages.groupBy("session_id").agg(F.max("msg_idx").alias("_last"))

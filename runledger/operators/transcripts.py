@@ -43,26 +43,42 @@ NEAR_DUPLICATE_MARK = "[near-identical to a later tool result in this session]"
 def sanitize(messages: DataFrame, block_type: str = "block_type", error: str = "error_message") -> DataFrame:
     """Drop thinking blocks, failed empty assistant turns and empty messages that are no tool result."""
     blank = F.trim(F.coalesce("text", F.lit(""))) == ""
-    no_call = F.col("call_id").isNull()
+    no_call = ~S.makes_calls(messages) & F.col("call_id").isNull()
     kept = messages.where(~F.coalesce(F.col(block_type) == "thinking", F.lit(False)))
     failed = (F.col("role") == "assistant") & F.col(error).isNotNull() & blank & no_call
     return kept.where(~failed & ((F.col("role") == S.RESULT) | ~blank | ~no_call))
 
 
 def prune_recent(messages: DataFrame, n: int = KEEP_RECENT) -> DataFrame:
-    """First user message, the newest ``n`` results and the calls behind them.
+    """First user message, the newest ``n`` results and the messages that call them, without their other calls.
 
-    Sessions without a user message or with fewer than ``n`` results stay whole.
+    If no call has an id of these results, the nearest calling message before
+    them stands in. Sessions without a user message, with fewer than ``n``
+    results, without any such call, or from which nothing would go stay whole.
     """
     floor = S.newest_floor(messages, n, S.is_result(), "_floor")
     opening = S.first_user(messages).select("session_id", F.col("msg_idx").alias("_first"))
-    ids = messages.where(S.is_result()).join(floor, "session_id").where("msg_idx >= _floor").select(
-        "session_id", "call_id").where("call_id IS NOT NULL").distinct().withColumn("_wanted", F.lit(True))
-    marked = S.attach_session(messages, floor.join(opening, "session_id", "left")).join(ids, ["session_id", "call_id"], "left")
-    whole = F.col("_first").isNull() | (F.coalesce("_floor_n", F.lit(0)) < n)
-    keep = (F.col("msg_idx") == F.col("_first")) | (S.is_result() & (F.col("msg_idx") >= F.col("_floor"))) | (
-        (F.col("role") == "assistant") & F.coalesce("_wanted", F.lit(False)))
-    return marked.where(whole | F.coalesce(keep, F.lit(False))).select(*messages.columns)
+    wanted = messages.where(S.is_result() & F.col("call_id").isNotNull()).join(floor, "session_id").where("msg_idx >= _floor").select(
+        "session_id", "call_id").distinct()
+    calls = S.calls_of(messages)
+    matched = calls.join(wanted, ["session_id", "call_id"], "left_semi").select("session_id", "msg_idx", "call_id").distinct()
+    callers = matched.select("session_id", "msg_idx").distinct().withColumn("_caller", F.lit(True))
+    nearest = calls.select("session_id", "msg_idx").join(floor, "session_id").where("msg_idx < _floor").groupBy("session_id").agg(
+        F.max("msg_idx").alias("_nearest"))
+    has_match = callers.select("session_id").distinct().withColumn("_matched", F.lit(True))
+    has_ids = wanted.select("session_id").distinct().withColumn("_ids", F.lit(True))
+    facts = floor.join(opening, "session_id", "left").join(has_match, "session_id", "left").join(nearest, "session_id", "left").join(
+        has_ids, "session_id", "left")
+    marked = S.attach_session(messages, facts).join(callers, ["session_id", "msg_idx"], "left")
+    by_id, found = F.coalesce("_caller", F.lit(False)), F.coalesce("_matched", F.lit(False))
+    stays = F.coalesce((F.col("msg_idx") == F.col("_first")) | (S.is_result() & (F.col("msg_idx") >= F.col("_floor"))) | by_id
+                       | (~found & (F.col("msg_idx") == F.col("_nearest"))), F.lit(False))
+    whole = F.col("_first").isNull() | (F.coalesce("_floor_n", F.lit(0)) < n) | (~found & F.col("_nearest").isNull())
+    shrinks = marked.where(~whole & ~stays).select("session_id").distinct().withColumn("_shrinks", F.lit(True))
+    strip = F.coalesce(F.col("_shrinks") & F.col("_ids"), F.lit(False))
+    kept = marked.withColumns({"_stay": whole | stays, "_whole": whole}).join(shrinks, "session_id", "left").where(
+        F.col("_stay") | F.col("_shrinks").isNull()).withColumn("_strip", strip & ~F.col("_whole"))
+    return S.keep_calls(kept.select(*messages.columns, "_strip"), matched, F.col("_strip")).drop("_strip")
 
 
 def active_paths(messages: DataFrame, n: int = ACTIVE_WINDOW) -> DataFrame:
@@ -188,9 +204,16 @@ def trim_reasoning(messages: DataFrame, intact: int = 12, head: int = 300, tail:
     return marked.withColumn("text", F.when(old, cut).otherwise(F.col("text"))).drop("recent")
 
 
-def structural_plan(messages: DataFrame, target_tokens: int = 8_000) -> DataFrame:
+LEVERS = ("trunc2", "assist_cap", "tail_cap")
+
+
+def structural_plan(messages: DataFrame, target_tokens: int = 8_000, levers: DataFrame | None = None) -> DataFrame:
     """What structural compression does to every message, without its text.
 
+    ``levers`` (session_id, trunc2, assist_cap, tail_cap) are those of the
+    session's last round: a lever once pulled stays so. Sessions without a
+    user message have nowhere to put a digest and stay whole.
+
     Columns: session_id, msg_idx, role, call_id, call_idx, item (an older
     interaction), duplicate, protected, dropped, the session levers trunc2 /
     assist_cap / tail_cap, the zones, planned_chars. The steps depend on each
@@ -200,12 +223,13 @@ def structural_plan(messages: DataFrame, target_tokens: int = 8_000) -> DataFram
     target = target_tokens * T.CHARS_PER_TOKEN
     relief = int(target * PRESSURE_RELIEF)
     slim = through_parquet(messages.select(
-        "session_id", "msg_idx", "role", "call_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("cost"),
+        "session_id", "msg_idx", "role", "call_id", *[c for c in ("calls",) if c in messages.columns],
+        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("cost"),
         F.when(S.is_result(), S.content_key(F.col("text"))).alias("_key"),
         (S.is_result() & T.has_error(F.col("text"))).alias("_error")), "structural-messages")
 
     paired = S.pair_calls(slim).select("session_id", F.col("result_idx").alias("msg_idx"), "call_idx")
-    rows = slim.join(paired, ["session_id", "msg_idx"], "left")
+    rows = slim.drop("calls").join(paired, ["session_id", "msg_idx"], "left")
     newest = keep_first(rows.where(S.is_result()).select("session_id", "msg_idx", "call_idx"),
                         ["session_id"], [F.col("msg_idx").desc()], KEEP_RECENT, rank_col="_r")
     tail = newest.groupBy("session_id").agg(
@@ -216,17 +240,28 @@ def structural_plan(messages: DataFrame, target_tokens: int = 8_000) -> DataFram
         F.max("msg_idx").alias("last_idx"), F.min(F.when(F.col("role") == "user", F.col("msg_idx"))).alias("first_user"))
     facts = facts.join(tail, "session_id", "left").withColumn(
         "tail_from", F.coalesce("tail_from", F.greatest(F.col("first_user") + 1, F.col("last_idx") - 7)))
+    if levers is not None:
+        facts = facts.join(levers.select("session_id", *[F.col(x).alias(f"_was_{x}") for x in LEVERS]), "session_id", "left")
+    facts = facts.withColumns({f"_was_{x}": F.coalesce(f"_was_{x}", F.lit(False)) if levers is not None else F.lit(False) for x in LEVERS})
     rows = S.attach_session(rows, facts)
-    item = S.is_result() & (F.col("msg_idx") < F.col("tail_from"))
+    item = S.is_result() & F.coalesce(F.col("msg_idx") < F.col("tail_from"), F.lit(False))
     rows = through_parquet(rows.withColumns({"item": item, "protected": item & F.col("_error")}), "structural-items")
 
     keys = rows.where("item").select("session_id", "msg_idx", "_key")
     rows = rows.join(S.newest_of_key(keys, "_key", "_newest"), ["session_id", "msg_idx"], "left")
     droppable = F.col("item") & F.col("call_id").isNotNull() & F.col("call_idx").isNotNull()
     duplicate = F.col("item") & F.col("_newest").isNull()
-    capped = F.when(F.col("protected"), F.least(F.col("cost"), F.lit(PROTECTED_CAP + 80))).otherwise(
-        F.least(F.col("cost"), F.lit(sum(MID) + 80)))
-    plain = F.when(F.col("item"), capped).when(S.is_result(), F.least(F.col("cost"), F.lit(ABSOLUTE_CAP))).otherwise(F.col("cost"))
+    early = (F.col("role") == "assistant") & (F.col("msg_idx") < F.col("tail_from"))
+    late = (F.col("role") == "assistant") & ~early & (F.col("msg_idx") <= F.col("last_idx") - UNTOUCHABLE)
+    tail_result = S.is_result() & ~F.col("item") & (F.col("msg_idx") >= F.col("tail_results_from")) & (
+        F.col("msg_idx") < F.col("untouchable_from"))
+    mid_small, assistant_size = F.least(F.col("cost"), F.lit(sum(MID_SMALL) + 80)), F.least(F.col("cost"), F.lit(sum(ASSISTANT_CAP) + 80))
+    was = {x: F.col(f"_was_{x}") for x in LEVERS}
+    capped = (F.when(F.col("protected"), F.least(F.col("cost"), F.lit(PROTECTED_CAP + 80))).when(was["trunc2"], mid_small)
+              .otherwise(F.least(F.col("cost"), F.lit(sum(MID) + 80))))
+    plain = (F.when(F.col("item"), capped).when(tail_result & was["tail_cap"], F.least(F.col("cost"), F.lit(TAIL_CAP)))
+             .when(S.is_result(), F.least(F.col("cost"), F.lit(ABSOLUTE_CAP)))
+             .when((early & (was["assist_cap"] | was["tail_cap"])) | (late & was["tail_cap"]), assistant_size).otherwise(F.col("cost")))
     rows = rows.withColumns({"duplicate": duplicate, "droppable": droppable, "_pre": duplicate & droppable, "_plain": plain})
 
     # planned size before any budget drop, and what is already gone
@@ -249,34 +284,31 @@ def structural_plan(messages: DataFrame, target_tokens: int = 8_000) -> DataFram
 
     # three further levers, each tried only while the plan is still over the target
     free = F.col("item") & ~F.col("protected") & ~F.col("dropped")
-    early = (F.col("role") == "assistant") & (F.col("msg_idx") < F.col("tail_from"))
-    late = (F.col("role") == "assistant") & ~early & (F.col("msg_idx") <= F.col("last_idx") - UNTOUCHABLE)
-    tail_result = S.is_result() & ~F.col("item") & (F.col("msg_idx") >= F.col("tail_results_from")) & (
-        F.col("msg_idx") < F.col("untouchable_from"))
-    short_assistant = F.col("cost") - F.least(F.col("cost"), F.lit(sum(ASSISTANT_CAP) + 80))
     gains = {
-        "trunc2": F.when(free, F.col("_plain") - F.least(F.col("cost"), F.lit(sum(MID_SMALL) + 80))),
-        "assist": F.when(early, short_assistant),
-        "tail": F.when(late, short_assistant).when(
-            tail_result, F.col("_plain") - F.least(F.col("cost"), F.lit(TAIL_CAP)))}
+        "trunc2": F.when(free, F.col("_plain") - mid_small), "assist_cap": F.when(early, F.col("_plain") - assistant_size),
+        "tail_cap": F.when(late, F.col("_plain") - assistant_size).when(tail_result, F.col("_plain") - F.least(F.col("cost"), F.lit(TAIL_CAP)))}
     n_dropped = F.count_if(F.col("dropped"))
     sums = rows.groupBy("session_id").agg(
         (F.sum(F.when(F.col("dropped"), 0).otherwise(F.col("_plain")))
          + F.least(n_dropped, F.lit(DIGEST_ENTRIES)) * DIGEST_ENTRY_CHARS).alias("planned_chars"),
-        *[F.coalesce(F.sum(e), F.lit(0)).alias(f"_g_{n}") for n, e in gains.items()])
-    for lever, gain in (("trunc2", "_g_trunc2"), ("assist_cap", "_g_assist"), ("tail_cap", "_g_tail")):
-        sums = sums.withColumn(lever, F.col("planned_chars") > target).withColumn(
-            "planned_chars", F.col("planned_chars") - F.when(F.col(lever), F.col(gain)).otherwise(0))
+        *[F.coalesce(F.sum(e), F.lit(0)).alias(f"_g_{n}") for n, e in gains.items()], *[F.bool_or(was[x]).alias(f"_was_{x}") for x in LEVERS])
+    # what a lever saves is nothing where it was pulled before
+    for lever in LEVERS:
+        sums = sums.withColumn(lever, was[lever] | (F.col("planned_chars") > target)).withColumn(
+            "planned_chars", F.col("planned_chars") - F.when(F.col(lever), F.col(f"_g_{lever}")).otherwise(0))
     sums = sums.select("session_id", "trunc2", "assist_cap", "tail_cap", "planned_chars")
-    return S.attach_session(rows, sums).withColumns({"early": early, "late": late, "tail_result": tail_result})
+    return S.attach_session(rows.drop(*[f"_was_{x}" for x in LEVERS]), sums).withColumns({"early": early, "late": late, "tail_result": tail_result})
 
 
 def digest_entries(dropped: DataFrame, calls: DataFrame) -> DataFrame:
     """One line per dropped interaction: tool(args) -> snippet | files not shown in the snippet.
 
-    ``dropped``: session_id, msg_idx, text, call_id, duplicate. ``calls``: session_id, call_id, tool, args.
+    ``dropped``: session_id, msg_idx, text, call_id, duplicate, and call_idx
+    where ids are used again. ``calls``: session_id, call_id, tool, args, and
+    then call_idx.
     """
-    joined = dropped.join(calls, ["session_id", "call_id"], "left")
+    keys = ["session_id", "call_id"] + (["call_idx"] if "call_idx" in dropped.columns else [])
+    joined = dropped.join(calls, keys, "left")
     flat = T.collapse_whitespace(F.coalesce("text", F.lit("")))
     snippet = T.clip(flat, DIGEST_RESULT_CHARS)
     unseen = F.slice(F.filter(T.paths(flat), lambda p: ~F.contains(snippet, p)), 1, DIGEST_PATHS)
@@ -298,57 +330,70 @@ def session_digest(entries: DataFrame) -> DataFrame:
 def merge_digest(text: Column, entries: Column) -> Column:
     """Text of the first user message with its digest block renewed: old entries, then new ones, newest forty."""
     start = F.instr(text, DIGEST_BEGIN)
-    segment = F.substring_index(F.substring(text, start, F.length(text)), DIGEST_END, 1)
+    block = F.substring(text, start, F.length(text))
+    segment = F.substring_index(block, DIGEST_END, 1)
     old = F.filter(F.transform(F.split(segment, "\n", -1), lambda x: F.trim(x)), lambda x: F.startswith(x, F.lit("- ")))
-    closed = F.contains(text, F.lit(DIGEST_END))
-    after = F.when(closed, F.substring_index(text, DIGEST_END, -1)).otherwise(F.lit(""))
+    # the block ends at the first end mark behind its begin
+    end = F.locate(DIGEST_END, block)
+    after = F.when(end > 0, F.substring(block, end + len(DIGEST_END), F.length(block))).otherwise(F.lit(""))
     bare = F.when(start > 0, F.concat(F.substring(text, F.lit(1), start - 1), after)).otherwise(text)
     listed = F.concat(F.when(start > 0, old).otherwise(F.array().cast("array<string>")),
                       F.coalesce(entries, F.array().cast("array<string>")))
     newest = F.slice(listed, F.greatest(F.lit(1), F.size(listed) - DIGEST_ENTRIES + 1), F.lit(DIGEST_ENTRIES))
-    block = F.concat_ws("\n", F.lit(DIGEST_HEADER), F.array_join(newest, "\n"), F.lit(DIGEST_END))
+    renewed = F.concat_ws("\n", F.lit(DIGEST_HEADER), F.array_join(newest, "\n"), F.lit(DIGEST_END))
     body = F.regexp_replace(bare, r"(?U)\s+$", "")
-    return F.when(F.size(listed) > 0, F.concat(body, F.lit("\n\n"), block)).otherwise(bare)
+    return F.when(F.size(listed) > 0, F.concat(body, F.lit("\n\n"), renewed)).otherwise(F.when(start > 0, body).otherwise(text))
+
 
+def compress_structural(messages: DataFrame, target_tokens: int = 8_000, levers: DataFrame | None = None) -> DataFrame:
+    """Recent tail kept, older interactions dropped or truncated to the target, digest in the first user message.
 
-def compress_structural(messages: DataFrame, target_tokens: int = 8_000) -> DataFrame:
-    """Recent tail kept, older interactions dropped or truncated to the target, digest in the first user message."""
-    plan = through_parquet(structural_plan(messages, target_tokens).select(
-        "session_id", "msg_idx", "call_idx", "item", "duplicate", "protected", "dropped", "trunc2", "assist_cap",
-        "tail_cap", "early", "late", "tail_result", "untouchable_from", "first_user"), "structural-plan")
-    calls = messages.where((F.col("role") == "assistant") & F.col("call_id").isNotNull()).select(
-        "session_id", "call_id", "tool", "args").dropDuplicates(["session_id", "call_id"])
+    Sessions without a user message come back whole.
+    """
+    plan = through_parquet(structural_plan(messages, target_tokens, levers).select(
+        "session_id", "msg_idx", "call_id", "call_idx", "item", "duplicate", "protected", "dropped", *LEVERS, "early", "late",
+        "tail_result", "untouchable_from", "first_user"), "structural-plan")
+    return _shape(messages, plan)
+
+
+def _shape(messages: DataFrame, plan: DataFrame) -> DataFrame:
+    """Carry out a plan: texts are fetched and cut, stripped calls leave their messages, the digest is renewed."""
+    homed = F.col("first_user").isNotNull()
+    calls = S.calls_of(messages).select("session_id", F.col("msg_idx").alias("call_idx"), "call_id", "tool", "args").dropDuplicates(
+        ["session_id", "call_idx", "call_id"])
+    gone = plan.where(homed & F.col("dropped"))
     # the digest shows the newest forty, so only their texts are fetched
-    shown = keep_first(plan.where("dropped").select("session_id", "msg_idx", "duplicate"), ["session_id"],
-                       [F.col("msg_idx").desc()], DIGEST_ENTRIES)
-    texts = shown.join(messages.select("session_id", "msg_idx", "text", "call_id"), ["session_id", "msg_idx"])
+    shown = keep_first(gone.select("session_id", "msg_idx", "call_id", "call_idx", "duplicate"), ["session_id"], [F.col("msg_idx").desc()], DIGEST_ENTRIES)
+    texts = shown.join(messages.select("session_id", "msg_idx", "text"), ["session_id", "msg_idx"])
     digest = session_digest(digest_entries(texts, calls))
-    stripped = plan.where("dropped").select("session_id", F.col("call_idx").alias("msg_idx")).distinct().withColumn(
-        "_strip", F.lit(True))
-    kept = (plan.where("NOT dropped").join(stripped, ["session_id", "msg_idx"], "left")
-            .join(messages, ["session_id", "msg_idx"]))
-    strip = F.coalesce("_strip", F.lit(False)) & (F.col("role") == "assistant")
-    # an assistant message whose only content was the stripped call disappears
-    kept = kept.where(~(strip & (F.trim(F.coalesce("text", F.lit(""))) == "")))
+    # calls whose results went; every other call of their messages stays
+    answered = gone.select("session_id", "call_idx", "call_id").distinct()
+    touched = answered.join(calls, ["session_id", "call_idx", "call_id"], "left_semi").select(
+        "session_id", F.col("call_idx").alias("msg_idx")).distinct().withColumn("_strip", F.lit(True))
+    left = calls.join(answered, ["session_id", "call_idx", "call_id"], "left_anti").select("session_id", F.col("call_idx").alias("msg_idx"), "call_id")
+    kept = (plan.drop("call_id").where(~homed | ~F.col("dropped")).join(touched, ["session_id", "msg_idx"], "left")
+            .join(messages, ["session_id", "msg_idx"])).withColumn("_strip", F.coalesce("_strip", F.lit(False)) & (F.col("role") == "assistant"))
+    kept = S.keep_calls(kept, left, F.col("_strip"))
+    # an assistant message whose only content was the stripped calls disappears
+    kept = kept.where(~(F.col("_strip") & ~S.makes_calls(kept) & (F.trim(F.coalesce("text", F.lit(""))) == "")))
     t = F.col("text")
     share = lambda cap: T.head_tail(t, int(cap * 0.75), int(cap * 0.25))
     assistant = T.head_tail(t, *ASSISTANT_CAP)
     text = (
-        F.when(F.col("item") & F.col("protected"), share(PROTECTED_CAP))
+        F.when(~homed, t).when(F.col("item") & F.col("protected"), share(PROTECTED_CAP))
         .when(F.col("item") & F.col("trunc2"), T.head_tail(t, *MID_SMALL)).when(F.col("item"), T.head_tail(t, *MID))
         .when(F.col("tail_result") & F.col("tail_cap"), share(TAIL_CAP))
         .when(S.is_result() & (F.col("msg_idx") < F.col("untouchable_from")), share(ABSOLUTE_CAP))
         .when(F.col("early") & (F.col("assist_cap") | F.col("tail_cap")), assistant)
         .when(F.col("late") & F.col("tail_cap"), assistant)
         .otherwise(t))
-    shaped = kept.select("session_id", "msg_idx", "role", text.alias("text"),
-                         *[F.when(~strip, F.col(c)).alias(c) for c in ("call_id", "tool", "args")], "first_user")
+    shaped = kept.select(*[text.alias(c) if c == "text" else F.col(c) for c in messages.columns], "first_user")
     # the digest is keyed by the position of the first user message, one row per session
     homes = plan.where("msg_idx = first_user").select("session_id", "msg_idx").join(digest, "session_id", "left").withColumn(
         "_home", F.lit(True))
     out = shaped.join(homes, ["session_id", "msg_idx"], "left")
     merged = F.when(F.col("_home"), merge_digest(F.col("text"), F.col("entries"))).otherwise(F.col("text"))
-    return out.withColumn("text", merged).drop("entries", "_home", "first_user")
+    return out.withColumn("text", merged).select(*messages.columns)
 
 
 def compress(messages: DataFrame, modes: DataFrame, target_tokens: int = 8_000) -> DataFrame:

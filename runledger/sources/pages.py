@@ -88,25 +88,47 @@ INNER = r'(?s)<thinking>.*?</thinking>|<tool_call name="[^"]*" id="[^"]*">.*?</t
 
 def parse_transcripts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Tagged transcript text to block rows: message position, block position, type, text, call id, tool."""
-    found = docs.select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(MESSAGE), 0)).alias("msg_idx", "raw"))
+    # an assistant turn without any block is no message, so positions are counted without it
+    silent = lambda m: F.startswith(m, F.lit('<message role="assistant">')) & ~m.rlike(INNER)
+    found = docs.select("doc_id", F.posexplode(F.filter(F.regexp_extract_all(text, F.lit(MESSAGE), 0), lambda m: ~silent(m))).alias("msg_idx", "raw"))
     g = lambda i: F.regexp_extract("raw", MESSAGE, i)
     messages = found.select(
         "doc_id", "msg_idx", F.when(g(1) != "", g(1)).otherwise("toolresult").alias("role"),
         F.when(g(1) != "", g(2)).otherwise(g(5)).alias("body"), F.nullif(g(3), F.lit("")).alias("tool"),
         F.nullif(g(4), F.lit("")).alias("call_id"))
     inner = F.regexp_extract_all("body", F.lit(INNER), 0)
-    blocks = F.when(F.col("role") == "assistant", inner).when(
-        (F.col("role") == "user") & (F.size(inner) > 0), F.slice(inner, 1, 1)).otherwise(F.array(F.col("body")))
+    # a user turn is its first block if that is a text, else all of it as it stands
+    spoken = F.when(F.get(inner, F.lit(0)).rlike("(?s)^<text>.+</text>$"), F.slice(inner, 1, 1)).otherwise(F.array(F.col("body")))
+    blocks = F.when(F.col("role") == "assistant", inner).when(F.col("role") == "user", spoken).otherwise(F.array(F.col("body")))
     rows = messages.select("doc_id", "msg_idx", "role", "tool", "call_id", F.posexplode(blocks).alias("block_idx", "block"))
     call = r'(?s)^<tool_call name="([^"]*)" id="([^"]*)">(.*)</tool_call>$'
     b = F.col("block")
-    kind = (F.when(F.col("role") == "toolresult", "text").when(b.startswith("<thinking>"), "thinking")
-            .when(b.startswith("<tool_call"), "toolcall").otherwise("text"))
-    content = F.when(b.startswith("<tool_call"), F.regexp_extract(b, call, 3)).otherwise(
-        F.regexp_replace(b, r"^<(?:thinking|text)>|</(?:thinking|text)>$", ""))
+    made = F.col("role") == "assistant"
+    kind = (F.when(made & b.startswith("<thinking>"), "thinking").when(made & b.startswith("<tool_call"), "toolcall").otherwise("text"))
+    bare = F.regexp_replace(b, r"^<(?:thinking|text)>|</(?:thinking|text)>$", "")
+    content = (F.when(kind == "toolcall", F.regexp_extract(b, call, 3)).when(made | b.rlike("(?s)^<text>.+</text>$"), bare).otherwise(b))
     is_call = kind == "toolcall"
     return rows.select(
         "doc_id", "msg_idx", "block_idx", "role", kind.alias("block_type"),
         F.regexp_replace(content, r"(?U)^\s+|\s+\z", "").alias("text"),
         F.when(is_call, F.regexp_extract(b, call, 2)).otherwise(F.col("call_id")).alias("call_id"),
         F.when(is_call, F.regexp_extract(b, call, 1)).otherwise(F.col("tool")).alias("tool"))
+
+
+def transcript_messages(blocks: DataFrame) -> DataFrame:
+    """Block rows of `parse_transcripts` as one row per message, in the form of the session operators.
+
+    Texts of a message are joined by line breaks, thinking is left out; an
+    assistant message lists all its calls (``calls``), a result bears the id
+    of the one it answers.
+    """
+    typed = lambda kind, value: F.when(F.col("block_type") == kind, value)
+    in_order = lambda c: F.array_sort(F.collect_list(c))
+    call = F.struct("block_idx", F.col("call_id").alias("id"), "tool", F.col("text").alias("args"))
+    answer = F.col("role") == "toolresult"
+    grouped = blocks.groupBy(F.col("doc_id").alias("session_id"), F.col("msg_idx").cast("long").alias("msg_idx"), "role").agg(
+        F.array_join(F.transform(in_order(typed("text", F.struct("block_idx", "text"))), lambda x: x["text"]), "\n").alias("text"),
+        F.max(F.when(answer, F.col("call_id"))).alias("call_id"), F.max(F.when(answer, F.col("tool"))).alias("tool"),
+        F.lit(None).cast("string").alias("args"), in_order(typed("toolcall", call)).alias("_calls"))
+    return grouped.select("session_id", "msg_idx", "role", "text", "call_id", "tool", "args",
+                          F.transform("_calls", lambda c: F.struct(c["id"].alias("id"), c["tool"].alias("tool"), c["args"].alias("args"))).alias("calls"))

@@ -10,6 +10,7 @@ from runledger.functions import text as T
 from runledger.operators import lines as L
 from runledger.operators import sessions as S
 from runledger.operators import transcripts as X
+from runledger.sources import pages as P
 
 
 def expected_kept(text, target):
@@ -173,3 +174,90 @@ def test_loop_line_in_notes(spark):
     messages = spark.createDataFrame(rows, "session_id long, msg_idx long, role string, text string, call_id long, tool string, args string")
     note = X.session_notes(X.session_notes(messages)).where("msg_idx = 9").collect()
     assert len(note) == 1 and "ls(-la)" in note[0]["text"]
+
+
+CALLS = "session_id long, msg_idx long, role string, text string, call_id string, tool string, args string, calls array<struct<id:string,tool:string,args:string>>"
+
+
+def several_calls(n=40, user=True, size=900):
+    """Each turn makes two calls; ids come back every third turn; the second result of some turns lost its id."""
+    rows = [(1, 0, "user" if user else "system", "fix app/a.py", None, None, None, [])]
+    for j in range(n):
+        ids = [f"c{j % 3}{s}" for s in (0, 1)]
+        rows.append((1, 1 + 3 * j, "assistant", "" if j % 2 else f"step {j}", None, None, None, [(x, "run", f"n {j}") for x in ids]))
+        for s in (0, 1):
+            rows.append((1, 2 + 3 * j + s, "toolresult", f"result {j} {s} " + "y" * size, None if s and j % 7 == 3 else ids[s], "run", None, []))
+    return rows
+
+
+def test_pairs_are_the_nearest_earlier_call(spark):
+    rows = several_calls(12) + [(2, 0, "toolresult", "first", "c00", None, None, []), (2, 1, "assistant", "", None, None, None, [("c00", "t", "")])]
+    got = {(r["session_id"], r["result_idx"]): (r["call_idx"], r["matched_by_id"]) for r in S.pair_calls(spark.createDataFrame(rows, CALLS)).collect()}
+    want = {(1, 2 + 3 * j + s): (1 + 3 * j, not (s and j % 7 == 3)) for j in range(12) for s in (0, 1)}
+    assert got == want | {(2, 0): (None, False)}
+
+
+def test_prune_without_matching_id_keeps_the_nearest_call(spark):
+    rows = several_calls(6)
+    lost = [r[:4] + ((f"x{r[1]}" if r[2] == "toolresult" else r[4]),) + r[5:] for r in rows]
+    kept = X.prune_recent(spark.createDataFrame(lost, CALLS)).collect()
+    # the newest four results are 14, 15, 17, 18; the message before them calls at 13 and is left without calls
+    assert sorted((r["msg_idx"], len(r["calls"])) for r in kept) == [(0, 0), (13, 0), (14, 0), (15, 0), (17, 0), (18, 0)]
+    no_calls = [r[:7] + ([],) for r in rows]
+    assert X.prune_recent(spark.createDataFrame(no_calls, CALLS)).count() == len(rows)
+
+
+def test_structural_strips_one_of_several_calls(spark):
+    messages = spark.createDataFrame(several_calls(), CALLS)
+    rows = {r["msg_idx"]: r for r in X.compress_structural(messages, 6_000).collect()}
+    plan = {r["msg_idx"]: r for r in X.structural_plan(messages, 6_000).collect()}
+    dropped = {i for i, r in plan.items() if r["dropped"]}
+    assert dropped and not dropped & set(rows)
+    # results without an id have no call to strip: they stay
+    assert {2 + 3 * j + 1 for j in range(40) if j % 7 == 3} <= set(rows)
+    for j in range(40):
+        left = [s for s in (0, 1) if 2 + 3 * j + s not in dropped]
+        if not left and j % 2:
+            assert 1 + 3 * j not in rows
+        else:
+            assert [c["id"] for c in rows[1 + 3 * j]["calls"]] == [f"c{j % 3}{s}" for s in left]
+    entries = [x for x in rows[0]["text"].split("\n") if x.startswith("- ")]
+    newest = sorted(dropped)[-len(entries):]
+    assert entries[-1].startswith(f"- run(n {(newest[-1] - 2) // 3}) -> result {(newest[-1] - 2) // 3} ")
+
+
+def test_sessions_without_user_message_stay_whole(spark):
+    messages = spark.createDataFrame(several_calls(user=False), CALLS)
+    out = X.compress_structural(messages, 2_000)
+    assert out.exceptAll(messages).count() == 0 and out.count() == messages.count()
+
+
+def test_levers_stay_pulled(spark):
+    messages = spark.createDataFrame(several_calls(30, size=1300), CALLS)
+    plain = X.structural_plan(messages, 50_000).first()
+    assert (plain["trunc2"], plain["assist_cap"], plain["tail_cap"]) == (False, False, False)
+    levers = spark.createDataFrame([(1, True, False, False)], "session_id long, trunc2 boolean, assist_cap boolean, tail_cap boolean")
+    kept = X.structural_plan(messages, 50_000, levers).first()
+    assert (kept["trunc2"], kept["assist_cap"], kept["tail_cap"]) == (True, False, False)
+    n_items = X.structural_plan(messages, 50_000, levers).where("item").count()
+    assert plain["planned_chars"] - kept["planned_chars"] == sum(min(len(r[3]), 1480) - 780 for r in several_calls(30, size=1300)[1:] if r[2] == "toolresult" and r[1] < 85)
+    assert n_items == 56
+    texts = [r["text"] for r in X.compress_structural(messages, 50_000, levers).where("role = 'toolresult' AND msg_idx < 85").collect()]
+    assert max(map(len, texts)) < 800
+
+
+def test_digest_ends_at_its_first_end_mark(spark):
+    text = f"task\n\n{X.DIGEST_HEADER}\n- old\n{X.DIGEST_END}\nlater words {X.DIGEST_END} and more"
+    open_block = f"task\n{X.DIGEST_HEADER}\n- old"
+    df = spark.createDataFrame([(text,), (open_block,), ("task  ",)], "text string")
+    got = [r[0] for r in df.select(X.merge_digest(F.col("text"), F.array(F.lit("- new")))).collect()]
+    block = lambda *e: "\n\n" + "\n".join([X.DIGEST_HEADER, *e, X.DIGEST_END])
+    assert got == [f"task\n\n\nlater words {X.DIGEST_END} and more" + block("- old", "- new"), "task" + block("- old", "- new"), "task" + block("- new")]
+
+
+def test_user_turns_that_begin_with_thinking(spark):
+    text = ('<message role="user"><thinking>a</thinking><text>b</text></message><message role="assistant">nothing tagged</message>'
+            '<message role="user"><text>c </text><text>d</text></message><message role="user"><text></text>e</message>')
+    rows = P.parse_transcripts(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("msg_idx").collect()
+    assert [(r["msg_idx"], r["block_type"], r["text"]) for r in rows] == [
+        (0, "text", "<thinking>a</thinking><text>b</text>"), (1, "text", "c"), (2, "text", "<text></text>e")]
