@@ -289,6 +289,15 @@ def top2(v):
     return boards.entrant_page(submits, 2, 50).select("position", "hotkey", "last_submit", "total_rows")
 
 
+@query("top2_deep_page", """
+    SELECT CAST(rn AS INTEGER) AS position, id, last_submit, total_rows
+    FROM (SELECT *, row_number() OVER (ORDER BY last_submit DESC NULLS LAST, id) AS rn, count(*) OVER () AS total_rows
+          FROM (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS last_submit FROM orders)) WHERE rn > 12000 AND rn <= 12500""")
+def top2b(v):
+    submits = v.table("orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("last_submit"))
+    return boards.page(submits, [F.col("last_submit").desc_nulls_last(), F.col("id").asc()], 25, 500)
+
+
 @query("set5_required_set", """
     SELECT s.hotkey, count(DISTINCT s.task_id) AS n_scored_tasks, (SELECT count(*) FROM fx_difficulty) AS n_required,
            count(DISTINCT s.task_id) = (SELECT count(*) FROM fx_difficulty) AS complete

@@ -197,7 +197,7 @@ def top5(v):
 def set1(v):
     placed = ranked(v.table("customer").select(
         F.col("c_custkey").alias("id"), "c_nationkey", (F.col("c_nationkey") % 2).alias("half"), "c_acctbal"),
-        ["half"], "c_acctbal", ["id"], "pos", 1)
+        ["half"], "c_acctbal", ["id"], "pos")
     current = placed.where("c_nationkey % 2 = 0 OR id % 3 = 0")
     previous = placed.where("c_nationkey % 2 = 1")
     start = F.lit("1998-05-31 22:00:00").cast("timestamp")

@@ -550,6 +550,14 @@ def agg38(v):
     return rounded(X.savings_by_mode(audited_modes(v)), "mean_savings", "min_savings", "max_savings", "p95_tokens")
 
 
+@query("agg38_latency", """
+    WITH t AS (SELECT user_id, sum(value) AS s FROM events GROUP BY user_id), r AS (SELECT s, row_number() OVER (ORDER BY s) AS i, count(*) OVER () AS n FROM t)
+    SELECT count(*) AS n, round(avg(s), 6) AS mean_seconds, round(max(CASE WHEN i = floor(0.95 * n) THEN s END), 6) AS p95_seconds, round(max(s), 6) AS max_seconds FROM r""")
+def agg38b(v):
+    times = v.table("events").groupBy("user_id").agg(F.sum("value").alias("seconds"))
+    return rounded(X.latency_summary(times), "mean_seconds", "p95_seconds", "max_seconds")
+
+
 @query("txt21_savings_report", f"""
     SELECT session_id, round(1 - tokens_out / tokens_in, 6) AS savings, CASE WHEN tokens_in * 4 >= 40000 THEN 'rich' ELSE 'harvest' END AS mode
     FROM (SELECT session_id, greatest(1, CAST(ceil(sum(length(text)) / 4.0) AS BIGINT)) AS tokens_in,

@@ -7,13 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runledger.scale import global_totals
 
-def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
+
+# up to here the rows before a page are cheaper to keep than to number by ranges
+TOP_ROWS = 10_000
+
+
+def page(df: DataFrame, order: Sequence[Column], number: int, size: int, top_rows: int = TOP_ROWS) -> DataFrame:
     """One page of an ordered list with the total row count.
 
-    ``orderBy().limit()`` keeps at most ``number * size`` rows per task
-    (top-k), and only those rows are numbered.
+    The first pages are top-k: at most ``number * size`` rows per task, and
+    only those are numbered. Deep pages are cut from positions that ranges of
+    the order hand out, so that no task sees all rows before the page.
     """
+    if number * size > top_rows:
+        placed = global_totals(df, [], order, F.lit(1), "position", "total_rows")
+        return placed.where((F.col("position") > (number - 1) * size) & (F.col("position") <= number * size)).withColumn(
+            "position", F.col("position").cast("int")).select(*df.columns, "position", "total_rows")
     top = df.orderBy(*order).limit(number * size)
     numbered = top.withColumn("position", F.row_number().over(Window.orderBy(*order)))
     total = df.agg(F.count(F.lit(1)).alias("total_rows"))

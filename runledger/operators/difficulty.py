@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.operators.pairs import mean_score
+from runledger.scale import global_totals
 
 # Fixed values of the difficulty rule.
 LOSS_WEIGHT = 0.75
@@ -36,12 +37,13 @@ def difficulty_score(inputs: DataFrame) -> DataFrame:
 
 
 def assign_difficulty(scores: DataFrame) -> DataFrame:
-    """Thirds by descending score; a remainder goes to the harder classes first.
-
-    One row per task arrives here (task catalogue size, not run count).
-    """
-    third = F.ntile(3).over(Window.orderBy(F.col("difficulty_score").desc(), F.col("task_name")))
-    return scores.select("*", F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), third).alias("category"))
+    """Thirds by descending score; a remainder goes to the harder classes first."""
+    placed = global_totals(scores, [], [F.col("difficulty_score").desc_nulls_last(), F.col("task_name")], F.lit(1), "_pos", "_n")
+    parts = len(CATEGORIES)
+    size, larger = F.floor(F.col("_n") / parts), F.col("_n") % parts
+    head = larger * (size + 1)
+    third = F.when(F.col("_pos") <= head, F.ceil(F.col("_pos") / (size + 1))).otherwise(larger + F.ceil((F.col("_pos") - head) / F.nullif(size, F.lit(0))))
+    return placed.select(*scores.columns, F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), third.cast("int")).alias("category"))
 
 
 def task_difficulty(tasks: DataFrame, runs: DataFrame, validations: DataFrame) -> DataFrame:

@@ -127,18 +127,48 @@ def active_at(df: DataFrame, instant: Column, start: str = "starts_at", end: str
     return df.where((F.col(start) <= instant) & (F.col(end) >= instant))
 
 
-def valid_at(instants: DataFrame, intervals: DataFrame, ts: str, start: str = "starts_at", end: str = "ends_at",
-             cell_days: int = 7) -> DataFrame:
-    """Interval join for many instants.
+def dyadic_cells(low: Column, high: Column, levels: int) -> Column:
+    """Cells (level, number) of doubling width that together make up the whole numbers from ``low`` to ``high``.
 
-    Intervals are cut into day cells so that the join is an equi join on the
-    cell with the range test as residual, not a nested loop.
+    At most two cells of each level; the last level takes what is left.
     """
-    width = cell_days * 86400
-    low, high = F.floor(F.unix_timestamp(start) / width), F.floor(F.unix_timestamp(end) / width)
-    cut = intervals.withColumn("_cell", F.explode(F.sequence(low, high)))
-    probed = instants.withColumn("_cell", F.floor(F.unix_timestamp(ts) / width))
-    return probed.join(cut, "_cell").where((F.col(ts) >= F.col(start)) & (F.col(ts) <= F.col(end))).drop("_cell")
+    start = F.struct(low.alias("a"), (high + 1).alias("b"), F.array().cast("array<struct<level:int,cell:bigint>>").alias("cells"))
+
+    def step(acc: Column, level: Column) -> Column:
+        a, b, last = acc["a"], acc["b"], level == levels
+        cell = lambda n: F.array(F.struct(level.cast("int").alias("level"), n.alias("cell")))
+        none = F.array().cast("array<struct<level:int,cell:bigint>>")
+        left = (a < b) & (a % 2 != 0)
+        a2 = a + F.when(left, 1).otherwise(0)
+        right = (a2 < b) & (b % 2 != 0)
+        rest = F.transform(F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>")), lambda n: F.struct(
+            level.cast("int").alias("level"), n.alias("cell")))
+        two = F.concat(F.when(left, cell(a)).otherwise(none), F.when(right, cell(b - 1)).otherwise(none))
+        return F.struct(F.floor(a2 / 2).alias("a"), F.floor((b - F.when(right, 1).otherwise(0)) / 2).alias("b"),
+                        F.concat(acc["cells"], F.when(last, rest).otherwise(two)).alias("cells"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step, lambda acc: acc["cells"])
+
+
+def valid_at(instants: DataFrame, intervals: DataFrame, ts: str, start: str = "starts_at", end: str = "ends_at") -> DataFrame:
+    """Interval join for many instants: pairs of an instant and a closed interval that contains it.
+
+    An interval is cut into dyadic cells of seconds, O(log length) of them;
+    an instant looks up the one cell of each level that holds it, up to the
+    level of the longest interval. Cells of a pair are equal exactly where
+    the interval covers the instant's second, so the equi join produces
+    results only (times within the first and last second are tested).
+    """
+    second = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000)
+    proper = intervals.where(F.col(start) <= F.col(end))
+    longest = proper.agg(F.max(second(end) - second(start) + 1)).first()[0] or 1
+    levels = max(0, int(longest).bit_length() - 1)
+    cut = proper.withColumn("_c", F.explode(dyadic_cells(second(start), second(end), levels))).select(
+        *intervals.columns, F.col("_c.level").alias("_level"), F.col("_c.cell").alias("_cell"))
+    looked_up = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(
+        k.alias("level"), F.floor(second(ts) / F.pow(F.lit(2.0), k)).alias("cell")))
+    probed = instants.withColumn("_c", F.explode(looked_up)).select(*instants.columns, F.col("_c.level").alias("_level"), F.col("_c.cell").alias("_cell"))
+    return probed.join(cut, ["_level", "_cell"]).where((F.col(ts) >= F.col(start)) & (F.col(ts) <= F.col(end))).drop("_level", "_cell")
 
 
 def previous_competition(comps: DataFrame) -> DataFrame:

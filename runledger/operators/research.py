@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runledger.scale import keep_first
+from runledger.scale import keep_first, quantiles, same
 
 # Fixed thresholds of the reports.
 BARELY = 2.0
@@ -33,10 +33,21 @@ def no_screeners(ts: DataFrame) -> DataFrame:
 
 def entrant_aggregates(ts: DataFrame) -> DataFrame:
     """Counts, mean and exact median ratio per entrant on non-screener tasks."""
-    return no_screeners(ts).groupBy("entrant").agg(
+    rows = no_screeners(ts)
+    sums = rows.groupBy("entrant").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("miner_pass")).alias("pass_n"),
         F.count_if(F.col("broke_baseline")).alias("broke_n"), F.count_if(F.col("negative_score")).alias("neg_n"),
-        F.avg(ratio()).alias("mean_ratio"), F.median(ratio()).alias("median_ratio"))
+        F.avg(ratio()).alias("mean_ratio"))
+    return with_median(sums, rows.select("entrant", ratio().alias("_r")), ["entrant"], "_r", "median_ratio")
+
+
+def with_median(sums: DataFrame, rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Attach the exact median of ``value`` to one-row-per-key sums; null where a key has no value."""
+    middle = quantiles(rows, keys, value, {name: 0.5}).select(*[F.col(k).alias(f"_m_{k}") for k in keys], name)
+    if not keys:
+        return sums.join(F.broadcast(middle), how="left")
+    on = same([F.col(k) for k in keys], [F.col(f"_m_{k}") for k in keys])
+    return sums.join(middle, on, "left").drop(*[f"_m_{k}" for k in keys])
 
 
 def scoreboard(aggregates: DataFrame, totals: DataFrame) -> DataFrame:
@@ -290,10 +301,11 @@ def headroom(ts: DataFrame, target: str, family: Sequence[str] = ()) -> DataFram
 def subset_metrics(rows: DataFrame) -> DataFrame:
     """Headline metrics of a set of task rows."""
     n = F.count(F.lit(1))
-    return rows.agg(
+    sums = rows.agg(
         n.alias("n_tasks"), (F.count_if(F.col("miner_pass")) / F.nullif(n, F.lit(0))).alias("pass_rate"),
         F.count_if(F.col("broke_baseline")).alias("broke"), F.count_if(F.col("negative_score")).alias("negative"),
-        F.avg(ratio()).alias("avg_ratio"), F.median(ratio()).alias("median_ratio"), F.avg("score").alias("score"))
+        F.avg(ratio()).alias("avg_ratio"), F.avg("score").alias("score"))
+    return with_median(sums, rows.select(ratio().alias("_r")), [], "_r", "median_ratio")
 
 
 def join_candidate(candidate: DataFrame, base: DataFrame) -> DataFrame:
@@ -321,8 +333,12 @@ def candidate_metrics(rows: DataFrame) -> DataFrame:
         F.coalesce(F.sum("neg_runs") / F.nullif(F.sum("n_runs"), F.lit(0)), F.lit(0.0)).alias("neg_rate"),
         F.count_if(F.col("broke")).alias("broke"), F.count_if(F.col("new_broke")).alias("new_broke"),
         F.count_if(F.coalesce(F.col("score"), F.lit(0.0)) < 0).alias("negative"), F.avg(r).alias("avg_ratio"),
-        F.median(r).alias("median_ratio"), F.avg("score").alias("avg_score"),
+        F.avg("score").alias("avg_score"),
         F.count_if(F.col("pairing_error")).alias("pairing_errors"), F.count_if(F.col("missing_patch")).alias("missing_patch"))
+    # every row counts for its class and for the whole
+    both = F.explode(F.array(F.struct(F.lit(0).cast("tinyint").alias("_all"), F.col("category").alias("category")),
+                             F.struct(F.lit(1).cast("tinyint").alias("_all"), F.lit(None).cast("string").alias("category"))))
+    out = with_median(out, rows.select(both.alias("g"), r.alias("_r")).select("g.*", "_r"), ["_all", "category"], "_r", "median_ratio")
     return out.withColumn("category", F.when(F.col("_all") == 1, "overall").otherwise(F.col("category"))).drop("_all")
 
 

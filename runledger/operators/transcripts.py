@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runledger.functions import text as T
 from runledger.operators import sessions as S
 from runledger.operators.lines import extractive_compress
-from runledger.scale import keep_first, positions
+from runledger.scale import keep_first, positions, quantiles, values_at
 from runledger.session import through_parquet
 
 # Fixed values of the compression rules.
@@ -449,6 +449,15 @@ def sweep(messages: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def savings_by_mode(audited: DataFrame) -> DataFrame:
     """Mean, least and largest savings per mode, p95 of the input size."""
-    return audited.groupBy("mode").agg(
+    sums = audited.groupBy("mode").agg(
         F.count(F.lit(1)).alias("n"), F.avg("savings").alias("mean_savings"), F.min("savings").alias("min_savings"),
-        F.max("savings").alias("max_savings"), F.percentile("tokens_in", F.lit(0.95)).alias("p95_tokens"))
+        F.max("savings").alias("max_savings"))
+    return sums.join(quantiles(audited, ["mode"], "tokens_in", {"p95_tokens": 0.95}), "mode", "left")
+
+
+def latency_summary(times: DataFrame, seconds: str = "seconds") -> DataFrame:
+    """Mean, p95 and largest latency; p95 is the value at rank floor(0.95 n), the last one if that is zero."""
+    sums = times.agg(F.avg(seconds).alias("mean_seconds"), F.max(seconds).alias("max_seconds"))
+    rank = lambda n: F.when(F.floor(n * F.lit(0.95)) > 0, F.floor(n * F.lit(0.95))).otherwise(n)
+    at = values_at(times, [], seconds, {"p95_seconds": rank}).select("n", "p95_seconds")
+    return sums.join(F.broadcast(at), how="left").select(F.coalesce("n", F.lit(0)).alias("n"), "mean_seconds", "p95_seconds", "max_seconds")

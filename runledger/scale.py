@@ -3,19 +3,22 @@
 Three shapes come up again and again and each has a skew-proof form here:
 
 * attaching per-group facts back to the rows of a group (``attach_facts``),
-* running totals inside an ordered group (``running_totals``),
+* running totals inside an ordered group (``running_totals``; by ranges of
+  values, with ranks and quantiles on top, ``global_totals``),
 * the newest/first N rows of a group (``keep_first``), which Spark limits
   before the shuffle by itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from runledger.session import through_parquet
+
 # A group with more rows than this counts as hot. The list of hot groups is
 # then at most total_rows / HOT_ROWS long, which bounds what is broadcast.
 HOT_ROWS = 4_000_000
@@ -129,19 +132,70 @@ def running_totals(df: DataFrame, keys: Sequence[str], position: str, sums: Mapp
         *[F.greatest(F.col(f"_p_{n}"), F.col(f"_r_{n}")).alias(n) for n in maxima])
 
 
-def ranked(df: DataFrame, keys: Sequence[str], score: str, ties: Sequence[str | Column], name: str = "rank",
-           buckets_per_unit: int = 1024) -> DataFrame:
-    """Rank by descending score, missing scores last; ``ties`` make the order total.
+def global_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], weight: Column, name: str,
+                  total: str | None = None) -> DataFrame:
+    """Inclusive running sum of ``weight`` within ``keys`` along ``order``, whatever the skew of keys and values.
 
-    Equal to ``row_number()`` per key, with the score cut into buckets so
-    that one crowded key is sorted by many tasks.
+    Rows are dealt out by ranges of (keys, order, row hash), so that a hot
+    key, a crowd of equal values or of nulls is cut like anything else; each
+    range is summed by itself and learns what lies before it from the sums
+    of the ranges (one row per key and range). The dealt rows are written
+    once, because sampled range bounds differ from job to job. Rows that are
+    equal in all columns share a range. ``total`` adds the sum of the key.
     """
-    bucket = F.when(F.col(score).isNull(), F.lit(1)).otherwise(F.lit(0))
-    spread = F.struct(bucket.alias("missing"), F.floor(-F.col(score) * buckets_per_unit).alias("level"))
-    out = positions(df, keys, spread, [F.col(score).desc_nulls_last(), *ties], name)
+    plain = [F.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    sort = [*[F.col(k) for k in keys], *order, F.xxhash64(*plain)]
+    dealt = df.withColumn("_weight", weight).repartitionByRange(_partitions(df.sparkSession), *sort).sortWithinPartitions(*sort)
+    stored = through_parquet(dealt.withColumn("_at", F.monotonically_increasing_id()), "dealt")
+    # the upper bits of the row number are the range
+    local = stored.withColumn("_range", F.shiftright("_at", 33))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = local.groupBy(*keys, "_range").agg(F.sum("_weight").alias("_sum")).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_k_range"),
+        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.sum("_sum").over(Window.partitionBy(*keys)).alias("_total"))
+    inside = Window.partitionBy(*keys, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = local.withColumn("_run", F.sum("_weight").over(inside))
+    on = same([F.col(k) for k in [*keys, "_range"]], [F.col(f"_k_{k}") for k in keys] + [F.col("_k_range")])
+    joined = run.join(sums, on)
+    return joined.select(*[F.col(c) for c in df.columns], (F.col("_before") + F.col("_run")).alias(name),
+                         *([F.col("_total").alias(total)] if total else []))
+
+
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def ranked(df: DataFrame, keys: Sequence[str], score: str, ties: Sequence[str | Column], name: str = "rank") -> DataFrame:
+    """Rank by descending score, missing scores last; ``ties`` make the order total."""
+    out = global_totals(df, keys, [F.col(score).desc_nulls_last(), *ties], F.lit(1), name)
     return out.withColumn(name, F.col(name).cast("int"))
 
 
+def values_at(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """Per key the values at 1-based ranks of the ascending non-null values, and their number ``n``.
+
+    ``ranks``: name -> rank as a function of n. Equal values are counted
+    before they are sorted; no task holds a key's values.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    summed = global_totals(counted, keys, [F.col(value)], F.col("_n"), "_upto", "n")
+    return summed.groupBy(*keys, "n").agg(
+        *[F.min(F.when(F.col("_upto") >= rank(F.col("n")), F.col(value))).alias(name) for name, rank in ranks.items()])
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, float]) -> DataFrame:
+    """Exact quantiles per key, interpolated between neighbours; keys without a value have no row."""
+    place = {q: (lambda n, q=q: F.lit(q) * (n - 1)) for q in shares.values()}
+    ranks = {}
+    for name, q in shares.items():
+        ranks[f"_lo_{name}"] = lambda n, q=q: F.floor(place[q](n)) + 1
+        ranks[f"_hi_{name}"] = lambda n, q=q: F.ceil(place[q](n)) + 1
+    found = values_at(df, keys, value, ranks)
+    between = {name: F.col(f"_lo_{name}") + (place[q](F.col("n")) - F.floor(place[q](F.col("n")))) * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))
+               for name, q in shares.items()}
+    return found.select(*keys, *[e.alias(name) for name, e in between.items()])
+
+
 def positions(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str | Column],
               name: str) -> DataFrame:
     """1-based position of each row within ``keys`` under ``order``.
