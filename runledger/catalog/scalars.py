@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from runledger.catalog.registry import query, rounded
 from runledger.functions import text as T
+from runledger.operators.nested import nested_text
 from runledger.functions import values as V
 from runledger.functions.scoring import close_to
 from runledger.operators.screening import required_passes
@@ -49,7 +50,7 @@ def fns4(v):
 
 
 @query("fns5_fingerprints", """
-    SELECT event_id, sha256(event_type || props) AS fp, '{"a":"' || event_type || '","k":"' || regexp_extract(props, '(\\d+)', 1) || '"}' AS canonical
+    SELECT event_id, sha256(event_type || props) AS fp, '{"a":"' || event_type || '","k":' || regexp_extract(props, '(\\d+)', 1) || '}' AS canonical
     FROM events""")
 def fns5(v):
     unordered = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(', "a": "'), F.col("event_type"), F.lit('"}'))
@@ -57,6 +58,23 @@ def fns5(v):
         "event_id", T.fingerprint(F.concat("event_type", "props")).alias("fp"), T.canonical_json(unordered).alias("canonical"))
 
 
+# three levels, keys in no order
+NESTED = """concat('{"z": [', event_id, ', {"y": "', event_type, '", "b": {"d": null, "c": [true, {"text": "t', user_id, '", "x": 1}]}}], "m": ', props, ', "a": "s"}')"""
+
+
+@query("fns5_nested_json", """
+    SELECT event_id, '{"a":"s","m":{"k":' || regexp_extract(props, '(\\d+)', 1) || '},"z":[' || event_id || ',{"b":{"c":[true,{"text":"t' || user_id
+           || '","x":1}],"d":null},"y":"' || event_type || '"}]}' AS canonical FROM events""")
+def fns5b(v):
+    return v.table("events").select("event_id", T.canonical_json(F.expr(NESTED)).alias("canonical"))
+
+
+@query("fns2_nested_text", """
+    SELECT event_id, concat_ws(chr(10), 's', regexp_extract(props, '(\\d+)', 1), event_id, 'True', 't' || user_id, '', event_type) AS text FROM events""")
+def fns2b(v):
+    return nested_text(v.table("events").select("event_id", F.expr(NESTED).alias("j")), ["event_id"], "j")
+
+
 @query("fns6_flags", r"""
     SELECT session_id, msg_idx, contains(lower(text), 'failed') OR contains(lower(text), 'assertionerror') AS has_error,
            regexp_matches(text, '\b[1-9]\d*\s+failed\b|\bFAILED\b|\bAssertionError\b') AS failing,

@@ -340,6 +340,36 @@ def txt7(v):
     return docs.select("doc_id", F.inline(T.let(L.kept_lines(F.col("text"), 600), row)))
 
 
+@query("txt7_tfidf_compress", r"""
+    WITH ln AS (SELECT doc_id, line_no, line, length(line) + 1 AS cost, regexp_replace(line, '\s', '', 'g') = '' AS blank,
+                  regexp_matches(line, '^[ \t]*(?:[+\-]|@@|diff --git)') OR regexp_matches(line, '\b(?:def|class)\s+\w+|\bfunction\s+\w+|=>\s*\{')
+                  OR regexp_matches(line, '\b\w+\s*\([^)]*\)\s*:') OR regexp_matches(line, '/?[\w.-]+(?:/[\w.-]+)+\.[A-Za-z]{1,4}')
+                  OR regexp_matches(lower(line), 'error:|exception:|failed|failures=|errors=|fatal:|assertionerror|traceback \(most recent') AS hit
+           FROM fx_lines WHERE doc_id IN (SELECT doc_id FROM documents WHERE length(text) > 600)),
+    pins AS (SELECT * FROM ln WHERE hit AND NOT blank), rest AS (SELECT * FROM ln WHERE NOT hit AND NOT blank),
+    words AS (SELECT doc_id, line_no, unnest(regexp_extract_all(lower(line), '([\p{L}\p{M}\p{N}_]+)', 1)) AS term FROM rest),
+    counts AS (SELECT doc_id, line_no, term, count(*) AS tf FROM words GROUP BY ALL), nl AS (SELECT doc_id, count(*) AS n FROM rest GROUP BY 1),
+    vocab AS (SELECT doc_id, term, count(*) AS df FROM counts GROUP BY ALL),
+    w AS (SELECT c.doc_id, c.line_no, c.tf * (ln((1 + nl.n) / (1 + v.df)) + 1) AS w
+          FROM counts c JOIN vocab v ON v.doc_id = c.doc_id AND v.term = c.term JOIN nl ON nl.doc_id = c.doc_id),
+    s AS (SELECT r.*, round(coalesce(x.score, 0.0), 9) AS score FROM rest r LEFT JOIN (
+            SELECT doc_id, line_no, sum(w) / sqrt(sum(w * w)) AS score FROM w GROUP BY ALL) x ON x.doc_id = r.doc_id AND x.line_no = r.line_no),
+    run AS (SELECT s.*, sum(cost) OVER (PARTITION BY doc_id ORDER BY score DESC, line_no ROWS UNBOUNDED PRECEDING) - cost
+                   + coalesce((SELECT sum(cost) FROM pins p WHERE p.doc_id = s.doc_id), 0) AS before FROM s),
+    kept AS (SELECT doc_id, line_no, line FROM pins UNION ALL SELECT doc_id, line_no, line FROM run WHERE before < 600),
+    gaps AS (SELECT *, coalesce(lag(line_no) OVER (PARTITION BY doc_id ORDER BY line_no), -1) AS prev FROM kept),
+    out AS (SELECT doc_id, count(*) AS k, max(line_no) AS last, string_agg(CASE WHEN line_no > prev + 1 THEN '…' || chr(10) ELSE '' END || line, chr(10) ORDER BY line_no) AS body
+            FROM gaps GROUP BY doc_id),
+    fin AS (SELECT d.doc_id, d.text, o.k, len(string_split(d.text, chr(10))) AS n,
+                   coalesce(o.body || CASE WHEN o.last < len(string_split(d.text, chr(10))) - 1 THEN chr(10) || '…' ELSE '' END, '…') AS body
+            FROM documents d LEFT JOIN out o ON o.doc_id = d.doc_id)
+    SELECT doc_id, sha256(CASE WHEN length(text) <= 600 OR k >= n THEN text WHEN length(body) < length(text) THEN body
+             WHEN length(text) <= 680 THEN text ELSE substr(text, 1, 450) || chr(10) || '… [' || (length(text) - 600) || ' chars trimmed] …' || chr(10) || right(text, 150) END) AS h
+    FROM fin""")
+def txt7b(v):
+    return L.tfidf_compress(v.table("documents"), 600).select("doc_id", F.sha2("text", 256).alias("h"))
+
+
 @query("txt8_line_scores", r"""
     SELECT doc_id, line_no, CAST(len(list_distinct(regexp_extract_all(line, '([\p{L}\p{M}\p{N}_]+)', 1))) AS INTEGER) AS score FROM fx_lines""")
 def txt8(v):
@@ -350,8 +380,7 @@ def txt8(v):
     WITH words AS (SELECT doc_id, line_no, unnest(regexp_extract_all(lower(line), '([\p{L}\p{M}\p{N}_]+)', 1)) AS term FROM fx_lines),
     counts AS (SELECT doc_id, line_no, term, count(*) AS tf FROM words GROUP BY ALL),
     nl AS (SELECT doc_id, count(*) AS n FROM fx_lines GROUP BY 1),
-    vocab AS (SELECT * FROM (SELECT doc_id, term, count(*) AS df, row_number() OVER (PARTITION BY doc_id ORDER BY sum(tf) DESC, term) AS r
-                             FROM counts GROUP BY doc_id, term) WHERE r <= 4000),
+    vocab AS (SELECT doc_id, term, count(*) AS df FROM counts GROUP BY doc_id, term),
     w AS (SELECT c.doc_id, c.line_no, c.tf * (ln((1 + nl.n) / (1 + v.df)) + 1) AS w
           FROM counts c JOIN vocab v ON v.doc_id = c.doc_id AND v.term = c.term JOIN nl ON nl.doc_id = c.doc_id)
     SELECT l.doc_id, l.line_no, round(coalesce(s.score, 0.0), 6) AS score FROM fx_lines l
@@ -369,7 +398,7 @@ def txt9(v):
     return out.groupBy("session_id", "action").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-PLAN_SQL = rf"""
+PLAN_TEMPLATE = rf"""
     WITH base AS (SELECT *, length(text) AS cost, max(msg_idx) OVER (PARTITION BY session_id) AS last,
                          row_number() OVER (PARTITION BY session_id, role ORDER BY msg_idx DESC) AS newest, {KEY} AS k FROM fx_trace),
     tails AS (SELECT session_id, min(msg_idx) - 1 AS tail_from FROM base WHERE role = 'toolresult' AND newest <= 4 GROUP BY 1),
@@ -395,7 +424,8 @@ PLAN_SQL = rf"""
              FROM rows3 GROUP BY 1)
     SELECT session_id, n_dropped, n_duplicate, p0 > $TARGET AS trunc2, p0 - CASE WHEN p0 > $TARGET THEN g2 ELSE 0 END > $TARGET AS assist_cap,
            CAST(p0 - CASE WHEN p0 > $TARGET THEN g2 ELSE 0 END AS BIGINT) AS planned_chars
-    FROM sums""".replace("$TARGET", "32000").replace("$RELIEF", "24000")
+    FROM sums"""
+PLAN_SQL = PLAN_TEMPLATE.replace("$TARGET", "32000").replace("$RELIEF", "24000")
 
 
 # Assistant messages and tail results of the trace are short, so only the first lever changes sizes here.
@@ -528,6 +558,24 @@ def txt20(v):
         F.sum(F.length("text_in")).alias("chars_in"), F.sum(F.length("text")).alias("chars_out"))
 
 
+def profile_sql(name: str) -> str:
+    """The plan with the knobs of a profile."""
+    k = dict(zip(X.KNOBS, X.PROFILES[name]))
+    size = lambda part: k[f"{part}_head"] + k[f"{part}_tail"] + 80
+    plan = (PLAN_TEMPLATE.replace("$TARGET", str(k["target_tokens"] * 4)).replace("$RELIEF", str(k["target_tokens"] * 3))
+            .replace("least(cost, 1480)", f"least(cost, {size('mid')})").replace("least(cost, 780)", f"least(cost, {size('small')})"))
+    return f"SELECT '{name}' AS profile, session_id, n_dropped, n_duplicate, trunc2, assist_cap, planned_chars FROM ({plan})"
+
+
+@query("txt20_structural_sweep", " UNION ALL ".join(profile_sql(name) for name in X.PROFILES))
+def txt20b(v):
+    plan = X.structural_plan(v.trace, profiles=X.profile_table(v.spark, X.PROFILES))
+    return plan.groupBy("session_id").agg(
+        F.count_if(F.col("dropped")).alias("n_dropped"), F.count_if(F.col("dropped") & F.col("duplicate")).alias("n_duplicate"),
+        F.bool_or("trunc2").alias("trunc2"), F.bool_or("assist_cap").alias("assist_cap"), F.max("planned_chars").alias("planned_chars")).select(
+        "session_id.profile", F.col("session_id.session_id").alias("session_id"), "n_dropped", "n_duplicate", "trunc2", "assist_cap", "planned_chars")
+
+
 SAVINGS_SQL = f"""
     SELECT m.mode, a.tokens_in, 1 - a.tokens_out / a.tokens_in AS savings
     FROM (SELECT session_id, greatest(1, CAST(ceil(sum(length(text)) / 4.0) AS BIGINT)) AS tokens_in,

@@ -54,16 +54,16 @@ def clip(text: Column, limit: int) -> Column:
         F.concat(F.substring(text, 1, max(0, limit - 1)), F.lit("…")))
 
 
-def head_tail(text: Column, head: int, tail: int, marker: str = "\n… [{} chars trimmed] …\n",
+def head_tail(text: Column, head: int | Column, tail: int | Column, marker: str = "\n… [{} chars trimmed] …\n",
               slack: int = TRIM_SLACK) -> Column:
     """Head and tail of a long text; short ones (up to head + tail + slack) stay whole.
 
     ``{}`` in the marker stands for the number of characters cut.
     """
-    n = F.length(text)
+    n, head, tail = F.length(text), F.lit(head), F.lit(tail)
     left, _, right = marker.partition("{}")
-    middle = [F.lit(left), (n - F.lit(head + tail)).cast("string"), F.lit(right)] if "{}" in marker else [F.lit(marker)]
-    cut = F.concat(F.substring(text, 1, head), *middle, F.right(text, F.lit(tail)) if tail else F.lit(""))
+    middle = [F.lit(left), (n - (head + tail)).cast("string"), F.lit(right)] if "{}" in marker else [F.lit(marker)]
+    cut = F.concat(F.substring(text, F.lit(1), head), *middle, F.right(text, tail))
     return F.when(n <= head + tail + slack, text).otherwise(cut)
 
 
@@ -93,18 +93,18 @@ def token_estimate(text: Column) -> Column:
 
 
 def normal_form(text: Column) -> Column:
-    """Lower case, digits dropped, every other run of non-letters one space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", ""), "[^a-z]+", " "))
+    """Lower case, digits of any script dropped, every other run of non-letters one space."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"\p{Nd}+", ""), "[^a-z]+", " "))
 
 
 def fingerprint(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def canonical_json(props: Column) -> Column:
-    """JSON object text with sorted keys."""
-    entries = F.map_entries(F.from_json(props, "map<string,string>"))
-    return F.to_json(F.map_from_entries(F.array_sort(entries)))
+def canonical_json(text: Column) -> Column:
+    """JSON text without blanks and with sorted keys at every level; null if it is no JSON."""
+    # a variant keeps the fields of its objects in the order of their names
+    return F.to_json(F.try_parse_json(text))
 
 
 def has_error(text: Column) -> Column:

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.functions import text as T
+from runledger.scale import global_totals
 
 GAP = "…"
-MAX_TERMS = 4000
 
 
 def distinct_words(line: Column) -> Column:
@@ -94,11 +94,11 @@ def line_scores(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line_no", distinct_words(F.col("line")).alias("score"))
 
 
-def tfidf_scores(lines: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
+def tfidf_scores(lines: DataFrame, max_terms: int | None = None) -> DataFrame:
     """Sum of L2-normalised TF-IDF weights per line, lines of a document being its corpus.
 
-    Smooth idf; the ``max_terms`` most frequent terms of a document count
-    (term order decides ties). Lines move once, by document; every count,
+    Smooth idf; with ``max_terms`` only so many most frequent terms of a
+    document count (term order decides ties), without all. Lines move once, by document; every count,
     rank and join below is keyed by the document and reuses that layout.
     """
     lines = lines.repartition("doc_id")
@@ -107,9 +107,10 @@ def tfidf_scores(lines: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
     counts = words.groupBy("doc_id", "line_no", "term").agg(F.count(F.lit(1)).alias("tf"))
     n_lines = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
     terms = counts.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    frequent = Window.partitionBy("doc_id").orderBy(F.col("total").desc(), F.col("term"))
-    vocabulary = terms.withColumn("_r", F.row_number().over(frequent)).where(F.col("_r") <= max_terms).join(
-        n_lines, "doc_id").select(
+    if max_terms is not None:
+        frequent = Window.partitionBy("doc_id").orderBy(F.col("total").desc(), F.col("term"))
+        terms = terms.withColumn("_r", F.row_number().over(frequent)).where(F.col("_r") <= max_terms)
+    vocabulary = terms.join(n_lines, "doc_id").select(
         "doc_id", "term", (F.ln((1 + F.col("n_lines")) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = counts.join(vocabulary, ["doc_id", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
     scored = weighted.groupBy("doc_id", "line_no").agg(
@@ -118,6 +119,41 @@ def tfidf_scores(lines: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
         "doc_id", "line_no", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+# scores are compared at so many decimals, so that the order does not hang on the order of addition
+SCORE_DIGITS = 9
+
+
+def tfidf_compress(docs: DataFrame, target_chars: int, max_terms: int | None = None) -> DataFrame:
+    """(doc_id, text): `extractive_compress` with lines ranked by TF-IDF.
+
+    Pinned lines stay. The others that are not blank are the corpus of the
+    score; they are taken by descending score, earlier ones first, until the
+    budget is used. Only lines of texts over the budget are taken apart;
+    their running costs are sums by ranges, so a long text is no single task.
+    """
+    over = docs.where(F.length("text") > target_chars)
+    lines = over.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).select(
+        "doc_id", "line_no", "line", T.pinned_line(F.col("line")).alias("pin"), (F.length("line") + 1).cast("long").alias("cost"))
+    rest = lines.where(~F.col("pin") & (F.regexp_replace("line", r"(?U)\s", "") != "")).select("doc_id", "line_no", "line", "cost")
+    scored = rest.join(tfidf_scores(rest.select("doc_id", "line_no", "line"), max_terms), ["doc_id", "line_no"]).select(
+        "doc_id", "line_no", "cost", F.round("score", SCORE_DIGITS).alias("score"))
+    spent = global_totals(scored, ["doc_id"], [F.col("score").desc(), F.col("line_no")], F.col("cost"), "upto")
+    fixed = lines.where("pin").groupBy("doc_id").agg(F.sum("cost").alias("used"))
+    taken = spent.join(fixed, "doc_id", "left").where(
+        F.coalesce("used", F.lit(0)) + F.col("upto") - F.col("cost") < target_chars).select("doc_id", "line_no")
+    kept = taken.unionByName(lines.where("pin").select("doc_id", "line_no")).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("_kept"))
+    t, kept_lines_ = F.col("text"), F.coalesce("_kept", F.array().cast("array<int>"))
+
+    def finish(s: Column) -> Column:
+        cut = T.head_tail(t, int(target_chars * 0.75), int(target_chars * 0.25))
+        return F.when(F.size(s["kept"]) >= F.size(s["lines"]), t).otherwise(T.let(
+            _render(s["lines"], s["kept"]), lambda out: F.when(F.length(out) >= F.length(t), cut).otherwise(out)))
+
+    chosen = T.let(F.struct(F.split("text", "\n", -1).alias("lines"), kept_lines_.alias("kept")), finish)
+    return docs.select("doc_id", "text").join(kept, "doc_id", "left").select(
+        "doc_id", F.when(F.length(t) <= target_chars, t).otherwise(chosen).alias("text"))
+
+
 def downsample_text(text: Column, ratio: float) -> Column:
     """Every word keeps its leading round(len * share) characters (at least one), then the token cap applies.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.functions import text as T
@@ -205,11 +207,28 @@ def trim_reasoning(messages: DataFrame, intact: int = 12, head: int = 300, tail:
 
 
 LEVERS = ("trunc2", "assist_cap", "tail_cap")
+# what a profile sets, and the values without one
+KNOBS = {"target_tokens": 8_000, "mid_head": MID[0], "mid_tail": MID[1], "small_head": MID_SMALL[0], "small_tail": MID_SMALL[1],
+         "assist_head": ASSISTANT_CAP[0], "assist_tail": ASSISTANT_CAP[1], "tail_cap_chars": TAIL_CAP}
+# fixed values of the profiles, in the order of KNOBS
+PROFILES = {
+    "light": (7_000, 850, 350, 450, 180, 1_000, 280, 13_000),
+    "medium": (6_000, 650, 280, 380, 160, 850, 250, 11_000),
+    "deep": (5_200, 520, 220, 320, 140, 700, 220, 9_000),
+}
+
+
+def profile_table(spark: SparkSession, profiles: Mapping[str, Sequence[int]]) -> DataFrame:
+    return spark.createDataFrame([(name, *knobs) for name, knobs in profiles.items()], "profile string, " + ", ".join(f"{k} int" for k in KNOBS))
 
 
-def structural_plan(messages: DataFrame, target_tokens: int = 8_000, levers: DataFrame | None = None) -> DataFrame:
+def structural_plan(messages: DataFrame, target_tokens: int = 8_000, levers: DataFrame | None = None, profiles: DataFrame | None = None) -> DataFrame:
     """What structural compression does to every message, without its text.
 
+    With ``profiles`` (see `profile_table`, a small table) there is one plan
+    per profile and session, and ``session_id`` is the pair of both; what
+    does not hang on the profile (pairs, hashes, sizes, zones) is found once.
+
     ``levers`` (session_id, trunc2, assist_cap, tail_cap) are those of the
     session's last round: a lever once pulled stays so. Sessions without a
     user message have nowhere to put a digest and stay whole.
@@ -220,8 +239,10 @@ def structural_plan(messages: DataFrame, target_tokens: int = 8_000, levers: Dat
     other, so the slim table is written to the scratch folder between them;
     texts are read once here and never shuffled.
     """
-    target = target_tokens * T.CHARS_PER_TOKEN
-    relief = int(target * PRESSURE_RELIEF)
+    knobs = {k: F.lit(target_tokens if k == "target_tokens" else value) if profiles is None else F.col(k) for k, value in KNOBS.items()}
+    knob_columns = list(KNOBS) if profiles is not None else []
+    target = knobs["target_tokens"] * T.CHARS_PER_TOKEN
+    relief = F.floor(target * PRESSURE_RELIEF)
     slim = through_parquet(messages.select(
         "session_id", "msg_idx", "role", "call_id", *[c for c in ("calls",) if c in messages.columns],
         F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("cost"),
@@ -245,7 +266,10 @@ def structural_plan(messages: DataFrame, target_tokens: int = 8_000, levers: Dat
     facts = facts.withColumns({f"_was_{x}": F.coalesce(f"_was_{x}", F.lit(False)) if levers is not None else F.lit(False) for x in LEVERS})
     rows = S.attach_session(rows, facts)
     item = S.is_result() & F.coalesce(F.col("msg_idx") < F.col("tail_from"), F.lit(False))
-    rows = through_parquet(rows.withColumns({"item": item, "protected": item & F.col("_error")}), "structural-items")
+    rows = rows.withColumns({"item": item, "protected": item & F.col("_error")})
+    if profiles is not None:
+        rows = rows.crossJoin(F.broadcast(profiles)).withColumn("session_id", F.struct("profile", "session_id")).drop("profile")
+    rows = through_parquet(rows, "structural-items")
 
     keys = rows.where("item").select("session_id", "msg_idx", "_key")
     rows = rows.join(S.newest_of_key(keys, "_key", "_newest"), ["session_id", "msg_idx"], "left")
@@ -255,11 +279,12 @@ def structural_plan(messages: DataFrame, target_tokens: int = 8_000, levers: Dat
     late = (F.col("role") == "assistant") & ~early & (F.col("msg_idx") <= F.col("last_idx") - UNTOUCHABLE)
     tail_result = S.is_result() & ~F.col("item") & (F.col("msg_idx") >= F.col("tail_results_from")) & (
         F.col("msg_idx") < F.col("untouchable_from"))
-    mid_small, assistant_size = F.least(F.col("cost"), F.lit(sum(MID_SMALL) + 80)), F.least(F.col("cost"), F.lit(sum(ASSISTANT_CAP) + 80))
+    mid_small = F.least(F.col("cost"), knobs["small_head"] + knobs["small_tail"] + 80)
+    assistant_size = F.least(F.col("cost"), knobs["assist_head"] + knobs["assist_tail"] + 80)
     was = {x: F.col(f"_was_{x}") for x in LEVERS}
     capped = (F.when(F.col("protected"), F.least(F.col("cost"), F.lit(PROTECTED_CAP + 80))).when(was["trunc2"], mid_small)
-              .otherwise(F.least(F.col("cost"), F.lit(sum(MID) + 80))))
-    plain = (F.when(F.col("item"), capped).when(tail_result & was["tail_cap"], F.least(F.col("cost"), F.lit(TAIL_CAP)))
+              .otherwise(F.least(F.col("cost"), knobs["mid_head"] + knobs["mid_tail"] + 80)))
+    plain = (F.when(F.col("item"), capped).when(tail_result & was["tail_cap"], F.least(F.col("cost"), knobs["tail_cap_chars"]))
              .when(S.is_result(), F.least(F.col("cost"), F.lit(ABSOLUTE_CAP)))
              .when((early & (was["assist_cap"] | was["tail_cap"])) | (late & was["tail_cap"]), assistant_size).otherwise(F.col("cost")))
     rows = rows.withColumns({"duplicate": duplicate, "droppable": droppable, "_pre": duplicate & droppable, "_plain": plain})
@@ -269,12 +294,13 @@ def structural_plan(messages: DataFrame, target_tokens: int = 8_000, levers: Dat
     base = rows.groupBy("session_id").agg(
         pre.alias("pre_dropped"),
         (F.sum(F.when(F.col("_pre"), 0).otherwise(F.col("_plain"))) + F.least(pre, F.lit(DIGEST_ENTRIES)) * DIGEST_ENTRY_CHARS)
-        .alias("planned"))
+        .alias("planned"), target.alias("target") if profiles is None else F.first(target).alias("target"),
+        relief.alias("relief") if profiles is None else F.first(relief).alias("relief"))
     # only sessions over the target give up more than their duplicates
     candidates = S.attach_session(rows.where("droppable AND NOT _pre").select("session_id", "msg_idx", "protected", "_plain"),
-                                  base.where(F.col("planned") > target)).where("planned IS NOT NULL").select(
+                                  base.where(F.col("planned") > F.col("target"))).where("planned IS NOT NULL").select(
         "session_id", "msg_idx", F.col("protected").cast("long").alias("_p"), F.col("_plain").alias("saving"), "planned",
-        "pre_dropped", F.lit(relief).alias("relief"), F.lit(target).alias("target"))
+        "pre_dropped", "relief", "target")
     ordered = positions(candidates, ["session_id"], F.struct("_p", F.floor(F.col("msg_idx") / 65_536)), ["_p", "msg_idx"], "pos")
     dropped = S.budget_drop(ordered, "relief", "target", DIGEST_ENTRIES, DIGEST_ENTRY_CHARS).where("dropped").select(
         "session_id", "msg_idx", F.lit(True).alias("_drop"))
@@ -286,17 +312,18 @@ def structural_plan(messages: DataFrame, target_tokens: int = 8_000, levers: Dat
     free = F.col("item") & ~F.col("protected") & ~F.col("dropped")
     gains = {
         "trunc2": F.when(free, F.col("_plain") - mid_small), "assist_cap": F.when(early, F.col("_plain") - assistant_size),
-        "tail_cap": F.when(late, F.col("_plain") - assistant_size).when(tail_result, F.col("_plain") - F.least(F.col("cost"), F.lit(TAIL_CAP)))}
+        "tail_cap": F.when(late, F.col("_plain") - assistant_size).when(tail_result, F.col("_plain") - F.least(F.col("cost"), knobs["tail_cap_chars"]))}
     n_dropped = F.count_if(F.col("dropped"))
     sums = rows.groupBy("session_id").agg(
         (F.sum(F.when(F.col("dropped"), 0).otherwise(F.col("_plain")))
          + F.least(n_dropped, F.lit(DIGEST_ENTRIES)) * DIGEST_ENTRY_CHARS).alias("planned_chars"),
-        *[F.coalesce(F.sum(e), F.lit(0)).alias(f"_g_{n}") for n, e in gains.items()], *[F.bool_or(was[x]).alias(f"_was_{x}") for x in LEVERS])
+        *[F.coalesce(F.sum(e), F.lit(0)).alias(f"_g_{n}") for n, e in gains.items()], *[F.bool_or(was[x]).alias(f"_was_{x}") for x in LEVERS],
+        *[F.first(k).alias(k) for k in knob_columns])
     # what a lever saves is nothing where it was pulled before
     for lever in LEVERS:
         sums = sums.withColumn(lever, was[lever] | (F.col("planned_chars") > target)).withColumn(
             "planned_chars", F.col("planned_chars") - F.when(F.col(lever), F.col(f"_g_{lever}")).otherwise(0))
-    sums = sums.select("session_id", "trunc2", "assist_cap", "tail_cap", "planned_chars")
+    sums = sums.select("session_id", *LEVERS, "planned_chars")
     return S.attach_session(rows.drop(*[f"_was_{x}" for x in LEVERS]), sums).withColumns({"early": early, "late": late, "tail_result": tail_result})
 
 
@@ -356,8 +383,23 @@ def compress_structural(messages: DataFrame, target_tokens: int = 8_000, levers:
     return _shape(messages, plan)
 
 
-def _shape(messages: DataFrame, plan: DataFrame) -> DataFrame:
+def sweep_structural(messages: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Structural compression of every session under every profile: (profile, and the columns of the messages).
+
+    One plan over all profiles; a text is fetched per profile only where its message is kept.
+    """
+    plan = through_parquet(structural_plan(messages, profiles=profiles).select(
+        "session_id", "msg_idx", "call_id", "call_idx", "item", "duplicate", "protected", "dropped", *LEVERS, "early", "late",
+        "tail_result", "untouchable_from", "first_user", *KNOBS), "structural-sweep")
+    each = profiles.select("profile")
+    widened = messages.crossJoin(F.broadcast(each)).withColumn("session_id", F.struct("profile", "session_id")).drop("profile")
+    out = _shape(widened, plan, {k: F.col(k) for k in KNOBS})
+    return out.select("session_id.profile", F.col("session_id.session_id").alias("session_id"), *[c for c in messages.columns if c != "session_id"])
+
+
+def _shape(messages: DataFrame, plan: DataFrame, knobs: Mapping[str, Column] | None = None) -> DataFrame:
     """Carry out a plan: texts are fetched and cut, stripped calls leave their messages, the digest is renewed."""
+    knobs = knobs or {k: F.lit(value) for k, value in KNOBS.items()}
     homed = F.col("first_user").isNotNull()
     calls = S.calls_of(messages).select("session_id", F.col("msg_idx").alias("call_idx"), "call_id", "tool", "args").dropDuplicates(
         ["session_id", "call_idx", "call_id"])
@@ -377,12 +419,13 @@ def _shape(messages: DataFrame, plan: DataFrame) -> DataFrame:
     # an assistant message whose only content was the stripped calls disappears
     kept = kept.where(~(F.col("_strip") & ~S.makes_calls(kept) & (F.trim(F.coalesce("text", F.lit(""))) == "")))
     t = F.col("text")
-    share = lambda cap: T.head_tail(t, int(cap * 0.75), int(cap * 0.25))
-    assistant = T.head_tail(t, *ASSISTANT_CAP)
+    share = lambda cap: T.head_tail(t, F.floor(F.lit(cap) * 0.75).cast("int"), F.floor(F.lit(cap) * 0.25).cast("int"))
+    assistant = T.head_tail(t, knobs["assist_head"], knobs["assist_tail"])
     text = (
         F.when(~homed, t).when(F.col("item") & F.col("protected"), share(PROTECTED_CAP))
-        .when(F.col("item") & F.col("trunc2"), T.head_tail(t, *MID_SMALL)).when(F.col("item"), T.head_tail(t, *MID))
-        .when(F.col("tail_result") & F.col("tail_cap"), share(TAIL_CAP))
+        .when(F.col("item") & F.col("trunc2"), T.head_tail(t, knobs["small_head"], knobs["small_tail"]))
+        .when(F.col("item"), T.head_tail(t, knobs["mid_head"], knobs["mid_tail"]))
+        .when(F.col("tail_result") & F.col("tail_cap"), share(knobs["tail_cap_chars"]))
         .when(S.is_result() & (F.col("msg_idx") < F.col("untouchable_from")), share(ABSOLUTE_CAP))
         .when(F.col("early") & (F.col("assist_cap") | F.col("tail_cap")), assistant)
         .when(F.col("late") & F.col("tail_cap"), assistant)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runledger.functions import text as T
+
 
 def extract_page_records(pages: DataFrame, marker: str, key_pattern: str, fields: Mapping[str, str], text: str = "html") -> DataFrame:
     """Cut a page at a key marker; every piece is one record with its key and fields.
@@ -23,57 +25,57 @@ def extract_page_records(pages: DataFrame, marker: str, key_pattern: str, fields
         "page_id", "pos", "key", *[F.nullif(F.regexp_extract("piece", p, 1), F.lit("")).alias(n) for n, p in fields.items()])
 
 
-def balanced_block(text: str, start: int) -> str | None:
-    """The bracketed value at ``start``, string-aware; None if it never closes."""
-    closer = {"{": "}", "[": "]"}
-    if start >= len(text) or text[start] not in closer:
-        return None
-    stack, in_string, i = [], False, start
-    while i < len(text):
-        ch = text[i]
-        if in_string:
-            if ch == "\\":
-                i += 1
-            elif ch == '"':
-                in_string = False
-        elif ch == '"':
-            in_string = True
-        elif ch in closer:
-            stack.append(closer[ch])
-        elif ch in "}]":
-            if not stack or stack.pop() != ch:
-                return None
-            if not stack:
-                return text[start:i + 1]
-        i += 1
-    return None
+# what a bracketed value is read by: strings (to the end, if they never close), brackets, anything between
+TOKEN = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"?|[\[\]{}]|[^"\[\]{}]++'
 
 
-def extract_json_blocks(pages: DataFrame, keys: Sequence[str], text: str = "html") -> DataFrame:
-    """Every bracketed value that follows one of the keys.
+def bracketed(text: Column) -> Column:
+    """The bracketed value at the start of a text: (state, n), its length n if the state is ``done``.
 
-    Bracket matching is the one thing regular expressions cannot say, so it
-    runs in Arrow batches; parsing the blocks is left to ``from_json``.
+    ``bad``: no bracket there, or one that closes another kind; ``open``: it
+    does not close within the text. Brackets in strings do not count.
     """
-    wanted = [f'"{k}":' for k in keys]
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for page_id, body in zip(pdf["page_id"], pdf["body"]):
-                for key, mark in zip(keys, wanted):
-                    at, n = body.find(mark), 0
-                    while at >= 0:
-                        block = balanced_block(body, at + len(mark))
-                        if block is not None:
-                            rows.append((page_id, key, n, block))
-                            n += 1
-                        at = body.find(mark, at + len(mark))
-            yield pd.DataFrame(rows, columns=["page_id", "key", "block_no", "block"])
+    start = F.struct(F.lit("").alias("stack"), F.lit(0).alias("n"), F.lit("open").alias("state"))
+
+    def step(acc: Column, token: Column) -> Column:
+        stack = acc["stack"]
+        opens, closes = token.isin("{", "["), token.isin("}", "]")
+        fits = closes & (F.right(stack, F.lit(1)) == token)
+        popped = F.substring(stack, F.lit(1), F.length(stack) - 1)
+        new = F.when(opens, F.concat(stack, F.translate(token, "{[", "}]"))).when(fits, popped).otherwise(stack)
+        state = (F.when((closes & ~fits) | ((acc["n"] == 0) & ~opens), "bad").when(fits & (F.length(stack) == 1), "done").otherwise("open"))
+        going = F.struct(new.alias("stack"), (acc["n"] + F.length(token)).alias("n"), state.alias("state"))
+        return F.when(acc["state"] == "open", going).otherwise(acc)
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(TOKEN), 0), start, step)
+
+
+def extract_json_blocks(pages: DataFrame, keys: Sequence[str], text: str = "html") -> DataFrame:
+    """Every bracketed value that follows one of the keys; escaped quotes are undone first.
 
+    A page is cut at the key. A value mostly closes before the next cut, so
+    pieces are read one by one, each once; one that is still open there (it
+    holds the key itself) is read again over the rest of the page.
+    """
     clean = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit('\\"'), F.lit('"'))
-    return pages.select("page_id", clean.alias("body")).mapInPandas(
-        scan, "page_id bigint, key string, block_no int, block string")
+    held = pages.select("page_id", clean.alias("_body")).where(reduce(lambda a, b: a | b, [F.contains("_body", F.lit(f'"{k}":')) for k in keys]))
+
+    def values(key: str) -> Column:
+        mark = f'"{key}":'
+
+        def after_cuts(pieces: Column) -> Column:
+            def value(piece: Column, i: Column) -> Column:
+                def read(here: Column) -> Column:
+                    rest = F.array_join(F.slice(pieces, i + 2, F.size(pieces)), mark)
+                    again = T.let(bracketed(rest), lambda r: F.when(r["state"] == "done", F.substring(rest, F.lit(1), r["n"])))
+                    return F.when(here["state"] == "done", F.substring(piece, F.lit(1), here["n"])).when(here["state"] == "open", again)
+                return T.let(bracketed(piece), read)
+            return F.filter(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), value), lambda x: x.isNotNull())
+
+        found = T.let(F.split("_body", "\\Q" + mark + "\\E", -1), after_cuts)
+        return T.let(found, lambda xs: F.transform(xs, lambda x, i: F.struct(F.lit(key).alias("key"), i.alias("block_no"), x.alias("block"))))
+
+    return held.select("page_id", F.inline(F.flatten(F.array(*[values(k) for k in keys]))))
 
 
 def join_stream_chunks(chunks: DataFrame) -> DataFrame:

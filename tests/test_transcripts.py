@@ -261,3 +261,77 @@ def test_user_turns_that_begin_with_thinking(spark):
     rows = P.parse_transcripts(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("msg_idx").collect()
     assert [(r["msg_idx"], r["block_type"], r["text"]) for r in rows] == [
         (0, "text", "<thinking>a</thinking><text>b</text>"), (1, "text", "c"), (2, "text", "<text></text>e")]
+
+
+def test_sweep_equals_single_profiles(spark):
+    messages = spark.createDataFrame(several_calls(60, size=3000), CALLS)
+    out = X.sweep_structural(messages, X.profile_table(spark, {**X.PROFILES, "plain": tuple(X.KNOBS.values())}))
+    plain = X.compress_structural(messages)
+    assert out.where("profile = 'plain'").drop("profile").exceptAll(plain).count() == 0
+    sizes = {r["profile"]: r["n"] for r in out.groupBy("profile").agg(F.sum(F.length("text")).alias("n")).collect()}
+    assert sizes["deep"] < sizes["medium"] < sizes["light"] < sizes["plain"]
+
+
+def test_nested_text_is_walked_to_any_depth(spark):
+    from runledger.operators.nested import nested_text
+
+    values = ['{"b": [1, {"z": "x", "a": {"k": null}}], "a": "t", "n": 1.5}', "plain words", None, '"s"', "[]", '{"text": 5, "content": "c"}',
+              '[[["deep"]], {"text": "own", "more": [1]}, "", false]', "{}", '[{"text": "br{ack}ets ["}]']
+    df = spark.createDataFrame(list(enumerate(values)), "id long, j string")
+    got = {r["id"]: r["text"] for r in nested_text(df, ["id"], "j").collect()}
+    assert [got[i] for i in range(len(values))] == ["t\n1\n\nx\n1.5", "plain words", "", "s", "", "c", "deep\nown\n\nFalse", "", "br{ack}ets ["]
+    assert nested_text(df.limit(0), ["id"], "j").count() == 0
+
+
+def plain_blocks(body, mark):
+    """The slow obvious way: character by character from every mark."""
+    out, at = [], body.find(mark)
+    while at >= 0:
+        i, stack, quoted = at + len(mark), [], False
+        start = i
+        while i < len(body):
+            ch = body[i]
+            if not stack and ch not in "{[":
+                break
+            if quoted:
+                if ch == "\\":
+                    i += 1
+                elif ch == '"':
+                    quoted = False
+            elif ch == '"':
+                quoted = True
+            elif ch in "{[":
+                stack.append("}" if ch == "{" else "]")
+            elif ch in "}]":
+                if stack.pop() != ch:
+                    break
+                if not stack:
+                    out.append(body[start:i + 1])
+                    break
+            i += 1
+        at = body.find(mark, at + len(mark))
+    return out
+
+
+def test_blocks_equal_a_character_loop(spark):
+    import random
+
+    rng = random.Random(9)
+    parts = ['"k":', "{", "}", "[", "]", '"', "a", "\\", ' "x}" ', "\n", '"k":{', '"k":[', "é"]
+    bodies = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 40))) for _ in range(400)] + ['"k":{"a":[' + "x" * 200_000 + ']}']
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "page_id long, html string")
+    blocks = P.extract_json_blocks(df, ["k", "none"])
+    got = {}
+    for r in blocks.orderBy("page_id", "block_no").collect():
+        got.setdefault(r["page_id"], []).append(r["block"])
+    want = {i: plain_blocks(b.replace('\\"', '"'), '"k":') for i, b in enumerate(bodies)}
+    assert got == {i: b for i, b in want.items() if b}
+
+
+def test_tfidf_selection_takes_rare_lines(spark):
+    text = "\n".join(["common words again and again"] * 30 + ["a singular sentence", "error: pinned"] + ["common words again and again"] * 30)
+    df = spark.createDataFrame([(1, text), (2, "short"), (3, ""), (4, "\n" * 200), (5, "x" * 500)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in L.tfidf_compress(df, 60).collect()}
+    assert got[2] == "short" and got[3] == "" and got[4] == "…" and got[5].startswith("x" * 45 + "\n… [")
+    assert got[1].split("\n")[0] == "common words again and again" and "error: pinned" in got[1] and got[1].count("…") >= 1
+    assert len(got[1]) < 120
