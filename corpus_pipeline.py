@@ -53,7 +53,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("sentencepiece", encode),
 ]
 
-# models and connected components are beyond SQL; tests/llm compares every stage with brute force
+# models and connected components are beyond SQL; tests/llm holds every stage against a plain version on small fixtures
 ORACLE_SQL: str | None = None
 
 

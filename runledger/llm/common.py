@@ -37,14 +37,16 @@ def slices(batch: pa.RecordBatch, rows: int = OUT_ROWS) -> Iterator[pa.RecordBat
         yield batch.slice(start, rows)
 
 
-def bounded_sample(docs: DataFrame, group: str, per_group: int, max_groups: int, key: str = "doc_id") -> DataFrame:
-    """At most ``per_group`` rows per value of ``group`` and ``max_groups`` values (the most frequent ones).
-
-    The choice goes by a hash of the key, so it is the same on every run. Only
-    keys are ranked; the texts are picked up by a join with the chosen keys,
-    which are at most per_group * max_groups.
+def bounded_sample(docs: DataFrame, group: str, per_group: int, max_groups: int, key: str = "doc_id", text: str | None = None) -> DataFrame:
+    """At most ``per_group`` keys per value of ``group`` and ``max_groups`` values (the most frequent ones): (key, group[, text]).
+
+    One row per key and group, however often the table repeats it (of several
+    texts the smallest); a key may be in several groups. Rows without key or
+    group take no part. The choice goes by a hash of the key, so it is the
+    same on every run. Only distinct keys are ranked; texts are picked up by
+    a join with the chosen keys, which are at most per_group * max_groups.
     """
-    slim = docs.where(F.col(key).isNotNull() & F.col(group).isNotNull()).select(key, group)
+    slim = docs.where(F.col(key).isNotNull() & F.col(group).isNotNull()).select(key, group).distinct()
     top = slim.groupBy(group).count().orderBy(F.desc("count"), group).limit(max_groups).select(F.col(group).alias("_g"))
     from pyspark.sql import Window
 
@@ -54,9 +56,23 @@ def bounded_sample(docs: DataFrame, group: str, per_group: int, max_groups: int,
     order = Window.partitionBy(group).orderBy(*by_hash)
     chosen = (slim.join(F.broadcast(top), F.col(group) == F.col("_g"), "left_semi")
               .withColumn("_rn", F.row_number().over(Window.partitionBy(group, part).orderBy(*by_hash))).where(F.col("_rn") <= per_group)
-              .withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= per_group)
-              .select(F.col(key).alias("_k")).distinct())
-    return docs.join(F.broadcast(chosen), F.col(key) == F.col("_k"), "left_semi")
+              .withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= per_group).select(key, group))
+    if text is None:
+        return chosen
+    side = chosen.select(F.col(key).alias("_k"), F.col(group).alias("_g"))
+    held = docs.join(F.broadcast(side), (F.col(key) == F.col("_k")) & (F.col(group) == F.col("_g")), "left_semi")
+    return held.groupBy(key, group).agg(F.min(text).alias(text))
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, with as many underscores in front as it takes to clash with no column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def columns_of(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.common import ascii_lower, bound
+from runledger.llm.common import ascii_lower, bound, free_names
 
 # fixed by the contract: what parts words
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -148,5 +148,6 @@ def contract(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, all columns kept."""
-    bad = document_hits(docs, benchmark).where(F.size("hits") > 0).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    i, h = free_names(docs, "_id", "_h")
+    bad = document_hits(docs, benchmark).where(F.size("hits") > 0).select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)), "left_anti")

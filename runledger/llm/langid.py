@@ -13,7 +13,9 @@ a text costs one lookup per n-gram; texts are taken whole, in Arrow batches.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0
 and rejected; if there is nothing to learn from, everything is; every row gives
-one row, repeated rows too.
+one row, repeated rows too. A document that occurs with several languages
+teaches each of them, one without a language none; rows without an id are
+predicted but not learned from. Very long texts are taken one by one.
 """
 
 from __future__ import annotations
@@ -114,6 +116,20 @@ class LanguageModel:
         return best, score
 
 
+    def predict_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any number of texts, CHUNK_CHARS characters (or one text) at a time."""
+        best, score = np.full(len(texts), -1), np.zeros(len(texts))
+        at = 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= CHUNK_CHARS:
+                size += len(texts[end])
+                end += 1
+            best[at:end], score[at:end] = self.predict(texts[at:end])
+            at = end
+        return best, score
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -168,7 +184,7 @@ def fit_on(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "
     """Train on a bounded sample of the rows outside fold 0."""
     named = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = named.where(F.col("text").isNotNull() & (id_remainder(F.col("doc_id"), FOLDS) != 0))
-    sample = bounded_sample(rows, "lang", per_language, max_languages)
+    sample = bounded_sample(rows, "lang", per_language, max_languages, text="text")
     picked = sorted((r["doc_id"], r["lang"], r["text"]) for r in sample.collect())
     return train([t for *_, t in picked], [g for _, g, _ in picked])
 
@@ -182,16 +198,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", key: str
         m = shared.value
         for batch in batches:
             for part in slices(batch):
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                best, score = np.full(len(texts), -1), np.zeros(len(texts))
-                at = 0
-                while at < len(texts):
-                    end, size = at + 1, len(texts[at])
-                    while end < len(texts) and size + len(texts[end]) <= CHUNK_CHARS:
-                        size += len(texts[end])
-                        end += 1
-                    best[at:end], score[at:end] = m.predict(texts[at:end])
-                    at = end
+                best, score = m.predict_all([t or "" for t in part.column(1).to_pylist()])
                 names = [m.labels[b] if b >= 0 else UNKNOWN for b in best]
                 rejected = [bool(b < 0 or s < m.reject_below) for b, s in zip(best, score)]
                 yield pa.RecordBatch.from_arrays(
@@ -210,11 +217,8 @@ def accepted(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
         m = shared.value
         for batch in batches:
             for part in slices(batch):
-                keep = []
-                for group in slices(part, 100):
-                    best, score = m.predict([t or "" for t in group.column(at).to_pylist()])
-                    keep.extend(bool(b >= 0 and s >= m.reject_below) for b, s in zip(best, score))
-                yield part.filter(pa.array(keep, pa.bool_()))
+                best, score = m.predict_all([t or "" for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array((best >= 0) & (score >= m.reject_below), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.llm.common import bound
+from runledger.llm.common import bound, free_names
 from runledger.session import through_parquet
 
 SHINGLE = 5
@@ -150,11 +150,11 @@ def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with their later matches cut out of the text, all columns kept."""
-    gone = removed_lines(docs, text).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "removed")
-    parts = F.split(text, "\n")
-    joined = docs.join(gone.withColumnRenamed("removed", "_removed"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h")), "left")
-    kept = F.array_join(F.filter(parts, lambda l, i: ~F.array_contains("_removed", i)), "\n")
-    return joined.select(*[F.when(F.col("_removed").isNull(), F.col(text)).otherwise(kept).alias(c) if c == text else F.col(c) for c in docs.columns])
+    i, h, removed = free_names(docs, "_id", "_h", "_removed")
+    gone = removed_lines(docs, text).select(F.col("doc_id").alias(i), F.col("h").alias(h), F.col("removed").alias(removed))
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(h)), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, at: ~F.array_contains(removed, at)), "\n")
+    return joined.select(*[F.when(F.col(removed).isNull(), F.col(text)).otherwise(kept).alias(c) if c == text else F.col(c) for c in docs.columns])
 
 
 def contract(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,12 @@ text, turn by turn) is rendered once as the prompt; what follows on each side is
 rendered as the chosen and the rejected completion. A completion comes with its
 loss mask: the [start, end) character spans of assistant texts inside it.
 
+Pairs come in two kinds: ``opening``, two conversations that begin with the
+same turn; ``answer``, the last answer of a conversation against its latest
+earlier answer of another text, set behind the same turns. The second is no
+rival to the same question; where a table has no repeated openings (as the
+given ones), it is all there is.
+
 Defined results: null texts are empty, null roles are 'user'; a pair without a
 common turn has an empty prompt; a side that is all prefix has an empty
 completion and an empty mask. All of it is array expressions inside one row.
@@ -127,7 +133,7 @@ def answer_pairs(convs: DataFrame) -> DataFrame:
 def rival_pairs(turns: DataFrame) -> DataFrame:
     """All pairs that the rows give: between conversations of one opening, and between answers of one conversation."""
     convs = through_parquet(conversations(turns), "conversations")
-    return opening_pairs(convs).unionByName(answer_pairs(convs))
+    return opening_pairs(convs).withColumn("kind", F.lit("opening")).unionByName(answer_pairs(convs).withColumn("kind", F.lit("answer")))
 
 
 def contract(turns: DataFrame) -> DataFrame:
@@ -135,22 +141,25 @@ def contract(turns: DataFrame) -> DataFrame:
     def spans(name):
         return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    out = format_pairs(rival_pairs(turns), keys=["chosen_id", "rejected_id"])
-    return out.select("chosen_id", "rejected_id", F.col("n_common").cast("long").alias("n_common"), F.sha2("prompt", 256).alias("prompt_sha256"),
+    out = format_pairs(rival_pairs(turns), keys=["chosen_id", "rejected_id", "kind"])
+    return out.select("chosen_id", "rejected_id", "kind", F.col("n_common").cast("long").alias("n_common"), F.sha2("prompt", 256).alias("prompt_sha256"),
                       F.sha2("chosen_text", 256).alias("chosen_sha256"), spans(F.col("chosen_mask")).alias("chosen_mask"),
                       F.sha2("rejected_text", 256).alias("rejected_sha256"), spans(F.col("rejected_mask")).alias("rejected_mask"))
 
 
-# same template as above, but still the former pairing: neighbours of any opening within blocks of 1000 ids, no answer pairs
+# the same pairs and template
 ORACLE_SQL = """
 with t as (select distinct conv_id, turn, coalesce(role, 'user') as role, coalesce(text, '') as text from conversations where conv_id is not null),
  c as (select conv_id, list({'role': role, 'text': text} order by turn nulls first, role, text) as turns,
               coalesce(sum(case when role = 'assistant' then length(text) end), 0) as answered from t group by conv_id),
  p as (select *, lead({'conv_id': conv_id, 'turns': turns, 'answered': answered}) over (
-              partition by conv_id // 1000, turns[1].role order by turns[1].text, conv_id) as other from c),
- q as (select *, answered > other.answered or (answered = other.answered and conv_id < other.conv_id) as first from p where other is not null),
- r as (select case when first then conv_id else other.conv_id end as chosen_id, case when first then other.conv_id else conv_id end as rejected_id,
-              case when first then turns else other.turns end as ch, case when first then other.turns else turns end as re from q),
+              partition by turns[1].role, turns[1].text order by conv_id) as other from c),
+ q as (select *, answered >= other.answered as first from p where other is not null),
+ a as (select conv_id, turns, list_max([i for i in range(1, len(turns) + 1) if turns[i].role = 'assistant']) as last from c),
+ b as (select *, list_max([i for i in range(1, last) if turns[i].role = 'assistant' and turns[i].text <> turns[last].text]) as rival from a where last is not null),
+ r as (select case when first then conv_id else other.conv_id end as chosen_id, case when first then other.conv_id else conv_id end as rejected_id, 'opening' as kind,
+              case when first then turns else other.turns end as ch, case when first then other.turns else turns end as re from q
+       union all select conv_id, conv_id, 'answer', turns[1:last], list_append(turns[1:last - 1], turns[rival]) from b where rival is not null),
  n as (select *, coalesce(list_min([i for i in range(1, least(len(ch), len(re)) + 1) if ch[i] <> re[i]]) - 1, least(len(ch), len(re))) as n_common from r),
  u as (select *, ch[n_common + 1:] as ct, re[n_common + 1:] as rt from n),
  v as (select *,
@@ -161,7 +170,7 @@ with t as (select distinct conv_id, turn, coalesce(role, 'user') as role, coales
    [length(ct[i].text) for i in range(1, len(ct) + 1) if ct[i].role = 'assistant'] as cn,
    [coalesce(list_sum(rl[1:i - 1]), 0)::bigint + 5 + length(rt[i].role) for i in range(1, len(rt) + 1) if rt[i].role = 'assistant'] as rs,
    [length(rt[i].text) for i in range(1, len(rt) + 1) if rt[i].role = 'assistant'] as rn from v)
-select chosen_id, rejected_id, n_common::bigint as n_common,
+select chosen_id, rejected_id, kind, n_common::bigint as n_common,
  sha256(coalesce(array_to_string(['<|' || x.role || '|>' || chr(10) || x.text || chr(10) || '<|end|>' || chr(10) for x in ch[1:n_common]], ''), '')) as prompt_sha256,
  sha256(coalesce(array_to_string(['<|' || x.role || '|>' || chr(10) || x.text || chr(10) || '<|end|>' || chr(10) for x in ct], ''), '')) as chosen_sha256,
  coalesce(array_to_string([(cs[i]::varchar || ':' || (cs[i] + cn[i])::varchar) for i in range(1, len(cs) + 1)], ','), '') as chosen_mask,

@@ -27,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.llm.common import hash_partitions, slices
+from runledger.llm.common import free_names, hash_partitions, slices
 from runledger.llm.components import connected_components
 from runledger.session import through_parquet
 
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     """The ``keep`` columns and the fingerprint as a bigint. Map-only."""
     keep = keep or ["doc_id"]
     at = len(keep)
-    chosen = docs.select(*keep, F.col(text).alias("_text"))
+    chosen = docs.select(*keep, F.col(text).alias(free_names(docs, "_text")[0]))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,13 +193,13 @@ def contract(docs: DataFrame) -> DataFrame:
 
 def one_per_group(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that stay: of each component the one with the smallest doc_id (null ids last), all columns kept."""
-    from pyspark.sql import Window
-
-    marked = through_parquet(fingerprints(docs, text, keep=docs.columns, name="_fp"), "fingerprints")
-    slim = marked.select("doc_id", F.col("_fp").alias("fp"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp"))
-    winners = slim.join(classes(slim), "fp").groupBy("root").agg(first.alias("w")).select(
-        F.col("w.doc_id").alias("_w_id"), F.col("w.fp").alias("_w_fp"))
-    kept = marked.join(winners, F.col("doc_id").eqNullSafe(F.col("_w_id")) & (F.col("_fp") == F.col("_w_fp")), "left_semi")
-    copies = Window.partitionBy("doc_id", "_fp").orderBy(F.xxhash64(text))
-    return kept.withColumn("_n", F.row_number().over(copies)).where("_n = 1").select(*docs.columns)
+    fp, n = free_names(docs, "_fp", "_n")
+    # ids, fingerprints and text hashes decide; whole texts are read again for the winners only
+    slim = through_parquet(fingerprints(docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("h")), keep=["doc_id", "h"]), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "h"))
+    winners = slim.join(classes(slim.select("doc_id", "fp")).select("fp", "root").distinct(), "fp").groupBy("root").agg(first.alias("w")).select(
+        F.col("w.doc_id").alias(fp), F.col("w.h").alias(n))
+    kept = docs.join(winners, F.col("doc_id").eqNullSafe(F.col(fp)) & (F.xxhash64(text) == F.col(n)), "left_semi")
+    # rows that repeat id and text are one document
+    once = Window.partitionBy("doc_id", F.xxhash64(text)).orderBy(F.xxhash64(F.lit(1)))
+    return kept.withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).select(*docs.columns)

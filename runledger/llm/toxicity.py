@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Small transducers read the words of a clause one after the other: insults
-(words and word beginnings with learned weights), threats (a word of violence
-near a target), targets (second person), negation and reported speech. They are
-composed: negation and reported speech pass a state on that sends the insults
-and threats behind it to another output tape, a target sends them to a stronger
-one. A clause's outputs are the weights on each tape; a document's features are
+Small transducers, each a table of states by symbols, read a clause word by
+word: negation (reaches REACH words), reported speech (quotes, reporting
+verbs), targets (second person) to the left, and, backwards, to the right. They
+are composed once into one table, whose states mark a word as negated,
+reported and near a target. Insults (words and word beginnings with learned
+weights) and threats (a word of violence near a target) put their weight on the
+output tape that the marks name. A clause's outputs are the weights on each
+tape; reading takes one step per word. A document's features are
 the largest and the summed clause weights per tape, and a logistic model turns
 them into a score.
 
@@ -56,6 +58,60 @@ TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”„«»]")
 TAPES = ("insult", "targeted", "negated", "reported", "threat")
 
 
+# input symbols of the transducers
+OTHER, QUOTE, NEGATION, REPORT, TARGET = range(5)
+
+
+def symbol(token: str) -> int:
+    if token in QUOTES:
+        return QUOTE
+    return NEGATION if token in NEGATIONS else REPORT if token in REPORTING else TARGET if token in TARGETS else OTHER
+
+
+class Transducer:
+    """A finite-state machine over symbols: ``table[state, symbol]`` is the next state, ``marks[state]`` what the state says of the token read from it."""
+
+    def __init__(self, table: np.ndarray, marks: list[tuple]):
+        self.table, self.marks = table, marks
+
+    @classmethod
+    def reaching(cls, source: int) -> Transducer:
+        """Marks the REACH tokens behind a symbol."""
+        table = np.array([[REACH if s == source else max(0, state - 1) for s in range(5)] for state in range(REACH + 1)])
+        return cls(table, [(state > 0,) for state in range(REACH + 1)])
+
+    @classmethod
+    def speech(cls) -> Transducer:
+        """Marks what stands in quotes or behind a reporting verb; states 0-3 are reported + 2 * quoted."""
+        table = np.array([[state | 1 if s == REPORT else state ^ 2 if s == QUOTE else state for s in range(5)] for state in range(4)])
+        return cls(table, [(state > 0,) for state in range(4)])
+
+    def compose(self, other: Transducer) -> Transducer:
+        """Both at once: a state is a pair of states, its marks those of both."""
+        width = len(other.marks)
+        pairs = [(a, b) for a in range(len(self.marks)) for b in range(width)]
+        table = np.array([self.table[a] * width + other.table[b] for a, b in pairs])
+        return Transducer(table, [self.marks[a] + other.marks[b] for a, b in pairs])
+
+    def read(self, symbols: list[int]) -> list[tuple]:
+        state, out, rows = 0, [], self.rows
+        for s in symbols:
+            out.append(self.marks[state])
+            state = rows[state][s]
+        return out
+
+    @property
+    def rows(self) -> list[list[int]]:
+        if not hasattr(self, "_rows"):
+            self._rows = self.table.tolist()
+        return self._rows
+
+
+# negation, speech and targets on the left, composed once; targets on the right are read backwards
+FORWARD = Transducer.reaching(NEGATION).compose(Transducer.speech()).compose(Transducer.reaching(TARGET))
+BACKWARD = Transducer.reaching(TARGET)
+
+
 @dataclass
 class Grammar:
     words: dict[str, float] = field(default_factory=dict)
@@ -71,27 +127,20 @@ class Grammar:
         return w
 
     def clause(self, text: str) -> dict[str, float]:
-        """Run the composed transducers over one clause."""
+        """Run the composed transducers over one clause: each word's weight goes to the tape that its state names."""
         tokens = TOKEN.findall(text)
         out = dict.fromkeys(TAPES, 0.0)
-        near = [i for i, t in enumerate(tokens) if t in TARGETS]
-        negated = reported = quoted = 0
-        for i, t in enumerate(tokens):
-            if t in QUOTES:
-                quoted ^= 1
-            elif t in NEGATIONS:
-                negated = REACH + 1
-            elif t in REPORTING:
-                reported = 1
-            else:
-                w = self.insult(t)
-                close = any(abs(i - j) <= REACH for j in near)
-                if w:
-                    tape = "negated" if negated else "reported" if reported or quoted else "targeted" if close else "insult"
-                    out[tape] += w
-                if t in VIOLENCE and close and not negated and not reported and not quoted:
-                    out["threat"] += 1.0
-            negated = max(0, negated - 1)
+        symbols = [symbol(t) for t in tokens]
+        behind = BACKWARD.read(symbols[::-1])[::-1]
+        for t, s, (negated, reported, before), (after,) in zip(tokens, symbols, FORWARD.read(symbols), behind):
+            if s in (QUOTE, NEGATION, REPORT):
+                continue
+            close = before or after or s == TARGET
+            w = self.insult(t)
+            if w:
+                out["negated" if negated else "reported" if reported else "targeted" if close else "insult"] += w
+            if t in VIOLENCE and close and not negated and not reported:
+                out["threat"] += 1.0
         return out
 
     def automaton(self):
@@ -201,8 +250,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Gr
     marks = labels.where(F.col("toxic").isNotNull() & (id_remainder(F.col("doc_id"), FOLDS) != HELD)).groupBy(
         F.col("doc_id").alias("_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = bounded_sample(marks, "toxic", per_label, 2, key="_id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    picked = sorted((r["doc_id"], r["toxic"], r["text"] or "") for r in rows.select("doc_id", "toxic", "text").collect())
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "toxic").agg(
+        F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    picked = sorted((r["doc_id"], r["toxic"], r["text"]) for r in rows.collect())
     return train([t for *_, t in picked], [y for _, y, _ in picked])
 
 

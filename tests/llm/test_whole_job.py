@@ -107,3 +107,133 @@ def test_preferences_pair_equal_openings_of_the_whole_table(spark):
     got = sorted((r["chosen_id"], r["rejected_id"], r["n_common"]) for r in out.collect())
     assert got == plain_pairs(turns)
     assert all(n >= 1 for _, _, n in got) and any(a == b for a, b, _ in got)
+
+
+def test_samples_are_bounded_and_take_one_row_per_key(spark):
+    from runledger.llm.common import bounded_sample
+
+    rows = [(1, "de", f"t{i}") for i in range(3000)] + [(1, "en", "x"), (1, None, "y"), (None, "de", "z")] + [(i, "en", "w") for i in range(2, 50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string").repartition(7)
+    got = sorted(tuple(r) for r in bounded_sample(df, "lang", 5, 2, text="text").collect())
+    assert len(got) == 6 and got[0] == (1, "de", "t0") and sum(g == "en" for _, g, _ in got) == 5
+    assert bounded_sample(df, "lang", 5, 1).count() == 5
+
+
+def test_language_of_ids_with_and_without_a_language(spark):
+    from runledger.llm import langid
+
+    rows = [(i, "the house is on the hill " * 5, "en") for i in range(40)] + [(i, "das Haus steht auf dem Berg " * 5, "de") for i in range(40, 80)]
+    rows += [(i, t, None) for i, t, _ in rows] + [(5, "las casas del monte", "es"), (None, "a", "en"), (99, None, "en"), (98, "y" * 900_000 + " house", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    out = langid.contract(df).collect()
+    assert len(out) == len(rows)
+    kept = langid.accepted(df, langid.fit_on(df))
+    assert kept.columns == df.columns and kept.where("doc_id < 80").count() >= 150
+
+
+def loop_clause(grammar, text):
+    """The grammar of a clause as one loop with counters."""
+    from runledger.llm import toxicity as X
+
+    tokens = X.TOKEN.findall(text)
+    out, negated, reported, quoted = dict.fromkeys(X.TAPES, 0.0), 0, 0, 0
+    near = [i for i, t in enumerate(tokens) if t in X.TARGETS]
+    for i, t in enumerate(tokens):
+        if t in X.QUOTES:
+            quoted ^= 1
+        elif t in X.NEGATIONS:
+            negated = X.REACH + 1
+        elif t in X.REPORTING:
+            reported = 1
+        else:
+            w, close = grammar.insult(t), any(abs(i - j) <= X.REACH for j in near)
+            if w:
+                out["negated" if negated else "reported" if reported or quoted else "targeted" if close else "insult"] += w
+            if t in X.VIOLENCE and close and not negated and not reported and not quoted:
+                out["threat"] += 1.0
+        negated = max(0, negated - 1)
+    return out
+
+
+def test_composed_transducers_equal_a_loop_and_are_linear():
+    import time
+
+    from runledger.llm import toxicity as X
+
+    rng = random.Random(3)
+    g = X.Grammar(words={"fool": 2.0, "you": 0.5, "ugly": 1.0}, stems={"idio": 3.0})
+    words = ["you", "dich", "not", "nie", "said", '"', "fool", "ugly", "idiots", "kill", "house", "tree", "and"]
+    for _ in range(3000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(0, 25)))
+        assert g.clause(text) == loop_clause(g, text), text
+    started = time.time()
+    g.clause("you fool " * 200_000)
+    assert time.time() - started < 20
+
+
+def test_stages_take_any_column_names(spark):
+    from runledger.llm import decontaminate
+
+    names = ["_id", "_h", "_removed", "_fp", "_n", "_text", "_w_id", "_w_fp", "fp", "h", "removed", "spans", "w", "key"]
+    rows = [(i, f"alpha beta gamma delta epsilon zeta eta theta iota kappa number {i // 2}\nline two of it here {i % 3}", *range(len(names))) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{n} int" for n in names))
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa number 1")], "item_id bigint, text string")
+    assert linededup.deduplicate(df).columns == df.columns and linededup.deduplicate(df).count() == 8
+    one = simhash.one_per_group(df)
+    assert one.columns == df.columns
+    assert {r["doc_id"] for r in one.collect()} == {r["component_id"] for r in simhash.contract(df).collect()}
+    clean = decontaminate.clean_documents(df, bench)
+    assert clean.columns == df.columns and clean.count() < 8
+
+
+def plain_formatted(rows):
+    """Preference pairs, prompts, completions and masks in plain Python."""
+    convs = {}
+    for c, n, role, text in {r for r in rows if r[0] is not None}:
+        convs.setdefault(c, []).append((n, role or "user", text or ""))
+    convs = {c: [(r, t) for _, r, t in sorted(v, key=lambda x: (x[0] is not None, x))] for c, v in convs.items()}
+    size = lambda ts: sum(len(t) for r, t in ts if r == "assistant")
+    pairs, by_opening = [], {}
+    for c in sorted(convs):
+        by_opening.setdefault(convs[c][0], []).append(c)
+    for ids in by_opening.values():
+        for a, b in zip(ids, ids[1:]):
+            first, second = (a, b) if size(convs[a]) >= size(convs[b]) else (b, a)
+            pairs.append((first, second, "opening", convs[first], convs[second]))
+    for c, ts in convs.items():
+        said = [i for i, (r, _) in enumerate(ts) if r == "assistant"]
+        rivals = [i for i in said if ts[i][1] != ts[said[-1]][1]]
+        if rivals:
+            pairs.append((c, c, "answer", ts[:said[-1] + 1], ts[:said[-1]] + [ts[rivals[-1]]]))
+    out = []
+    for a, b, kind, x, y in pairs:
+        n = 0
+        while n < min(len(x), len(y)) and x[n] == y[n]:
+            n += 1
+        show = lambda ts: "".join(f"<|{r}|>\n{t}\n<|end|>\n" for r, t in ts)
+
+        def spans(ts):
+            at, found = 0, []
+            for r, t in ts:
+                start = at + len(f"<|{r}|>\n")
+                if r == "assistant":
+                    found.append((start, start + len(t)))
+                at = start + len(t) + len("\n<|end|>\n")
+            return found
+        out.append((a, b, kind, n, show(x[:n]), show(x[n:]), tuple(spans(x[n:])), show(y[n:]), tuple(spans(y[n:]))))
+    return sorted(out, key=repr)
+
+
+def test_preference_texts_and_masks_equal_plain_formatting(spark):
+    rng = random.Random(12)
+    rows = []
+    for c in range(60):
+        for n in range(rng.randrange(1, 6)):
+            rows.append((c, n, rng.choice(["user", "assistant", "assistant", None]), rng.choice(["a", "bb", "é\n", None, "long " * 3000]) if n else rng.choice(["x", "y"])))
+    rows += rows[:9] + [(None, 0, "user", "lost")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("turns", F.lit(1)).withColumn("_c", F.lit(2))
+    out = preferences.format_pairs(preferences.rival_pairs(df), keys=["chosen_id", "rejected_id", "kind"])
+    got = sorted(((r["chosen_id"], r["rejected_id"], r["kind"], r["n_common"], r["prompt"], r["chosen_text"], tuple(map(tuple, r["chosen_mask"])),
+                   r["rejected_text"], tuple(map(tuple, r["rejected_mask"]))) for r in out.collect()), key=repr)
+    assert got == plain_formatted(rows)
+    assert {g[2] for g in got} == {"opening", "answer"}
