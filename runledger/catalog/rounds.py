@@ -60,17 +60,24 @@ def joi23(v):
         part.where("p_size % 7 <> 0").selectExpr("p_partkey AS question_id", "p_brand AS truth"), scores), "avg_score")
 
 
+# the active competition by its latest end; the register lists each validator up to three times
 @query("agg20_platform_summary", """
-    SELECT (SELECT count(*) FROM customer) AS entrants, (SELECT count(*) FROM fx_links) AS challenges,
-           (SELECT count(*) FROM fx_links WHERE is_active) AS active_challenges,
+    WITH a AS (SELECT competition_id FROM fx_competitions WHERE is_active AND competition_id < 2 ORDER BY eval_ends_at DESC, competition_id DESC LIMIT 1)
+    SELECT (SELECT count(*) FROM customer WHERE c_custkey % 2 IN (SELECT competition_id FROM a)) AS entrants,
+           (SELECT count(*) FROM fx_links WHERE competition_id IN (SELECT competition_id FROM a)) AS challenges,
+           (SELECT count(*) FROM fx_links WHERE is_active AND competition_id IN (SELECT competition_id FROM a)) AS active_challenges,
            (SELECT count(*) FROM supplier WHERE s_suppkey % 10 <> 0) AS validators,
-           (SELECT count(*) FROM supplier WHERE s_suppkey % 10 <> 0 AND s_acctbal > 0) AS active_validators,
+           (SELECT count(*) FROM supplier WHERE s_suppkey % 10 <> 0 AND s_suppkey IN (SELECT ps FROM (
+              SELECT l_suppkey AS ps FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45))) AS active_validators,
            b.is_active AS burn_active, b.burn_ratio
     FROM (SELECT is_active, greatest(0.0, least(1.0, burn_ratio)) AS burn_ratio FROM fx_burns
           ORDER BY created_at DESC, request_id DESC LIMIT 1) b""")
 def agg20(v):
-    validators = v.table("supplier").selectExpr("s_suppkey % 10 = 0 AS is_archive", "s_acctbal > 0 AS is_active")
-    return qa.platform_summary(v.table("customer"), v.links, validators, v.burns)
+    active = v.competitions.where("is_active AND competition_id < 2").orderBy(F.col("eval_ends_at").desc(), F.col("competition_id").desc()).limit(1)
+    validators = v.table("supplier").selectExpr("s_suppkey AS validator_id", "s_suppkey % 10 = 0 AS is_archive")
+    register = v.table("lineitem").selectExpr("l_suppkey AS validator_id", "l_returnflag = 'R' AND l_quantity > 45 AS is_active")
+    entrants = v.table("customer").selectExpr("c_custkey AS entrant_id", "c_custkey % 2 AS competition_id")
+    return qa.platform_summary(active, entrants, v.links, validators, register, v.burns)
 
 
 @query("agg35_multi_level_score", f"""
@@ -81,15 +88,15 @@ def agg35(v):
 
 
 @query("agg36_token_f1", r"""
-    WITH qa AS (SELECT d.doc_id AS question_id, d.text AS answer, b.text AS truth FROM documents d
-                JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
-    words AS (SELECT question_id, 0 AS side, unnest(regexp_extract_all(lower(answer), '([\p{L}\p{N}]+)', 1)) AS word FROM qa
-              UNION ALL SELECT question_id, 1, unnest(regexp_extract_all(lower(truth), '([\p{L}\p{N}]+)', 1)) FROM qa),
-    counted AS (SELECT question_id, word, count(*) FILTER (WHERE side = 0) AS a, count(*) FILTER (WHERE side = 1) AS t
-                FROM words GROUP BY ALL),
-    sums AS (SELECT question_id, CAST(sum(least(a, t)) AS BIGINT) AS overlap, sum(a) + sum(t) AS n FROM counted GROUP BY 1)
-    SELECT q.question_id, coalesce(s.overlap, 0) AS overlap, round(coalesce(2.0 * s.overlap / s.n, 0.0), 6) AS f1
-    FROM qa q LEFT JOIN sums s USING (question_id)""")
+    WITH n AS (SELECT count(*) AS n FROM benchmark),
+    d AS (SELECT doc_id AS q, doc_id % n AS item, regexp_extract_all(lower(text), '([\p{L}\p{N}]+)', 1) AS w FROM documents, n),
+    b AS (SELECT item_id AS item, regexp_extract_all(lower(text), '([\p{L}\p{N}]+)', 1) AS w FROM benchmark),
+    bw AS (SELECT item, word, count(*) AS t FROM (SELECT item, unnest(w) AS word FROM b) GROUP BY ALL),
+    dw AS (SELECT q, item, word, count(*) AS a FROM (SELECT q, item, unnest(w) AS word FROM d) GROUP BY ALL),
+    o AS (SELECT q, CAST(sum(least(a, t)) AS BIGINT) AS overlap FROM dw JOIN bw USING (item, word) GROUP BY q)
+    SELECT d.q AS question_id, coalesce(o.overlap, 0) AS overlap,
+           round(CASE WHEN len(d.w) + len(b.w) > 0 THEN 2.0 * coalesce(o.overlap, 0) / (len(d.w) + len(b.w)) ELSE 0.0 END, 6) AS f1
+    FROM d JOIN b ON b.item = d.item LEFT JOIN o ON o.q = d.q""")
 def agg36(v):
     bench = v.table("benchmark")
     n = bench.agg(F.count(F.lit(1)).alias("n_items"))

@@ -524,7 +524,14 @@ def txt17(v):
     return X.clean_pass(v.trace)
 
 
-@query("txt18_downsample_text")
+@query("txt18_downsample_text", r"""
+    WITH s AS (SELECT doc_id, text, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(ceil(length(text) / 4.0) AS BIGINT)) END AS tokens FROM documents),
+    t AS (SELECT *, greatest(1, CAST(floor(tokens * 0.4) AS BIGINT)) AS target FROM s),
+    p AS (SELECT doc_id, tokens, target, text, greatest(0.01, least(1.0, target::DOUBLE / nullif(tokens, 0))) AS share, regexp_extract_all(text, '[^\\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}]+[\\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}]*') AS pieces FROM t),
+    w AS (SELECT *, [regexp_replace(x, '[\\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}]+$', '') for x in pieces] AS words FROM p),
+    c AS (SELECT *, array_to_string([words[i][1:greatest(1, least(length(words[i]), CAST(round_even(length(words[i]) * share, 0) AS INTEGER)))] || pieces[i][length(words[i]) + 1:] for i in range(1, len(pieces) + 1)], '') AS cut FROM w)
+    SELECT doc_id, CASE WHEN tokens <= target THEN text WHEN tokens = 0 THEN ''
+             ELSE regexp_replace(substr(regexp_replace(regexp_replace(cut, '^\\s+', ''), '\\s+$', ''), 1, target * 4), '\\s+$', '') END AS text FROM c""".replace("\\\\", "\\"))
 def txt18(v):
     return v.documents.select("doc_id", L.downsample_text(F.col("text"), 0.4).alias("text"))
 
@@ -548,6 +555,21 @@ def txt19(v):
         "session_id", "tokens_in", "tokens_out", "users_kept", "newest_kept", "guard_ok")
 
 
+# every session shows its task, some a failure of module 5; duplicates and near-duplicates take the older copies of it away
+MARKERS = ("keep the public names", "app/mod5.py::test_case_", "never shown")
+
+
+@query("txt19_audit_markers", f"""
+    WITH o AS (SELECT session_id, text, CASE WHEN action IN ('duplicate', 'near-duplicate') OR msg_idx % 7 = 2 THEN '' ELSE text END AS left_over FROM ({ACTION_SQL}))
+    SELECT session_id, (NOT bool_or(contains(text, '{MARKERS[0]}')) OR bool_or(contains(left_over, '{MARKERS[0]}')))
+           AND (NOT bool_or(contains(text, '{MARKERS[1]}')) OR bool_or(contains(left_over, '{MARKERS[1]}'))) AS markers_kept
+    FROM o GROUP BY session_id""")
+def txt19b(v):
+    gentle = X.compress_gentle(v.trace, intact=6)
+    thinner = gentle.withColumn("text", F.when(F.col("msg_idx") % 7 == 2, "").otherwise(F.col("text")))
+    return X.audit(v.trace, thinner, MARKERS).select("session_id", "markers_kept")
+
+
 @query("txt20_profile_sweep")
 def txt20(v):
     profiles = v.spark.createDataFrame(

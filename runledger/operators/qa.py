@@ -40,15 +40,23 @@ def question_detail(questions: DataFrame, produced: DataFrame, truths: DataFrame
             .join(per_question, "question_id", "left"))
 
 
-def platform_summary(entrants: DataFrame, links: DataFrame, validators: DataFrame, burns: DataFrame) -> DataFrame:
-    """One row of headline counts."""
+def platform_summary(active: DataFrame, entrants: DataFrame, links: DataFrame, validators: DataFrame, registered: DataFrame, burns: DataFrame) -> DataFrame:
+    """One row of headline counts of the active competition.
+
+    ``active`` has at most one row (competition_id); without one, entrants
+    and challenges count zero. A validator is active if the register
+    (validator_id, ``is_active``) says so and it is not archived.
+    """
     from runledger.operators.rewards import burn_state
 
+    here = F.broadcast(active.select(F.col("competition_id").alias("_active")))
+    of_active = lambda df: df.join(here, F.col("competition_id") == F.col("_active"), "left_semi")
+    live = validators.where(~F.col("is_archive")).join(registered.where("is_active").select("validator_id").distinct(), "validator_id", "left_semi")
     parts = [
-        entrants.agg(F.count(F.lit(1)).alias("entrants")),
-        links.agg(F.count(F.lit(1)).alias("challenges"), F.count_if(F.col("is_active")).alias("active_challenges")),
-        validators.agg(F.count_if(~F.col("is_archive")).alias("validators"),
-                       F.count_if(~F.col("is_archive") & F.col("is_active")).alias("active_validators")),
+        of_active(entrants).agg(F.count(F.lit(1)).alias("entrants")),
+        of_active(links).agg(F.count(F.lit(1)).alias("challenges"), F.count_if(F.col("is_active")).alias("active_challenges")),
+        validators.agg(F.count_if(~F.col("is_archive")).alias("validators")),
+        live.agg(F.count(F.lit(1)).alias("active_validators")),
         burn_state(burns).select(F.col("is_active").alias("burn_active"), "burn_ratio"),
     ]
     out = parts[0]

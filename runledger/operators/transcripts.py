@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -451,10 +452,14 @@ def compress(messages: DataFrame, modes: DataFrame, target_tokens: int = 8_000)
     return S.with_guard(messages, out)
 
 
-def audit(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Per session: tokens in and out, ratio, user messages kept, newest result kept, orphan guard."""
+def audit(before: DataFrame, after: DataFrame, markers: Sequence[str] = ()) -> DataFrame:
+    """Per session: tokens in and out, ratio, user messages kept, newest result kept, orphan guard, markers kept.
+
+    ``markers_kept`` tells whether every marker that the session's input
+    shows is shown by its output too; null where it shows none.
+    """
     # the compressed side is read by every check, so it is computed once
-    after = through_parquet(after.select("session_id", "msg_idx", "role", "text", "call_id"), "audited")
+    after = through_parquet(after.select("session_id", "msg_idx", "role", "text", "call_id", *[c for c in ("calls",) if c in after.columns]), "audited")
     size = lambda df, name: df.groupBy("session_id").agg(
         F.greatest(F.lit(1).cast("long"), F.ceil(F.sum(F.coalesce(F.length("text"), F.lit(0))) / T.CHARS_PER_TOKEN)).alias(name))
     users = before.where("role = 'user'").select("session_id", "msg_idx", F.substring("text", 1, 60).alias("_snip"))
@@ -467,6 +472,15 @@ def audit(before: DataFrame, after: DataFrame) -> DataFrame:
         "session_id", F.coalesce(F.contains("_out", F.col("_snip")), F.lit(False)).alias("newest_kept"))
     guard = S.orphan_guard(before, after).select("session_id", F.col("ok").alias("guard_ok"), "new_orphans")
     out = size(before, "tokens_in").join(size(after, "tokens_out"), "session_id", "left")
+    if markers:
+        shown = lambda df, side: df.groupBy("session_id").agg(*[
+            F.bool_or(F.contains(F.coalesce("text", F.lit("")), F.lit(m))).alias(f"_{side}{i}") for i, m in enumerate(markers)])
+        both = shown(before, "in").join(shown(after, "out"), "session_id", "left")
+        some = reduce(lambda a, b: a | b, [F.col(f"_in{i}") for i in range(len(markers))])
+        all_kept = reduce(lambda a, b: a & b, [~F.col(f"_in{i}") | F.coalesce(f"_out{i}", F.lit(False)) for i in range(len(markers))])
+        out = out.join(both.select("session_id", F.when(some, all_kept).alias("markers_kept")), "session_id", "left")
+    else:
+        out = out.withColumn("markers_kept", F.lit(None).cast("boolean"))
     return (out.join(kept, "session_id", "left").join(newest, "session_id", "left").join(guard, "session_id", "left")
             .withColumn("ratio", F.col("tokens_in") / F.nullif("tokens_out", F.lit(0)))
             .withColumn("savings", 1 - F.coalesce("tokens_out", F.lit(0)) / F.col("tokens_in")))

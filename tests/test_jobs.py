@@ -15,7 +15,7 @@ from runledger.streaming.tables import AppendTable, FoldedTable
 def test_registry_contract():
     queries, oracle = catalog.queries(), catalog.oracle_sql()
     assert set(oracle) <= set(queries)
-    assert set(queries) - set(oracle) == {"txt18_downsample_text", "txt20_profile_sweep"}
+    assert set(queries) - set(oracle) == {"txt20_profile_sweep"}
 
 
 def test_flagship(spark):
