@@ -14,7 +14,7 @@ from runledger.sources import sinks, snapshots
 SNAP_SQL = """
     SELECT CAST(l_shipdate AS DATE)::VARCHAR AS observed_at, 'K' || l_partkey AS hotkey,
            CASE WHEN l_tax = 0 THEN NULL ELSE l_extendedprice / 1000 END AS overall, l_quantity AS easy, l_discount AS medium, l_tax AS hard,
-           l_returnflag AS review_status, l_orderkey * 10 + l_linenumber AS ident
+           l_returnflag AS review_status, l_orderkey * 1000 + l_linenumber AS ident
     FROM fx_li"""
 
 
@@ -22,7 +22,7 @@ def snap_rows(v):
     return v.lineitems.selectExpr(
         "date_format(l_shipdate, 'yyyy-MM-dd') AS observed_at", "concat('K', l_partkey) AS hotkey",
         "CASE WHEN l_tax = 0 THEN NULL ELSE l_extendedprice / 1000 END AS overall", "l_quantity AS easy", "l_discount AS medium",
-        "l_tax AS hard", "l_returnflag AS review_status", "l_orderkey * 10 + l_linenumber AS ident")
+        "l_tax AS hard", "l_returnflag AS review_status", "l_orderkey * 1000 + l_linenumber AS ident")
 
 
 def board_files(v):
@@ -56,7 +56,7 @@ def ded3(v):
 
 DETAIL_SQL = """
     SELECT CAST(o_orderdate AS DATE)::VARCHAR AS observed_at, 'C' || o_custkey AS hotkey, l_partkey % 100 AS task_id, l_linenumber AS attempt_no,
-           l_orderkey * 10 + l_linenumber AS run_id, l_returnflag = 'A' AS baseline_pass, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_linestatus = 'F' END AS miner_pass,
+           l_orderkey * 1000 + l_linenumber AS run_id, l_returnflag = 'A' AS baseline_pass, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_linestatus = 'F' END AS miner_pass,
            l_extendedprice AS baseline_tokens, l_quantity * 1000 AS miner_tokens, CASE WHEN l_tax = 0 THEN NULL ELSE l_discount - 0.05 END AS score,
            l_orderkey
     FROM fx_li JOIN orders ON o_orderkey = l_orderkey"""
@@ -66,7 +66,7 @@ def detail_files(v, keep: str = "true", single: bool = False):
     """Detail documents, one per order: entrant, tasks, runs. ``single`` writes the one-entrant shape."""
     path = scratch_path(v.spark, "details")
     rows = v.lineitems.join(v.table("orders"), F.col("o_orderkey") == F.col("l_orderkey")).where(keep)
-    run = F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("run_id"), F.col("l_linenumber").alias("attempt_no"),
+    run = F.struct((F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("run_id"), F.col("l_linenumber").alias("attempt_no"),
                    F.when(F.col("l_returnflag") != "R", F.col("l_linestatus") == "F").alias("pass_with_compression"),
                    (F.col("l_quantity") * 1000).alias("tokens_with_compression"),
                    F.when(F.col("l_tax") != 0, F.col("l_discount") - 0.05).alias("platform_score"))
@@ -99,9 +99,9 @@ def src2(v):
     return rounded(snapshots.scan_task_details(v.spark, paths, lines=True).select(*TASK_COLS), "score")
 
 
-@query("snk4_export_task_scores", f"SELECT {TASK_OUT} FROM ({DETAIL_SQL}) WHERE l_orderkey % 2 = 0")
+@query("snk4_export_task_scores", f"SELECT {TASK_OUT} FROM ({DETAIL_SQL})")
 def snk4(v):
-    details = snapshots.scan_task_details(v.spark, [detail_files(v, "l_orderkey % 2 = 0")], lines=True)
+    details = snapshots.scan_task_details(v.spark, [detail_files(v, "true")], lines=True)
     path = scratch_path(v.spark, "export")
     flat = sinks.export_task_scores(details, path)
     back = v.spark.read.schema(flat.schema).option("header", True).csv(path)
@@ -123,7 +123,7 @@ def src3(v):
 def ded1(v):
     rows = v.lineitems.join(v.table("orders"), F.col("o_orderkey") == F.col("l_orderkey")).selectExpr(
         "concat('C', o_custkey) AS hotkey", "l_partkey % 100 AS task_id", "date_format(o_orderdate, 'yyyy-MM-dd') AS observed_at",
-        "l_orderkey * 10 + l_linenumber AS run_id")
+        "l_orderkey * 1000 + l_linenumber AS run_id")
     return dedup.newest(rows, ["hotkey", "task_id"], "observed_at", ["run_id"])
 
 
@@ -249,20 +249,20 @@ def src11(v):
 
 
 REPORT_SQL = """
-    SELECT l_orderkey * 10 + l_linenumber AS run_id, CAST(l_quantity AS BIGINT) AS q, l_tax, l_discount, l_returnflag, l_orderkey FROM fx_li"""
+    SELECT l_orderkey * 1000 + l_linenumber AS run_id, CAST(l_quantity AS BIGINT) AS q, l_tax, l_discount, l_returnflag, l_orderkey FROM fx_li"""
 
 
-def reports(v):
+def reports(v, keep: str = "true"):
     body = F.expr("""concat('{"ok_status": ', l_returnflag <> 'R', ', "patch_capture_status": true, "execution_time_seconds": ', l_tax,
         CASE WHEN l_discount < 0.03 THEN concat(', "total_tokens": ', cast(l_quantity AS bigint)) ELSE ', "total_tokens": -1' END,
         ', "metadata": {"token_usage": {"total_tokens": ', cast(l_quantity AS bigint) + 100, '}, "agent": {"steps": "', l_linenumber, '"}',
         CASE WHEN l_tax = 0 THEN ', "reason": "  out of budget "' ELSE '' END, '}}')""")
-    return v.lineitems.where("l_orderkey % 4 <> 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("run_id"), body.alias("report"))
+    return v.lineitems.where(keep).select((F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("run_id"), body.alias("report"))
 
 
 @query("src12_extract_run_metrics", """
-    SELECT l_orderkey * 10 + l_linenumber AS run_id, CASE WHEN l_discount < 0.03 THEN CAST(l_quantity AS BIGINT) ELSE CAST(l_quantity AS BIGINT) + 100 END AS total_tokens,
-           CAST(l_linenumber AS BIGINT) AS agent_steps FROM fx_li WHERE l_orderkey % 4 <> 0""")
+    SELECT l_orderkey * 1000 + l_linenumber AS run_id, CASE WHEN l_discount < 0.03 THEN CAST(l_quantity AS BIGINT) ELSE CAST(l_quantity AS BIGINT) + 100 END AS total_tokens,
+           CAST(l_linenumber AS BIGINT) AS agent_steps FROM fx_li""")
 def src12(v):
     return snapshots.extract_run_metrics(reports(v)).select("run_id", "total_tokens", "agent_steps")
 
@@ -271,9 +271,9 @@ def src12(v):
     SELECT r.run_id, CASE WHEN l.l_orderkey % 4 = 0 THEN r.tokens_used WHEN l_discount < 0.03 THEN CAST(l_quantity AS BIGINT) ELSE CAST(l_quantity AS BIGINT) + 100 END AS tokens_used,
            CASE WHEN l.l_orderkey % 4 = 0 THEN r.status WHEN l_returnflag <> 'R' THEN 'completed' ELSE 'failed' END AS status,
            CASE WHEN l.l_orderkey % 4 = 0 THEN NULL WHEN l_tax = 0 THEN 'out of budget' WHEN l_returnflag = 'R' THEN 'sandbox reported run as failed' END AS last_error
-    FROM fx_runs r JOIN fx_li l ON l.l_orderkey * 10 + l.l_linenumber = r.run_id""")
+    FROM fx_runs r JOIN fx_li l ON l.l_orderkey * 1000 + l.l_linenumber = r.run_id""")
 def src13(v):
-    return snapshots.ingest_reports(v.runs, reports(v)).select("run_id", "tokens_used", "status", "last_error")
+    return snapshots.ingest_reports(v.runs, reports(v, "l_orderkey % 4 <> 0")).select("run_id", "tokens_used", "status", "last_error")
 
 
 @query("snk1_write_snapshot", "SELECT CAST(year(o_orderdate) AS INTEGER) AS day, count(*) AS n FROM orders GROUP BY 1")

@@ -47,13 +47,13 @@ def joi6(v):
     LEFT JOIN (SELECT p_partkey AS question_id, p_type AS answer FROM part WHERE p_size % 3 <> 0) p USING (question_id)
     LEFT JOIN (SELECT p_partkey AS question_id, p_brand AS truth FROM part WHERE p_size % 7 <> 0) t USING (question_id)
     LEFT JOIN (SELECT l_partkey AS question_id, avg(l_quantity / 50) AS avg_score,
-                      min(CASE WHEN l_tax > 0.01 THEN lpad(CAST(l_orderkey * 10 + l_linenumber AS VARCHAR), 12, '0') || l_returnflag END) AS details
+                      min(CASE WHEN l_tax > 0.01 THEN lpad(CAST(l_orderkey * 1000 + l_linenumber AS VARCHAR), 12, '0') || l_returnflag END) AS details
                FROM fx_li GROUP BY 1) s USING (question_id)""")
 def joi23(v):
     part = v.table("part")
     scores = v.lineitems.selectExpr(
-        "l_partkey AS question_id", "l_orderkey * 10 + l_linenumber AS validator_id", "l_quantity / 50 AS score",
-        "CASE WHEN l_tax > 0.01 THEN concat(lpad(cast(l_orderkey * 10 + l_linenumber AS string), 12, '0'), l_returnflag) END AS details")
+        "l_partkey AS question_id", "l_orderkey * 1000 + l_linenumber AS validator_id", "l_quantity / 50 AS score",
+        "CASE WHEN l_tax > 0.01 THEN concat(lpad(cast(l_orderkey * 1000 + l_linenumber AS string), 12, '0'), l_returnflag) END AS details")
     return rounded(qa.question_detail(
         part.selectExpr("p_partkey AS question_id", "p_name AS question"),
         part.where("p_size % 3 <> 0").selectExpr("p_partkey AS question_id", "p_type AS answer"),

@@ -10,10 +10,10 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runledger.scale import keep_first, positions
+from runledger.scale import positions
 from runledger.session import spread, through_parquet
 
 NOW = "1998-06-01 00:00:00"
@@ -25,12 +25,12 @@ VIEW_SQL: dict[str, str] = {
                CAST(1 + range % 3 AS INTEGER) AS planned_repeats
         FROM range(100)""",
     "fx_li": """
-        SELECT * EXCLUDE (rn) FROM (
+        SELECT * EXCLUDE (rn) REPLACE (CAST(l_linenumber + 10 * (rn - 1) AS INTEGER) AS l_linenumber) FROM (
           SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey,
                  l_extendedprice, l_shipdate, l_quantity, l_tax, l_discount, l_returnflag, l_linestatus) AS rn
-          FROM lineitem) WHERE rn = 1""",
+          FROM lineitem)""",
     "fx_runs": """
-        SELECT l_orderkey * 10 + l_linenumber AS run_id, l_partkey % 100 AS task_id,
+        SELECT l_orderkey * 1000 + l_linenumber AS run_id, l_partkey % 100 AS task_id,
                l_suppkey % 8 AS entrant_id, l_suppkey % 24 AS script_id, l_linenumber AS attempt_no,
                CASE WHEN l_quantity = 13 THEN NULL ELSE CAST(floor(l_extendedprice) AS BIGINT) END AS tokens_used,
                l_quantity * 10 AS time_taken_seconds, CAST(l_linenumber * 3 AS INTEGER) AS agent_steps,
@@ -40,7 +40,7 @@ VIEW_SQL: dict[str, str] = {
                l_shipdate AS created_at, l_shipdate + to_hours(CAST(l_linenumber AS INTEGER)) AS updated_at
         FROM fx_li""",
     "fx_validations": """
-        SELECT l_orderkey * 10 + l_linenumber AS validation_id, l_orderkey * 10 + l_linenumber AS run_id,
+        SELECT l_orderkey * 1000 + l_linenumber AS validation_id, l_orderkey * 1000 + l_linenumber AS run_id,
                CASE WHEN l_tax = 0 THEN NULL ELSE l_returnflag <> 'R' END AS resolved,
                CASE WHEN l_tax = 0 THEN NULL ELSE l_shipdate END AS scored_at,
                l_suppkey % 5 AS validator_id,
@@ -52,11 +52,11 @@ VIEW_SQL: dict[str, str] = {
     "fx_uploads": """
         SELECT o_orderkey AS upload_id, o_orderkey % 24 AS script_id, o_orderkey % 8 AS entrant_id,
                CAST(o_custkey % 2 AS BIGINT) AS competition_id, o_orderdate AS created_at
-        FROM orders WHERE o_custkey % 5 = 0""",
+        FROM orders""",
     "fx_api_keys": """
-        SELECT c_custkey % 8 AS entrant_id,
+        SELECT CASE c_custkey % 8 WHEN 5 THEN 4 ELSE c_custkey % 8 END AS entrant_id,
                CASE WHEN c_acctbal < 0 OR c_custkey % 8 = 3 THEN TIMESTAMP '1997-01-01 00:00:00' END AS revoked_at
-        FROM customer WHERE c_custkey % 8 <> 5""",
+        FROM customer""",
     "fx_competitions": """
         SELECT s_suppkey AS competition_id, s_name AS name, s_suppkey % 3 <> 0 AS is_active,
                TIMESTAMP '1995-01-01 00:00:00' + to_days(CAST(s_suppkey * 37 % 2000 AS INTEGER)) AS upload_starts_at,
@@ -156,12 +156,12 @@ VIEW_SQL: dict[str, str] = {
         FROM fx_run_scores s LEFT JOIN fx_difficulty d ON d.task_id = s.task_id""",
     # Text question rounds: items of batches, their scores and assignments.
     "fx_items": """
-        SELECT l_orderkey * 10 + l_linenumber AS item_id, l_orderkey AS batch_id, l_partkey AS challenge_id,
+        SELECT l_orderkey * 1000 + l_linenumber AS item_id, l_orderkey AS batch_id, l_partkey AS challenge_id,
                l_orderkey % 24 AS script_id, l_orderkey % 8 AS entrant_id,
                CASE CAST(l_linenumber AS INTEGER) % 3 WHEN 0 THEN 0.2::DOUBLE WHEN 1 THEN 0.4::DOUBLE ELSE 0.6::DOUBLE END AS compression_ratio
         FROM fx_li""",
     "fx_item_scores": """
-        SELECT l_orderkey * 10 + l_linenumber AS item_id, l_suppkey % 5 AS validator_id,
+        SELECT l_orderkey * 1000 + l_linenumber AS item_id, l_suppkey % 5 AS validator_id,
                l_extendedprice / 100000 AS score, l_shipdate AS scored_at,
                '{"n": ' || l_linenumber || '}' AS details
         FROM fx_li WHERE l_returnflag <> 'N'""",
@@ -248,11 +248,13 @@ class Views:
 
     @cached_property
     def lineitems(self) -> DataFrame:
+        """All line items; where an order repeats a line number, its copies are numbered on by tens."""
         order = ["l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_tax",
                  "l_discount", "l_returnflag", "l_linestatus"]
         source = spread(self.table("lineitem"), "l_orderkey", "l_linenumber")
-        return keep_first(source, ["l_orderkey", "l_linenumber"],
-                          [F.col(c).asc_nulls_last() for c in order])
+        copy = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*[F.col(c).asc_nulls_last() for c in order]))
+        return source.withColumn("_copy", copy).withColumn(
+            "l_linenumber", (F.col("l_linenumber") + 10 * (F.col("_copy") - 1)).cast("int")).drop("_copy")
 
     @cached_property
     def documents(self) -> DataFrame:
@@ -271,7 +273,7 @@ class Views:
     @cached_property
     def runs(self) -> DataFrame:
         return self.lineitems.selectExpr(
-            "l_orderkey * 10 + l_linenumber AS run_id", "l_partkey % 100 AS task_id",
+            "l_orderkey * 1000 + l_linenumber AS run_id", "l_partkey % 100 AS task_id",
             "l_suppkey % 8 AS entrant_id", "l_suppkey % 24 AS script_id", "l_linenumber AS attempt_no",
             "CASE WHEN l_quantity = 13 THEN NULL ELSE cast(floor(l_extendedprice) AS bigint) END AS tokens_used",
             "l_quantity * 10 AS time_taken_seconds", "l_linenumber * 3 AS agent_steps",
@@ -283,7 +285,7 @@ class Views:
     @cached_property
     def validations(self) -> DataFrame:
         return self.lineitems.selectExpr(
-            "l_orderkey * 10 + l_linenumber AS validation_id", "l_orderkey * 10 + l_linenumber AS run_id",
+            "l_orderkey * 1000 + l_linenumber AS validation_id", "l_orderkey * 1000 + l_linenumber AS run_id",
             "CASE WHEN l_tax = 0 THEN NULL ELSE l_returnflag <> 'R' END AS resolved",
             "CASE WHEN l_tax = 0 THEN NULL ELSE l_shipdate END AS scored_at",
             "l_suppkey % 5 AS validator_id",
@@ -299,14 +301,14 @@ class Views:
 
     @cached_property
     def uploads(self) -> DataFrame:
-        return self.table("orders").where("o_custkey % 5 = 0").selectExpr(
+        return self.table("orders").selectExpr(
             "o_orderkey AS upload_id", "o_orderkey % 24 AS script_id", "o_orderkey % 8 AS entrant_id",
             "o_custkey % 2 AS competition_id", "o_orderdate AS created_at")
 
     @cached_property
     def api_keys(self) -> DataFrame:
-        return self.table("customer").where("c_custkey % 8 <> 5").selectExpr(
-            "c_custkey % 8 AS entrant_id",
+        return self.table("customer").selectExpr(
+            "CASE c_custkey % 8 WHEN 5 THEN 4 ELSE c_custkey % 8 END AS entrant_id",
             "CASE WHEN c_acctbal < 0 OR c_custkey % 8 = 3 THEN timestamp'1997-01-01 00:00:00' END AS revoked_at")
 
     @cached_property
@@ -336,14 +338,14 @@ class Views:
     @cached_property
     def items(self) -> DataFrame:
         return self.lineitems.selectExpr(
-            "l_orderkey * 10 + l_linenumber AS item_id", "l_orderkey AS batch_id", "l_partkey AS challenge_id",
+            "l_orderkey * 1000 + l_linenumber AS item_id", "l_orderkey AS batch_id", "l_partkey AS challenge_id",
             "l_orderkey % 24 AS script_id", "l_orderkey % 8 AS entrant_id",
             "CASE l_linenumber % 3 WHEN 0 THEN 0.2D WHEN 1 THEN 0.4D ELSE 0.6D END AS compression_ratio")
 
     @cached_property
     def item_scores(self) -> DataFrame:
         return self.lineitems.where("l_returnflag <> 'N'").selectExpr(
-            "l_orderkey * 10 + l_linenumber AS item_id", "l_suppkey % 5 AS validator_id",
+            "l_orderkey * 1000 + l_linenumber AS item_id", "l_suppkey % 5 AS validator_id",
             "l_extendedprice / 100000 AS score", "l_shipdate AS scored_at",
             "concat('{\"n\": ', l_linenumber, '}') AS details")
 

@@ -29,8 +29,6 @@ DIFF_LINE = r"(?m)^[ \t]*(?:[+\-]|@@|diff --git|---|\+\+\+)"
 CODE_SIGNATURE = r"\b(?:def|class)\s+\w+|\bfunction\s+\w+|=>\s*\{|\b\w+\s*\([^)]*\)\s*:"
 TEST_LINE = (r"(?m)^\s*(?:FAILED|ERROR|FAIL|XFAIL)[: ]\S.*$|^\s*\S+\.py::\S+.*$"
              r"|^\s*(?:FAIL|ERROR): test\S* \(.*\).*$|^.*\bAssertionError\b.*$")
-ERROR_SCAN_CHARS = 20_000
-TEST_SCAN_CHARS = 30_000
 TRIM_SLACK = 80
 CHARS_PER_TOKEN = 4
 
@@ -107,16 +105,21 @@ def canonical_json(text: Column) -> Column:
     return F.to_json(F.try_parse_json(text))
 
 
-def has_error(text: Column) -> Column:
-    return F.substring(text, 1, ERROR_SCAN_CHARS).rlike(ANY_ERROR_MARKER)
+def scanned(text: Column, limit: int | None) -> Column:
+    return text if limit is None else F.substring(text, 1, limit)
 
 
-def has_failing_test(text: Column) -> Column:
-    return F.substring(text, 1, TEST_SCAN_CHARS).rlike(FAILING_TEST)
+def has_error(text: Column, limit: int | None = None) -> Column:
+    """Error marker anywhere, or in the first ``limit`` characters."""
+    return scanned(text, limit).rlike(ANY_ERROR_MARKER)
 
 
-def has_passing_test(text: Column) -> Column:
-    return F.substring(text, 1, TEST_SCAN_CHARS).rlike(PASSING_TEST)
+def has_failing_test(text: Column, limit: int | None = None) -> Column:
+    return scanned(text, limit).rlike(FAILING_TEST)
+
+
+def has_passing_test(text: Column, limit: int | None = None) -> Column:
+    return scanned(text, limit).rlike(PASSING_TEST)
 
 
 def has_diff(text: Column) -> Column:

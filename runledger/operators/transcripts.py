@@ -167,8 +167,7 @@ def issue_text(messages: DataFrame) -> DataFrame:
 def test_status(messages: DataFrame) -> DataFrame:
     """Up to five distinct test lines of the newest error-bearing result."""
     latest = S.latest_test_result(messages)
-    tail = F.right("text", F.lit(T.TEST_SCAN_CHARS))
-    found = F.transform(F.regexp_extract_all(tail, F.lit(T.TEST_LINE), 0), T.collapse_whitespace)
+    found = F.transform(F.regexp_extract_all("text", F.lit(T.TEST_LINE), 0), T.collapse_whitespace)
     lines = F.slice(F.array_distinct(F.filter(found, lambda x: x != "")), 1, STATUS_LINES)
     return latest.select("session_id", F.array_join(F.transform(lines, lambda x: T.clip(x, STATUS_LINE_CHARS)), "\n")
                          .alias("status"))
