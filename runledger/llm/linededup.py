@@ -7,9 +7,9 @@ one (by doc_id, then line number) is removed, whether or not the earlier one
 stays.
 
 Equal lines form classes, and one line of a class goes on. Shingles are
-ordered by rarity: the most frequent ones by their counts, all others, which
-are rarer than any of these, by hash. A line's prefix are its rarest shingles,
-as many as a match cannot miss altogether; classes meet on prefix shingles that
+ordered by rarity: their hashes are counted over all lines in a table of fixed
+size. A line's prefix are its rarest shingles, as many as a match cannot miss
+altogether; classes meet on prefix shingles that
 more than one has, subject to the length filter (sizes within 4/5) and the
 positional filter (what is left behind the shingle suffices), and meeting
 classes are verified on their whole shingle sets. A shingle that few classes
@@ -18,220 +18,113 @@ many share gives an existence join, which yields one row per line however many
 near copies there are. Lines of repeated words may have few shingles, or the
 same ones, however long they are, so only lines of one shorter shingle stay out.
 
-Words are parted and hashed in numpy, about ``CHUNK`` bytes at a time, in
-tasks that read the documents where they lie; all joins, groups and filters are
-DataFrame code. (An all-DataFrame form of the hashing took twice the limit of
-CPU time and broke that of disk; figures in the README.)
+Texts stay where they are but for the documents that hold a line in need of
+verification. All of it is DataFrame code.
 
 Defined results: null and empty texts and blank lines are kept as they are;
 documents that repeat id and text count as one document and lose the same
 lines; null ids come first in the order; very long texts and lines are taken
 whole; an empty table gives an empty one. Shingles are compared by 48-bit
-hashes, equal lines by 128 bits.
+hashes, equal lines by 96 bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.llm.common import free_names
+from runledger.llm.common import bound, free_names
 from runledger.session import through_parquet
 
 SHINGLE = 5
-# entries of the table of frequent shingles
-FREQUENT = 1 << 16
+# entries of the rarity table, a power of two
+RARITY_SLOTS = 1 << 14
 # classes that share a shingle up to which they are listed in pairs
 FEW = 32
 HASH_BITS = 48
-CHUNK = 1_500_000
-WRAP = np.uint64(0x9E3779B97F4A7C15)
-
-
-@lru_cache(maxsize=4)
-def powers(n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, WRAP | np.uint64(1))]), dtype=np.uint64)
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
-
-
-def line_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(line number, 48-bit hash) of every shingle of lines whose words are parted by single spaces."""
-    if not lines:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    a = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
-    ends = np.flatnonzero((a == 32) | (a == 10))
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    lens = ends - starts
-    power = powers(1 << int(lens.max() + 1).bit_length())
-    value = (a.astype(np.uint64) + np.uint64(1)) * power[np.arange(len(a)) - np.repeat(starts, lens + 1)]
-    value[ends] = 0
-    words = mixed(np.add.reduceat(value, starts))
-    last = np.flatnonzero(a[ends] == 10)
-    line = np.repeat(np.arange(len(lines)), np.diff(np.concatenate([[-1], last])))
-    m = len(words) - SHINGLE + 1
-    if m <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = words[:m].copy()
-    for j in range(1, SHINGLE):
-        h = (h ^ (words[j:j + m] + WRAP * np.uint64(j))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(31)
-    whole = line[:m] == line[SHINGLE - 1:]
-    return line[:m][whole], h[whole] & np.uint64((1 << HASH_BITS) - 1)
-
-
-def ordered(lines: list[bytes], frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(line number, key) of every distinct shingle, rarest first within a line; a key is the shingle's rank of frequency and its hash."""
-    line, h = line_shingles(lines)
-    table, level = frequent
-    if len(table) and len(h):
-        at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-        h = h | np.where(table[at] == h, level[at], 0).astype(np.uint64) << np.uint64(HASH_BITS)
-    order = np.lexsort((h, line))
-    line, h = line[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    return line[new], h[new].astype(np.int64)
-
-
-def normal_lines(text: bytes) -> Iterator[tuple[int, bytes]]:
-    """(line number, words joined by single spaces) of the lines that are not blank."""
-    for i, line in enumerate(text.split(b"\n")):
-        words = line.split()
-        if words:
-            yield i, b" ".join(words)
-
-
-def line_class(line: bytes) -> tuple[int, int]:
-    h = xxhash.xxh3_128_intdigest(line)
-    return (h >> 64) - (1 << 63), (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
-
-
-def chunks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
-    """Rows that end with a line, in lists of about CHUNK bytes of lines."""
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += len(row[-1])
-        if size >= CHUNK:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def enough_words(line: bytes) -> bool:
-    return line.count(b" ") >= SHINGLE - 1
-
-
-def texts(batches: Iterator[pa.RecordBatch], name: str = "text") -> Iterator[tuple[pa.RecordBatch, int, bytes]]:
-    for batch in batches:
-        for i, value in enumerate(batch.column(name).cast(pa.large_binary())):
-            text = value.as_py()
-            if text:
-                yield batch, i, text
-
-
-def named(docs: DataFrame, text: str) -> DataFrame:
-    """(doc_id, h, text): a document is known by its id and the hash of its text."""
-    return docs.select("doc_id", F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+# runs of white space that are not one space already
+ODD_GAP = r"[\t\r\f\x0B][ \t\r\f\x0B]*| [ \t\r\f\x0B]+"
+
+
+def spaced(text: Column) -> Column:
+    """The text with one space for every run of white space inside its lines."""
+    return F.regexp_replace(text, ODD_GAP, " ")
+
+
+def line_words(line: Column) -> Column:
+    return F.split(line, " ")
 
 
 def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, h, line_no, c1, c2) of the lines that are not blank; equal lines have equal c1 and c2."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, numbers, classes = [], [], []
-            for _, i, body in texts(iter([batch])):
-                for n, line in normal_lines(body):
-                    at.append(i)
-                    numbers.append(n)
-                    classes.append(line_class(line))
-            rows = batch.select(["doc_id", "h"]).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(numbers, pa.int32()), pa.array([c for c, _ in classes], pa.int64()),
-                                              pa.array([c for _, c in classes], pa.int64())], ["doc_id", "h", "line_no", "c1", "c2"])
-
-    return named(docs, text).mapInArrow(run, f"doc_id {kind}, h bigint, line_no int, c1 bigint, c2 bigint")
-
-
-def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the most frequent shingles, in order, and the power of two of their counts.
-
-    A task lists the shingles that hold a share of 1 / FREQUENT of a chunk;
-    whatever holds such a share of all is in some list. The table has at most
-    FREQUENT entries, whatever the data, and goes through the driver.
+    """(doc_id, h, line_no, line) of the lines that are not blank, their words joined by single spaces; a document is known by its id and the hash of its text."""
+    named = docs.select("doc_id", F.xxhash64(text).alias("h"), spaced(F.col(text)).alias("t")).where(F.col("t").isNotNull())
+    lines = named.select("doc_id", "h", F.posexplode(F.split("t", "\n")).alias("line_no", "raw"))
+    return lines.select("doc_id", "h", "line_no", F.trim("raw").alias("line")).where(F.col("line") != "")
+
+
+def class_keys(line: Column) -> list[Column]:
+    return [F.xxhash64(line).alias("c1"), F.hash(line).alias("c2")]
+
+
+def shingle_hash(words: Column, at: Column) -> Column:
+    return F.xxhash64(*[F.get(words, at + i) for i in range(SHINGLE)])
+
+
+def rarity(docs: DataFrame, text: str) -> list[list[int]]:
+    """Slots by frequency: list t holds the slots with at least 2 ** (t + 1) times the mean count of all lines' shingles.
+
+    A statistic of at most RARITY_SLOTS numbers, whatever the size of the data
+    (half of the slots at most reach twice the mean), which goes through the
+    driver to become part of the later plans.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks((line,) for _, _, body in texts(batches) for _, line in normal_lines(body) if enough_words(line)):
-            _, h = line_shingles([line for line, in part])
-            seen, n = np.unique(h, return_counts=True)
-            often = n >= max(2, len(h) // FREQUENT)
-            yield pa.RecordBatch.from_arrays([pa.array(seen[often].astype(np.int64)), pa.array(n[often].astype(np.int64))], ["shingle", "n"])
-
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = sorted((r["shingle"], r["n"].bit_length()) for r in counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect())
-    return np.array([x for x, _ in rows], np.uint64), np.array([n for _, n in rows], np.uint64)
-
-
-def prefixes(docs: DataFrame, text: str, frequent) -> DataFrame:
-    """(c1, c2, size, keys): the prefix of every line with enough words, per chunk once for equal lines."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks((line,) for _, _, body in texts(batches) for _, line in normal_lines(body) if enough_words(line)):
-            once = {line_class(line): line for line, in part}
-            at, keys = ordered(list(once.values()), shared.value)
-            size = np.bincount(at, minlength=len(once))
-            first = np.cumsum(size) - size
-            length = size - (4 * size + 4) // 5 + 1
-            kept = keys[np.arange(len(keys)) - first[at] < length[at]]
-            offsets = pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c for c, _ in once], pa.int64()), pa.array([c for _, c in once], pa.int64()), pa.array(size.astype(np.int32)),
-                 pa.ListArray.from_arrays(offsets, pa.array(kept))], ["c1", "c2", "size", "keys"])
-
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "c1 bigint, c2 bigint, size int, keys array<bigint>")
-
-
-def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, frequent) -> DataFrame:
+    words = bound(lines_of(docs, text).select("line"), "w", line_words(F.col("line")))
+    each = words.select("w", F.posexplode("w").alias("at", "_w")).where(F.col("at") + SHINGLE <= F.size("w"))
+    counts = each.groupBy(slot_of(shingle_hash(F.col("w"), F.col("at"))).alias("slot")).count()
+    level = F.floor(F.log2(F.col("count") / F.sum("count").over(Window.partitionBy()) * RARITY_SLOTS))
+    found = counts.select("slot", level.alias("level")).where("level >= 1").collect()
+    top = max((r["level"] for r in found), default=0)
+    return [sorted(r["slot"] for r in found if r["level"] > t) for t in range(top)]
+
+
+def slot_of(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(RARITY_SLOTS - 1))
+
+
+def ordered_shingles(words: Column, frequent: list[list[int]]) -> Column:
+    """Distinct shingles of a line as (frequency, hash) keys, rarest first."""
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: shingle_hash(words, i))
+    low = F.lit((1 << HASH_BITS) - 1)
+
+    def keyed(h: Column) -> Column:
+        key = h.bitwiseAND(low)
+        for slots in frequent:
+            key = key + F.when(slot_of(h).isin(slots), F.lit(1 << HASH_BITS)).otherwise(F.lit(0))
+        return key
+
+    return F.sort_array(F.array_distinct(F.transform(hashes, keyed) if frequent else F.transform(hashes, lambda h: h.bitwiseAND(low))))
+
+
+def worded(docs: DataFrame, text: str) -> DataFrame:
+    """(line, w) of the lines with enough words."""
+    return bound(lines_of(docs, text).select("line"), "w", line_words(F.col("line"))).where(F.size("w") >= SHINGLE)
+
+
+def prefixes(docs: DataFrame, text: str, frequent: list[list[int]]) -> DataFrame:
+    """(c1, c2, size, keys): the prefix of every line with enough words."""
+    placed = bound(worded(docs, text).select(*class_keys(F.col("line")), "w"), "keys", ordered_shingles(F.col("w"), frequent))
+    s = F.size("keys")
+    return placed.select("c1", "c2", s.alias("size"), F.slice("keys", 1, s - F.floor((4 * s + 4) / 5).cast("int") + 1).alias("keys"))
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, frequent: list[list[int]]) -> DataFrame:
     """(c1, c2, f, keys): whole shingle sets of the wanted (c1, c2, f), read from the documents of f again."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    kind = docs.schema["doc_id"].dataType.simpleString()
     lists = wanted.groupBy(F.col("f.doc_id").alias("w_id"), F.col("f.h").alias("w_h")).agg(F.collect_set("f.line_no").alias("lines"))
-    held = named(docs, text).join(lists, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))).select("doc_id", "h", "lines", "text")
-
-    def wanted_lines(batches):
-        for batch, i, body in texts(batches):
-            numbers = set(batch.column("lines")[i].as_py())
-            for n, line in normal_lines(body):
-                if n in numbers:
-                    yield batch.column("doc_id")[i].as_py(), batch.column("h")[i].as_py(), n, line
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(wanted_lines(batches)):
-            lines = [x[-1] for x in part]
-            at, keys = ordered(lines, shared.value)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(lines)))]).astype(np.int32))
-            both = [line_class(line) for line in lines]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in part]).cast(id_type), *[pa.array([x[k] for x in part], t) for k, t in ((1, pa.int64()), (2, pa.int32()))],
-                 pa.array([c for c, _ in both], pa.int64()), pa.array([c for _, c in both], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(keys))],
-                ["doc_id", "h", "line_no", "c1", "c2", "keys"])
-
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    read = held.mapInArrow(run, f"doc_id {kind}, h bigint, line_no int, c1 bigint, c2 bigint, keys array<bigint>")
-    return read.select("c1", "c2", F.struct("doc_id", "h", "line_no").alias("f"), "keys").dropDuplicates(["c1", "c2"])
+    held = docs.select("doc_id", F.xxhash64(text).alias("h"), spaced(F.col(text)).alias("t")).join(
+        lists, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h")))
+    each = held.select("doc_id", "h", "lines", F.posexplode(F.split("t", "\n")).alias("line_no", "raw")).where(F.array_contains("lines", F.col("line_no")))
+    named = each.select(F.struct("doc_id", "h", "line_no").alias("f"), F.trim("raw").alias("line"))
+    split = bound(named, "w", line_words(F.col("line")))
+    return split.select(*class_keys(F.col("line")), "f", ordered_shingles(F.col("w"), frequent).alias("keys")).dropDuplicates(["c1", "c2"])
 
 
 def close_sizes(x: Column, y: Column) -> Column:
@@ -248,7 +141,7 @@ def overlap(x: Column, y: Column) -> Column:
 
 def later_matches(docs: DataFrame, first: DataFrame, text: str = "text") -> DataFrame:
     """(c1, c2) of the classes of which an earlier, different class is a match; ``first`` holds (c1, c2, f)."""
-    frequent = frequent_shingles(docs, text)
+    frequent = rarity(docs, text)
     one = prefixes(docs, text, frequent).groupBy("c1", "c2").agg(F.any_value("size").alias("size"), F.any_value("keys").alias("keys"))
     rows = one.select("c1", "size", F.posexplode("keys").alias("pos", "key"))
     per_key = Window.partitionBy("key")
@@ -283,7 +176,7 @@ def later_matches(docs: DataFrame, first: DataFrame, text: str = "text") -> Data
 
 def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, h, removed): sorted numbers of the removed lines of each document that loses any."""
-    lines = through_parquet(lines_of(docs, text), "lines")
+    lines = through_parquet(lines_of(docs, text).select("doc_id", "h", "line_no", *class_keys(F.col("line"))), "lines")
     first = through_parquet(lines.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "h", "line_no")).alias("f")), "first-lines")
     late = later_matches(docs, first, text).withColumn("late", F.lit(True))
     judged = lines.join(first.join(late, ["c1", "c2"], "left"), ["c1", "c2"])
