@@ -367,6 +367,10 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+# texts encoded at once; their ids and decoded texts are what a worker holds besides its batch
+ENCODE_ROWS = 500
+
+
 def encode_decode(docs: DataFrame, model: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids, decoded) per row: ids with an end id only, and the text that they decode to.
 
@@ -378,7 +382,7 @@ def encode_decode(docs: DataFrame, model: str | None = None, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = piece_table(model or default_model())
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, ENCODE_ROWS):
                 ids = enc.encode_array(pc.fill_null(part.column(1), ""))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, enc.decode_array(ids)], names=[key, "ids", "decoded"])
 
