@@ -239,5 +239,5 @@ def test_toxicity_held_out(docs, odd, empty, spark):
 
 
 def test_queries_have_contract_names():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
