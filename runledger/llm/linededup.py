@@ -30,6 +30,8 @@ hashes, equal lines by 96 bits.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,13 +44,15 @@ RARITY_SLOTS = 1 << 14
 # classes that share a shingle up to which they are listed in pairs
 FEW = 32
 HASH_BITS = 48
-# runs of white space that are not one space already
+# runs of white space that are not one space already, and what every text with such a run contains
 ODD_GAP = r"[\t\r\f\x0B][ \t\r\f\x0B]*| [ \t\r\f\x0B]+"
+ODD_SIGNS = ["  ", "\t", "\r", "\f", "\x0b"]
 
 
 def spaced(text: Column) -> Column:
-    """The text with one space for every run of white space inside its lines."""
-    return F.regexp_replace(text, ODD_GAP, " ")
+    """The text with one space for every run of white space inside its lines; a plain search spares most texts the pattern."""
+    odd = reduce(Column.__or__, [F.contains(text, F.lit(sign)) for sign in ODD_SIGNS])
+    return F.when(odd, F.regexp_replace(text, ODD_GAP, " ")).otherwise(text)
 
 
 def line_words(line: Column) -> Column:
@@ -70,38 +74,33 @@ def shingle_hash(words: Column, at: Column) -> Column:
     return F.xxhash64(*[F.get(words, at + i) for i in range(SHINGLE)])
 
 
-def rarity(docs: DataFrame, text: str) -> list[list[int]]:
-    """Slots by frequency: list t holds the slots with at least 2 ** (t + 1) times the mean count of all lines' shingles.
+def rarity(docs: DataFrame, text: str) -> list[int]:
+    """Level of every slot: 0 up to twice the mean count of all lines' shingles, t from 2 ** t times the mean on.
 
-    A statistic of at most RARITY_SLOTS numbers, whatever the size of the data
-    (half of the slots at most reach twice the mean), which goes through the
-    driver to become part of the later plans.
+    A statistic of RARITY_SLOTS numbers, whatever the size of the data, which
+    goes through the driver to become part of the later plans.
     """
     words = bound(lines_of(docs, text).select("line"), "w", line_words(F.col("line")))
     each = words.select("w", F.posexplode("w").alias("at", "_w")).where(F.col("at") + SHINGLE <= F.size("w"))
     counts = each.groupBy(slot_of(shingle_hash(F.col("w"), F.col("at"))).alias("slot")).count()
     level = F.floor(F.log2(F.col("count") / F.sum("count").over(Window.partitionBy()) * RARITY_SLOTS))
-    found = counts.select("slot", level.alias("level")).where("level >= 1").collect()
-    top = max((r["level"] for r in found), default=0)
-    return [sorted(r["slot"] for r in found if r["level"] > t) for t in range(top)]
+    levels = [0] * RARITY_SLOTS
+    for r in counts.select("slot", level.alias("level")).where("level >= 1").collect():
+        levels[r["slot"]] = r["level"]
+    return levels
 
 
 def slot_of(h: Column) -> Column:
     return h.bitwiseAND(F.lit(RARITY_SLOTS - 1))
 
 
-def ordered_shingles(words: Column, frequent: list[list[int]]) -> Column:
+def ordered_shingles(words: Column, levels: list[int]) -> Column:
     """Distinct shingles of a line as (frequency, hash) keys, rarest first."""
-    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: shingle_hash(words, i))
+    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
+    hashes = F.transform(F.slice(words, 1, F.size(words) - SHINGLE + 1), lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, SHINGLE)]))
     low = F.lit((1 << HASH_BITS) - 1)
-
-    def keyed(h: Column) -> Column:
-        key = h.bitwiseAND(low)
-        for slots in frequent:
-            key = key + F.when(slot_of(h).isin(slots), F.lit(1 << HASH_BITS)).otherwise(F.lit(0))
-        return key
-
-    return F.sort_array(F.array_distinct(F.transform(hashes, keyed) if frequent else F.transform(hashes, lambda h: h.bitwiseAND(low))))
+    keyed = F.transform(hashes, lambda h: h.bitwiseAND(low) + F.shiftleft(F.coalesce(F.get(table, slot_of(h).cast("int")), F.lit(0).cast("bigint")), HASH_BITS))
+    return F.sort_array(F.array_distinct(keyed))
 
 
 def worded(docs: DataFrame, text: str) -> DataFrame:
@@ -109,14 +108,14 @@ def worded(docs: DataFrame, text: str) -> DataFrame:
     return bound(lines_of(docs, text).select("line"), "w", line_words(F.col("line"))).where(F.size("w") >= SHINGLE)
 
 
-def prefixes(docs: DataFrame, text: str, frequent: list[list[int]]) -> DataFrame:
+def prefixes(docs: DataFrame, text: str, levels: list[int]) -> DataFrame:
     """(c1, c2, size, keys): the prefix of every line with enough words."""
-    placed = bound(worded(docs, text).select(*class_keys(F.col("line")), "w"), "keys", ordered_shingles(F.col("w"), frequent))
+    placed = bound(worded(docs, text).select(*class_keys(F.col("line")), "w"), "keys", ordered_shingles(F.col("w"), levels))
     s = F.size("keys")
     return placed.select("c1", "c2", s.alias("size"), F.slice("keys", 1, s - F.floor((4 * s + 4) / 5).cast("int") + 1).alias("keys"))
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, frequent: list[list[int]]) -> DataFrame:
+def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, levels: list[int]) -> DataFrame:
     """(c1, c2, f, keys): whole shingle sets of the wanted (c1, c2, f), read from the documents of f again."""
     lists = wanted.groupBy(F.col("f.doc_id").alias("w_id"), F.col("f.h").alias("w_h")).agg(F.collect_set("f.line_no").alias("lines"))
     held = docs.select("doc_id", F.xxhash64(text).alias("h"), spaced(F.col(text)).alias("t")).join(
@@ -124,7 +123,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, frequent: list[l
     each = held.select("doc_id", "h", "lines", F.posexplode(F.split("t", "\n")).alias("line_no", "raw")).where(F.array_contains("lines", F.col("line_no")))
     named = each.select(F.struct("doc_id", "h", "line_no").alias("f"), F.trim("raw").alias("line"))
     split = bound(named, "w", line_words(F.col("line")))
-    return split.select(*class_keys(F.col("line")), "f", ordered_shingles(F.col("w"), frequent).alias("keys")).dropDuplicates(["c1", "c2"])
+    return split.select(*class_keys(F.col("line")), "f", ordered_shingles(F.col("w"), levels).alias("keys")).dropDuplicates(["c1", "c2"])
 
 
 def close_sizes(x: Column, y: Column) -> Column:
@@ -141,8 +140,8 @@ def overlap(x: Column, y: Column) -> Column:
 
 def later_matches(docs: DataFrame, first: DataFrame, text: str = "text") -> DataFrame:
     """(c1, c2) of the classes of which an earlier, different class is a match; ``first`` holds (c1, c2, f)."""
-    frequent = rarity(docs, text)
-    one = prefixes(docs, text, frequent).groupBy("c1", "c2").agg(F.any_value("size").alias("size"), F.any_value("keys").alias("keys"))
+    levels = rarity(docs, text)
+    one = prefixes(docs, text, levels).groupBy("c1", "c2").agg(F.any_value("size").alias("size"), F.any_value("keys").alias("keys"))
     rows = one.select("c1", "size", F.posexplode("keys").alias("pos", "key"))
     per_key = Window.partitionBy("key")
     shared = rows.withColumns({"low": F.min("c1").over(per_key), "high": F.max("c1").over(per_key)}).where("low <> high")
@@ -159,7 +158,7 @@ def later_matches(docs: DataFrame, first: DataFrame, text: str = "text") -> Data
     pairs = through_parquet(x.join(y, meets).select(F.col("x.c1").alias("a"), F.col("y.c1").alias("b")).distinct(), "line-pairs")
     # whole shingle sets of the classes that meet another, from their first occurrences
     met = pairs.select(F.col("a").alias("c1")).union(pairs.select("b")).union(many.select("c1")).distinct()
-    sets = through_parquet(shingle_sets(docs, first.join(met, "c1"), text, frequent), "line-sets")
+    sets = through_parquet(shingle_sets(docs, first.join(met, "c1"), text, levels), "line-sets")
 
     side = lambda n: sets.select(F.col("c1").alias(n), F.col("c2").alias(f"{n}2"), F.col("f").alias(f"{n}f"), F.col("keys").alias(f"{n}k"))
     found = pairs.join(side("a"), "a").join(side("b"), "b").where(overlap(F.col("ak"), F.col("bk")))
