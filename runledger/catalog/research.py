@@ -16,11 +16,12 @@ FAMILY = ("E0", "E5")
 LEADER_SQL = "('E1', 'E2', 'E3', 'E4')"
 
 
-def task_scores(v):
-    """Task scores as the reports read them, written once per query (entrants x tasks rows)."""
+def task_scores(v, scores=None):
+    """Task scores as the reports read them, written once per query (entrants x tasks rows); from run scores where the report has them."""
     from runledger.functions.scoring import broke_baseline, compression_ratio, negative_score
 
-    results = pairs.task_results(task_cells(v), baselines(v)).join(classes(v).select("task_id", "category"), "task_id", "left")
+    cells = task_cells(v) if scores is None else pairs.task_cells(scores)
+    results = pairs.task_results(cells, baselines(v)).join(classes(v).select("task_id", "category"), "task_id", "left")
     base_pass = F.col("baseline_tokens") >= 52000
     return through_parquet(results.select(
         F.col("hotkey").alias("entrant"), "hotkey", "task_id", "task_name",
@@ -31,8 +32,8 @@ def task_scores(v):
         negative_score("score").alias("negative_score")), "task-scores")
 
 
-def run_rows(v):
-    runs = run_scores(v).join(classes(v).select("task_id", "category"), "task_id", "left")
+def run_rows(v, scores=None):
+    runs = (run_scores(v) if scores is None else scores).join(classes(v).select("task_id", "category"), "task_id", "left")
     return runs.select(
         F.col("hotkey").alias("entrant"), "hotkey", "task_id", "task_name",
         F.when(F.col("is_screener"), "screener").otherwise(F.col("category")).alias("category"), "attempt_no", "run_id",
@@ -190,8 +191,10 @@ def agg23(v):
     LEFT JOIN e ON e.category = t.category LEFT JOIN neg ON neg.category = t.category LEFT JOIN sh ON sh.category = t.category
     GROUP BY t.category, t.tasks""")
 def agg25(v):
-    ts = task_scores(v)
-    gap = R.category_gap(ts, run_rows_written(v), shared(ts), FOCAL, LEADERS)
+    # runs are scored once; cells and run rows both come from the written scores
+    scores = through_parquet(run_scores(v), "run-scores")
+    ts = task_scores(v, scores)
+    gap = R.category_gap(ts, run_rows(v, scores), shared(ts), FOCAL, LEADERS)
     return rounded(gap.select("category", "tasks", "score_gap", "focal_ratio", "leader_ratio", "focal_neg_rate", "leader_neg_rate",
                               "focal_broke", "leader_broke", "shared_tasks", "shared_gap"),
                    "score_gap", "focal_ratio", "leader_ratio", "focal_neg_rate", "leader_neg_rate", "shared_gap")

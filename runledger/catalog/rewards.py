@@ -56,7 +56,6 @@ def win6(v):
            round(raw_weight * (1 - (SELECT burn_ratio FROM ({BURN_SQL}))) / (SELECT sum(raw_weight) FROM raw), 6) AS final_weight
     FROM raw""")
 def agg8(v):
-    v = v.settled()
     out = reward_round.build(v.tasks, v.runs, v.validations, v.entrants, v.burns, exclude_banned=False)
     return rounded(out.select("hotkey", "raw_weight", "final_weight"), "raw_weight", "final_weight")
 

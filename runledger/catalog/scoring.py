@@ -11,21 +11,19 @@ from runledger.plans import leaderboard
 
 
 def run_scores(v):
-    v = v.settled()
-    return pairs.run_scores(v.tasks, v.runs, v.validations, v.entrants)
+    return pairs.judged_run_scores(v.tasks, v.judged, v.entrants)
 
 
 def task_cells(v):
-    v = v.settled()
-    return pairs.scored_cells(v.tasks, v.runs, v.validations, v.entrants)
+    return pairs.scored_cells(v.tasks, v.judged, v.entrants)
 
 
 def baselines(v):
-    return pairs.baseline_summary(v.runs, v.validations)
+    return pairs.judged_baselines(v.judged)
 
 
 def classes(v):
-    return difficulty.task_difficulty(v.tasks, v.runs, v.validations)
+    return v.classes
 
 
 PAIR_COLS = ["baseline_run_id", "run_id"]
@@ -198,7 +196,7 @@ def agg4(v):
 @query("agg5_difficulty_inputs", """
     SELECT task_name, round(loss_ratio, 6) AS loss_ratio, round(avg_tokens, 6) AS avg_tokens FROM fx_difficulty""")
 def agg5(v):
-    return rounded(difficulty.difficulty_inputs(v.tasks, v.runs, v.validations).select(
+    return rounded(difficulty.difficulty_inputs(v.tasks, v.judged).select(
         "task_name", "loss_ratio", "avg_tokens"), "loss_ratio", "avg_tokens")
 
 
@@ -206,7 +204,7 @@ def agg5(v):
     SELECT task_name, round(token_score, 6) AS token_score, round(difficulty_score, 6) AS difficulty_score
     FROM fx_difficulty""")
 def win5(v):
-    inputs = difficulty.difficulty_inputs(v.tasks, v.runs, v.validations)
+    inputs = difficulty.difficulty_inputs(v.tasks, v.judged)
     return rounded(difficulty.difficulty_score(inputs).select("task_name", "token_score", "difficulty_score"),
                    "token_score", "difficulty_score")
 
@@ -271,7 +269,6 @@ ELIGIBLE_SQL = """
                      FROM ({CATEGORY_SQL}) GROUP BY hotkey) c ON c.hotkey = t.hotkey
           LEFT JOIN ({ELIGIBLE_SQL}) e ON e.hotkey = t.hotkey)""")
 def top1(v):
-    v = v.settled()
     board = leaderboard.build(v.tasks, v.runs, v.validations, v.entrants)
     return rounded(board.select("position", "hotkey", "total_score", "screener_score", "easy", "medium", "hard",
                                 "screener_passed", "total_rows"),

@@ -20,12 +20,12 @@ STATS_SQL = """
 
 @query("agg13_screener_task_stats", STATS_SQL)
 def agg13(v):
-    return screening.screener_task_stats(v.tasks, v.runs, v.validations)
+    return screening.screener_task_stats(v.tasks, v.judged)
 
 
 @query("agg14_screener_eligible", f"SELECT hotkey, resolved_tasks FROM ({ELIGIBLE_SQL})")
 def agg14(v):
-    return screening.screener_eligible(v.tasks, v.runs, v.validations, v.entrants).select("hotkey", "resolved_tasks")
+    return screening.screener_eligible(v.tasks, v.judged, v.entrants).select("hotkey", "resolved_tasks")
 
 
 def scripts(v):

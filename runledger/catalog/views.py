@@ -13,6 +13,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from runledger.operators.difficulty import task_difficulty
+from runledger.operators.pairs import judged_runs_written
 from runledger.scale import positions
 from runledger.session import spread, through_parquet
 
@@ -293,6 +295,16 @@ class Views:
             "CASE WHEN l_quantity > 10 THEN l_shipdate + make_interval(0, 0, 0, 0, cast(l_quantity AS int)) END "
             "AS claim_expires_at")
 
+    @cached_property
+    def judged(self) -> DataFrame:
+        """Runs with their verdicts, written once per query."""
+        return judged_runs_written(self.runs, self.validations)
+
+    @cached_property
+    def classes(self) -> DataFrame:
+        """Difficulty classes (one row per task), written once per query."""
+        return through_parquet(task_difficulty(self.tasks, self.judged), "task-classes")
+
     @cached_property
     def entrants(self) -> DataFrame:
         i = F.col("id")

@@ -14,12 +14,14 @@ TOKEN_WEIGHT = 0.25
 CATEGORIES = ("Hard", "Medium", "Easy")
 
 
-def difficulty_inputs(tasks: DataFrame, runs: DataFrame, validations: DataFrame) -> DataFrame:
-    """Loss ratio over known baseline verdicts and mean baseline tokens; tasks without a verdict drop out."""
-    judged = runs.where("baseline_run").join(validations.select("run_id", "resolved"), "run_id", "left")
-    inputs = judged.groupBy("task_id").agg(
-        (F.lit(1.0) - F.avg(F.col("resolved").cast("int"))).alias("loss_ratio"),
-        F.coalesce(F.avg("tokens_used"), F.lit(0.0)).alias("avg_tokens"))
+def difficulty_inputs(tasks: DataFrame, judged: DataFrame) -> DataFrame:
+    """Loss ratio over known baseline verdicts and mean baseline tokens, once per verdict row; tasks without a verdict drop out."""
+    rows = F.greatest("n_verdicts", F.lit(1))
+    zero = F.lit(0)
+    inputs = judged.where("baseline_run").groupBy("task_id").agg(
+        (F.lit(1.0) - F.sum("v_pass") / F.nullif(F.sum(F.col("v_pass") + F.col("v_fail")), zero)).alias("loss_ratio"),
+        F.coalesce(F.sum(F.col("tokens_used") * rows) / F.nullif(F.sum(F.when(F.col("tokens_used").isNotNull(), rows)), zero),
+                   F.lit(0.0)).alias("avg_tokens"))
     return inputs.where("loss_ratio IS NOT NULL").join(tasks.select("task_id", "task_name"), "task_id")
 
 
@@ -46,8 +48,8 @@ def assign_difficulty(scores: DataFrame) -> DataFrame:
     return placed.select(*scores.columns, F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), third.cast("int")).alias("category"))
 
 
-def task_difficulty(tasks: DataFrame, runs: DataFrame, validations: DataFrame) -> DataFrame:
-    return assign_difficulty(difficulty_score(difficulty_inputs(tasks, runs, validations)))
+def task_difficulty(tasks: DataFrame, judged: DataFrame) -> DataFrame:
+    return assign_difficulty(difficulty_score(difficulty_inputs(tasks, judged)))
 
 
 def with_category(scores: DataFrame, difficulty: DataFrame, how: str = "left") -> DataFrame:

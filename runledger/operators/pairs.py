@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from runledger.functions.scoring import LOG_RATIO_LIMIT, OUTCOMES, adjust_score, pair_score
 from runledger.scale import attach_facts, salt_count
+from runledger.session import through_parquet
 
 # Buckets per unit of ln(tokens); a bucket is the unit of work of the prefix sum.
 BUCKETS_PER_LOG = 256
@@ -61,41 +62,58 @@ def pair_scores(pairs: DataFrame) -> DataFrame:
         "baseline_resolved", "run_resolved", "baseline_tokens", "run_tokens"))
 
 
-def baseline_summary(runs: DataFrame, validations: DataFrame) -> DataFrame:
+def judged_runs(runs: DataFrame, validations: DataFrame) -> DataFrame:
+    """Every run (unique run_id) with its latest verdict and counts of its verdict rows.
+
+    The one join of runs and verdicts behind run scores, cells, baselines,
+    difficulty and screening; jobs that need several of them write it once.
+    A run without a verdict row stays, pending, with counts of 0; verdicts
+    without a ``scored_at`` column count as not scored.
+    """
+    scored = F.col("scored_at").isNotNull() if "scored_at" in validations.columns else F.lit(False)
+    counts = {"n_verdicts": F.count(F.lit(1)), "v_pass": F.count_if(F.col("resolved")), "v_fail": F.count_if(~F.col("resolved")),
+              "n_scored": F.count_if(scored), "n_scored_pass": F.count_if(F.coalesce("resolved", F.lit(False)) & scored)}
+    verdicts = validations.groupBy("run_id").agg(
+        F.max_by("resolved", "validation_id").alias("run_resolved"), *[c.alias(n) for n, c in counts.items()])
+    cols = ["run_id", "task_id", "entrant_id", "attempt_no", "tokens_used", "baseline_run"]
+    return runs.select(*cols).join(verdicts, "run_id", "left").select(
+        *cols, "run_resolved", *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in counts])
+
+
+def judged_runs_written(runs: DataFrame, validations: DataFrame) -> DataFrame:
+    return through_parquet(judged_runs(runs, validations), "judged-runs")
+
+
+def judged_baselines(judged: DataFrame) -> DataFrame:
     """Per task: number of baselines, unanimous verdict or null, mean and sum of token counts.
 
     With several verdict rows per baseline the latest validation id counts.
     """
-    latest = validations.groupBy("run_id").agg(F.max_by("resolved", "validation_id").alias("resolved"))
-    judged = runs.where("baseline_run").join(latest, "run_id", "left")
-    return judged.groupBy("task_id").agg(
+    verdict = F.col("run_resolved")
+    return judged.where("baseline_run").groupBy("task_id").agg(
         F.count(F.lit(1)).alias("n_baselines"),
-        F.when((F.count("resolved") == F.count(F.lit(1))) & (F.min("resolved") == F.max("resolved")),
-               F.min("resolved")).alias("baseline_pass"),
+        F.when((F.count(verdict) == F.count(F.lit(1))) & (F.min(verdict) == F.max(verdict)), F.min(verdict)).alias("baseline_pass"),
         F.avg("tokens_used").alias("baseline_tokens"),
         F.sum(F.when(F.col("tokens_used") > 0, F.col("tokens_used"))).alias("baseline_token_sum"))
 
 
-def _judged_entrant_runs(runs: DataFrame, validations: DataFrame, entrants: DataFrame, exclude_banned: bool) -> DataFrame:
-    """Entrant runs with their latest verdict and the number of verdict rows of each kind."""
+def baseline_summary(runs: DataFrame, validations: DataFrame) -> DataFrame:
+    """``judged_baselines`` straight from runs and verdicts."""
+    return judged_baselines(judged_runs(runs.where("baseline_run"), validations))
+
+
+def _entrant_runs(judged: DataFrame, entrants: DataFrame, exclude_banned: bool) -> DataFrame:
     if exclude_banned:
         entrants = entrants.where(~F.col("banned"))
-    judged = runs.where(~F.col("baseline_run")).join(
-        validations.select("run_id", "validation_id", "resolved"), "run_id", "left")
-    return (
-        judged.groupBy("run_id", "task_id", "entrant_id", "attempt_no", "tokens_used")
-        .agg(F.max_by("resolved", "validation_id").alias("run_resolved"),
-             F.count_if(F.col("resolved")).alias("v_pass"), F.count_if(~F.col("resolved")).alias("v_fail"))
-        .join(entrants.select("entrant_id", "hotkey", "banned"), "entrant_id"))
+    return judged.where(~F.col("baseline_run")).join(entrants.select("entrant_id", "hotkey", "banned"), "entrant_id")
 
 
-def _baseline_points(runs: DataFrame, validations: DataFrame) -> DataFrame:
+def _baseline_points(judged: DataFrame) -> DataFrame:
     """Baselines of a task by token count: how many verdicts of each kind, and where they lie on the log axis."""
-    judged = runs.where("baseline_run").join(validations.select("run_id", "resolved"), "run_id", "left")
     x = F.ln(F.col("tokens").cast("double"))
-    return judged.groupBy("task_id", F.when(F.col("tokens_used") > 0, F.col("tokens_used")).alias("tokens")).agg(
-        F.count_if(F.col("resolved")).alias("n_pass"), F.count_if(~F.col("resolved")).alias("n_fail")).select(
-        "task_id", x.alias("x"), F.floor(x * BUCKETS_PER_LOG).alias("bucket"), "n_pass", "n_fail")
+    points = judged.where("baseline_run").groupBy("task_id", F.when(F.col("tokens_used") > 0, F.col("tokens_used")).alias("tokens")).agg(
+        F.sum("v_pass").alias("n_pass"), F.sum("v_fail").alias("n_fail"))
+    return through_parquet(points.select("task_id", x.alias("x"), F.floor(x * BUCKETS_PER_LOG).alias("bucket"), "n_pass", "n_fail"), "baseline-points")
 
 
 def _profile(points: DataFrame, per_task: DataFrame) -> DataFrame:
@@ -150,7 +168,8 @@ def _against_baselines(points: DataFrame, groups: DataFrame) -> DataFrame:
         F.sum(F.when(usable, F.col("n_fail")).otherwise(zero)).alias("with_fail"),
         (F.coalesce(F.min("bucket"), zero) - 1).alias("first_bucket"),
         (F.coalesce(F.max("bucket"), zero) + 1).alias("last_bucket"))
-    profile = _profile(points, per_task)
+    # read at both edges
+    profile = through_parquet(_profile(points, per_task), "baseline-profile")
 
     def at(edge: Column) -> Column:
         # an edge outside the span of the baselines reads the state at the end of the span
@@ -186,31 +205,35 @@ def _against_baselines(points: DataFrame, groups: DataFrame) -> DataFrame:
     return placed.select(*groups.columns, score.alias("run_score"))
 
 
-def run_scores(tasks: DataFrame, runs: DataFrame, validations: DataFrame, entrants: DataFrame,
-               exclude_banned: bool = False) -> DataFrame:
+def judged_run_scores(tasks: DataFrame, judged: DataFrame, entrants: DataFrame, exclude_banned: bool = False) -> DataFrame:
     """Mean pair score of every entrant run over the baselines of its task.
 
     One row per run of a task that has baselines; the score is null while
     no pair has both verdicts. Several verdict rows of one run average over
     all pairs they form, and the verdict shown is the latest.
     """
-    mine = _judged_entrant_runs(runs, validations, entrants, exclude_banned)
+    mine = _entrant_runs(judged, entrants, exclude_banned)
     kinds = ["task_id", "tokens_used", "v_pass", "v_fail"]
     groups = mine.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n_runs"))
-    facts = _against_baselines(_baseline_points(runs, validations), groups)
-    scored = attach_facts(mine, facts, kinds, "n_runs", sizes=groups, how="inner")
+    facts = through_parquet(_against_baselines(_baseline_points(judged), groups), "run-kinds")
+    scored = attach_facts(mine, facts, kinds, "n_runs", how="inner")
     return scored.join(tasks.select("task_id", "task_name", "competition_id", "is_screener"), "task_id").select(
         "entrant_id", "hotkey", "banned", "task_id", "task_name", "competition_id", "is_screener", "run_id",
         "attempt_no", "run_resolved", F.col("tokens_used").alias("run_tokens"), "run_score")
 
 
-def scored_cells(tasks: DataFrame, runs: DataFrame, validations: DataFrame, entrants: DataFrame,
-                 exclude_banned: bool = False) -> DataFrame:
-    """`task_cells` straight from the run table: equal runs are counted first, so no run is ever scored twice."""
-    mine = _judged_entrant_runs(runs, validations, entrants, exclude_banned)
+def run_scores(tasks: DataFrame, runs: DataFrame, validations: DataFrame, entrants: DataFrame,
+               exclude_banned: bool = False) -> DataFrame:
+    """``judged_run_scores`` straight from runs and verdicts, whose join is written once."""
+    return judged_run_scores(tasks, judged_runs_written(runs, validations), entrants, exclude_banned)
+
+
+def scored_cells(tasks: DataFrame, judged: DataFrame, entrants: DataFrame, exclude_banned: bool = False) -> DataFrame:
+    """`task_cells` straight from the judged runs: equal runs are counted first, so no run is ever scored twice."""
+    mine = _entrant_runs(judged, entrants, exclude_banned)
     groups = mine.groupBy("entrant_id", "hotkey", "task_id", "tokens_used", "run_resolved", "v_pass", "v_fail").agg(
         F.count(F.lit(1)).alias("n_runs"))
-    scored = _against_baselines(_baseline_points(runs, validations), groups)
+    scored = _against_baselines(_baseline_points(judged), groups)
     n = F.col("n_runs")
     known = F.col("run_score").isNotNull()
     tokens = F.col("tokens_used")

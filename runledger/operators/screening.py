@@ -15,23 +15,17 @@ def required_passes(n: Column, ratio: float, minimum: int) -> Column:
     return F.when(n <= 0, F.lit(0)).otherwise(F.least(n.cast("int"), needed))
 
 
-def screener_task_stats(tasks: DataFrame, runs: DataFrame, validations: DataFrame) -> DataFrame:
+def screener_task_stats(tasks: DataFrame, judged: DataFrame) -> DataFrame:
     """Scored and resolved verdicts per (competition, entrant, screener task)."""
     screeners = tasks.where("is_screener").select("task_id", "competition_id")
-    judged = (
-        runs.where("NOT baseline_run AND entrant_id IS NOT NULL").select("run_id", "task_id", "entrant_id")
-        .join(screeners, "task_id")
-        .join(validations.select("run_id", "resolved", "scored_at"), "run_id"))
-    scored = F.col("scored_at").isNotNull()
-    return judged.groupBy("competition_id", "entrant_id", "task_id").agg(
-        F.count_if(scored).alias("total_scored"),
-        F.count_if(F.coalesce("resolved", F.lit(False)) & scored).alias("resolved_count"))
+    mine = judged.where("NOT baseline_run AND entrant_id IS NOT NULL AND n_verdicts > 0").join(screeners, "task_id")
+    return mine.groupBy("competition_id", "entrant_id", "task_id").agg(
+        F.sum("n_scored").alias("total_scored"), F.sum("n_scored_pass").alias("resolved_count"))
 
 
-def screener_eligible(tasks: DataFrame, runs: DataFrame, validations: DataFrame, entrants: DataFrame,
-                      min_resolved: int = 4) -> DataFrame:
+def screener_eligible(tasks: DataFrame, judged: DataFrame, entrants: DataFrame, min_resolved: int = 4) -> DataFrame:
     """Entrants, not banned, with at least ``min_resolved`` tasks solved in 3/5 of the scored runs."""
-    stats = screener_task_stats(tasks, runs, validations)
+    stats = screener_task_stats(tasks, judged)
     # 5 * resolved >= 3 * scored is the 3/5 rule without rounding error
     solved = (F.col("total_scored") > 0) & (5 * F.col("resolved_count") >= 3 * F.col("total_scored"))
     return (

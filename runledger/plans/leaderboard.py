@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from runledger.functions.scoring import adjust_score
 from runledger.operators import boards, difficulty, pairs, screening
+from runledger.session import through_parquet
 
 
 def build(tasks: DataFrame, runs: DataFrame, validations: DataFrame, entrants: DataFrame,
           min_resolved: int = 4, number: int = 1, size: int = 100) -> DataFrame:
-    cells = pairs.scored_cells(tasks, runs, validations, entrants)
-    classes = difficulty.task_difficulty(tasks, runs, validations).select("task_id", "category")
-    facts = pairs.baseline_summary(runs, validations).select("task_id", "baseline_token_sum").join(
+    # everything below comes from one join of runs and verdicts
+    judged = pairs.judged_runs_written(runs, validations)
+    cells = pairs.scored_cells(tasks, judged, entrants)
+    # one row per task, read twice
+    classes = through_parquet(difficulty.task_difficulty(tasks, judged).select("task_id", "category"), "task-classes")
+    facts = pairs.judged_baselines(judged).select("task_id", "baseline_token_sum").join(
         classes, "task_id", "left")
     needed = classes.agg(F.count(F.lit(1)).alias("n_required"))
     task_score = F.when(F.col("n_scored") > 0, pairs.mean_score())
@@ -27,8 +31,9 @@ def build(tasks: DataFrame, runs: DataFrame, validations: DataFrame, entrants: D
         .crossJoin(F.broadcast(needed)))
     totals = totals.withColumns({
         c.lower(): F.when(F.col("_have") == F.col("n_required"), F.col(f"_{c.lower()}")) for c in difficulty.CATEGORIES})
-    passed = screening.screener_eligible(tasks, runs, validations, entrants, min_resolved).select(
+    passed = screening.screener_eligible(tasks, judged, entrants, min_resolved).select(
         "entrant_id", F.lit(True).alias("screener_passed"))
     board = totals.join(passed, "entrant_id", "left").withColumn(
         "screener_passed", F.coalesce("screener_passed", F.lit(False)))
-    return boards.leaderboard(board, number, size)
+    # one row per entrant, read for the page and for the total
+    return boards.leaderboard(through_parquet(board, "board"), number, size)

@@ -14,8 +14,9 @@ def build(tasks: DataFrame, runs: DataFrame, validations: DataFrame, entrants: D
     """Candidate weights of a round under the current burn ratio."""
     if competition_id is not None:
         tasks = tasks.where(F.col("competition_id") == competition_id)
-    cells = pairs.scored_cells(tasks, runs, validations, entrants, exclude_banned)
-    classes = difficulty.task_difficulty(tasks, runs, validations)
+    judged = pairs.judged_runs_written(runs, validations)
+    cells = pairs.scored_cells(tasks, judged, entrants, exclude_banned)
+    classes = difficulty.task_difficulty(tasks, judged)
     # one row per entrant and class; read several times below, so written once
     category = through_parquet(difficulty.category_scores(cells, classes), "category-scores")
     scores = rewards.subset_scores(category)
