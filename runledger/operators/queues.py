@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.scale import keep_first, positions
+from runledger.session import through_parquet
+
+# Look-ups (instants times levels, three short values each) that an interval join sends to every task.
+SENT_LOOKUPS = 250_000
 
 
 def latest_scripts(uploads: DataFrame, keys: tuple[str, ...] = ("entrant_id",)) -> DataFrame:
@@ -132,22 +136,23 @@ def dyadic_cells(low: Column, high: Column, levels: int) -> Column:
 
     At most two cells of each level; the last level takes what is left.
     """
-    start = F.struct(low.alias("a"), (high + 1).alias("b"), F.array().cast("array<struct<level:int,cell:bigint>>").alias("cells"))
+    past = high + 1
 
-    def step(acc: Column, level: Column) -> Column:
-        a, b, last = acc["a"], acc["b"], level == levels
-        cell = lambda n: F.array(F.struct(level.cast("int").alias("level"), n.alias("cell")))
-        none = F.array().cast("array<struct<level:int,cell:bigint>>")
-        left = (a < b) & (a % 2 != 0)
-        a2 = a + F.when(left, 1).otherwise(0)
-        right = (a2 < b) & (b % 2 != 0)
-        rest = F.transform(F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>")), lambda n: F.struct(
-            level.cast("int").alias("level"), n.alias("cell")))
-        two = F.concat(F.when(left, cell(a)).otherwise(none), F.when(right, cell(b - 1)).otherwise(none))
-        return F.struct(F.floor(a2 / 2).alias("a"), F.floor((b - F.when(right, 1).otherwise(0)) / 2).alias("b"),
-                        F.concat(acc["cells"], F.when(last, rest).otherwise(two)).alias("cells"))
+    def cell(level: int, n: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), n.cast("long").alias("cell"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step, lambda acc: acc["cells"])
+    def from_to(level: int) -> tuple[Column, Column]:
+        # first whole cell of the level and the one after the last
+        return F.shiftright((low + (2**level - 1)).cast("long"), level), F.shiftright(past.cast("long"), level)
+
+    some = []
+    for level in range(levels):
+        a, b = from_to(level)
+        left = (a < b) & (a % 2 != 0)
+        some += [F.when(left, cell(level, a)), F.when((F.when(left, a + 1).otherwise(a) < b) & (b % 2 != 0), cell(level, b - 1))]
+    a, b = from_to(levels)
+    rest = F.transform(F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>")), lambda n: cell(levels, n))
+    return F.concat(F.array_compact(F.array(*some)), rest) if some else rest
 
 
 def valid_at(instants: DataFrame, intervals: DataFrame, ts: str, start: str = "starts_at", end: str = "ends_at") -> DataFrame:
@@ -158,17 +163,25 @@ def valid_at(instants: DataFrame, intervals: DataFrame, ts: str, start: str = "s
     level of the longest interval. Cells of a pair are equal exactly where
     the interval covers the instant's second, so the equi join produces
     results only (times within the first and last second are tested).
+    Up to ``SENT_LOOKUPS`` look-ups are sent to every task and no interval
+    moves; more of them meet the cells in a shuffle.
     """
     second = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000)
     proper = intervals.where(F.col(start) <= F.col(end))
     longest = proper.agg(F.max(second(end) - second(start) + 1)).first()[0] or 1
     levels = max(0, int(longest).bit_length() - 1)
-    cut = proper.withColumn("_c", F.explode(dyadic_cells(second(start), second(end), levels))).select(
+    # the cells read both seconds many times over
+    seconds = proper.withColumns({"_low": second(start), "_high": second(end)})
+    cut = seconds.withColumn("_c", F.explode(dyadic_cells(F.col("_low"), F.col("_high"), levels))).select(
         *intervals.columns, F.col("_c.level").alias("_level"), F.col("_c.cell").alias("_cell"))
     looked_up = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(
         k.alias("level"), F.floor(second(ts) / F.pow(F.lit(2.0), k)).alias("cell")))
-    probed = instants.withColumn("_c", F.explode(looked_up)).select(*instants.columns, F.col("_c.level").alias("_level"), F.col("_c.cell").alias("_cell"))
-    return probed.join(cut, ["_level", "_cell"]).where((F.col(ts) >= F.col(start)) & (F.col(ts) <= F.col(end))).drop("_level", "_cell")
+    asked = through_parquet(instants, "instants")
+    probed = asked.withColumn("_c", F.explode(looked_up)).select(*instants.columns, F.col("_c.level").alias("_level"), F.col("_c.cell").alias("_cell"))
+    # Spark's size checks count a row once, not its cells: it would send all cells of a small-looking interval table through the driver
+    few = asked.count() * (levels + 1) <= SENT_LOOKUPS
+    return (F.broadcast(probed) if few else probed.hint("merge")).join(cut, ["_level", "_cell"]).where(
+        (F.col(ts) >= F.col(start)) & (F.col(ts) <= F.col(end))).drop("_level", "_cell")
 
 
 def previous_competition(comps: DataFrame) -> DataFrame:

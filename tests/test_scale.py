@@ -116,6 +116,23 @@ def test_interval_join_equals_range_join(spark):
     assert queues.valid_at(a, b.limit(0), "ts").count() == 0
 
 
+def test_no_interval_is_broadcast(spark, monkeypatch, capsys):
+    day = F.lit("2024-03-01").cast("timestamp")
+    a = spark.range(40).select("id", (day + F.make_dt_interval(F.col("id").cast("int"))).alias("ts"))
+    b = spark.range(2000).select(F.col("id").alias("i"), (day + F.make_dt_interval((F.col("id") % 30).cast("int"))).alias("starts_at"))
+    b = b.withColumn("ends_at", F.col("starts_at") + F.make_dt_interval(F.lit(14)))
+    few = queues.valid_at(a, b, "ts")
+    few.explain()
+    plan = capsys.readouterr().out
+    # the look-ups are the side that is sent, whatever the size checks say
+    assert "BroadcastHashJoin" in plan and ("BuildLeft" in plan) and ("BuildRight" not in plan)
+    monkeypatch.setattr(queues, "SENT_LOOKUPS", 100)
+    many = queues.valid_at(a, b, "ts")
+    many.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    assert few.count() > 20_000 and same(few, many)
+
+
 def test_interval_cells_are_few_and_exact(spark):
     df = spark.createDataFrame([(3, 1000), (-7, 9), (8, 15), (5, 5), (0, 2**21 - 2)], "a long, b long").withColumn("c", queues.dyadic_cells(F.col("a"), F.col("b"), 20))
     for r in df.collect():
