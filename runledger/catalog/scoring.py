@@ -138,12 +138,7 @@ def joi1(v):
     SELECT task_id, hotkey, count(*) AS n_pairs, count(DISTINCT run_id) AS n_runs, count(DISTINCT baseline_run_id) AS n_base
     FROM fx_pairs WHERE NOT banned AND competition_id = 1 GROUP BY task_id, hotkey""")
 def joi2(v):
-    p = pairs.run_pairs(v.tasks, v.runs, v.validations, v.entrants, exclude_banned=True, competition_id=1)
-    # distinct ids by two-step grouping: per (group, run), then per group
-    per_run = p.groupBy("task_id", "hotkey", "run_id").agg(F.count(F.lit(1)).alias("n"))
-    n_base = v.runs.where("baseline_run").groupBy("task_id").agg(F.count(F.lit(1)).alias("n_base"))
-    return per_run.groupBy("task_id", "hotkey").agg(
-        F.sum("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_runs")).join(n_base, "task_id")
+    return pairs.pair_counts(v.tasks, v.runs, v.validations, v.entrants, exclude_banned=True, competition_id=1)
 
 
 @query("agg1_run_scores", """

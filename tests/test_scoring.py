@@ -103,6 +103,29 @@ def test_run_scores_equal_the_pair_means(spark, sf_dir):
     assert both.where("NOT (run_score <=> slow) AND (abs(run_score - slow) > 1e-9 OR run_score IS NULL OR slow IS NULL)").count() == 0
 
 
+def test_pair_counts_equal_the_pairs_and_make_none(spark, sf_dir, monkeypatch):
+    from runledger.catalog import scoring
+    from runledger.catalog.views import Views
+
+    def counts(p):
+        return p.groupBy("task_id", "hotkey").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("run_id").alias("n_runs"),
+                                                  F.countDistinct("baseline_run_id").alias("n_base"))
+
+    def rows(df):
+        return sorted(map(tuple, df.select("task_id", "hotkey", "n_pairs", "n_runs", "n_base").collect()))
+
+    v = Views(spark, sf_dir).settled()
+    # some runs have several verdicts, some none
+    verdicts = v.validations.withColumn("n", F.explode(F.sequence(F.lit(0), (F.col("run_id") % 3).cast("int")))).where("n > 0 OR run_id % 4 = 0")
+    verdicts = verdicts.withColumn("validation_id", F.col("validation_id") * 10 + F.col("n")).drop("n")
+    args = (v.tasks, v.runs, verdicts, v.entrants, True, ["E1", "E4", "E7"], 1)
+    want = rows(counts(pairs.run_pairs(*args)))
+    assert want and rows(pairs.pair_counts(*args)) == want
+    # the query itself does not expand pairs
+    monkeypatch.setattr(pairs, "run_pairs", None)
+    assert scoring.joi2(v).count() > 0
+
+
 def test_duplicate_verdicts_add_pairs(spark):
     tasks = spark.createDataFrame([(1, "t", 0, False, 1)], "task_id long, task_name string, competition_id long, is_screener boolean, planned_repeats int")
     runs = spark.createDataFrame([(1, 1, 0, 1, 100, True), (2, 1, 1, 1, 50, False)],
