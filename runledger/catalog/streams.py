@@ -14,7 +14,7 @@ from runledger.streaming.tables import AppendTable, FoldedTable, drain
 
 PARTS = 3
 # rows arrive up to a day early or late; streams wait for three days
-JITTER_DAYS, LATE = 1, "3 days"
+JITTER_DAYS, LATE, LATE_SECONDS = 1, "3 days", 3 * 86_400
 
 
 def arrivals(rows, ts: str, tie: str):
@@ -40,6 +40,11 @@ def folded(v, label: str, schema: str, fold) -> FoldedTable:
     return FoldedTable(v.spark, scratch_path(v.spark, label), schema, fold)
 
 
+def marked(v, schema: str):
+    """Table of late rows, table of newest times and checkpoint of a stream that `timers.follow_marked` drains."""
+    return AppendTable(v.spark, scratch_path(v.spark, "late"), schema), folded(v, "marks", timers.MARKS, timers.fold_marks), scratch_path(v.spark, "cp")
+
+
 def timed(df, *cols: str):
     return df.withColumns({c: F.col(c).cast("timestamp") for c in cols})
 
@@ -103,10 +108,10 @@ def str2b(v):
     rows = timed(v.table("events").selectExpr(
         "user_id * 100 + day(ts) AS run_id", "CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'pending' ELSE 'dispatched' END AS status",
         "ts", "event_id AS beat_id"), "ts")
-    state, checkpoint = folded(v, "dispatches", timers.DISPATCHES, timers.fold_dispatches), scratch_path(v.spark, "cp")
-    drain_parts(v, arrivals(rows, "ts", "beat_id"), lambda stream: drain(
-        timers.requeue_stream(stream, REQUEUE_TTL, LATE), lambda batch, n: state.commit(n, batch), checkpoint, "update"))
-    return timers.dispatch_view(state.current(), REQUEUE_TTL).select("run_id", "requeued", "status", "updated_at")
+    state, (late, marks, checkpoint) = folded(v, "dispatches", timers.DISPATCHES, timers.fold_dispatches), marked(v, timers.BEATS)
+    drain_parts(v, arrivals(rows, "ts", "beat_id"), lambda stream: timers.follow_dispatches(stream, state, late, marks, checkpoint, LATE_SECONDS))
+    settled = timers.requeued_at(state.current(), timers.watermark_millis(marks, LATE_SECONDS), REQUEUE_TTL)
+    return timers.dispatch_view(settled, REQUEUE_TTL).select("run_id", "requeued", "status", "updated_at")
 
 
 @query("str3_expire_assignments", f"""

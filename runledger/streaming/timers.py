@@ -1,20 +1,26 @@
 """Streams with event-time timers and keyed state: stale dispatches, leases, sessions.
 
-State lies in Spark's state store, one entry per run, batch or session; timers
-fire when the watermark passes them, so results do not depend on the clock.
-Every processor emits change rows that a `FoldedTable` folds to the newest per
-key. `transformWithState` needs the RocksDB provider (`use_rocksdb`).
+Dispatches and leases come in two forms with the same rules. The set form
+(`follow_dispatches`, `follow_leases`) keeps what a micro-batch brought in a
+`FoldedTable` and decides by joins and aggregates what has run out at the
+watermark; its cost is that of the rows. The processors emit every change as
+its timer fires, at a few Python calls per key and batch: for small key sets
+that want changes as they happen. Their state lies in Spark's state store, and
+`transformWithState` needs the RocksDB provider (`use_rocksdb`). In all forms
+the watermark decides, so results do not depend on the clock.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from runledger.streaming.tables import AppendTable, FoldedTable, drain
+
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MIN_TTL = 60
 
@@ -33,6 +39,36 @@ def keyed(rows: DataFrame, key: str, late: str, processor: StatefulProcessor, ou
     return rows.withWatermark("ts", late).groupBy(key).transformWithStateInPandas(processor, out, "Update", "EventTime")
 
 
+MARKS = "newest timestamp"
+
+
+def fold_marks(marks: DataFrame) -> DataFrame:
+    return marks.agg(F.max("newest").alias("newest"))
+
+
+def watermark_millis(marks: FoldedTable, late_seconds: int, before: int | None = None) -> int | None:
+    """Newest event time less the lateness, over all batches or those numbered below ``before``; null before any row."""
+    row = marks.current(before).select(F.unix_millis("newest")).first()
+    return None if row is None or row[0] is None else row[0] - late_seconds * 1000
+
+
+def follow_marked(rows: DataFrame, take: Callable[[DataFrame, int], None], late: AppendTable, marks: FoldedTable, checkpoint: str,
+                  late_seconds: int) -> None:
+    """Drain a stream of rows with ``ts``; rows older than the watermark of the earlier batches are kept aside, as they stand."""
+
+    def commit(batch: DataFrame, n: int) -> None:
+        # the mark is written last: a batch that a base of marks holds is done
+        if n <= max(marks.numbers("base"), default=-1):
+            return
+        mark = watermark_millis(marks, late_seconds, before=n)
+        old = F.lit(False) if mark is None else F.unix_millis("ts") < mark
+        late.commit(n, batch.where(old))
+        take(batch.where(~old), n)
+        marks.commit(n, batch.agg(F.max("ts").alias("newest")))
+
+    drain(rows, commit, checkpoint)
+
+
 DISPATCHES = "run_id bigint, status string, updated_at timestamp, beat_id bigint, requeued boolean"
 
 
@@ -98,6 +134,27 @@ def dispatch_view(states: DataFrame, ttl_seconds: int) -> DataFrame:
                          F.when(F.col("requeued"), F.lit(f"dispatch silent for more than {ttl} s, queued again")).alias("reason"))
 
 
+BEATS = "run_id bigint, status string, ts timestamp, beat_id bigint"
+
+
+def follow_dispatches(beats: DataFrame, state: FoldedTable, late: AppendTable, marks: FoldedTable, checkpoint: str, late_seconds: int) -> None:
+    """Drain a stream of beats (run_id, status, ts, beat_id) into the newest beat per run (`DISPATCHES`, none requeued yet)."""
+
+    def take(batch: DataFrame, n: int) -> None:
+        state.commit(n, fold_dispatches(batch.select(
+            "run_id", "status", F.col("ts").alias("updated_at"), "beat_id", F.lit(False).alias("requeued"))))
+
+    follow_marked(beats, take, late, marks, checkpoint, late_seconds)
+
+
+def requeued_at(states: DataFrame, watermark: int | None, ttl_seconds: int) -> DataFrame:
+    """States of runs at a watermark (milliseconds): one that was dispatched and silent for the TTL is pending again."""
+    ttl_ms = max(MIN_TTL, ttl_seconds) * 1000
+    stale = (F.col("status") == "dispatched") & (F.unix_millis("updated_at") + ttl_ms < F.lit(watermark).cast("long"))
+    stale = F.coalesce(stale, F.lit(False))
+    return states.withColumns({"status": F.when(stale, "pending").otherwise(F.col("status")), "requeued": F.col("requeued") | stale})
+
+
 LEASES = "batch_id bigint, validator_id bigint, item_id bigint, at timestamp, live boolean"
 
 

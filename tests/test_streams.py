@@ -102,6 +102,27 @@ def test_leases_leave_with_what_they_carried(spark, tmp_path):
     assert live_rows == {(1, 7, None), (1, 7, 12), (2, 7, None), (2, 7, 21), (3, 8, None), (4, 7, None)}
 
 
+def test_dispatches_by_sets_equal_the_timers(spark, tmp_path):
+    files = [
+        [(1, "dispatched", at(0), 1), (2, "dispatched", at(0), 2), (3, "completed", at(0), 3), (4, "dispatched", at(4), 4)],
+        [(2, "completed", at(0.5), 5), (5, "dispatched", at(9), 6), (6, "dispatched", at(12), 7)],
+        [(1, "dispatched", at(13), 8), (5, "pending", at(8), 9), (7, "dispatched", at(16), 10)],
+        # older than the watermark (hour 10): kept aside, its run stays requeued
+        [(4, "completed", at(6), 11), (8, "dispatched", at(15), 12)],
+    ]
+    state = FoldedTable(spark, str(tmp_path / "t"), timers.DISPATCHES, timers.fold_dispatches, every=2)
+    marks = FoldedTable(spark, str(tmp_path / "m"), timers.MARKS, timers.fold_marks, every=2)
+    late = AppendTable(spark, str(tmp_path / "l"), timers.BEATS)
+    feed(spark, tmp_path, timers.BEATS, files, lambda s: timers.follow_dispatches(s, state, late, marks, str(tmp_path / "cp"), 6 * 3600))
+    mark = timers.watermark_millis(marks, 6 * 3600)
+    view = timers.dispatch_view(timers.requeued_at(state.current(), mark, 3600), 3600)
+    got = {r["run_id"]: (r["status"], r["requeued"], r["updated_at"]) for r in view.collect()}
+    assert got == {1: ("dispatched", False, at(13)), 2: ("completed", False, at(0.5)), 3: ("completed", False, at(0)),
+                   4: ("pending", True, at(5)), 5: ("dispatched", False, at(9)), 6: ("dispatched", False, at(12)),
+                   7: ("dispatched", False, at(16)), 8: ("dispatched", False, at(15))}
+    assert [r["beat_id"] for r in late.current().collect()] == [11]
+
+
 def test_sessions_go_on_from_output_input_or_start_anew(spark, tmp_path):
     row = "session_id long, call_no long, ts timestamp, input_keys array<string>, output_keys array<string>"
     files = [
