@@ -150,10 +150,12 @@ def str3c(v):
         "l_orderkey AS batch_id", "l_suppkey % 5 AS validator_id", "l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS item_id",
         "o_orderdate + make_dt_interval(0, l_linenumber * 13) AS ts").groupBy("batch_id", "validator_id", "item_id").agg(F.min("ts").alias("ts"))
     rows = timed(assigned.unionAll(done).unionAll(derived.selectExpr("batch_id", "'derived'", "validator_id", "item_id", "ts")), "ts")
-    state, checkpoint = folded(v, "leases", timers.LEASES, timers.fold_leases), scratch_path(v.spark, "cp")
-    drain_parts(v, arrivals(rows, "ts", "batch_id"), lambda stream: drain(
-        timers.lease_stream(stream, 48 * 3600, LATE), lambda batch, n: state.commit(n, batch), checkpoint, "update"))
-    return state.current().where("live").select("batch_id", "validator_id", "item_id")
+    # every part reads the rows
+    rows = through_parquet(rows, "changes")
+    state, (late, marks, checkpoint) = folded(v, "changes", timers.CHANGES, timers.fold_changes), marked(v, timers.CHANGES)
+    drain_parts(v, arrivals(rows, "ts", "batch_id"), lambda stream: timers.follow_leases(stream, state, late, marks, checkpoint, LATE_SECONDS))
+    held = timers.leases_at(state.current(), timers.watermark_millis(marks, LATE_SECONDS), 48 * 3600)
+    return held.where("live").select("batch_id", "validator_id", "item_id")
 
 
 @query("str4_claimable", f"""

@@ -249,6 +249,50 @@ def fold_leases(states: DataFrame) -> DataFrame:
         "batch_id", "validator_id", "item_id", "s.at", (~F.col("s.ended")).alias("live"))
 
 
+CHANGES = "batch_id bigint, kind string, validator_id bigint, item_id bigint, ts timestamp"
+
+
+def fold_changes(changes: DataFrame) -> DataFrame:
+    """Every start and end of a lease once, and the newest time of every derived row."""
+    when = F.when(F.col("kind") != "derived", F.col("ts"))
+    return changes.groupBy("batch_id", "kind", "validator_id", "item_id", when.alias("_when")).agg(F.max("ts").alias("ts")).drop("_when")
+
+
+def follow_leases(changes: DataFrame, state: FoldedTable, late: AppendTable, marks: FoldedTable, checkpoint: str, late_seconds: int) -> None:
+    """Drain a stream of lease changes (`CHANGES`) into a folded table of them."""
+    follow_marked(changes, lambda batch, n: state.commit(n, batch), late, marks, checkpoint, late_seconds)
+
+
+def leases_at(changes: DataFrame, watermark: int | None, timeout_seconds: int) -> DataFrame:
+    """Leases (item_id null) and derived rows at a watermark (milliseconds), as `LEASES`.
+
+    A lease that neither is done nor starts anew within the timeout has run
+    out once the watermark or a new start is past it, and takes the rows with
+    it that were derived in its batch until then. Per batch only the last
+    such time counts, so rows meet one time and no list of leases.
+    """
+    timeout = timeout_seconds * 1000 + 1
+    events = changes.where("kind <> 'derived'")
+    rest = Window.partitionBy("batch_id", "validator_id").orderBy("ts", "kind")
+    ahead = rest.rowsBetween(1, Window.unboundedFollowing)
+
+    def first(kind: str) -> Column:
+        return F.unix_millis(F.min(F.when(F.col("kind") == kind, F.col("ts"))).over(ahead))
+
+    until = F.unix_millis("ts") + timeout
+    starts = events.select("*", until.alias("until"), first("assigned").alias("_next"), first("done").alias("_done")).where("kind = 'assigned'")
+    done = (F.col("_done") < F.col("until")) & (F.col("_next").isNull() | (F.col("_done") < F.col("_next")))
+    over = F.col("until") <= F.coalesce("_next", F.lit(watermark).cast("long"))
+    judged = starts.withColumn("gone", F.coalesce(over, F.lit(False)) & ~F.coalesce(done, F.lit(False)))
+    newest = judged.groupBy("batch_id", "validator_id").agg(F.max(F.struct("ts", "gone")).alias("s")).select(
+        "batch_id", "validator_id", F.lit(None).cast("bigint").alias("item_id"), F.col("s.ts").alias("at"), (~F.col("s.gone")).alias("live"))
+    gone = judged.where("gone").groupBy("batch_id").agg(F.max("until").alias("_until"))
+    rows = changes.where("kind = 'derived'").join(gone, "batch_id", "left").select(
+        "batch_id", "validator_id", "item_id", F.col("ts").alias("at"),
+        F.coalesce(F.unix_millis("ts") >= F.col("_until"), F.lit(True)).alias("live"))
+    return newest.unionAll(rows)
+
+
 CALLS = ("session_id bigint, call_no bigint, matched string, n_messages bigint, new_messages bigint, n_working bigint, ts timestamp")
 
 

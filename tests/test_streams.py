@@ -123,6 +123,48 @@ def test_dispatches_by_sets_equal_the_timers(spark, tmp_path):
     assert [r["beat_id"] for r in late.current().collect()] == [11]
 
 
+def test_leases_by_sets_equal_the_timers(spark, tmp_path):
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for batch in range(40):
+        for who in range(rng.randrange(1, 3)):
+            # a batch may be assigned anew, inside the timeout or after it; some ends never come
+            start = rng.randrange(0, 40)
+            for _ in range(rng.randrange(1, 4)):
+                rows.append((batch, "assigned", who, None, at(start)))
+                if rng.random() < 0.4:
+                    rows.append((batch, "done", who, None, at(start + rng.randrange(1, 20) + 0.25)))
+                rows += [(batch, "derived", who, rng.randrange(0, 9), at(start + rng.randrange(0, 60) + 0.5)) for _ in range(3)]
+                start += rng.choice([10, 20.75, 30, 90])
+    # in order of time: the timers take what comes first, the sets what happened first
+    order = sorted(rows, key=lambda r: r[4])
+    files = [order[len(order) * i // 4:len(order) * (i + 1) // 4] for i in range(4)]
+    kept = FoldedTable(spark, str(tmp_path / "a"), timers.LEASES, timers.fold_leases)
+    state = FoldedTable(spark, str(tmp_path / "t"), timers.CHANGES, timers.fold_changes, every=2)
+    marks, late = FoldedTable(spark, str(tmp_path / "m"), timers.MARKS, timers.fold_marks), AppendTable(spark, str(tmp_path / "l"), timers.CHANGES)
+    (tmp_path / "one").mkdir()
+    feed(spark, tmp_path / "one", timers.CHANGES, files, lambda s: drain(
+        timers.lease_stream(s, 24 * 3600, "40 hours"), lambda b, n: kept.commit(n, b), str(tmp_path / "cp1"), "update"))
+    (tmp_path / "two").mkdir()
+    feed(spark, tmp_path / "two", timers.CHANGES, files, lambda s: timers.follow_leases(s, state, late, marks, str(tmp_path / "cp2"), 40 * 3600))
+    held = timers.leases_at(state.current(), timers.watermark_millis(marks, 40 * 3600), 24 * 3600)
+    cols = ["batch_id", "validator_id", "item_id", "at", "live"]
+    want = {tuple(r) for r in kept.current().select(*cols).collect()}
+    got = {tuple(r) for r in held.select(*cols).collect()}
+    assert late.current().count() == 0 and {r[4] for r in want} == {True, False}
+    assert (got - want, want - got) == (set(), set())
+
+
+def test_stream_queries_run_no_worker_per_key(spark, sf_dir, monkeypatch):
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(timers, "keyed", None)
+    assert entry.queries()["str2_requeue_stream"](spark, sf_dir).count() > 0
+    assert entry.queries()["str3_lease_stream"](spark, sf_dir).count() > 0
+
+
 def test_sessions_go_on_from_output_input_or_start_anew(spark, tmp_path):
     row = "session_id long, call_no long, ts timestamp, input_keys array<string>, output_keys array<string>"
     files = [
