@@ -335,3 +335,29 @@ def test_tfidf_selection_takes_rare_lines(spark):
     assert got[2] == "short" and got[3] == "" and got[4] == "…" and got[5] == "x" * 500
     assert got[1].split("\n")[0] == "common words again and again" and "error: pinned" in got[1] and got[1].count("…") >= 1
     assert len(got[1]) < 120
+
+
+def test_tfidf_tasks_grow_with_the_text(spark, monkeypatch):
+    import math
+    from collections import Counter
+
+    rows = [(d, i, " ".join(f"w{(d * 7 + i * k) % 23}" for k in range(i % 9))) for d in range(40) for i in range(25)] + [(3, 4, "twice here")] * 2
+    lines = spark.createDataFrame(rows, "doc_id long, line_no int, line string")
+    monkeypatch.setattr(L, "TASK_CHARS", 500)
+    for cap in (None, 5):
+        scores = L.tfidf_scores(lines, cap)
+        # no task holds the words of more lines because the table is longer
+        assert scores.rdd.getNumPartitions() >= sum(len(r[2]) for r in rows) // 500
+        got = Counter((r["doc_id"], r["line_no"], round(r["score"], 9)) for r in scores.collect())
+        want = Counter()
+        for d in range(40):
+            mine = [r for r in rows if r[0] == d]
+            tf = {}
+            for _, i, line in mine:
+                tf.setdefault(i, Counter()).update(line.split())
+            total, df = sum(tf.values(), Counter()), Counter(t for c in tf.values() for t in c)
+            known = sorted(total, key=lambda t: (-total[t], t))[:cap]
+            for _, i, _ in mine:
+                w = [n * (math.log((1 + len(mine)) / (1 + df[t])) + 1) for t, n in tf[i].items() if t in known]
+                want[(d, i, round(sum(w) / math.sqrt(sum(x * x for x in w)) if w else 0.0, 9))] += 1
+        assert got == want
