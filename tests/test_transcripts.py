@@ -361,3 +361,15 @@ def test_tfidf_tasks_grow_with_the_text(spark, monkeypatch):
                 w = [n * (math.log((1 + len(mine)) / (1 + df[t])) + 1) for t, n in tf[i].items() if t in known]
                 want[(d, i, round(sum(w) / math.sqrt(sum(x * x for x in w)) if w else 0.0, 9))] += 1
         assert got == want
+
+
+def test_tfidf_selection_takes_texts_apart_once(spark, monkeypatch, capsys):
+    written = []
+    keep = L.through_parquet
+    monkeypatch.setattr(L, "through_parquet", lambda df, label: written.append(label) or keep(df, label))
+    df = spark.createDataFrame([(i, "\n".join(f"line {j % 7} of {i}" for j in range(50))) for i in range(30)], "doc_id long, text string")
+    out = L.tfidf_compress(df, 60)
+    out.explain()
+    # no ranges of the whole table are sorted for the running costs of a text
+    assert written == ["lines"] and "rangepartitioning" not in capsys.readouterr().out
+    assert out.count() == 30
