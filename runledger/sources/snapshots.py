@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runledger.functions.scoring import broke_baseline, compression_ratio, negative_score
 from runledger.functions.values import TRUE_WORDS, integral, truthy, whole
@@ -173,26 +174,58 @@ STEP_PATHS = ("$.agent_steps", "$.metadata.agent_steps", "$.steps", "$.metadata.
 ERROR_KEYS = ("error", "task_error", "runtime_error", "failure_reason", "reason", "exception", "stderr")
 
 
+ERROR_PATHS = ("$.error", *[f"$.metadata.{k}" for k in ERROR_KEYS], *[f"$.metadata.result.{k}" for k in ERROR_KEYS])
+
+
+def _report_type() -> T.StructType:
+    """Every path that is read of a report, as one type; a value is text as it stands in the report."""
+    tree: dict = {}
+    for path in (*TOKEN_PATHS, *STEP_PATHS, *ERROR_PATHS, "$.ok_status", "$.patch_capture_status", "$.execution_time_seconds"):
+        *folders, leaf = path[2:].split(".")
+        at = tree
+        for name in folders:
+            at = at.setdefault(name, {})
+        at.setdefault(leaf, None)
+
+    def as_type(node: dict | None) -> T.DataType:
+        return T.StringType() if node is None else T.StructType([T.StructField(name, as_type(child)) for name, child in node.items()])
+
+    return as_type(tree)
+
+
+def read_reports(reports: DataFrame, raw: str = "report") -> DataFrame:
+    """Reports with all paths in ``_report``: each text is parsed once, not once per path. Anything but a JSON object reads as null."""
+    return reports.withColumn("_report", F.when(F.col(raw).rlike(r"^\s*\{"), F.from_json(raw, _report_type())))
+
+
+def at_path(path: str) -> Column:
+    return F.col(f"_report.{path[2:]}")
+
+
+def _metrics() -> dict[str, Column]:
+    pick = lambda paths: F.coalesce(*[integral(at_path(p)) for p in paths])
+    return {"total_tokens": pick(TOKEN_PATHS), "agent_steps": pick(STEP_PATHS)}
+
+
 def extract_run_metrics(reports: DataFrame, raw: str = "report") -> DataFrame:
     """First usable token and step count over fixed fallback paths."""
-    pick = lambda paths: F.coalesce(*[integral(F.get_json_object(raw, p)) for p in paths])
-    return reports.withColumns({"total_tokens": pick(TOKEN_PATHS), "agent_steps": pick(STEP_PATHS)})
+    return read_reports(reports, raw).withColumns(_metrics()).drop("_report")
 
 
-def report_error(raw: Column) -> Column:
-    """First non-blank error over the candidate keys, top level first."""
-    paths = ["$.error", *[f"$.metadata.{k}" for k in ERROR_KEYS], *[f"$.metadata.result.{k}" for k in ERROR_KEYS]]
-    return F.coalesce(*[F.nullif(F.trim(F.get_json_object(raw, p)), F.lit("")) for p in paths])
+def report_error() -> Column:
+    """First non-blank error over the candidate keys of a read report, top level first."""
+    return F.coalesce(*[F.nullif(F.trim(at_path(p)), F.lit("")) for p in ERROR_PATHS])
 
 
 def ingest_reports(runs: DataFrame, reports: DataFrame, raw: str = "report") -> DataFrame:
     """Runs with tokens, steps, time, status and last error of their report; runs without one are unchanged."""
-    ok = (F.get_json_object(raw, "$.ok_status") == "true") & (F.get_json_object(raw, "$.patch_capture_status") == "true")
+    ok = (at_path("$.ok_status") == "true") & (at_path("$.patch_capture_status") == "true")
     status = F.when(F.coalesce(ok, F.lit(False)), "completed").otherwise("failed")
-    error = report_error(F.col(raw))
-    parsed = extract_run_metrics(reports, raw).select(
-        "run_id", F.lit(True).alias("_has"), F.col("total_tokens").alias("_tokens"), F.col("agent_steps").alias("_steps"),
-        F.get_json_object(raw, "$.execution_time_seconds").try_cast("double").alias("_time"), status.alias("_status"),
+    error = report_error()
+    metrics = _metrics()
+    parsed = read_reports(reports, raw).select(
+        "run_id", F.lit(True).alias("_has"), metrics["total_tokens"].alias("_tokens"), metrics["agent_steps"].alias("_steps"),
+        at_path("$.execution_time_seconds").try_cast("double").alias("_time"), status.alias("_status"),
         F.when(status == "failed", F.coalesce(error, F.lit("sandbox reported run as failed"))).otherwise(error).alias("_error"))
     joined = runs.join(parsed, "run_id", "left")
     new = lambda old, fresh: F.coalesce(F.col(fresh), F.col(old))

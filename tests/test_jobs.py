@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runledger import catalog
 from runledger.operators import research as R
+from runledger.functions.values import integral
 from runledger.sources import sinks, snapshots
 from runledger.streaming import live
 from runledger.streaming.tables import AppendTable, FoldedTable
@@ -116,3 +117,21 @@ def test_late_version_beats_an_earlier_one(spark, tmp_path):
     assert live.heartbeat_view(state).collect() == live.heartbeat_state(first.unionByName(late)).collect()
     assert state.first()["version"] == "v2" and state.first()["model"] == "m1" and state.first()["status"] == "c"
     assert FoldedTable(spark, str(tmp_path / "none"), live.STATE, live.fold_heartbeats).current().count() == 0
+
+
+def test_reports_are_parsed_once(spark, capsys):
+    texts = ['{"ok_status": true, "patch_capture_status": "true", "total_tokens": -1, "metadata": {"total": {"total_tokens": 7.0}, "agent": {"steps": "3"}}}',
+             '{"metadata": 5, "steps": 4, "error": " e "}', '{"total_tokens": true, "metadata": {"total": 9, "token_usage": {"total": {"total_tokens": "12"}}}}',
+             '[{"total_tokens": 1}]', '{"total_tokens": 1', "", None, '{"total_tokens": {"a": [1, 2.50]}, "metadata": {"result": {"stderr": {"b": 1.50}}}}',
+             ' {"metadata": {"reason": "", "stderr": "late"}, "agent_steps": 1e1, "execution_time_seconds": "2.5"}', '{"metadata": [1], "total_tokens": null}', "7"]
+    reports = spark.createDataFrame(list(enumerate(texts)), "run_id long, report string")
+    out = snapshots.extract_run_metrics(reports)
+    out.explain()
+    plan = capsys.readouterr().out
+    assert plan.lower().count("from_json") <= 1 and "get_json_object" not in plan
+    single = lambda paths: F.coalesce(*[integral(F.get_json_object("report", p)) for p in paths])
+    want = reports.withColumns({"total_tokens": single(snapshots.TOKEN_PATHS), "agent_steps": single(snapshots.STEP_PATHS)})
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    errors = snapshots.read_reports(reports).select("run_id", snapshots.report_error())
+    plain = reports.select("run_id", F.coalesce(*[F.nullif(F.trim(F.get_json_object("report", p)), F.lit("")) for p in snapshots.ERROR_PATHS]))
+    assert sorted(map(tuple, errors.collect())) == sorted(map(tuple, plain.collect()))
