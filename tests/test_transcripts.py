@@ -373,3 +373,23 @@ def test_tfidf_selection_takes_texts_apart_once(spark, monkeypatch, capsys):
     # no ranges of the whole table are sorted for the running costs of a text
     assert written == ["lines"] and "rangepartitioning" not in capsys.readouterr().out
     assert out.count() == 30
+
+
+def test_paths_begin_at_words(spark):
+    import random
+    import re
+    import time
+
+    rng = random.Random(3)
+    odd = ["a/b.py:12x/c.py", "a/b.txtt_x/c", "/x/y.c", "foo//bar/x.py", "a/b.abcdefg/h.py", "..//./a.b/c.de", "q/w.e:7/r/t.y", ""]
+    odd += ["".join(rng.choice("ab/.:-1 (") for _ in range(rng.randrange(40))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i long, t string")
+    got = {r["i"]: (r["p"], r["n"]) for r in df.select("i", T.paths(F.col("t")).alias("p"), T.path_names(F.col("t"), 3).alias("n")).collect()}
+    for i, t in enumerate(odd):
+        found = list(dict.fromkeys(re.findall(f"({T.PATH})", t, re.ASCII)))
+        bare = [p.split(":")[0] for p in found]
+        assert got[i] == (found, list(dict.fromkeys(n for n in bare + [p.rsplit("/", 1)[-1] for p in bare] if len(n) >= 3)))
+    started = time.time()
+    # one long word is read once, not once from each of its letters
+    long = spark.range(1).select(T.paths(F.concat(F.repeat(F.lit("w"), 400_000), F.lit(" a/b.py"))).alias("p"))
+    assert long.first()["p"] == ["a/b.py"] and time.time() - started < 20
