@@ -393,3 +393,21 @@ def test_paths_begin_at_words(spark):
     # one long word is read once, not once from each of its letters
     long = spark.range(1).select(T.paths(F.concat(F.repeat(F.lit("w"), 400_000), F.lit(" a/b.py"))).alias("p"))
     assert long.first()["p"] == ["a/b.py"] and time.time() - started < 20
+
+
+def test_ratchets_read_texts_once(spark, capsys):
+    rows = [(s, i, "toolresult" if i % 2 else "assistant", "1 failed" if i % 5 == 0 else "3 passed" if i == 21 else "x" * i) for s in range(3) for i in range(30)]
+    out = S.session_ratchets(spark.createDataFrame(rows, "session_id long, msg_idx long, role string, text string"), 4, 1, 9)
+    out.explain()
+    # the running counts go over written marks
+    assert "rlike" not in capsys.readouterr().out.lower()
+    got = {r["msg_idx"]: r for r in out.where("session_id = 1").collect()}
+    assert len(got) == 15 and out.count() == 45
+    chars, total, largest, fails = 0, 0, 0, 0
+    for s, i, role, text in rows[30:60]:
+        chars += len(text)
+        if role == "toolresult":
+            tokens = max(1, -(-chars // 4))
+            total, largest, fails = total + tokens, max(largest, tokens), fails + ("failed" in text)
+            assert (got[i]["tokens"], got[i]["cumulative"], got[i]["largest"], got[i]["fail_rounds"], got[i]["ever_passed"]) == (
+                tokens, total, largest, fails, i >= 21)
