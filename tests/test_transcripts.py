@@ -411,3 +411,15 @@ def test_ratchets_read_texts_once(spark, capsys):
             total, largest, fails = total + tokens, max(largest, tokens), fails + ("failed" in text)
             assert (got[i]["tokens"], got[i]["cumulative"], got[i]["largest"], got[i]["fail_rounds"], got[i]["ever_passed"]) == (
                 tokens, total, largest, fails, i >= 21)
+
+
+def test_audit_reads_its_input_once(spark, monkeypatch):
+    seen = []
+    keep = X.through_parquet
+    monkeypatch.setattr(X, "through_parquet", lambda df, label: seen.append((label, df.columns)) or keep(df, label))
+    rows = [(1, 0, "user", "please mark" + "u" * 500, None), (1, 1, "assistant", "a", 7), (1, 2, "toolresult", "r" * 300, 7)]
+    df = spark.createDataFrame(rows, "session_id long, msg_idx long, role string, text string, call_id long").withColumn("tool", F.lit(None).cast("string"))
+    thin = df.withColumn("text", F.substring("text", 1, 130))
+    got = X.audit(df, thin, ["mark", "absent"]).first()
+    assert [label for label, _ in seen] == ["audited", "audited-input"]
+    assert (got["tokens_in"], got["tokens_out"], got["users_kept"], got["newest_kept"], got["markers_kept"]) == (203, 66, True, True, True)
