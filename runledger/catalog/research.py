@@ -16,11 +16,12 @@ FAMILY = ("E0", "E5")
 LEADER_SQL = "('E1', 'E2', 'E3', 'E4')"
 
 
-def task_scores(v, scores=None):
-    """Task scores as the reports read them, written once per query (entrants x tasks rows); from run scores where the report has them."""
+def task_scores(v, scores=None, cells=None):
+    """Task scores as the reports read them, written once per query (entrants x tasks rows); from run scores or cells where the report has them."""
     from runledger.functions.scoring import broke_baseline, compression_ratio, negative_score
 
-    cells = task_cells(v) if scores is None else pairs.task_cells(scores)
+    if cells is None:
+        cells = task_cells(v) if scores is None else pairs.task_cells(scores)
     results = pairs.task_results(cells, baselines(v)).join(classes(v).select("task_id", "category"), "task_id", "left")
     base_pass = F.col("baseline_tokens") >= 52000
     return through_parquet(results.select(
@@ -40,8 +41,11 @@ def run_rows(v, scores=None):
         F.col("run_resolved").alias("run_pass"), F.col("run_tokens").cast("double").alias("run_tokens"), "run_score")
 
 
-def run_rows_written(v):
-    return through_parquet(run_rows(v), "run-rows")
+def stable_scores(v):
+    """Task scores, and the same with run stability: runs are scored and counted once, in cells that are written once."""
+    cells = through_parquet(task_cells(v), "task-cells")
+    ts = task_scores(v, cells=cells)
+    return ts, R.with_stability(ts, R.counted_cells(cells))
 
 
 TS = "(SELECT *, nullif(compression_ratio, 0) AS ratio FROM fx_task_scores WHERE category IS NULL OR category <> 'screener')"
@@ -211,15 +215,16 @@ def agg25(v):
            round(avg(ratio), 6) AS mean_ratio
     FROM p GROUP BY ROLLUP (category)""")
 def agg26(v):
-    ts = task_scores(v)
-    c = R.depth_correlations(R.cells_with_runs(ts, run_rows_written(v)), shared(ts), (FOCAL, *LEADERS))
+    ts, cells = stable_scores(v)
+    c = R.depth_correlations(cells, shared(ts), (FOCAL, *LEADERS))
     cols = ["ratio_vs_neg_rate", "ratio_vs_broke", "ratio_vs_score", "mean_ratio"]
     return rounded(c.select("category", "n_points", *cols), *cols)
 
 
 # Run counts per cell are far above the reports' five, so the clean bound is scaled in the derived cells.
-def scaled_cells(v, ts):
-    return through_parquet(R.cells_with_runs(ts, run_rows_written(v)).withColumn("neg", F.floor(F.col("neg") / 12)), "cells")
+def scaled_cells(v):
+    ts, cells = stable_scores(v)
+    return ts, through_parquet(cells.withColumn("neg", F.floor(F.col("neg") / 12)), "cells")
 
 
 SCALED = f"(SELECT * EXCLUDE (neg), CAST(floor(neg / 12) AS BIGINT) AS neg FROM ({CELLS_SQL}))"
@@ -230,8 +235,8 @@ SCALED = f"(SELECT * EXCLUDE (neg), CAST(floor(neg / 12) AS BIGINT) AS neg FROM
     FROM (SELECT s.task_id, s.task_id IN (SELECT task_id FROM {SCALED} WHERE entrant IN {LEADER_SQL} AND miner_pass AND ratio >= 4.5 AND neg <= 1) AS d
           FROM ({SHARED_SQL}) s)""")
 def agg27(v):
-    ts = task_scores(v)
-    return rounded(R.deep_feasibility(scaled_cells(v, ts), shared(ts), LEADERS), "share")
+    ts, cells = scaled_cells(v)
+    return rounded(R.deep_feasibility(cells, shared(ts), LEADERS), "share")
 
 
 DEEPER_SQL = f"""
@@ -243,8 +248,8 @@ DEEPER_SQL = f"""
 
 @query("joi18_deeper_peers", f"SELECT task_id, leader, focal_ratio, leader_ratio, focal_neg, leader_neg FROM ({DEEPER_SQL})")
 def joi18(v):
-    ts = task_scores(v)
-    return R.deeper_peers(scaled_cells(v, ts), shared(ts), FOCAL, LEADERS).select(
+    ts, cells = scaled_cells(v)
+    return R.deeper_peers(cells, shared(ts), FOCAL, LEADERS).select(
         "task_id", "leader", "focal_ratio", "leader_ratio", "focal_neg", "leader_neg")
 
 
@@ -255,8 +260,8 @@ BEST_SQL = f"""
 
 @query("win11_best_clean_peer", f"SELECT task_id, leader, leader_ratio, clean FROM ({BEST_SQL})")
 def win11(v):
-    ts = task_scores(v)
-    pairs_ = R.deeper_peers(scaled_cells(v, ts), shared(ts), FOCAL, LEADERS)
+    ts, cells = scaled_cells(v)
+    pairs_ = R.deeper_peers(cells, shared(ts), FOCAL, LEADERS)
     return R.best_clean_peer(pairs_).select("task_id", "leader", "leader_ratio", "clean")
 
 
@@ -274,8 +279,8 @@ def prj23(v):
                 WHEN focal_neg = 0 AND clean AND leader_neg = 0 THEN 'safe' ELSE 'moderate' END AS risk
     FROM ({BEST_SQL}) WHERE focal_pass""")
 def top7(v):
-    ts = task_scores(v)
-    out = R.safe_targets(scaled_cells(v, ts), shared(ts), R.fragile_tasks(ts, FAMILY, FOCAL), FOCAL, LEADERS)
+    ts, cells = scaled_cells(v)
+    out = R.safe_targets(cells, shared(ts), R.fragile_tasks(ts, FAMILY, FOCAL), FOCAL, LEADERS)
     return rounded(out.select("task_id", "leader", "est_lift", "risk"), "est_lift")
 
 
@@ -286,9 +291,9 @@ def top7(v):
       FROM ({SHARED_SQL}) s JOIN (SELECT task_id FROM {SCALED} WHERE entrant = 'E0' AND neg <= 1) c ON c.task_id = s.task_id
       WHERE proven_max_ratio > focal_ratio) WHERE rn <= 10""")
 def top8(v):
-    ts = task_scores(v)
+    ts, cells = scaled_cells(v)
     # with dozens of runs per cell no task is spotless: up to one scaled negative counts as stable
-    cells = scaled_cells(v, ts).withColumns({
+    cells = cells.withColumns({
         "neg": F.when(F.col("neg") <= 1, F.lit(0).cast("long")).otherwise(F.col("neg")), "passes": F.col("n")})
     return rounded(R.under_compressed(shared(ts), cells, FOCAL).select("category", "task_id", "est_gain", "rank"), "est_gain")
 

@@ -268,11 +268,12 @@ def scored_cells(tasks: DataFrame, judged: DataFrame, entrants: DataFrame, exclu
         scored.groupBy("entrant_id", "hotkey", "task_id").agg(
             F.sum(n).alias("n_runs"), F.sum(F.when(F.col("run_resolved"), n).otherwise(0)).alias("n_pass"),
             F.sum(F.col("run_score") * n).alias("score_sum"), F.sum(F.when(known, n).otherwise(0)).alias("n_scored"),
+            F.sum(F.when(F.col("run_score") < 0, n).otherwise(0)).alias("n_negative"),
             (F.sum(tokens * n) / F.nullif(F.sum(F.when(tokens.isNotNull(), n)), F.lit(0))).alias("run_tokens"),
             F.sum(F.when(tokens > 0, tokens * n)).alias("run_token_sum"))
         .join(tasks.select("task_id", "task_name", "is_screener"), "task_id")
         .select("entrant_id", "hotkey", "task_id", "task_name", "is_screener", "n_runs", "n_pass", "score_sum",
-                "n_scored", "run_tokens", "run_token_sum"))
+                "n_scored", "n_negative", "run_tokens", "run_token_sum"))
 
 
 def task_cells(scores: DataFrame) -> DataFrame:
@@ -280,7 +281,7 @@ def task_cells(scores: DataFrame) -> DataFrame:
     return scores.groupBy("entrant_id", "hotkey", "task_id", "task_name", "is_screener").agg(
         F.count(F.lit(1)).alias("n_runs"), F.count_if(F.col("run_resolved")).alias("n_pass"),
         F.sum("run_score").alias("score_sum"), F.count("run_score").alias("n_scored"),
-        F.avg("run_tokens").alias("run_tokens"),
+        F.count_if(F.col("run_score") < 0).alias("n_negative"), F.avg("run_tokens").alias("run_tokens"),
         F.sum(F.when(F.col("run_tokens") > 0, F.col("run_tokens"))).alias("run_token_sum"))
 
 

@@ -182,13 +182,24 @@ def category_gap(ts: DataFrame, runs: DataFrame, shared: DataFrame, focal: str,
         "shared_tasks", F.coalesce("shared_tasks", F.lit(0)))
 
 
-def cells_with_runs(ts: DataFrame, runs: DataFrame) -> DataFrame:
-    """Task scores with run stability; cells without runs drop out."""
+def counted_cells(cells: DataFrame) -> DataFrame:
+    """`run_cells` from task cells, which counted the runs when they were scored: no run row is read again."""
+    return cells.groupBy(F.col("hotkey").alias("entrant"), "task_id").agg(
+        F.sum("n_runs").alias("n"), F.sum("n_negative").alias("neg"), F.sum("n_pass").alias("passes"))
+
+
+def with_stability(ts: DataFrame, counts: DataFrame) -> DataFrame:
+    """Task scores with the run counts of their cells; cells without runs drop out."""
     cols = ["entrant", "task_id", "task_name", "category", "miner_pass", "broke_baseline", "score"]
-    return ts.select(*cols, ratio().alias("ratio")).join(run_cells(runs), ["entrant", "task_id"]).withColumn(
+    return ts.select(*cols, ratio().alias("ratio")).join(counts, ["entrant", "task_id"]).withColumn(
         "neg_rate", F.col("neg") / F.col("n"))
 
 
+def cells_with_runs(ts: DataFrame, runs: DataFrame) -> DataFrame:
+    """``with_stability`` straight from run rows."""
+    return with_stability(ts, run_cells(runs))
+
+
 def _pearson(x: str, y: str) -> Column:
     """Correlation from moments; null under three points or without variance."""
     spread = F.stddev_pop(x) * F.stddev_pop(y)

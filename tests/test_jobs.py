@@ -46,6 +46,23 @@ def test_correlation_is_null_without_variance(spark):
     assert set(out) == {"overall", "Easy"} and out["overall"]["ratio_vs_neg_rate"] is None and out["overall"]["n_points"] == 4
 
 
+def test_stability_counts_come_with_the_scores(spark, tmp_path):
+    """Runs are scored once: the cells hold what a second pass over scored runs would count."""
+    from runledger.operators import pairs
+
+    tasks = spark.sql("SELECT 1L AS task_id, 't1' AS task_name, 0L AS competition_id, false AS is_screener")
+    entrants = spark.sql("SELECT 1L AS entrant_id, 'E1' AS hotkey, false AS banned")
+    rows = [(1, 1, 1, 1, 100, True)] + [(i, 1, 1, i, tokens, False) for i, tokens in enumerate([50, 50, None, 900, 0, 200], 2)]
+    runs = spark.createDataFrame(rows, "run_id long, task_id long, entrant_id long, attempt_no int, tokens_used long, baseline_run boolean")
+    validations = spark.createDataFrame([(i, i, r) for i, r in enumerate([True, True, True, False, False, None], 1)], "validation_id long, run_id long, resolved boolean")
+    judged = pairs.judged_runs(runs, validations)
+    scores = pairs.judged_run_scores(tasks, judged, entrants)
+    want = R.run_cells(scores.withColumns({"entrant": F.col("hotkey"), "run_pass": F.col("run_resolved")})).collect()
+    got = R.counted_cells(pairs.scored_cells(tasks, judged, entrants)).select("entrant", "task_id", "n", "neg", "passes").collect()
+    assert got == want and tuple(got[0]) == ("E1", 1, 6, 2, 2)
+    assert R.counted_cells(pairs.task_cells(scores)).collect() == got
+
+
 def test_snapshot_sink_refuses_empty_and_overwrite(spark, tmp_path):
     df = spark.createDataFrame([(1, "d1")], "x int, day string")
     with pytest.raises(ValueError):
