@@ -62,10 +62,18 @@ DETAIL_SQL = """
     FROM fx_li JOIN orders ON o_orderkey = l_orderkey"""
 
 
+# Range of order keys whose documents of one month go into one file (some 100,000 of them).
+FILE_KEYS = 8_000_000
+
+
 def detail_files(v, keep: str = "true", single: bool = False):
-    """Detail documents, one per order: entrant, tasks, runs. ``single`` writes the one-entrant shape."""
+    """Detail documents, one per order: entrant, tasks, runs. ``single`` writes the one-entrant shape.
+
+    Lines move once, by order: numbering, join and documents share that layout. The JSON names every field of every
+    line, so it is written compressed.
+    """
     path = scratch_path(v.spark, "details")
-    rows = v.lineitems.join(v.table("orders"), F.col("o_orderkey") == F.col("l_orderkey")).where(keep)
+    rows = v.lineitems_by_order.join(v.table("orders"), F.col("o_orderkey") == F.col("l_orderkey")).where(keep)
     run = F.struct((F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("run_id"), F.col("l_linenumber").alias("attempt_no"),
                    F.when(F.col("l_returnflag") != "R", F.col("l_linestatus") == "F").alias("pass_with_compression"),
                    (F.col("l_quantity") * 1000).alias("tokens_with_compression"),
@@ -80,9 +88,12 @@ def detail_files(v, keep: str = "true", single: bool = False):
                         F.concat(F.lit("C"), "o_custkey").alias("hotkey"), "l_orderkey").agg(
         F.array_sort(F.collect_list(task)).alias("tasks"))
     if single:
-        docs.select("hotkey", "tasks", F.substring("observed_at", 1, 7).alias("day")).repartition("day").write.partitionBy("day").json(path)
+        # a month is cut by ranges of orders, so that neither a task nor a file grows with the table
+        part = F.floor(F.col("l_orderkey") / FILE_KEYS)
+        docs.select("hotkey", "tasks", F.substring("observed_at", 1, 7).alias("day"), part.alias("part")).repartition("day", "part").drop(
+            "part").write.partitionBy("day").option("compression", "gzip").json(path)
     else:
-        docs.select("observed_at", F.array(F.struct("hotkey", "tasks")).alias("miners")).write.json(path)
+        docs.select("observed_at", F.array(F.struct("hotkey", "tasks")).alias("miners")).write.option("compression", "gzip").json(path)
     return path
 
 
@@ -103,7 +114,7 @@ def src2(v):
 def snk4(v):
     details = snapshots.scan_task_details(v.spark, [detail_files(v, "true")], lines=True)
     path = scratch_path(v.spark, "export")
-    flat = sinks.export_task_scores(details, path)
+    flat = sinks.export_task_scores(details, path, "gzip")
     back = v.spark.read.schema(flat.schema).option("header", True).csv(path)
     return rounded(back.select(*TASK_COLS), "score")
 

@@ -251,9 +251,17 @@ class Views:
     @cached_property
     def lineitems(self) -> DataFrame:
         """All line items; where an order repeats a line number, its copies are numbered on by tens."""
+        return self._numbered(spread(self.table("lineitem"), "l_orderkey", "l_linenumber"))
+
+    @cached_property
+    def lineitems_by_order(self) -> DataFrame:
+        """The same, moved by order alone: what follows by order finds its rows in place."""
+        return self._numbered(self.table("lineitem").repartition("l_orderkey"))
+
+    @staticmethod
+    def _numbered(source: DataFrame) -> DataFrame:
         order = ["l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_tax",
                  "l_discount", "l_returnflag", "l_linestatus"]
-        source = spread(self.table("lineitem"), "l_orderkey", "l_linenumber")
         copy = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*[F.col(c).asc_nulls_last() for c in order]))
         return source.withColumn("_copy", copy).withColumn(
             "l_linenumber", (F.col("l_linenumber") + 10 * (F.col("_copy") - 1)).cast("int")).drop("_copy")

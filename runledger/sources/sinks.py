@@ -62,10 +62,10 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], set_cols:
     return joined.select(*keys, *[value(c) for c in target.columns if c not in keys])
 
 
-def export_task_scores(details: DataFrame, path: str | None = None) -> DataFrame:
-    """Flat per-task export; with a path also written as CSV with header."""
+def export_task_scores(details: DataFrame, path: str | None = None, compression: str = "none") -> DataFrame:
+    """Flat per-task export; with a path also written as CSV with header, plain or by a codec."""
     flat = details.select("hotkey", "task_id", "task_name", "baseline_pass", "miner_pass", "baseline_tokens", "miner_tokens",
                           "compression_ratio", "score", "broke_baseline", "negative_score", "observed_at")
     if path is not None:
-        flat.write.mode("errorifexists").option("header", True).csv(path)
+        flat.write.mode("errorifexists").option("header", True).option("compression", compression).csv(path)
     return flat

@@ -72,6 +72,34 @@ def test_snapshot_sink_refuses_empty_and_overwrite(spark, tmp_path):
         sinks.write_snapshot(df, str(tmp_path / "s1"))
 
 
+def test_detail_documents_stay_small(spark, sf_dir, monkeypatch):
+    """Documents are written compressed and a month is cut by order ranges; every run is read back."""
+    from runledger.catalog import ingest
+    from runledger.catalog.views import Views
+
+    v = Views(spark, sf_dir)
+    n_runs = v.lineitems.join(v.table("orders"), F.col("o_orderkey") == F.col("l_orderkey")).count()
+    monkeypatch.setattr(ingest, "FILE_KEYS", 500, raising=False)
+    for single in (False, True):
+        path = ingest.detail_files(v, "true", single=single)
+        files = [os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.startswith("part-")]
+        assert sum(map(os.path.getsize, files)) < 150 * n_runs
+        runs = snapshots.scan_run_snapshots(spark, path, lines=True)
+        assert runs.count() == runs.select("run_id").distinct().count() == n_runs
+        if single:
+            assert len(files) > len({os.path.dirname(f) for f in files})
+
+
+def test_detail_lines_move_once(spark, sf_dir):
+    from runledger.catalog.views import Views
+
+    v = Views(spark, sf_dir)
+    by_order = v.lineitems_by_order
+    assert by_order.exceptAll(v.lineitems).count() == 0 and by_order.count() == v.lineitems.count()
+    plan = by_order.groupBy("l_orderkey").agg(F.collect_list("l_linenumber"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_unreadable_documents_are_skipped(spark, tmp_path):
     day = tmp_path / "2024-01-02"
     os.makedirs(day)
