@@ -263,6 +263,27 @@ def test_user_turns_that_begin_with_thinking(spark):
         (0, "text", "<thinking>a</thinking><text>b</text>"), (1, "text", "c"), (2, "text", "<text></text>e")]
 
 
+def test_gentle_sweep_ranks_lines_once(spark, capsys):
+    """Every profile cuts a text as it would alone, but the lines are taken apart before the profiles fan out."""
+    from runledger.operators.lines import extractive_compress
+
+    lines = "\n".join(f"line {i} " + "word " * (i % 7) + ("error: bad" if i == 11 else "") for i in range(40))
+    rows = [(1, 0, "user", "go")] + [(1, i, "toolresult", f"{lines if i % 2 else lines.replace('error: bad', '')}\nrow {i}") for i in range(1, 9)] + [(1, 9, "toolresult", None)]
+    rows.append((1, 10, "toolresult", rows[1][3]))
+    messages = spark.createDataFrame(rows, "session_id long, msg_idx long, role string, text string")
+    profiles = spark.createDataFrame([("a", 200, 400, 2), ("b", 100, 90, 5), ("c", 5000, 6000, 0)], "profile string, stale_cap int, protected_cap int, intact int")
+    out = X.sweep(messages, profiles)
+    got = {(r["profile"], r["msg_idx"]): r["text"] for r in out.collect()}
+    out.explain()
+    top = capsys.readouterr().out.split("BroadcastNestedLoopJoin")[0]
+    assert "…" in top and "w+" not in top
+    for p in profiles.collect():
+        cap = F.when(F.col("text").rlike("error: bad"), p["protected_cap"]).otherwise(p["stale_cap"])
+        alone = dict(messages.select("msg_idx", F.when((F.col("msg_idx") == 0) | (F.col("msg_idx") > 10 - p["intact"]), F.col("text")).when(
+            F.col("msg_idx") == 1, X.DUPLICATE_MARK).otherwise(extractive_compress(F.col("text"), cap))).collect())
+        assert {i: t for (name, i), t in got.items() if name == p["profile"]} == alone
+
+
 def test_sweep_equals_single_profiles(spark):
     messages = spark.createDataFrame(several_calls(60, size=3000), CALLS)
     out = X.sweep_structural(messages, X.profile_table(spark, {**X.PROFILES, "plain": tuple(X.KNOBS.values())}))
