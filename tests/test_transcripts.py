@@ -263,6 +263,21 @@ def test_user_turns_that_begin_with_thinking(spark):
         (0, "text", "<thinking>a</thinking><text>b</text>"), (1, "text", "c"), (2, "text", "<text></text>e")]
 
 
+def test_pruning_reads_its_messages_twice(spark, tmp_path):
+    """Once for roles and ids, once for what is kept; it used to be read again by every step."""
+    reads = spark.sparkContext.accumulator(0)
+    rows = several_calls()
+
+    def counted(part):
+        rows_ = list(part)
+        reads.add(len(rows_))
+        return iter(rows_)
+
+    messages = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).mapPartitions(counted), CALLS)
+    kept = X.prune_recent(messages).collect()
+    assert 0 < len(kept) < len(rows) and reads.value <= 2 * len(rows)
+
+
 def test_gentle_sweep_ranks_lines_once(spark, capsys):
     """Every profile cuts a text as it would alone, but the lines are taken apart before the profiles fan out."""
     from runledger.operators.lines import extractive_compress
