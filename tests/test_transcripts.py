@@ -263,6 +263,22 @@ def test_user_turns_that_begin_with_thinking(spark):
         (0, "text", "<thinking>a</thinking><text>b</text>"), (1, "text", "c"), (2, "text", "<text></text>e")]
 
 
+def test_copies_are_found_once_for_all_profiles(spark, monkeypatch):
+    messages = spark.createDataFrame(several_calls(40, size=900), CALLS)
+    hashed, write = {}, X.through_parquet
+
+    def spy(df, label):
+        out = write(df, label)
+        if "_key" in out.columns:
+            hashed[label] = out.count()
+        return out
+
+    monkeypatch.setattr(X, "through_parquet", spy)
+    plan = X.structural_plan(messages, profiles=X.profile_table(spark, X.PROFILES))
+    assert plan.count() == 3 * messages.count()
+    assert hashed and set(hashed.values()) == {messages.count()}
+
+
 def test_pruning_reads_its_messages_twice(spark, tmp_path):
     """Once for roles and ids, once for what is kept; it used to be read again by every step."""
     reads = spark.sparkContext.accumulator(0)
