@@ -11,15 +11,17 @@ ordered by rarity: their hashes are counted over all lines in a table of fixed
 size. A line's prefix are its rarest shingles, as many as a match cannot miss
 altogether; classes meet on prefix shingles that
 more than one has, subject to the length filter (sizes within 4/5) and the
-positional filter (what is left behind the shingle suffices), and meeting
+positional filter (what is left behind the shingle suffices) and the bitmap
+filter (parities of the shingles that fall on each of 128 bits; as many shingles
+at least as bits differ are in one line only), and meeting
 classes are verified on their whole shingle sets. A shingle that few classes
 share gives pairs of ids, made distinct before the sets are fetched; one that
 many share gives an existence join, which yields one row per line however many
 near copies there are. Lines of repeated words may have few shingles, or the
 same ones, however long they are, so only lines of one shorter shingle stay out.
 
-Texts stay where they are but for the documents that hold a line in need of
-verification. All of it is DataFrame code.
+A text is taken apart once for counts, once for the prefixes of its lines and once more if
+it holds a line in need of verification. All of it is DataFrame code.
 
 Defined results: null and empty texts and blank lines are kept as they are;
 documents that repeat id and text count as one document and lose the same
@@ -30,6 +32,7 @@ hashes, equal lines by 96 bits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,8 +73,14 @@ def class_keys(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("c1"), F.hash(line).alias("c2")]
 
 
-def shingle_hash(words: Column, at: Column) -> Column:
-    return F.xxhash64(*[F.get(words, at + i) for i in range(SHINGLE)])
+def three_words(words: Column, at: Column) -> Column:
+    return F.xxhash64(*[F.get(words, at + i) for i in range(3)])
+
+
+def shingles(threes: Column, make: Callable[[Column, Column], Column]) -> Column:
+    """``make`` of the two runs of three words that each shingle of five consists of."""
+    n = F.greatest(F.size(threes) - SHINGLE + 1, F.lit(0))
+    return F.zip_with(F.slice(threes, 1, n), F.slice(threes, 3, n), make)
 
 
 def rarity(docs: DataFrame, text: str) -> list[int]:
@@ -82,7 +91,7 @@ def rarity(docs: DataFrame, text: str) -> list[int]:
     """
     words = bound(lines_of(docs, text).select("line"), "w", line_words(F.col("line")))
     each = words.select("w", F.posexplode("w").alias("at", "_w")).where(F.col("at") + SHINGLE <= F.size("w"))
-    counts = each.groupBy(slot_of(shingle_hash(F.col("w"), F.col("at"))).alias("slot")).count()
+    counts = each.groupBy(slot_of(three_words(F.col("w"), F.col("at")), three_words(F.col("w"), F.col("at") + 2)).alias("slot")).count()
     level = F.floor(F.log2(F.col("count") / F.sum("count").over(Window.partitionBy()) * RARITY_SLOTS))
     levels = [0] * RARITY_SLOTS
     for r in counts.select("slot", level.alias("level")).where("level >= 1").collect():
@@ -90,29 +99,38 @@ def rarity(docs: DataFrame, text: str) -> list[int]:
     return levels
 
 
-def slot_of(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(RARITY_SLOTS - 1))
+def slot_of(a: Column, b: Column) -> Column:
+    return a.bitwiseXOR(b).bitwiseAND(F.lit(RARITY_SLOTS - 1))
 
 
-def ordered_shingles(words: Column, levels: list[int]) -> Column:
-    """Distinct shingles of a line as (frequency, hash) keys, rarest first."""
+def ordered_shingles(threes: Column, levels: list[int]) -> Column:
+    """Distinct shingles of a line, of its runs of three words, as (frequency, hash) keys, rarest first."""
     table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
-    hashes = F.transform(F.slice(words, 1, F.size(words) - SHINGLE + 1), lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, SHINGLE)]))
+    level = lambda a, b: F.coalesce(F.get(table, slot_of(a, b).cast("int")), F.lit(0).cast("bigint"))
     low = F.lit((1 << HASH_BITS) - 1)
-    keyed = F.transform(hashes, lambda h: h.bitwiseAND(low) + F.shiftleft(F.coalesce(F.get(table, slot_of(h).cast("int")), F.lit(0).cast("bigint")), HASH_BITS))
-    return F.sort_array(F.array_distinct(keyed))
+    return F.sort_array(F.array_distinct(shingles(threes, lambda a, b: F.xxhash64(a, b).bitwiseAND(low) + F.shiftleft(level(a, b), HASH_BITS))))
+
+
+def parities(keys: Column) -> list[Column]:
+    """Parity of the keys with each value of their seven lowest bits: all, and those with the seventh bit, by the other six."""
+    def folded(bit: Callable[[Column], Column]) -> Column:
+        return F.aggregate(keys, F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", bit(k), k.bitwiseAND(F.lit(63)).cast("int"))))
+
+    return [folded(lambda k: F.lit(1).cast("bigint")).alias("b0"), folded(lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1).cast("bigint"))).alias("b1")]
 
 
-def worded(docs: DataFrame, text: str) -> DataFrame:
-    """(line, w) of the lines with enough words."""
-    return bound(lines_of(docs, text).select("line"), "w", line_words(F.col("line"))).where(F.size("w") >= SHINGLE)
+def run_hashes(lines: DataFrame) -> DataFrame:
+    """The lines and ``t``, the hashes of the three words from each word on."""
+    words = bound(lines, "w", line_words(F.col("line")))
+    return bound(words, "t", F.transform("w", lambda w, i: F.xxhash64(w, F.get("w", i + 1), F.get("w", i + 2)))).drop("w")
 
 
-def prefixes(docs: DataFrame, text: str, levels: list[int]) -> DataFrame:
-    """(c1, c2, size, keys): the prefix of every line with enough words."""
-    placed = bound(worded(docs, text).select(*class_keys(F.col("line")), "w"), "keys", ordered_shingles(F.col("w"), levels))
+def prefixed_lines(docs: DataFrame, text: str, levels: list[int]) -> DataFrame:
+    """(doc_id, h, line_no, c1, c2, size, b0, b1, keys) of the lines that are not blank: number of shingles, parities, prefix (none, if too few words)."""
+    placed = bound(run_hashes(lines_of(docs, text)).select("doc_id", "h", "line_no", *class_keys(F.col("line")), "t"), "keys", ordered_shingles(F.col("t"), levels))
     s = F.size("keys")
-    return placed.select("c1", "c2", s.alias("size"), F.slice("keys", 1, s - F.floor((4 * s + 4) / 5).cast("int") + 1).alias("keys"))
+    prefix = F.slice("keys", 1, F.when(s > 0, s - F.floor((4 * s + 4) / 5).cast("int") + 1).otherwise(0))
+    return placed.select("doc_id", "h", "line_no", "c1", "c2", s.alias("size"), *parities(F.col("keys")), prefix.alias("keys"))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, levels: list[int]) -> DataFrame:
@@ -122,8 +140,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, levels: list[int
         lists, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h")))
     each = held.select("doc_id", "h", "lines", F.posexplode(F.split("t", "\n")).alias("line_no", "raw")).where(F.array_contains("lines", F.col("line_no")))
     named = each.select(F.struct("doc_id", "h", "line_no").alias("f"), F.trim("raw").alias("line"))
-    split = bound(named, "w", line_words(F.col("line")))
-    return split.select(*class_keys(F.col("line")), "f", ordered_shingles(F.col("w"), levels).alias("keys")).dropDuplicates(["c1", "c2"])
+    return run_hashes(named).select(*class_keys(F.col("line")), "f", ordered_shingles(F.col("t"), levels).alias("keys")).dropDuplicates(["c1", "c2"])
 
 
 def close_sizes(x: Column, y: Column) -> Column:
@@ -138,10 +155,17 @@ def overlap(x: Column, y: Column) -> Column:
     return 9 * F.size(F.array_intersect(x, y)) >= 4 * (F.size(x) + F.size(y))
 
 
-def later_matches(docs: DataFrame, first: DataFrame, text: str = "text") -> DataFrame:
-    """(c1, c2) of the classes of which an earlier, different class is a match; ``first`` holds (c1, c2, f)."""
-    levels = rarity(docs, text)
-    one = prefixes(docs, text, levels).groupBy("c1", "c2").agg(F.any_value("size").alias("size"), F.any_value("keys").alias("keys"))
+def may_match(x: str, y: str) -> Column:
+    """Size, positional and bitmap filter of two rows that share a shingle; shingles of one line alone are a ninth of both sizes at most."""
+    xs, ys = F.col(f"{x}.size"), F.col(f"{y}.size")
+    seventh = F.col(f"{x}.b1").bitwiseXOR(F.col(f"{y}.b1"))
+    unlike = F.bit_count(seventh) + F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0")).bitwiseXOR(seventh))
+    return close_sizes(xs, ys) & room_left(xs, F.col(f"{x}.pos"), ys, F.col(f"{y}.pos")) & (9 * unlike <= xs + ys)
+
+
+def later_matches(docs: DataFrame, lines: DataFrame, first: DataFrame, levels: list[int], text: str = "text") -> DataFrame:
+    """(c1, c2) of the classes of which an earlier, different class is a match; ``lines`` have prefixes, ``first`` holds (c1, c2, f, b0, b1)."""
+    one = lines.where(F.col("size") > 0).groupBy("c1", "c2").agg(F.any_value("size").alias("size"), F.any_value("keys").alias("keys"))
     rows = one.select("c1", "size", F.posexplode("keys").alias("pos", "key"))
     per_key = Window.partitionBy("key")
     shared = rows.withColumns({"low": F.min("c1").over(per_key), "high": F.max("c1").over(per_key)}).where("low <> high")
@@ -149,16 +173,17 @@ def later_matches(docs: DataFrame, first: DataFrame, text: str = "text") -> Data
     owners = F.bit_xor(F.xxhash64("c1")).over(per_key)
     shared = shared.withColumns({"owners": owners, "n": F.count(F.lit(1)).over(per_key)}).groupBy("c1", "size", "owners", "n").agg(
         F.min(F.struct("key", "pos")).alias("k")).select("k.key", "c1", "size", "k.pos", "n")
-    shared = through_parquet(shared, "shared-shingles")
+    shared = through_parquet(shared.join(first.select("c1", "b0", "b1"), "c1"), "shared-shingles")
 
     few, many = shared.where(F.col("n") <= FEW), shared.where(F.col("n") > FEW)
     x, y = few.alias("x"), few.alias("y")
-    meets = ((F.col("x.key") == F.col("y.key")) & (F.col("x.c1") < F.col("y.c1")) & close_sizes(F.col("x.size"), F.col("y.size"))
-             & room_left(F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos")))
+    meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.c1") < F.col("y.c1")) & may_match("x", "y")
     pairs = through_parquet(x.join(y, meets).select(F.col("x.c1").alias("a"), F.col("y.c1").alias("b")).distinct(), "line-pairs")
+    x, y = many.alias("x"), many.alias("y")
+    many = through_parquet(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c1") != F.col("y.c1")) & may_match("x", "y"), "left_semi"), "many-met")
     # whole shingle sets of the classes that meet another, from their first occurrences
     met = pairs.select(F.col("a").alias("c1")).union(pairs.select("b")).union(many.select("c1")).distinct()
-    sets = through_parquet(shingle_sets(docs, first.join(met, "c1"), text, levels), "line-sets")
+    sets = through_parquet(shingle_sets(docs, first.select("c1", "c2", "f").join(met, "c1"), text, levels), "line-sets")
 
     side = lambda n: sets.select(F.col("c1").alias(n), F.col("c2").alias(f"{n}2"), F.col("f").alias(f"{n}f"), F.col("keys").alias(f"{n}k"))
     found = pairs.join(side("a"), "a").join(side("b"), "b").where(overlap(F.col("ak"), F.col("bk")))
@@ -167,18 +192,19 @@ def later_matches(docs: DataFrame, first: DataFrame, text: str = "text") -> Data
 
     meet = through_parquet(many.join(sets, "c1"), "meeting-lines")
     x, y = meet.alias("x"), meet.alias("y")
-    match = ((F.col("x.key") == F.col("y.key")) & (F.col("x.f") < F.col("y.f"))
-             & ((F.col("x.c1") != F.col("y.c1")) | (F.col("x.c2") != F.col("y.c2"))) & close_sizes(F.col("x.size"), F.col("y.size"))
-             & room_left(F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos")) & overlap(F.col("x.keys"), F.col("y.keys")))
+    match = ((F.col("x.key") == F.col("y.key")) & (F.col("x.f") < F.col("y.f")) & ((F.col("x.c1") != F.col("y.c1")) | (F.col("x.c2") != F.col("y.c2")))
+             & may_match("x", "y") & overlap(F.col("x.keys"), F.col("y.keys")))
     return late.union(y.join(x, match, "left_semi").select("c1", "c2")).distinct()
 
 
 def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, h, removed): sorted numbers of the removed lines of each document that loses any."""
-    lines = through_parquet(lines_of(docs, text).select("doc_id", "h", "line_no", *class_keys(F.col("line"))), "lines")
-    first = through_parquet(lines.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "h", "line_no")).alias("f")), "first-lines")
-    late = later_matches(docs, first, text).withColumn("late", F.lit(True))
-    judged = lines.join(first.join(late, ["c1", "c2"], "left"), ["c1", "c2"])
+    levels = rarity(docs, text)
+    lines = through_parquet(prefixed_lines(docs, text, levels), "lines")
+    first = through_parquet(lines.groupBy("c1", "c2").agg(
+        F.min(F.struct("doc_id", "h", "line_no")).alias("f"), *[F.any_value(b).alias(b) for b in ("b0", "b1")]), "first-lines")
+    late = later_matches(docs, lines, first.select("c1", "c2", "f", "b0", "b1"), levels, text).withColumn("late", F.lit(True))
+    judged = lines.select("doc_id", "h", "line_no", "c1", "c2").join(first.select("c1", "c2", "f").join(late, ["c1", "c2"], "left"), ["c1", "c2"])
     later = ~F.struct("doc_id", "h", "line_no").eqNullSafe(F.col("f"))
     gone = judged.where(F.col("late").isNotNull() | later)
     return gone.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))

@@ -237,3 +237,35 @@ def test_preference_texts_and_masks_equal_plain_formatting(spark):
                    r["rejected_text"], tuple(map(tuple, r["rejected_mask"]))) for r in out.collect()), key=repr)
     assert got == plain_formatted(rows)
     assert {g[2] for g in got} == {"opening", "answer"}
+
+
+def test_line_dedup_fetches_sets_of_likely_lines_only(spark, monkeypatch):
+    """Near copies of every distance: what is removed is exact, and lines far from any other are not read again."""
+    rng = random.Random(21)
+    written = {}
+    through = linededup.through_parquet
+    monkeypatch.setattr(linededup, "through_parquet", lambda df, label: written.setdefault(label, through(df, label)))
+
+    def copies(n, changes):
+        base = [f"k{rng.randrange(10 ** 6)}" for _ in range(n)]
+        out = []
+        for _ in range(6):
+            words = list(base)
+            for at in rng.sample(range(n), changes):
+                words[at] = f"z{rng.randrange(10 ** 6)}"
+            out.append(" ".join(words))
+        return out
+
+    far = [line for n in (60, 90, 120) for line in copies(n, n // 8)]
+    assert removed(spark, list(enumerate(far))) == plain_removed(list(enumerate(far))) == {}
+    assert written["line-pairs"].count() == 0 and written["line-sets"].count() == 0
+    written.clear()
+    mixed = far + [line for n in (12, 50, 90, 300) for changes in (0, 1, 2, 3) for line in copies(n, changes)]
+    mixed += [" ".join(line.split(" ")[cut:]) for line in mixed[18:] for cut in (1, 7)]
+    rng.shuffle(mixed)
+    docs = [(i, "\n".join(mixed[i::40])) for i in range(40)]
+    want = plain_removed(docs)
+    assert len(want) > 20 and removed(spark, docs) == want
+    monkeypatch.setattr(linededup, "FEW", 2)
+    written.clear()
+    assert removed(spark, docs) == want and written["meeting-lines"].count() > 0
