@@ -256,7 +256,7 @@ def test_line_dedup_fetches_sets_of_likely_lines_only(spark, monkeypatch):
             out.append(" ".join(words))
         return out
 
-    far = [line for n in (60, 90, 120) for line in copies(n, n // 8)]
+    far = [line for n in (60, 90, 120) for line in copies(n, n // 20)]
     assert removed(spark, list(enumerate(far))) == plain_removed(list(enumerate(far))) == {}
     assert written["line-pairs"].count() == 0 and written["line-sets"].count() == 0
     written.clear()
