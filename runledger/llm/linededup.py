@@ -64,7 +64,7 @@ def line_words(line: Column) -> Column:
 
 def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, h, line_no, line) of the lines that are not blank, their words joined by single spaces; a document is known by its id and the hash of its text."""
-    named = docs.select("doc_id", F.xxhash64(text).alias("h"), spaced(F.col(text)).alias("t")).where(F.col("t").isNotNull())
+    named = docs.where(F.col(text).isNotNull()).select("doc_id", F.xxhash64(text).alias("h"), spaced(F.col(text)).alias("t"))
     lines = named.select("doc_id", "h", F.posexplode(F.split("t", "\n")).alias("line_no", "raw"))
     return lines.select("doc_id", "h", "line_no", F.trim("raw").alias("line")).where(F.col("line") != "")
 
@@ -105,10 +105,10 @@ def slot_of(a: Column, b: Column) -> Column:
 
 def ordered_shingles(threes: Column, levels: list[int]) -> Column:
     """Distinct shingles of a line, of its runs of three words, as (frequency, hash) keys, rarest first."""
-    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
+    table = F.split(F.lit(",".join(str(level << HASH_BITS) for level in levels)), ",").cast("array<bigint>")
     level = lambda a, b: F.coalesce(F.get(table, slot_of(a, b).cast("int")), F.lit(0).cast("bigint"))
     low = F.lit((1 << HASH_BITS) - 1)
-    return F.sort_array(F.array_distinct(shingles(threes, lambda a, b: F.xxhash64(a, b).bitwiseAND(low) + F.shiftleft(level(a, b), HASH_BITS))))
+    return F.sort_array(F.array_distinct(shingles(threes, lambda a, b: F.xxhash64(a, b).bitwiseAND(low).bitwiseOR(level(a, b)))))
 
 
 def parities(keys: Column) -> list[Column]:
@@ -121,7 +121,8 @@ def parities(keys: Column) -> list[Column]:
 
 def run_hashes(lines: DataFrame) -> DataFrame:
     """The lines and ``t``, the hashes of the three words from each word on."""
-    words = bound(lines, "w", line_words(F.col("line")))
+    # as bytes, which array functions hash faster than strings
+    words = bound(lines, "w", line_words(F.col("line")).cast("array<binary>"))
     return bound(words, "t", F.transform("w", lambda w, i: F.xxhash64(w, F.get("w", i + 1), F.get("w", i + 2)))).drop("w")
 
 
@@ -155,6 +156,17 @@ def overlap(x: Column, y: Column) -> Column:
     return 9 * F.size(F.array_intersect(x, y)) >= 4 * (F.size(x) + F.size(y))
 
 
+def size_band(size: Column) -> Column:
+    """Sizes within 4/5 lie in the same or in neighbouring bands (1.3 instead of 5/4 leaves room for rounding)."""
+    return F.floor(F.ln(size) / F.ln(F.lit(1.3))).cast("int")
+
+
+def banded(rows: DataFrame, reach: int = 0) -> DataFrame:
+    """The rows with their ``band``, or once in each band that its matches may be in."""
+    band = size_band(F.col("size"))
+    return rows.withColumn("band", F.explode(F.sequence(band - reach, band + reach)) if reach else band)
+
+
 def may_match(x: str, y: str) -> Column:
     """Size, positional and bitmap filter of two rows that share a shingle; shingles of one line alone are a ninth of both sizes at most."""
     xs, ys = F.col(f"{x}.size"), F.col(f"{y}.size")
@@ -179,8 +191,10 @@ def later_matches(docs: DataFrame, lines: DataFrame, first: DataFrame, levels: l
     x, y = few.alias("x"), few.alias("y")
     meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.c1") < F.col("y.c1")) & may_match("x", "y")
     pairs = through_parquet(x.join(y, meets).select(F.col("x.c1").alias("a"), F.col("y.c1").alias("b")).distinct(), "line-pairs")
-    x, y = many.alias("x"), many.alias("y")
-    many = through_parquet(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c1") != F.col("y.c1")) & may_match("x", "y"), "left_semi"), "many-met")
+    # what many share meets within neighbouring bands of size only
+    x, y = banded(many).alias("x"), banded(many, 1).alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band"))
+    many = through_parquet(x.join(y, same & (F.col("x.c1") != F.col("y.c1")) & may_match("x", "y"), "left_semi").drop("band"), "many-met")
     # whole shingle sets of the classes that meet another, from their first occurrences
     met = pairs.select(F.col("a").alias("c1")).union(pairs.select("b")).union(many.select("c1")).distinct()
     sets = through_parquet(shingle_sets(docs, first.select("c1", "c2", "f").join(met, "c1"), text, levels), "line-sets")
