@@ -475,3 +475,13 @@ def test_audit_reads_its_input_once(spark, monkeypatch):
     got = X.audit(df, thin, ["mark", "absent"]).first()
     assert [label for label, _ in seen] == ["audited", "audited-input"]
     assert (got["tokens_in"], got["tokens_out"], got["users_kept"], got["newest_kept"], got["markers_kept"]) == (203, 66, True, True, True)
+
+
+def test_pruning_broadcasts_none_of_its_tables(spark, monkeypatch):
+    """Millions of ids and flags are a few MB when written, which used to pass for their size and went to the driver whole."""
+    plans, keep = [], X.through_parquet
+    monkeypatch.setattr(X, "through_parquet", lambda df, label: plans.append(df) or keep(df, label))
+    out = X.prune_recent(spark.createDataFrame(several_calls(6), CALLS))
+    assert len(plans) == 3 and {r["msg_idx"] for r in out.collect()} >= {0, 14, 15, 17, 18}
+    for df in [*plans, out]:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
