@@ -485,3 +485,20 @@ def test_pruning_broadcasts_none_of_its_tables(spark, monkeypatch):
     assert len(plans) == 3 and {r["msg_idx"] for r in out.collect()} >= {0, 14, 15, 17, 18}
     for df in [*plans, out]:
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_audit_query_looks_for_whole_texts(spark, monkeypatch, tmp_path):
+    """An end cut off a long message or result is a loss; only their first 60 and 120 characters used to be looked for."""
+    from runledger.catalog import transcripts as Q
+
+    rows = []
+    for i in (1, 2, 3, 4):
+        rows += [(i, 0, "user", "u" * 500 + "!", None), (i, 1, "assistant", "a", 7), (i, 2, "toolresult", "r" * 300 + "!", 7)]
+    rows += [(4, 3, "user", None, None)]
+    df = spark.createDataFrame(rows, "session_id long, msg_idx long, role string, text string, call_id long")
+    cut = F.rtrim(F.regexp_replace("text", "!", ""))
+    after = df.withColumn("text", F.when((F.col("session_id") == 2) & (F.col("role") == "user"), cut).when(
+        (F.col("session_id") == 3) & (F.col("role") == "toolresult"), cut).otherwise(F.concat("text", F.lit(" and more"))))
+    monkeypatch.setattr(X, "compress_gentle", lambda messages, **_: after)
+    got = {r["session_id"]: (r["users_kept"], r["newest_kept"]) for r in Q.txt19(type("V", (), {"trace": df})).collect()}
+    assert got == {1: (True, True), 2: (False, True), 3: (True, False), 4: (False, True)}
