@@ -276,7 +276,7 @@ class Views:
         if not getattr(self, "_settled", False):
             self.__dict__["lineitems"] = through_parquet(self.lineitems.select(
                 "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity",
-                "l_tax", "l_returnflag", "l_linestatus"), "line-items")
+                "l_tax", "l_returnflag", "l_linestatus"), "line-items", release=True)
             self._settled = True
         return self
 
